@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, sharding, substring_dedup, suffix_dedup
+from . import ann, minhash_dedup, mixing, packing, quality, sharding, substring_dedup, suffix_dedup, toxicity
 from .common import table
 
 
@@ -12,7 +12,10 @@ def _over(name, f):
 
 QUERIES = {
     "op1_histogram_sort": _over("documents", sharding.assign),
+    "op2_ivf_pq": _over("embeddings", ann.nearest),
     "op3_suffix_array_dedup": _over("documents", suffix_dedup.repeat_digest),
+    "op4_tensored_minhash": _over("documents", minhash_dedup.component_digest),
+    "op5_tfidf_neighbours": lambda spark, sf_dir: toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op7_suffix_tree_dedup": _over("documents", substring_dedup.repeat_digest),
     "op8_quality_rules": _over("documents", quality.quality_digest),
     "op9_length_buckets": _over("documents", packing.pack_digest),
