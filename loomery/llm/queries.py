@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, minhash_dedup, mixing, packing, quality, sharding, substring_dedup, suffix_dedup, toxicity
+from . import ann, minhash_dedup, mixing, packing, quality, sharding, substring_dedup, suffix_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -16,6 +16,7 @@ QUERIES = {
     "op3_suffix_array_dedup": _over("documents", suffix_dedup.repeat_digest),
     "op4_tensored_minhash": _over("documents", minhash_dedup.component_digest),
     "op5_tfidf_neighbours": lambda spark, sf_dir: toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op6_edit_aware_tokens": _over("documents", token_counts.edited_counts),
     "op7_suffix_tree_dedup": _over("documents", substring_dedup.repeat_digest),
     "op8_quality_rules": _over("documents", quality.quality_digest),
     "op9_length_buckets": _over("documents", packing.pack_digest),
