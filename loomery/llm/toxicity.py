@@ -148,25 +148,26 @@ class BlockMaxIndex:
     def nearest(self, terms_: np.ndarray, counts: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine above 0, ties to the smaller number."""
         query = weigh(self.idf, terms_, counts)
-        parts = [np.arange(self.block_begin[t], self.block_begin[t + 1]) for t in terms_]
-        posted = np.concatenate(parts)
-        source = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        blocks, where = np.unique(self.block[posted], return_inverse=True)
-        bounds = np.bincount(where, query[source] * self.block_max[posted])
+        posted, source = _ranges(self.block_begin[terms_], self.block_begin[terms_ + 1])
+        by = np.argsort(self.block[posted], kind="stable")
+        posted, source = posted[by], source[by]
+        first = np.flatnonzero(np.concatenate(([True], np.diff(self.block[posted]) != 0)))
+        bounds = np.add.reduceat(query[source] * self.block_max[posted], first)
+        last = np.append(first[1:], len(posted))
         best, score = np.zeros(0, np.int64), np.zeros(0)
         for b in np.argsort(-bounds, kind="stable"):
             if len(best) == k and bounds[b] < score[-1] - 1e-12:
                 break
-            total = np.zeros(BLOCK)
-            for i in np.flatnonzero(where == b):
-                at = slice(self.block_at[posted[i]], self.block_at[posted[i] + 1])
-                total[self.example[at] % BLOCK] += query[source[i]] * self.weight[at]
-            found = np.flatnonzero(total > 0)
-            named = blocks[b] * BLOCK + found
-            found, named = found[named != without], named[named != without]
-            best, score = np.concatenate((best, named)), np.concatenate((score, total[found]))
-            order = np.lexsort((best, -score))[:k]
-            best, score = best[order], score[order]
+            here = slice(first[b], last[b])
+            at, term = _ranges(self.block_at[posted[here]], self.block_at[posted[here] + 1])
+            base = self.block[posted[first[b]]] * BLOCK
+            total = np.bincount(self.example[at] - base, query[source[here]][term] * self.weight[at], BLOCK)
+            found = np.flatnonzero(total > (score[-1] - 1e-12 if len(best) == k else 0))
+            found = found[found + base != without]
+            if len(found):
+                best, score = np.concatenate((best, found + base)), np.concatenate((score, total[found]))
+                order = np.lexsort((best, -score))[:k]
+                best, score = best[order], score[order]
         return best, score
 
     def vote(self, terms_, counts, k: int, without: int = -1) -> tuple[float, np.ndarray]:
@@ -175,6 +176,13 @@ class BlockMaxIndex:
         return (float((power * self.labels[best]).sum() / power.sum()) if len(best) else -1.0), best
 
 
+def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(members of the ranges end to end, number of the range of each)."""
+    n = end - begin
+    which = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(which)) + (begin - np.cumsum(n) + n)[which], which
+
+
 def weigh(idf: np.ndarray, terms_: np.ndarray, counts: np.ndarray) -> np.ndarray:
     w = idf[terms_] * (1 + np.log(counts))
     return w / np.sqrt((w**2).sum())
