@@ -94,13 +94,14 @@ def sliding_limit(rows: DataFrame, keys: list[str], at: str, span: int, most: in
 
 
 def token_bucket(rows: DataFrame, keys: list[str], at: str, cost: str, capacity: float, per_unit: float) -> DataFrame:
-    """accepted while the level is above 0; the cost is charged afterwards; the level refills to capacity."""
+    """accepted while the level is above 0, and the level after the cost is charged; it refills to capacity."""
 
     def step(state, row):
         level, last = state if state else (capacity, getattr(row, at))
         level = min(capacity, level + (getattr(row, at) - last) * per_unit)
         fine = level > 0
-        return (level - getattr(row, cost) if fine else level, getattr(row, at)), (fine, float(level))
+        level = level - getattr(row, cost) if fine else level
+        return (level, getattr(row, at)), (fine, float(level))
 
     return _fold(rows, keys, at, step, lambda: None, _with(rows, accepted=T.BooleanType(), level=T.DoubleType()))
 
