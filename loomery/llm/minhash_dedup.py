@@ -6,10 +6,12 @@ sets of similarity s meet in a table unless no key of one collection agrees: 2 *
 at most, which is 0.0006 at s = 0.8 and 2e-6 at s = 0.9 for the values here.
 
 Equal sets are one node. A table key that one node has alone is dropped before the tables are
-formed. In each table key the smallest node is the pivot and is compared with the others; once links
-have joined them into components, keys that still hold several components get their next pivot, and
-small keys all their pairs across components, until none is left to compare. So a key's rows are
-never paired off all with all unless they are few, and no candidate is dropped.
+formed. In each table key the smallest node is the pivot and is compared with the others; the links
+make components. Where a key still holds several, its nodes outside the key's largest component are
+put into blocks of BLOCK, and every node that shares a key with a block goes through it once: an
+inverted index of the block's sets counts all its intersections together. That settles every pair
+that shares a key and lies in different components, so no candidate is dropped, and no key's rows
+are paired off all with all.
 
 Texts without words are linked with nothing. Null ids come last in order and name no component
 unless it has no other id. Rows equal in id and text are linked as equal sets are.
@@ -21,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import materialise
 from .components import components
 from .repeats import NO_ID, keyed
 from .textkit import Words, buffers, gram_hashes, mix64, range_hashes, slices
@@ -33,10 +35,10 @@ SHINGLE = 5
 PERCENT = 80
 SIDE = 8
 ROWS = 2
-#: Keys with no more nodes than this have their pairs across components compared in one round.
-FEW = 24
-#: Members of a pivot that one task compares.
-PIVOT_ROWS = 4000
+#: Nodes outside their key's largest component that are compared together with the key's others.
+BLOCK = 256
+#: Nodes that one task compares with a block.
+PART_ROWS = 4000
 
 _SEEDS = mix64(np.arange(2 * SIDE * ROWS, dtype=np.uint64) + np.uint64(77))
 _ODD = mix64(_SEEDS) | np.uint64(1)
@@ -96,11 +98,15 @@ def _sign(k: int):
     return run
 
 
-SETS = "pivot long, salt int, member long, place int, shingles binary"
+SETS = "block long, part int, place int, id long, label long, shingles binary"
+_SET_KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
 
 
 def _send_sets(k: int):
-    """The full set of a text to every pivot that it is compared with."""
+    """The full set of a text to every block that it is compared in."""
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SET_KINDS, strict=True)], names=["block", "part", "place", "id", "label", "shingles"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,95 +115,133 @@ def _send_sets(k: int):
             for r, wanted in enumerate(batch.column("wanted").to_pylist()):
                 made = shingle_set(data[offsets[r] : offsets[r + 1]], k).tobytes()
                 for x in wanted:
-                    rows.append((x["pivot"], x["salt"], x["member"], int(x["pivot"] != x["member"]), made))
+                    rows.append((x["block"], x["part"], x["place"], x["id"], x["label"], made))
                     held += len(made)
                     if held > 4 << 20:
-                        yield _batch(rows)
+                        yield batch_of(rows)
                         rows, held = [], 0
             if rows:
-                yield _batch(rows)
-
-    def _batch(rows):
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["pivot", "salt", "member", "place", "shingles"])
+                yield batch_of(rows)
 
     return run
 
 
+class _Block:
+    """The sets that others are compared with, as an inverted index."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets])
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.begin = np.unique(tokens[order], return_index=True)
+        self.begin = np.append(self.begin, len(tokens))
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def similar(self, other: np.ndarray, percent: int) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.tokens, other), len(self.tokens) - 1)
+        at = at[self.tokens[at] == other]
+        n = self.begin[at + 1] - self.begin[at]
+        where = np.arange(n.sum()) + np.repeat(self.begin[at] - np.cumsum(n) + n, n)
+        common = np.bincount(self.owner[where], minlength=len(self.sizes))
+        return np.flatnonzero(100 * common >= percent * (self.sizes + len(other) - common))
+
+
 def _compare(percent: int):
-    """Rows come by pivot, the pivot's own set first; one set is held at a time."""
+    """Rows come block by block, its own sets (place 0) first. Only links that join components are told."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whose, own = None, None
+        which, own, block, joined = None, [], None, {}
+
+        def root(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
         for batch in batches:
             u, v = [], []
-            pivots, members = batch.column("pivot").to_pylist(), batch.column("member").to_pylist()
-            for r, (pivot, member) in enumerate(zip(pivots, members, strict=True)):
+            columns = (batch.column(c).to_pylist() for c in ("block", "part", "place", "id", "label"))
+            for r, (b, part, place, node, label) in enumerate(zip(*columns, strict=True)):
                 made = np.frombuffer(batch.column("shingles")[r].as_buffer(), np.uint64)
-                if pivot == member:
-                    whose, own = pivot, made.copy()
-                    continue
-                assert whose == pivot
-                small, large = sorted((len(own), len(made)))
-                if 100 * small < percent * large:
+                if (b, part) != which:
+                    which, own, block, joined = (b, part), [], None, {}
+                if place == 0:
+                    if not own or own[-1][0] != node:
+                        own.append((node, label, made.copy()))
                     continue
-                at = np.searchsorted(own, made)
-                common = int((own[np.minimum(at, len(own) - 1)] == made).sum())
-                if 100 * common >= percent * (len(own) + len(made) - common):
-                    u.append(pivot)
-                    v.append(member)
+                block = block or _Block([x for _, _, x in own])
+                for i in block.similar(made, percent):
+                    a, z = root(own[i][1]), root(label)
+                    if a != z:
+                        joined[max(a, z)] = min(a, z)
+                        u.append(own[i][0])
+                        v.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (pivot, member) that are similar enough, on full sets. A pivot's members are dealt out by salt."""
-    salts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(PIVOT_ROWS)).cast("int").alias("s"))
-    members = pairs.join(salts, "pivot").select("pivot", F.pmod(F.xxhash64("member"), F.col("s")).cast("int").alias("salt"), "member")
-    pivots = salts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt"), F.col("pivot").alias("member"))
-    wanted = members.union(pivots).join(nodes.select(F.col("id").alias("member"), "dk", "th"), "member")
-    wanted = wanted.groupBy("dk", "th").agg(F.collect_list(F.struct("pivot", "salt", "member")).alias("wanted"))
-    sets = texts.join(wanted, ["dk", "th"]).mapInArrow(_send_sets(k), SETS)
-    return sets.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "place").mapInArrow(_compare(percent), "u long, v long")
+def _confirm(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) between a block's own nodes (place 0) and the nodes compared with them (place 1), on full sets.
 
-
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, few: int = FEW) -> DataFrame:
+    Rows of `wanted`: block, place, id, label. A block's other nodes are dealt out in parts of PART_ROWS.
+    """
+    parts = wanted.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART_ROWS)).cast("int").alias("parts"))
+    dealt = wanted.join(parts, "block")
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    one = F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.select("block", "place", "id", "label", F.explode(F.when(F.col("place") == 0, every).otherwise(one)).alias("part"))
+    sent = dealt.join(nodes.select("id", "dk", "th"), "id").groupBy("dk", "th").agg(F.collect_list(F.struct("block", "part", "place", "id", "label")).alias("wanted"))
+    sets = texts.join(sent, ["dk", "th"]).mapInArrow(_send_sets(k), SETS)
+    return sets.repartition("block", "part").sortWithinPartitions("block", "part", "place", "id").mapInArrow(_compare(percent), "u long, v long")
+
+
+def table_keys(nodes: DataFrame) -> DataFrame:
+    """(key, id) of the tables: pairs of a short key of either collection that the node shares with another node."""
+    short = nodes.select("id", F.posexplode("keys").alias("j", "value")).select("id", "j", F.xxhash64("j", "value").alias("short"))
+    shared = short.groupBy("short").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("short")
+    held = short.join(shared, "short").groupBy("id").agg(F.collect_list(F.struct("j", "short")).alias("all"))
+    first, second = F.filter("all", lambda x: x["j"] < SIDE), F.filter("all", lambda x: x["j"] >= SIDE)
+    pairs = held.select("id", F.explode(first).alias("a"), second.alias("bs")).select("id", "a", F.explode("bs").alias("b"))
+    return pairs.select(F.xxhash64("a.j", "a.short", "b.j", "b.short").alias("key"), "id")
+
+
+def across(places: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """What is left to compare: rows of `_confirm` for nodes that share a key and lie in different components."""
+    labelled = places.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", "main")
+    mixed, _ = materialise(labelled.join(main, "key"))
+    outside = mixed.where("label <> main")
+    # a node's home is the component that is largest where it is not, so that a group's blocks fill
+    crowd = outside.groupBy("main").agg(F.count(F.lit(1)).alias("c"))
+    home = outside.join(crowd, "main").groupBy("id", "label").agg(F.max(F.struct("c", "main")).alias("most")).select("id", "label", F.col("most.main").alias("home"))
+    turn = F.floor((F.row_number().over(Window.partitionBy("home").orderBy("id")) - 1) / F.lit(block))
+    homes = home.select("id", "label", F.xxhash64("home", turn).alias("block"))
+    # pairs of (component, block) first: far fewer than pairs of (key, block), and no node that shares a key is missed
+    meets = outside.select("id", "main").distinct().join(homes.select("id", "block"), "id").select("main", "block").distinct()
+    others = mixed.select("id", "label", "main").distinct().join(meets, "main").select("block", F.lit(1).alias("place"), "id", "label").distinct()
+    return homes.select("block", F.lit(0).alias("place"), "id", "label").union(others)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(dk, th, n_shingles, label) of every document; documents of one label are linked, directly or not."""
     texts = keyed(docs)
     signed, _ = materialise(texts.mapInArrow(_sign(shingle), "dk long, th long, n long, id long, keys array<long>"))
     nodes = signed.where("n > 0").groupBy("id").agg(F.min(F.struct("dk", "th")).alias("f"), F.first("keys").alias("keys")).select("id", "f.dk", "f.th", "keys")
     nodes, _ = materialise(nodes)
-
-    short = nodes.select("id", F.posexplode("keys").alias("j", "value")).select("id", "j", F.xxhash64("j", "value").alias("short"))
-    shared = short.groupBy("short").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("short")
-    held = short.join(shared, "short").groupBy("id").agg(F.collect_list(F.struct("j", "short")).alias("all"))
-    sides = [F.filter("all", lambda x: x["j"] < SIDE), F.filter("all", lambda x: x["j"] >= SIDE)]
-    left = held.select("id", F.explode(sides[0]).alias("a"), sides[1].alias("bs")).select("id", "a", F.explode("bs").alias("b"))
-    tables = left.select(F.xxhash64("a.j", "a.short", "b.j", "b.short").alias("key"), "id")
-    many = tables.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
-    places, path = materialise(tables.join(many, "key").select("key", "id", F.col("least").alias("pivot")))
-    pairs = places.where("id <> pivot").select("pivot", F.col("id").alias("member")).distinct()
-
-    links = None
-    while True:
-        found, _ = materialise(_confirm(pairs, nodes, texts, shingle, percent))
-        links = found if links is None else links.union(found)
-        labels, _ = materialise(components(links))
-        # what a pivot has met is settled; go on where a key still holds several components
-        labelled = places.where("id <> pivot").select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        open_ = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("id").alias("pivot"), F.count(F.lit(1)).alias("c")).where("a <> b")
-        rest, new_path = materialise(labelled.join(open_.select("key", "pivot", "c"), "key"))
-        discard(docs.sparkSession, path)
-        path = new_path
-        if rest.isEmpty():
-            break
-        a, b = rest.alias("a"), rest.alias("b")
-        inside = a.where(F.col("c") <= few).join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.label") != F.col("b.label"))).select(F.col("a.id").alias("pivot"), F.col("b.id").alias("member"))
-        first = rest.where("id = pivot").select("key", F.col("label").alias("own"))
-        star = rest.where(F.col("c") > few).join(first, "key").where("label <> own").select("pivot", F.col("id").alias("member"))
-        pairs, _ = materialise(inside.union(star).distinct())
-        places = rest.where(F.col("c") > few).select("key", "id", "pivot")
+    keys = table_keys(nodes)
+    many = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
+    places, _ = materialise(keys.join(many, "key").select("key", "id", F.col("least").alias("pivot")))
+
+    met = places.where("id <> pivot").select("pivot", "id").distinct()
+    pivots = met.select(F.col("pivot").alias("block"), F.lit(0).alias("place"), F.col("pivot").alias("id"), F.col("pivot").alias("label")).distinct()
+    stars = met.select(F.col("pivot").alias("block"), F.lit(1).alias("place"), "id", F.col("id").alias("label")).union(pivots)
+    links, _ = materialise(_confirm(stars, nodes, texts, shingle, percent))
+    labels, _ = materialise(components(links))
+    # a pivot has met all of its key
+    rest, _ = materialise(_confirm(across(places.where("id <> pivot"), labels, block), nodes, texts, shingle, percent))
+    if not rest.isEmpty():
+        labels, _ = materialise(components(links.union(rest)))
     return signed.join(labels, "id", "left").select("dk", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "id")).alias("label"))
 
 

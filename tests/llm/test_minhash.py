@@ -54,19 +54,19 @@ def corpus(seed):
     return out
 
 
-@pytest.mark.parametrize(("seed", "few"), [(1, 24), (2, 2)])
-def test_matches_brute_force(make_docs, seed, few):
+@pytest.mark.parametrize(("seed", "block"), [(1, 256), (2, 2)])
+def test_matches_brute_force(make_docs, seed, block):
     texts = corpus(seed)
-    got = [tuple(r) for r in minhash_dedup.component_digest(make_docs(texts), few=few).orderBy("doc_id").collect()]
+    got = [tuple(r) for r in minhash_dedup.component_digest(make_docs(texts), block=block).orderBy("doc_id").collect()]
     assert got == brute(texts, 4)
 
 
 def test_chain_across_one_key(make_docs, monkeypatch):
     """A pivot that is like none of the others does not hide their links."""
-    monkeypatch.setattr(minhash_dedup, "PIVOT_ROWS", 3)
+    monkeypatch.setattr(minhash_dedup, "PART_ROWS", 3)
     base = [f"w{i}" for i in range(100)]
     texts = [" ".join(base[: 100 - 4 * i]) for i in range(20)]
-    got = [tuple(r) for r in minhash_dedup.component_digest(make_docs(texts), few=2).orderBy("doc_id").collect()]
+    got = [tuple(r) for r in minhash_dedup.component_digest(make_docs(texts), block=2).orderBy("doc_id").collect()]
     assert got == brute(texts, 4)
 
 
