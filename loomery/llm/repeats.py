@@ -29,6 +29,8 @@ PART = 1 << 22
 #: Distinct neighbourhoods of one anchor above which its windows are dealt out by content.
 HOT_CLASSES = 50_000
 SALTS = 64
+#: Neighbourhoods that one suffix structure holds at a time; its arrays take about 60 times this.
+BLOCK_BYTES = 2 << 20
 #: Stands for a null doc_id, which comes last in document order.
 NO_ID = (1 << 63) - 1
 
@@ -248,7 +250,7 @@ def refine(live: np.ndarray, group: np.ndarray, key: np.ndarray) -> tuple[np.nda
     return live[many], group[many]
 
 
-def covered_ranges(docs: DataFrame, units: Units, repeated: Callable[[Block, Units], np.ndarray], keep_first: bool, hot_classes: int = HOT_CLASSES, block_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
+def covered_ranges(docs: DataFrame, units: Units, repeated: Callable[[Block, Units], np.ndarray], keep_first: bool, hot_classes: int = HOT_CLASSES, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """(texts, ranges): ranges has (dk, th, spans), spans of window starts [s, e) that are repeated.
 
     keep_first: only occurrences after the first one in document order count as repeated. Else every
