@@ -1,6 +1,6 @@
 """Named queries over the driver tables, each with SQL that states the same result."""
 
-from . import analytics, catalog, places, records, streams, texts
+from . import analytics, cards, catalog, places, records, streams, texts
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "analytics", "catalog", "places", "records", "streams", "texts"]
+__all__ = ["QUERIES", "SQL", "analytics", "cards", "catalog", "places", "records", "streams", "texts"]

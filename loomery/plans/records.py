@@ -75,9 +75,9 @@ def mapping_reconciliation(t):
 
 
 @query("""
-SELECT p_brand, p_type, list_sort(list_distinct(list(p_size))) AS sizes, min(p_partkey) AS first, count(*) AS n FROM part GROUP BY p_brand, p_type""")
+SELECT p_brand, p_type, array_to_string(list_sort(list_distinct(list(p_size))), ',') AS sizes, min(p_partkey) AS first, count(*) AS n FROM part GROUP BY p_brand, p_type""")
 def catalog_build(t):
-    return etl.merge_records(t.part, ["p_brand", "p_type"], {"sizes": "p_size"}, {"first": "p_partkey"})
+    return etl.merge_records(t.part, ["p_brand", "p_type"], {"sizes": "p_size"}, {"first": "p_partkey"}).withColumn("sizes", F.array_join("sizes", ","))
 
 
 CHAIN = """SELECT user_id, event_id, event_type || ':' || CAST(CAST(floor(value * 100 + 0.5) AS BIGINT) AS VARCHAR) AS payload FROM events"""
