@@ -2,7 +2,7 @@
 
 Terms are words (letters and digits, ASCII lower case) and word beginnings of PREFIXES characters.
 The vocabulary is the terms that most mark toxic rows among at most EXAMPLES labelled rows, chosen by
-hash of the id (log-likelihood ratio of at least LEAST, VOCABULARY terms at most). Document
+hash of the id (log-likelihood ratio of at least LEAST, held by toxic rows more often than not, VOCABULARY terms at most). Document
 frequencies are counted over all documents. The examples' vectors go into an inverted index whose
 postings are cut into blocks of BLOCK examples with the largest weight of each; a query scores blocks
 in order of their bounds and stops when no bound can reach its k-th best, so the k nearest are exact.
@@ -33,6 +33,8 @@ FOLDS = 5
 EXAMPLES = 20_000
 VOCABULARY = 4_000
 LEAST = 25.0
+#: Least share of toxic rows among the examples that hold a term.
+PURE = 0.5
 PREFIXES = (4, 5, 6)
 BLOCK = 64
 NEIGHBOURS = 15
@@ -242,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model | None]:
     share = F.lit(n_yes / n_all if n_all else 0.0)
     marks = counted.groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).withColumn("all", F.col("yes") + F.col("no"))
     marks = marks.withColumn("g", 2 * (part(F.col("yes"), F.col("all") * share) + part(F.col("no"), F.col("all") * (1 - share))))
-    picked = marks.where((F.col("g") >= LEAST) & (F.col("yes") > F.col("all") * share)).orderBy(F.desc("g"), "term").limit(VOCABULARY)
+    picked = marks.where((F.col("g") >= LEAST) & (F.col("yes") >= F.col("all") * F.lit(PURE))).orderBy(F.desc("g"), "term").limit(VOCABULARY)
     vocabulary = np.sort(np.array([r.term for r in picked.select("term").collect()], np.int64).view(np.uint64))
 
     vectors, _ = materialise(texts.mapInArrow(_vectors(vocabulary), "doc_id long, terms array<int>, counts array<int>"))
