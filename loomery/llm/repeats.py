@@ -260,9 +260,11 @@ def covered_ranges(docs: DataFrame, units: Units, repeated: Callable[[Block, Uni
     spark = docs.sparkSession
     texts = keyed(docs)
     anchors, scratch = materialise(texts.mapInArrow(_anchor_rows(units), ANCHORS))
-    again = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    # as a table of its own, so that the join below has plain shuffles on both sides and a hot anchor is split
+    again, again_path = materialise(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
     occurrences, _ = materialise(anchors.join(again, "h", "left_semi"))
     discard(spark, scratch)
+    discard(spark, again_path)
 
     classes = occurrences.groupBy("h", "fp").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("dk", "th", "lo", "n", "lead")).alias("f"))
     kinds = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
