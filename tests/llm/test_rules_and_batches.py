@@ -41,7 +41,9 @@ def brute_quality(text):
     def cover(k):
         return len({j for i in again(k) for j in range(i, i + k)})
 
-    longest = max((k for k in range(quality.MIN_REPEAT, n) if again(k)), default=0)
+    longest = 0
+    while again(k := max(longest + 1, quality.MIN_REPEAT)):  # a repeat of k words holds one of k - 1
+        longest = k
     failed = n < 20 or 100 * cover(8) > 30 * n
     covered = cover(quality.MIN_REPEAT)
     kept = not failed and covered <= quality.MAX_COVERED * n and longest <= quality.MAX_LONGEST * n
