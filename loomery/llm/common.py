@@ -15,6 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: A word of the contracts: a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a batch that with_struct sends back.
+BATCH_ROWS = 500
 _own: dict[str, str] = {}
 
 
@@ -85,9 +87,11 @@ def with_struct(df: DataFrame, name: str, fields: T.StructType, fn: Callable[[pa
     arrow = to_arrow_type(fields)
 
     def run(batches):
-        for batch in batches:
-            text = batch.column(batch.schema.get_field_index(column))
-            made = [pa.array(x, f.type) for x, f in zip(fn(text), arrow, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(made, fields=list(arrow))], names=[*batch.schema.names, name])
+        for whole in batches:
+            for i in range(0, len(whole), BATCH_ROWS):  # small batches, as whole texts go back to Spark
+                batch = whole.slice(i, BATCH_ROWS)
+                text = batch.column(batch.schema.get_field_index(column))
+                made = [pa.array(x, f.type) for x, f in zip(fn(text), arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(made, fields=list(arrow))], names=[*batch.schema.names, name])
 
     return df.mapInArrow(run, schema)
