@@ -1,28 +1,36 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity by the nearest labelled examples under exact TF-IDF cosine over whole texts.
 
 Terms are words (letters and digits, ASCII lower case) and word beginnings of PREFIXES characters.
-The vocabulary is the terms that most mark toxic rows among at most EXAMPLES labelled rows, chosen by
-hash of the id (log-likelihood ratio of at least LEAST, held by toxic rows more often than not, VOCABULARY terms at most). Document
-frequencies are counted over all documents. The examples' vectors go into an inverted index whose
-postings are cut into blocks of BLOCK examples with the largest weight of each; a query scores blocks
-in order of their bounds and stops when no bound can reach its k-th best, so the k nearest are exact.
+Every term of the labelled examples counts (at most EXAMPLES rows, chosen by hash of the id), and
+document frequencies are counted over all documents. A term that toxic examples hold more often than
+chance weighs 1 + sqrt(g) times its TF-IDF, g being its log-likelihood ratio; no term is left out. An
+example is normalised over its whole text. A query's length divides all its cosines alike, so neither
+neighbours nor votes depend on it, and terms that no example holds need no frequency.
+
+Terms held by more than COMMON of the examples are scored as a matrix product in single precision, the
+others through an inverted index. All examples within the rounding bound of the k-th best are scored
+again in double precision, so the k nearest are exact.
 
 Neighbours vote by squared cosine, and the vote is calibrated: examples vote on each other, and a
 non-decreasing fit (pool adjacent violators) of their labels on their votes gives the score. Texts
-without any term get the examples' rate among such texts. Evidence is the neighbours' ids.
+that share no term with an example get the examples' rate among texts without terms. Evidence is the
+neighbours' ids.
 
 Null and empty texts have no term. Label rows without id or label are ignored, several of an id count
-as the largest label; only rows whose crc32(id) mod FOLDS is not 0 are examples. Repeated documents
+as the largest label and, of several texts, the smallest; only rows whose crc32(id) mod FOLDS is not 0 are examples. Repeated documents
 are scored each. Without examples every score is 0.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +39,10 @@ from .textkit import _BASE, _BYTE, _INVERSE, _LOWER, _power_table, buffers, mix6
 
 FOLDS = 5
 EXAMPLES = 20_000
-VOCABULARY = 4_000
-LEAST = 25.0
-#: Least share of toxic rows among the examples that hold a term.
-PURE = 0.5
 PREFIXES = (4, 5, 6)
-BLOCK = 64
+#: Share of the examples above which a term is scored by matrix product, and texts scored at once.
+COMMON = 0.05
+CHUNK = 256
 NEIGHBOURS = 15
 
 _TERM = np.zeros(256, bool)
@@ -91,91 +97,150 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(named.view(np.int64)), pa.array(yes), pa.array(every - yes)], names=["term", "yes", "no"])
 
 
-def _vectors(vocabulary: np.ndarray):
-    """Term numbers and counts of each text; `vocabulary` is sorted."""
+def known_terms(vocabulary: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term number, count) in order; `vocabulary` is sorted."""
+    hashes, docs = terms(data, offsets)
+    if not len(vocabulary):
+        return (np.zeros(0, np.int64),) * 3
+    place = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+    known = vocabulary[place] == hashes
+    key, count = np.unique(docs[known] * len(vocabulary) + place[known], return_counts=True)
+    return key // len(vocabulary), key % len(vocabulary), count
+
+
+def _frequencies(vocabulary: Broadcast):
+    """In how many texts of the partition each term of the vocabulary is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(vocabulary.value), np.int64)
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            for i, j in slices(np.diff(offsets)):
+                _, term, _ = known_terms(vocabulary.value, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                total += np.bincount(term, minlength=len(total))
+        term = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(total[term])], names=["term", "n"])
+
+    return run
+
+
+def _vectors(vocabulary: Broadcast):
+    """Term numbers and counts of each example."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             for i, j in slices(np.diff(offsets)):
-                hashes, docs = terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                if len(vocabulary):
-                    place = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-                    known = vocabulary[place] == hashes
-                    key, count = np.unique(docs[known] * len(vocabulary) + place[known], return_counts=True)
-                    doc, term = key // len(vocabulary), key % len(vocabulary)
-                else:
-                    doc = term = count = np.zeros(0, np.int64)
+                doc, term, count = known_terms(vocabulary.value, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 cuts = pa.array(np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.ListArray.from_arrays(cuts, pa.array(term.astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(count.astype(np.int32)))], names=["doc_id", "terms", "counts"]
-                )
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (term, count)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("doc_id", "toxic")), *lists], names=["doc_id", "toxic", "terms", "counts"])
 
     return run
 
 
 @dataclass
-class BlockMaxIndex:
-    """Postings by term, examples cut into blocks, with each block's largest weight of the term."""
+class ExampleIndex:
+    """Terms and counts of the examples end to end; what searches need besides is made where they run."""
 
     ids: np.ndarray
     labels: np.ndarray
-    idf: np.ndarray
-    begin: np.ndarray  # postings of term t: begin[t] .. begin[t+1]
-    example: np.ndarray
-    weight: np.ndarray
-    block_begin: np.ndarray  # blocks of term t: block_begin[t] .. block_begin[t+1]
-    block: np.ndarray
-    block_max: np.ndarray
-    block_at: np.ndarray  # first posting of the block, and an end
+    idf: np.ndarray  # weight of a term
+    begin: np.ndarray  # terms of example e: begin[e] .. begin[e+1]
+    term: np.ndarray
+    count: np.ndarray
 
     @staticmethod
-    def build(ids, labels, idf, rows: list[tuple[np.ndarray, np.ndarray]]) -> BlockMaxIndex:
-        """Examples of like vectors are put side by side, so that bounds are tight."""
-        order = sorted(range(len(rows)), key=lambda r: (rows[r][0].tolist(), r))
-        unit = [weigh(idf, *rows[r]) for r in order]
-        term = np.concatenate([rows[r][0] for r in order] or [np.zeros(0, np.int64)]).astype(np.int64)
-        example = np.repeat(np.arange(len(order)), [len(u) for u in unit])
-        weight = np.concatenate([*unit, np.zeros(0)])
-        by = np.lexsort((example, term))
-        term, example, weight = term[by], example[by], weight[by]
-        key = term * (len(order) // BLOCK + 1) + example // BLOCK
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        every = np.arange(len(idf) + 1)
-        return BlockMaxIndex(
-            np.asarray(ids)[order], np.asarray(labels)[order], idf, np.searchsorted(term, every), example, weight,
-            np.searchsorted(term[first], every), example[first] // BLOCK, np.maximum.reduceat(weight, first) if len(first) else weight, np.append(first, len(term)),
-        )
+    def build(ids, labels, idf, rows: list[tuple[np.ndarray, np.ndarray]]) -> ExampleIndex:
+        term, count = (np.concatenate([*(r[x] for r in rows), np.zeros(0, np.int32)]).astype(np.int32) for x in (0, 1))
+        return ExampleIndex(np.asarray(ids), np.asarray(labels), idf, np.cumsum([0, *(len(t) for t, _ in rows)]), term, count)
+
+    def __getstate__(self):
+        """Gaps and counts by byte planes, compressed: every executor keeps a copy on disk."""
+        planes = [zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T), 1) for x in (np.diff(self.term, prepend=np.int32(0)), self.count)]
+        return self.ids, self.labels, self.idf, self.begin, planes
+
+    def __setstate__(self, state):
+        self.ids, self.labels, self.idf, self.begin, planes = state
+        gap, self.count = (np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T).view(np.int32).ravel() for x in planes)
+        self.term = np.cumsum(gap, dtype=np.int32)
+
+    @cached_property
+    def weight(self) -> np.ndarray:
+        """Unit vectors, in single precision."""
+        w = self.idf[self.term] * (1 + np.log(self.count))
+        example = np.repeat(np.arange(len(self.ids)), np.diff(self.begin))
+        return (w / np.sqrt(np.bincount(example, w**2, len(self.ids)))[example]).astype(np.float32)
+
+    @cached_property
+    def place(self) -> dict[int, int]:
+        return {d: i for i, d in enumerate(self.ids.tolist())}
+
+    @cached_property
+    def common(self) -> tuple[np.ndarray, np.ndarray]:
+        """(column of each term or -1, weights by column and example)."""
+        often = np.bincount(self.term, minlength=len(self.idf)) > COMMON * len(self.ids)
+        column = np.where(often, np.cumsum(often) - 1, -1)
+        out = np.zeros((int(often.sum()), len(self.ids)), np.float32)
+        for e in range(len(self.ids)):
+            here = slice(self.begin[e], self.begin[e + 1])
+            at = column[self.term[here]]
+            out[at[at >= 0], e] = self.weight[here][at >= 0]
+        return column, out
+
+    @cached_property
+    def rare(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first posting of each term and an end, examples, weights) of the other terms."""
+        keep = np.flatnonzero(self.common[0][self.term] < 0)
+        keep = keep[np.argsort(self.term[keep], kind="stable")]
+        example = np.searchsorted(self.begin, keep, "right") - 1
+        return np.searchsorted(self.term[keep], np.arange(len(self.idf) + 1)), example, self.weight[keep]
+
+    def search(self, cuts: np.ndarray, terms_: np.ndarray, counts: np.ndarray, k: int, without: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(examples, cosines) of the k nearest with a cosine above 0 of texts cuts[i] .. cuts[i+1], ties to the smaller number; `without` is an example to leave out of each, or -1."""
+        column, matrix = self.common
+        begin, example, weight = self.rare
+        slack = 2 * (len(matrix) + 4) * 2.0**-24  # of sums of unit vectors' products in single precision
+        dense = np.zeros(len(self.idf))
+        for low in range(0, len(cuts) - 1, CHUNK):
+            texts = range(low, min(low + CHUNK, len(cuts) - 1))
+            table, queries = np.zeros((len(texts), len(matrix)), np.float32), []
+            for i in texts:
+                t = terms_[cuts[i] : cuts[i + 1]]
+                q = weigh(self.idf, t, counts[cuts[i] : cuts[i + 1]])
+                at = column[t]
+                table[i - low, at[at >= 0]] = q[at >= 0]
+                queries.append((t, q, at < 0))
+            scores = table @ matrix
+            for i, (t, q, other), score in zip(texts, queries, scores, strict=True):
+                at, source = _ranges(begin[t[other]], begin[t[other] + 1])
+                score = score + np.bincount(example[at], q[other][source] * weight[at], len(score))
+                if without[i] >= 0:
+                    score[without[i]] = 0
+                least = np.partition(score, len(score) - k)[len(score) - k] - 2 * slack if len(score) > k else 0.0
+                near = np.flatnonzero((score >= least) & (score > 0))
+                if not len(near):
+                    yield near, np.zeros(0)
+                    continue
+                at, source = _ranges(self.begin[near], self.begin[near + 1])
+                dense[t] = q
+                exact = np.bincount(source, dense[self.term[at]] * self.weight[at], len(near))
+                dense[t] = 0
+                order = np.lexsort((near, -exact))[:k]
+                yield near[order], exact[order]
 
     def nearest(self, terms_: np.ndarray, counts: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine above 0, ties to the smaller number."""
-        query = weigh(self.idf, terms_, counts)
-        posted, source = _ranges(self.block_begin[terms_], self.block_begin[terms_ + 1])
-        by = np.argsort(self.block[posted], kind="stable")
-        posted, source = posted[by], source[by]
-        first = np.flatnonzero(np.concatenate(([True], np.diff(self.block[posted]) != 0)))
-        bounds = np.add.reduceat(query[source] * self.block_max[posted], first)
-        last = np.append(first[1:], len(posted))
-        best, score = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            if len(best) == k and bounds[b] < score[-1] - 1e-12:
-                break
-            here = slice(first[b], last[b])
-            at, term = _ranges(self.block_at[posted[here]], self.block_at[posted[here] + 1])
-            base = self.block[posted[first[b]]] * BLOCK
-            total = np.bincount(self.example[at] - base, query[source[here]][term] * self.weight[at], BLOCK)
-            found = np.flatnonzero(total > (score[-1] - 1e-12 if len(best) == k else 0))
-            found = found[found + base != without]
-            if len(found):
-                best, score = np.concatenate((best, found + base)), np.concatenate((score, total[found]))
-                order = np.lexsort((best, -score))[:k]
-                best, score = best[order], score[order]
-        return best, score
-
-    def vote(self, terms_, counts, k: int, without: int = -1) -> tuple[float, np.ndarray]:
-        best, score = self.nearest(terms_, counts, k, without)
-        power = score**2
-        return (float((power * self.labels[best]).sum() / power.sum()) if len(best) else -1.0), best
+        return next(self.search(np.array([0, len(terms_)]), terms_, counts, k, np.array([without])))
+
+    def votes(self, cuts, terms_, counts, k: int, without: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
+        """(vote, ids of the nearest), -1 where there are none."""
+        for best, score in self.search(cuts, terms_, counts, k, without):
+            power = score**2
+            yield (float((power * self.labels[best]).sum() / power.sum()) if len(best) else -1.0), self.ids[best]
+
+
+#: The name it had when blocks of examples were pruned by their largest weights.
+BlockMaxIndex = ExampleIndex
 
 
 def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,6 +255,17 @@ def weigh(idf: np.ndarray, terms_: np.ndarray, counts: np.ndarray) -> np.ndarray
     return w / np.sqrt((w**2).sum())
 
 
+def strength(yes: np.ndarray, no: np.ndarray, n_yes: float, n_all: float) -> np.ndarray:
+    """1, plus the root of the log-likelihood ratio of terms that toxic examples hold more often than chance."""
+    expected = (yes + no) * (n_yes / n_all if n_all else 0.0)
+
+    def part(observed: np.ndarray, chance: np.ndarray) -> np.ndarray:
+        return np.where(observed > 0, observed * np.log(np.maximum(observed, 1) / np.maximum(chance, 1e-300)), 0.0)
+
+    g = 2 * (part(yes, expected) + part(no, yes + no - expected))
+    return 1 + np.where(yes > expected, np.sqrt(np.maximum(g, 0)), 0.0)
+
+
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(levels, values) of the non-decreasing least-squares fit of y on x, each group smoothed by one row of the mean."""
     order = np.argsort(x, kind="stable")
@@ -209,76 +285,92 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    index: BlockMaxIndex
+    vocabulary: Broadcast
+    index: Broadcast
     levels: np.ndarray
     values: np.ndarray
-    bare: float  # score of a text without any term
-
-    def score(self, terms_: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
-        if not len(terms_):
-            return self.bare, []
-        vote, best = self.index.vote(terms_, counts, NEIGHBOURS)
-        if not len(best):
-            return self.bare, []
-        return float(self.values[min(np.searchsorted(self.levels, vote), len(self.values) - 1)]), self.index.ids[best].tolist()
+    bare: float  # score of a text that shares no term with an example
 
 
 def _fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
+def _votes(vocabulary: Broadcast, index: Broadcast, own: bool):
+    """doc_id, vote and evidence of each text; `own` leaves an example out of its own neighbours."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = index.value
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            for i, j in slices(np.diff(offsets)):
+                doc, term, count = known_terms(vocabulary.value, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                ids = batch.column("doc_id").slice(i, j - i)
+                without = np.array([found.place.get(d, -1) if own else -1 for d in ids.to_pylist()])
+                cast = list(found.votes(np.searchsorted(doc, np.arange(j - i + 1)), term, count, NEIGHBOURS, without))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([v for v, _ in cast], pa.float64()), pa.array([e.tolist() for _, e in cast], pa.list_(pa.int64()))], names=["doc_id", "vote", "evidence"])
+
+    return run
+
+
+VOTES = "doc_id long, vote double, evidence array<long>"
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model | None]:
-    """(vectors of all documents, model)."""
+    """(doc_id and text of all documents, model)."""
     known = labels.where("doc_id is not null and toxic is not null").where(_fold(F.col("doc_id")) != 0)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen, _ = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    sample = texts.join(F.broadcast(chosen), "doc_id")  # EXAMPLES rows of two numbers at most
-    counted = sample.select("toxic", "text").mapInArrow(_count_terms, "term long, yes long, no long")
-    totals = chosen.agg(F.sum("toxic"), F.count(F.lit(1))).first()
+    # chosen: EXAMPLES rows of two numbers at most
+    sample, _ = materialise(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
+    totals = sample.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     n_yes, n_all = float(totals[0] or 0), float(totals[1])
-
-    def part(observed: Column, expected: Column) -> Column:
-        return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
-
-    share = F.lit(n_yes / n_all if n_all else 0.0)
-    marks = counted.groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).withColumn("all", F.col("yes") + F.col("no"))
-    marks = marks.withColumn("g", 2 * (part(F.col("yes"), F.col("all") * share) + part(F.col("no"), F.col("all") * (1 - share))))
-    picked = marks.where((F.col("g") >= LEAST) & (F.col("yes") >= F.col("all") * F.lit(PURE))).orderBy(F.desc("g"), "term").limit(VOCABULARY)
-    vocabulary = np.sort(np.array([r.term for r in picked.select("term").collect()], np.int64).view(np.uint64))
-
-    vectors, _ = materialise(texts.mapInArrow(_vectors(vocabulary), "doc_id long, terms array<int>, counts array<int>"))
-    frequency = np.zeros(len(vocabulary))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
-        frequency[r.t] = r["count"]
-    idf = np.log((vectors.count() + 1) / (frequency + 1)) + 1
-    rows = vectors.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "terms", "counts").dropDuplicates(["doc_id"]).collect()
-    if not rows:
-        return vectors, None
-    with_terms = sorted((r for r in rows if r.terms), key=lambda r: r.doc_id)
-    bare = [r.toxic for r in rows if not r.terms]
-    rate = sum(r.toxic for r in rows) / len(rows)
-    index = BlockMaxIndex.build(np.array([r.doc_id for r in with_terms], np.int64), np.array([r.toxic for r in with_terms], np.float64), idf, [(np.array(r.terms), np.array(r.counts)) for r in with_terms])
-    place = {d: i for i, d in enumerate(index.ids.tolist())}
-    votes = np.array([index.vote(np.array(r.terms), np.array(r.counts), NEIGHBOURS, place[r.doc_id])[0] for r in with_terms])
-    truth = np.array([r.toxic for r in with_terms], np.float64)
-    levels, values = isotonic(votes[votes >= 0], truth[votes >= 0]) if (votes >= 0).any() else (np.zeros(1), np.array([rate]))
-    return vectors, Model(index, levels, values, (sum(bare) + rate) / (len(bare) + 1))
-
-
-def _scores(model: Model | None):
+    if not n_all:
+        return texts, None
+    counted = sample.select("toxic", "text").mapInArrow(_count_terms, "term long, yes long, no long")
+    marks = counted.groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).toArrow()
+    hashes, yes, no = (marks.column(c).to_numpy() for c in ("term", "yes", "no"))
+    order = np.argsort(hashes.view(np.uint64))
+    context = docs.sparkSession.sparkContext
+    vocabulary = context.broadcast(hashes.view(np.uint64)[order])
+
+    counted = texts.select("text").mapInArrow(_frequencies(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(len(order))
+    frequency[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+    idf = (np.log((texts.count() + 1) / (frequency + 1)) + 1) * strength(yes[order], no[order], n_yes, n_all)
+
+    rows = sample.mapInArrow(_vectors(vocabulary), "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow()
+    ids, toxic = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy().astype(np.float64)
+    vectors = [tuple(b.column(c)[r].values.to_numpy() for c in ("terms", "counts")) for b in rows.to_batches() for r in range(b.num_rows)]
+    order = np.argsort(ids)
+    ids, toxic, vectors = ids[order], toxic[order], [vectors[r] for r in order]
+    del rows, marks, counted
+    some = np.array([len(t) > 0 for t, _ in vectors])
+    index = context.broadcast(ExampleIndex.build(ids[some], toxic[some], idf, [v for v, s in zip(vectors, some, strict=True) if s]))
+    del vectors
+    cast = sample.select("doc_id", "text").mapInArrow(_votes(vocabulary, index, True), VOTES).select("doc_id", "vote").toArrow().sort_by("doc_id")
+    votes = cast.column("vote").to_numpy()
+    rate = n_yes / n_all
+    levels, values = isotonic(votes[votes >= 0], toxic[votes >= 0]) if (votes >= 0).any() else (np.zeros(1), np.array([rate]))
+    return texts, Model(vocabulary, index, levels, values, float((toxic[~some].sum() + rate) / ((~some).sum() + 1)))
+
+
+def _scores(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scored = []
-            for t, c in zip(*(batch.column(x).to_pylist() for x in ("terms", "counts")), strict=True):
-                scored.append(model.score(np.array(t, np.int64), np.array(c, np.int64)) if model else (0.0, []))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in scored], pa.float64()), pa.array([e for _, e in scored], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
+        for batch in _votes(model.vocabulary, model.index, False)(batches):
+            votes = batch.column("vote").to_numpy()
+            score = np.where(votes < 0, model.bare, model.values[np.minimum(np.searchsorted(model.levels, votes), len(model.values) - 1)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), batch.column("evidence")], names=["doc_id", "score", "evidence"])
 
     return run
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (ids of the nearest examples) of every document."""
-    vectors, model = fit(docs, labels)
-    scored = vectors.mapInArrow(_scores(model), "doc_id long, score double, evidence array<long>")
+    texts, model = fit(docs, labels)
+    if model:
+        scored = texts.mapInArrow(_scores(model), "doc_id long, score double, evidence array<long>")
+    else:
+        scored = texts.select("doc_id", F.lit(0.0).alias("score"), F.array().cast("array<long>").alias("evidence"))
     return scored.select("doc_id", F.coalesce(_fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")

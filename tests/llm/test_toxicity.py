@@ -81,3 +81,26 @@ def test_odd_tables(spark):
     got = tx.toxicity(docs, labels).collect()
     assert len(got) == 3 and all(r.score == 0.0 and r.predicted == 0 for r in got)
     assert tx.toxicity(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_neighbours_are_over_whole_texts(spark):
+    """Few examples, marks shared with clean texts: evidence is the brute-force nearest under every term."""
+    rng = np.random.default_rng(3)
+    words = [f"word{i:02d}" for i in range(40)]
+    texts = {i: " ".join(rng.choice(words[: 40 - 15 * (i % 2)], rng.integers(5, 30))) for i in range(60)}
+    toxic = {i: i % 2 for i in texts}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in tx.toxicity(docs, spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")).collect()}
+    examples = [i for i in texts if crc32(str(i).encode()) % tx.FOLDS]
+    every = {i: brute_terms(t) for i, t in texts.items()}
+    names = sorted({t for i in examples for t in every[i]})
+    n_yes = sum(toxic[i] for i in examples)
+    yes, no = (np.array([sum(toxic[i] == y and t in every[i] for i in examples) for t in names]) for y in (1, 0))
+    frequency = np.array([sum(t in e for e in every.values()) for t in names])
+    weight = (np.log(61 / (frequency + 1)) + 1) * tx.strength(yes, no, n_yes, len(examples))
+    counts = {i: np.array([e.count(t) for t in names]) for i, e in every.items()}
+    vector = {i: weight * np.where(c > 0, 1 + np.log(np.maximum(c, 1)), 0) for i, c in counts.items()}
+    for i in texts:
+        cosine = {e: vector[i] @ vector[e] / np.linalg.norm(vector[i]) / np.linalg.norm(vector[e]) for e in examples}
+        assert len(got[i].evidence) == tx.NEIGHBOURS
+        assert np.allclose([cosine[e] for e in got[i].evidence], sorted(cosine.values(), reverse=True)[: tx.NEIGHBOURS])
