@@ -121,25 +121,33 @@ def disambiguate(rows: DataFrame, key: list[str], best: list[Column]) -> DataFra
 def diverse_picks(rows: DataFrame, group: list[str], rank: str, person: str, place: str, k: int = 3, head: int = 12) -> DataFrame:
     """k rows of each group: first greedily by rank with new person and place, then with new person.
 
-    Only the first `head` rows of each group reach the greedy step; what it picks depends on the picks
-    before, so it is no window.
+    Only the first `head` rows of each group are looked at for new places; people are looked for in the
+    whole group. A person's best row is all that the second pass can take, and at most k people are taken
+    before it, so the best rows of 2 k people suffice. What is picked depends on the picks before, so it
+    is no window.
     """
-    first = rows.withColumn("__turn", F.row_number().over(Window.partitionBy(*group).orderBy(rank))).where(F.col("__turn") <= head)
+    turn = F.row_number().over(Window.partitionBy(*group).orderBy(rank))
+    kept = list({*group, rank, person, place})
+    first = rows.select(*kept).withColumn("__turn", turn).where(F.col("__turn") <= head).withColumn("__pass", F.lit(1))
+    keys = list({*group, person})
+    others = [c for c in kept if c not in keys]
+    best = rows.groupBy(*keys).agg(F.min(F.struct(rank, *[c for c in others if c != rank])).alias("__b")).select(*keys, *[F.col(f"__b.{c}").alias(c) for c in others])
+    best = best.withColumn("__turn", turn).where(F.col("__turn") <= 2 * k).withColumn("__pass", F.lit(2))
     schema = T.StructType([*[rows.schema[g] for g in group], rows.schema[rank], T.StructField("pick", T.LongType())])
 
     def pick(block: pd.DataFrame) -> pd.DataFrame:
         people, places, taken = set(), set(), []
-        for with_place in (True, False):
-            for row in block.sort_values("__turn").itertuples():
+        for turn in (1, 2):
+            for row in block[block["__pass"] == turn].sort_values("__turn").itertuples():
                 who, where = getattr(row, person), getattr(row, place)
-                if len(taken) < k and row.Index not in taken and who not in people and not (with_place and where in places):
+                if len(taken) < k and who not in people and not (turn == 1 and where in places):
                     taken.append(row.Index)
                     people.add(who)
                     places.add(where)
         out = block.loc[taken, [*group, rank]]
         return out.assign(pick=range(1, len(out) + 1))
 
-    return first.select(*{*group, rank, person, place, "__turn"}).groupBy(*group).applyInPandas(pick, schema)
+    return first.unionByName(best).groupBy(*group).applyInPandas(pick, schema)
 
 
 def page(rows: DataFrame, keys: list[Column], size: int, number: int) -> DataFrame:

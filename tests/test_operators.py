@@ -91,6 +91,13 @@ def test_diverse_picks_are_greedy(spark):
     assert got == [1, 4, 3]
 
 
+def test_diverse_picks_look_for_people_in_the_whole_group(spark):
+    rows = [(i, "p1", f"x{i}") for i in range(1, 14)] + [(14, "p2", "x1"), (15, "p2", "y"), (16, "p3", "x1"), (17, "p4", "z")]
+    frame = spark.createDataFrame([("g", *r) for r in rows], "g string, rank int, person string, place string")
+    got = [r["rank"] for r in search.diverse_picks(frame, ["g"], "rank", "person", "place").orderBy("pick").collect()]
+    assert got == [1, 14, 16]
+
+
 def test_funnel_and_relaxations(spark):
     c = spark.range(100)
     stages = {"even": F.col("id") % 2 == 0, "small": F.col("id") < 10, "odd": F.col("id") % 2 == 1, "unknown": F.lit(None).cast("boolean")}
