@@ -31,6 +31,20 @@ def blocked_distance(left: DataFrame, right: DataFrame, a: str, b: str, most: in
     return pairs.withColumn("distance", distance).where((F.col("distance") >= 0) & (F.col("distance") <= most))
 
 
+def one_edit_pairs(words: DataFrame, word: str, block: int = 1, exact_swaps: bool = False) -> DataFrame:
+    """(a, b, distance): pairs a < b of words with equal first `block` characters that are one edit apart.
+
+    The words of such a pair, or what is left of them without some one character, are equal, so the join
+    is on these remains.
+    """
+    less = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(F.col(word), F.lit(1), i - 1), F.substring(F.col(word), i + 1, F.length(word))))
+    every = words.select(word).where(F.length(word) > 0).distinct()
+    keyed = every.select(F.col(word).alias("a"), F.substring(word, 1, block).alias("__h"), F.explode(F.array_distinct(F.concat(F.array(word), less))).alias("__k"))
+    pairs = keyed.join(keyed.withColumnRenamed("a", "b"), ["__h", "__k"]).where("a < b").select("a", "b").distinct()
+    distance = osa_distance(F.col("a"), F.col("b")) if exact_swaps else F.levenshtein(F.col("a"), F.col("b"))
+    return pairs.withColumn("distance", distance).where("distance <= 1")
+
+
 def similar_by_trigrams(names: DataFrame, key: str, text: str, least: float) -> DataFrame:
     """(a, b, similarity) of names whose trigram sets overlap by `least` or more; pairs come from shared trigrams."""
     sets = names.select(key, trigrams(F.col(text)).alias("__t"))

@@ -7,6 +7,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from loomery import plans
 from loomery.functions import hours as hr
 from loomery.functions import text as tx
 from loomery.operators import basket, etl, graph, joins, ledger, linking, privacy, schedule, search, telemetry
@@ -49,6 +50,17 @@ def test_text_functions(spark, make, text, want):
     assert got == want or make is tx.canonical and got.startswith(want)
 
 
+@pytest.mark.parametrize("name, swaps", [("osa_join", True), ("levenshtein_words", False)])
+def test_one_edit_joins_take_all_words(spark, tmp_path, name, swaps):
+    rng = random.Random(5)
+    words = {"".join(rng.choice("abé,") for _ in range(rng.randint(1, 5))) for _ in range(150)} | {"a", "ab", "abcdefghijkl", "abcdefghijlk", "acbdefghijkl"}
+    near = lambda a, b: a < b and a[0] == b[0] and tx.osa(a, b) <= 1
+    spark.createDataFrame([(1, " ".join(words))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.a, r.b) for r in plans.QUERIES[name](spark, str(tmp_path)).collect()}
+    swapped = lambda a, b: len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) > 1
+    assert got == {(a, b) for a in words for b in words if near(a, b) and (swaps or not swapped(a, b))}
+
+
 def test_metric_keys(spark):
     labels = F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1"))
     assert one(spark, tx.metric_key(F.lit("calls"), labels)) == "calls{a=1,b=2}"
