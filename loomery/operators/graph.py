@@ -121,27 +121,40 @@ def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
         seen, front = _kept(seen.union(new)), new
 
 
-def largest_strong_component(edges: DataFrame, tries: int = 64) -> DataFrame:
-    """(node) of the largest strongly connected component.
+def _coloured(edges: DataFrame) -> DataFrame:
+    """(node, colour): the largest node that reaches it, by rounds over what changed."""
+    colours = _kept(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
+    front = colours
+    while True:
+        new = front.join(edges, front.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("new"))
+        merged = _kept(colours.join(new, "node", "left").select("node", F.greatest("colour", "new").alias("colour"), F.coalesce(F.col("new") > F.col("colour"), F.lit(False)).alias("moved")))
+        colours, front = merged.select("node", "colour"), merged.where("moved").select("node", "colour")
+        if front.isEmpty():
+            return colours
+
 
-    The component of a node is what it reaches and is reached by. Nodes of one component are taken out
-    together, pivots by degree first, until no remaining set can be larger than the best one.
+def largest_strong_component(edges: DataFrame) -> DataFrame:
+    """(node) of the largest strongly connected component, of equal ones that of the largest node.
+
+    Every node takes the colour of the largest node that reaches it. What reaches that node within its
+    colour is its component, so each round finds one component of every colour; no component spans two
+    colours. Rounds go on until no colour's remaining nodes can be more than the best component.
     """
-    left = _kept(edges.select("src", "dst"))
-    best, size = None, 0
-    for _ in range(tries):
-        degree = left.groupBy(F.col("src").alias("node")).count().orderBy(F.desc("count"), "node").limit(1)
-        if degree.isEmpty():
-            break
-        pivot = _kept(degree.select("node"))
-        back = left.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        mine = _kept(reachable(left, pivot).join(reachable(back, pivot), "node", "left_semi"))
-        n = mine.count()
-        if n > size:
-            best, size = mine, n
-        left = _kept(left.join(mine, left.src == mine.node, "left_anti").join(mine, F.col("dst") == mine.node, "left_anti"))
-        if left.select("src").union(left.select("dst")).distinct().count() <= size:
-            break
+    left = _kept(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    best, size, root = None, 0, None
+    while not left.isEmpty():
+        colours = _coloured(left)
+        inside = left.join(colours.withColumnRenamed("node", "src"), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("other")), "dst").where("colour = other")
+        inside = _kept(inside.select("src", "dst"))
+        back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        found = _kept(reachable(back, colours.where("node = colour").select("node")).join(colours, "node"))
+        top = found.groupBy("colour").count().orderBy(F.desc("count"), F.desc("colour")).first()
+        if (top["count"], top["colour"]) > (size, root):
+            best, size, root = found.where(F.col("colour") == top["colour"]).select("node"), top["count"], top["colour"]
+        rest = colours.join(found, "node", "left_anti")
+        open_ = rest.groupBy("colour").count().where(F.col("count") >= size)
+        rest = _kept(rest.join(open_, "colour", "left_semi").select("node"))
+        left = _kept(inside.join(rest.withColumnRenamed("node", "src"), "src", "left_semi").join(rest.withColumnRenamed("node", "dst"), "dst", "left_semi"))
     return best if best is not None else edges.select(F.col("src").alias("node")).limit(0)
 
 

@@ -178,6 +178,13 @@ def test_largest_strong_component(spark):
     assert got == set(range(9))
 
 
+def test_largest_strong_component_behind_many_hubs(spark):
+    hubs = [(1000 + h, 2000 + 10 * h + i) for h in range(70) for i in range(4)]
+    edges = hubs + [(h, 0) for h, _ in hubs] + [(i, (i + 1) % 5) for i in range(5)] + [(0, 50), (50, 51), (51, 50)]
+    got = {r.node for r in graph.largest_strong_component(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == set(range(5))
+
+
 def test_snap_avoids_fast_roads(spark):
     points = spark.createDataFrame([(1, 50.0, 30.0)], "p int, lat double, lon double")
     segments = spark.createDataFrame([(1, 50.0005, 29.999, 50.0005, 30.001, 100), (2, 49.999, 29.999, 49.999, 30.001, 40)], "seg int, lat1 double, lon1 double, lat2 double, lon2 double, speed int")
