@@ -205,6 +205,16 @@ def csv_escape(t):
     return t.documents.select("doc_id", tx.csv_cell(F.substring("text", 1, 60)).alias("cell"))
 
 
+@query(r"""
+WITH s AS (SELECT doc_id, CASE WHEN regexp_matches(text, '^[=+\-@\t\r]') THEN '''' || text ELSE coalesce(text, '') END AS s FROM documents),
+c AS (SELECT doc_id, CASE WHEN regexp_matches(s, '[",;\r\n]') THEN '"' || replace(s, '"', '""') || '"' ELSE s END AS cell FROM s)
+SELECT doc_id, md5(cell) AS digest, length(cell) AS chars FROM c""")
+def csv_escape_whole(t):
+    """Cells of whole texts; csv_escape keeps to the prefix of its SQL."""
+    cell = tx.csv_cell(F.col("text"))
+    return t.documents.select("doc_id", F.md5(cell).alias("digest"), F.length(cell).cast("long").alias("chars"))
+
+
 @query("""
 WITH e AS (SELECT event_id, event_type, user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
 SELECT event_id, CASE WHEN k % 10 = 0 THEN 'unknown' WHEN k % 10 = 1 THEN 'static' WHEN k % 10 = 2 THEN 'unknown' ELSE 'GET /api/' || event_type || '/:id' END AS endpoint FROM e""")

@@ -3,6 +3,7 @@
 import heapq
 import random
 from datetime import date
+from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +62,14 @@ def test_one_edit_joins_take_all_words(spark, tmp_path, name, swaps):
     assert got == {(a, b) for a in words for b in words if near(a, b) and (swaps or not swapped(a, b))}
 
 
+def test_cells_of_whole_texts_are_quoted(spark, tmp_path):
+    text = "x" * 80 + ' "a", b'
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = plans.QUERIES["csv_escape_whole"](spark, str(tmp_path)).first()
+    cell = '"' + text.replace('"', '""') + '"'
+    assert (got.digest, got.chars) == (md5(cell.encode()).hexdigest(), len(cell))
+
+
 def test_metric_keys(spark):
     labels = F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1"))
     assert one(spark, tx.metric_key(F.lit("calls"), labels)) == "calls{a=1,b=2}"
