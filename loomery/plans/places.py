@@ -70,6 +70,15 @@ def panel_overlap(t):
     return bk.contained(t.part.where("p_partkey % 9 = 0").select(F.col("p_brand").alias("name"), F.floor(F.col("p_size") / 10).cast("int").alias("member")), "name", "member")
 
 
+@query("""
+WITH r AS (SELECT DISTINCT p_brand || ' ' || p_size AS name, p_type AS member FROM part), n AS (SELECT name, count(*) AS n FROM r GROUP BY name),
+p AS (SELECT a.name, b.name AS inside, count(*) AS n FROM r a JOIN r b ON a.member = b.member AND a.name <> b.name GROUP BY 1, 2)
+SELECT p.name, p.inside, p.n FROM p JOIN n ON p.name = n.name AND p.n = n.n""")
+def panel_overlap_whole(t):
+    """Types of each brand and size over the whole part table; panel_overlap keeps to the keys of its SQL."""
+    return bk.contained(t.part.select(F.concat_ws(" ", "p_brand", "p_size").alias("name"), F.col("p_type").alias("member")), "name", "member")
+
+
 @query(f"SELECT kind, size, min(price) AS lowest, max(price) AS highest, count(DISTINCT s) AS branches FROM ({TESTS}) GROUP BY kind, size")
 def offer_statistics(t):
     return bk.offer_statistics(tests(t), ["kind", "size"], "s", "price")

@@ -149,6 +149,14 @@ def test_best_rule_ties_go_to_the_first(spark):
     assert got == {1: "first", 2: "all"}
 
 
+def test_every_part_counts(spark, tmp_path):
+    parts = [(100, "b", 1, "t"), (101, "c", 1, "t"), (102, "c", 1, "u"), (103, "d", 3, "v")]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_size long, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(100,), (100,), (103,), (104,)], "l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {n: sorted(map(tuple, plans.QUERIES[n](spark, str(tmp_path)).collect())) for n in ("panel_overlap_whole", "mapping_reconciliation_whole")}
+    assert got == {"panel_overlap_whole": [("b 1", "c 1", 1)], "mapping_reconciliation_whole": [(100, "mapped", 2), (103, "unmapped", 1), (104, "unmapped", 1)]}
+
+
 def test_quote(spark):
     offers = spark.createDataFrame([("a", "t1", 10), ("a", "t2", 5), ("b", "t1", 7)], "s string, t string, price int")
     wanted = spark.createDataFrame([("t1", "blood"), ("t2", "blood")], "t string, kind string")
