@@ -110,6 +110,15 @@ def leak_check(t):
     return pv.leaks(samples, ["doc_id"], "sent", "kind", "value").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("leaked").alias("leaked"))
 
 
+@query()
+def leak_check_all(t):
+    """Every masked kind and those that may never leave; leak_check keeps to the e-mails of its SQL."""
+    kinds = list(dict.fromkeys([*KINDS, *pv.HARD]))
+    sent = t.documents.select("doc_id", pv.masked(F.col("text"), KINDS).alias("sent"))
+    samples = pv.values(t.documents, ["doc_id"], "text", kinds).join(sent, "doc_id")
+    return pv.leaks(samples, ["doc_id"], "sent", "kind", "value").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("leaked").alias("leaked"))
+
+
 INSULTS = "idiot|moron|stupid|trash|scum|loser|clown|worthless|pathetic|disgusting"
 
 

@@ -232,6 +232,13 @@ def test_leaks_by_kind(spark):
     assert [r.leaked for r in got] == [r.want for r in got]
 
 
+def test_leaks_of_every_kind_are_reported(spark, tmp_path):
+    rows = [(1, "call +49 30 1234567 or 30 12 34 567"), (2, "at 50.12345, 30.12345"), (3, "a@b.org, 1234 5678 9012 3456, https://x.org/y, 1.2.3.4")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.kind: (r.n, r.leaked) for r in plans.QUERIES["leak_check_all"](spark, str(tmp_path)).collect()}
+    assert got == {"phone": (1, 1), "coordinates": (1, 1), "email": (1, 0), "card": (1, 0), "url": (1, 0), "ipv4": (1, 0)}
+
+
 def test_windows_cover_whole_texts(spark):
     texts = ["", "x" * 100, "y" * 3500, "z" * 3501, "w" * 10_000]
     rows = privacy.long_windows(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), ["i"], "t").collect()
