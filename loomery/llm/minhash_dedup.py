@@ -5,7 +5,8 @@ Two collections of SIDE short keys, each of ROWS minhashes, are combined to SIDE
 sets of similarity s meet in a table unless no key of one collection agrees: 2 * (1 - s**ROWS)**SIDE
 at most, which is 0.0006 at s = 0.8 and 2e-6 at s = 0.9 for the values here.
 
-Equal sets are one node. A table key that one node has alone is dropped before the tables are
+Equal sets are one node: they agree in size and in two independent 64-bit sums over their shingles; sets
+that agree in the first alone are told apart. A table key that one node has alone is dropped before the tables are
 formed. In each table key the smallest node is the pivot and is compared with the others; the links
 make components. Where a key still holds several, its nodes outside the key's largest component are
 put into blocks of BLOCK, and every node that shares a key with a block goes through it once: an
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, text_or_empty
 from .components import components
 from .repeats import NO_ID, keyed
 from .textkit import Words, buffers, gram_hashes, mix64, range_hashes, slices
@@ -65,16 +66,19 @@ def shingle_set(raw: np.ndarray, k: int) -> np.ndarray:
     return np.unique(shingles(Words(raw, np.array([0, len(raw)]), lower=True), k)[0])
 
 
-def signatures(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set size, fingerprint of the set, 2 * SIDE short keys) of each text."""
+def signatures(words: Words, k: int) -> tuple[np.ndarray, ...]:
+    """(set size, two fingerprints of the set, 2 * SIDE short keys) of each text."""
     hashes, docs = shingles(words, k)
     n = len(words.first) - 1
-    size, total = np.zeros(n, np.int64), np.zeros(n, np.uint64)
+    size, total, check = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     keys = np.zeros((n, 2 * SIDE), np.uint64)
     if len(hashes):
         _, once = np.unique(hashes ^ mix64(docs.astype(np.uint64)), return_index=True)
         size += np.bincount(docs[once], minlength=n)
-        np.add.at(total, docs[once], mix64(hashes[once]))
+        once = np.sort(once)
+        begin = np.flatnonzero(np.concatenate(([True], docs[once[1:]] != docs[once[:-1]])))
+        total[docs[once[begin]]] = np.add.reduceat(mix64(hashes[once]), begin)
+        check[docs[once[begin]]] = np.add.reduceat(mix64(hashes[once] ^ _SEEDS[0]), begin)
         first = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))
         for i in range(2 * SIDE * ROWS):
             x = (hashes ^ _SEEDS[i]) * _ODD[i]
@@ -82,7 +86,7 @@ def signatures(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
             least = np.minimum.reduceat(x * _ODD[i - 1], first)
             j = i // ROWS
             keys[docs[first], j] = mix64(keys[docs[first], j] + least)
-    return size, mix64(total + size.astype(np.uint64)), keys
+    return size, mix64(total + size.astype(np.uint64)), mix64(check - size.astype(np.uint64)), keys
 
 
 def _sign(k: int):
@@ -91,9 +95,9 @@ def _sign(k: int):
             data, offsets = buffers(batch.column("text"))
             for i, j in slices(np.diff(offsets)):
                 words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=True)
-                size, fp, keys = signatures(words, k)
+                size, fp, check, keys = signatures(words, k)
                 flat = pa.ListArray.from_arrays(np.arange(j - i + 1, dtype=np.int32) * 2 * SIDE, pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("dk").slice(i, j - i), batch.column("th").slice(i, j - i), pa.array(size), pa.array(fp.view(np.int64)), flat], names=["dk", "th", "n", "id", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("dk").slice(i, j - i), batch.column("th").slice(i, j - i), pa.array(size), pa.array(fp.view(np.int64)), pa.array(check.view(np.int64)), flat], names=["dk", "th", "n", "id", "check", "keys"])
 
     return run
 
@@ -212,23 +216,40 @@ def across(places: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     main = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", "main")
     mixed, _ = materialise(labelled.join(main, "key"))
     outside = mixed.where("label <> main")
-    # a node's home is the component that is largest where it is not, so that a group's blocks fill
-    crowd = outside.groupBy("main").agg(F.count(F.lit(1)).alias("c"))
-    home = outside.join(crowd, "main").groupBy("id", "label").agg(F.max(F.struct("c", "main")).alias("most")).select("id", "label", F.col("most.main").alias("home"))
-    turn = F.floor((F.row_number().over(Window.partitionBy("home").orderBy("id")) - 1) / F.lit(block))
-    homes = home.select("id", "label", F.xxhash64("home", turn).alias("block"))
+    # a node's home is the component that most of its keys lie in; a home's nodes are dealt to parts of a few blocks by their number
+    home = outside.groupBy("id", "label", "main").agg(F.count(F.lit(1)).alias("c")).groupBy("id", "label").agg(F.max(F.struct("c", "main")).alias("most"))
+    home, _ = materialise(home.select("id", "label", F.col("most.main").alias("home")))
+    parts, _ = materialise(home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(8 * block)).alias("parts")))
+    home = home.join(parts, "home").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    turn = F.floor((F.row_number().over(Window.partitionBy("home", "part").orderBy("id")) - 1) / F.lit(block))
+    homes = home.select("id", "label", F.xxhash64("home", "part", turn).alias("block"))
     # pairs of (component, block) first: far fewer than pairs of (key, block), and no node that shares a key is missed
     meets = outside.select("id", "main").distinct().join(homes.select("id", "block"), "id").select("main", "block").distinct()
     others = mixed.select("id", "label", "main").distinct().join(meets, "main").select("block", F.lit(1).alias("place"), "id", "label").distinct()
     return homes.select("block", F.lit(0).alias("place"), "id", "label").union(others)
 
 
+def named_sets(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(signed, nodes): one node for each set; an id that stands for two sets (their checks differ) is replaced."""
+
+    def distinct(rows: DataFrame) -> DataFrame:
+        named = rows.where("n > 0").groupBy("id").agg(F.min(F.struct("dk", "th")).alias("f"), F.min("check").alias("low"), F.max("check").alias("high"), F.first("keys").alias("keys"))
+        return materialise(named.select("id", "f.dk", "f.th", "low", "high", "keys"))[0]
+
+    nodes = distinct(signed)
+    clash = nodes.where("low <> high").select("id", F.lit(True).alias("clash"))
+    if not clash.isEmpty():
+        own = F.when(F.col("clash"), F.xxhash64("id", "check")).otherwise(F.col("id"))
+        signed, _ = materialise(signed.join(clash, "id", "left").withColumn("id", own).drop("clash"))
+        nodes = distinct(signed)
+    return signed, nodes.drop("low", "high")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(dk, th, n_shingles, label) of every document; documents of one label are linked, directly or not."""
     texts = keyed(docs)
-    signed, _ = materialise(texts.mapInArrow(_sign(shingle), "dk long, th long, n long, id long, keys array<long>"))
-    nodes = signed.where("n > 0").groupBy("id").agg(F.min(F.struct("dk", "th")).alias("f"), F.first("keys").alias("keys")).select("id", "f.dk", "f.th", "keys")
-    nodes, _ = materialise(nodes)
+    signed, _ = materialise(texts.mapInArrow(_sign(shingle), "dk long, th long, n long, id long, check long, keys array<long>"))
+    signed, nodes = named_sets(signed)
     keys = table_keys(nodes)
     many = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
     places, _ = materialise(keys.join(many, "key").select("key", "id", F.col("least").alias("pivot")))
@@ -261,12 +282,14 @@ def component_digest(docs: DataFrame, shingle: int = 4, percent: int = PERCENT,
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, **limits) -> DataFrame:
     """One document of each group, with its own columns: that of the smallest id.
 
-    Of several rows that share that id, one with the smallest text hash stays; texts without words all stay.
+    Of several rows that share that id, one with the smallest text hash stays, and of those equal in id and
+    text the one whose columns as JSON have the smallest md5; texts without words all stay.
     """
     rows = _with_components(near_duplicates(docs.select("doc_id", "text"), shingle, percent, **limits))
     gone = rows.where("label is not null").groupBy("label", "least").agg(F.min(F.struct("dk", "th")).alias("f"))
-    stay = gone.select(F.col("f.dk").alias("__dk"), F.col("f.th").alias("__th")).distinct()
-    marked = docs.withColumns({"__dk": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__th": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    wordless = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    with_words = marked.where(~wordless).join(stay, ["__dk", "__th"], "left_semi")
-    return with_words.dropDuplicates(["__dk", "__th"]).select(*docs.columns).union(docs.where(wordless).select(*docs.columns))
+    stay = gone.select("f.dk", "f.th").distinct()
+    text = text_or_empty()
+    marked = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("dk"), F.xxhash64(text).alias("th"), text.rlike(r"[^\x20\x09-\x0D]").alias("worded"), F.struct(*docs.columns).alias("row"))
+    worded = marked.where("worded").join(stay, ["dk", "th"], "left_semi")
+    one = worded.groupBy("dk", "th").agg(F.min_by("row", F.md5(F.to_json("row"))).alias("row"))
+    return one.select("row.*").union(marked.where("not worded").select("row.*"))

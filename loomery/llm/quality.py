@@ -163,4 +163,5 @@ def quality_digest(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that no rule rejects, with their own columns."""
-    return with_quality(docs, "__quality").where("__quality.kept").select(*docs.columns)
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
+    return with_quality(rows).where("quality.kept").select("row.*")

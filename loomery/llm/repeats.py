@@ -8,13 +8,18 @@ the suffix structures, each distinct one once, with the number and the first of
 
     texts -> anchors (one row per neighbourhood) -> anchors seen twice -> distinct neighbourhoods
           -> suffix array or suffix tree of each anchor's neighbourhoods -> covered ranges per text
+
+A task holds one block of neighbourhoods (BLOCK_BYTES) at a time. An anchor with more than HOT_CLASSES
+distinct neighbourhoods, which would not fit a block, is split by what stands around it: its windows
+are dealt out by their whole content to as many parts as their number asks, and come in the order of
+that content, so that a block can end between any two different windows. Where copies of one window
+fill a block by themselves, the first of them is carried into the next block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +32,9 @@ from .textkit import Words, buffers, byte_values, gram_hashes, range_hashes, sli
 #: A text with more units than this is cut into overlapping parts for the anchors.
 PART = 1 << 22
 #: Distinct neighbourhoods of one anchor above which its windows are dealt out by content.
-HOT_CLASSES = 50_000
-SALTS = 64
+HOT_CLASSES = 4_000
+#: Windows of such an anchor that a part is meant to have.
+PART_WINDOWS = 100_000
 #: Neighbourhoods that one suffix structure holds at a time; its arrays take about 60 times this.
 BLOCK_BYTES = 2 << 20
 #: Stands for a null doc_id, which comes last in document order.
@@ -111,12 +117,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("dk"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-CONTENT = "h long, sub int, fp long, m long, dk long, th long, at int, off int, n int, content binary"
+CONTENT = "h long, sub int, w long, fp long, dk long, th long, at int, off int, n int, content binary"
 
 
 def _content_rows(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The units of the wanted neighbourhoods of each text; those of a hot anchor window by window."""
-    schema = pa.schema([("h", pa.int64()), ("sub", pa.int32()), ("fp", pa.int64()), ("m", pa.int64()), ("dk", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("off", pa.int32()), ("n", pa.int32()), ("content", pa.binary())])
+    schema = pa.schema([("h", pa.int64()), ("sub", pa.int32()), ("w", pa.int64()), ("fp", pa.int64()), ("dk", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("off", pa.int32()), ("n", pa.int32()), ("content", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,18 +134,19 @@ def _content_rows(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                 if units.words:
                     raw = Words(raw, np.array([0, len(raw)])).hashes
                 for x in wanted:
-                    h, fp, m, lo, n, lead, hot = (x[c] for c in ("h", "fp", "m", "lo", "n", "lead", "hot"))
-                    if not hot:
-                        rows.append((h, 0, fp, m, dk, th, lo + lead, -lead, n, raw[lo : lo + n + units.window - 1].tobytes()))
+                    h, fp, lo, n, lead, parts = (x[c] for c in ("h", "fp", "lo", "n", "lead", "parts"))
+                    around = raw[lo : lo + n + units.window - 1]
+                    if not parts:
+                        rows.append((h, 0, 0, fp, dk, th, lo + lead, -lead, n, around.tobytes()))
                         held += n + units.window
-                        continue
-                    for c in range(n):
-                        window = raw[lo + c : lo + c + units.window].tobytes()
-                        rows.append((h, 1 + crc32(window) % SALTS, fp, m, dk, th, lo + lead, c - lead, 1, window))
-                        held += units.window
-                if held > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                    rows, held = [], 0
+                    else:
+                        told = gram_hashes(around if units.words else byte_values(around), units.window)
+                        for c, (w, part) in enumerate(zip(told.view(np.int64).tolist(), (told % np.uint64(parts)).tolist(), strict=True)):
+                            rows.append((h, 1 + part, w, fp, dk, th, lo + lead, c - lead, 1, around[c : c + units.window].tobytes()))
+                        held += n * units.window
+                    if held > 1 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        rows, held = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -206,11 +213,15 @@ def _solve(units: Units, repeated: Callable[[Block, Units], np.ndarray], block_b
             if not held:
                 return
             rows = pa.concat_tables(held).combine_chunks()
-            end = len(rows)
-            if not final:  # the last anchor may go on in the next batch
-                h, sub = rows.column("h").to_numpy(), rows.column("sub").to_numpy()
-                end = int(np.flatnonzero((h != h[-1]) | (sub != sub[-1]))[-1]) + 1 if ((h != h[-1]) | (sub != sub[-1])).any() else 0
-            held = [rows.slice(end)] if end < len(rows) else []
+            end, kept = len(rows), len(rows)
+            if not final:  # the last anchor or window may go on in the next batch
+                h, sub, w = (rows.column(c).to_numpy() for c in ("h", "sub", "w"))
+                other = np.flatnonzero((h != h[-1]) | (sub != sub[-1]) | (w != w[-1]))
+                kept = int(other[-1]) + 1 if len(other) else 0
+                if kept or not sub[-1]:
+                    end = kept
+            # copies of one window that fill a block: the first of them stays for the next
+            held = [rows.slice(kept, 1) if end > kept else rows.slice(kept)] if kept < len(rows) else []
             size = sum(t.nbytes for t in held)
             if end:
                 out = one(_distinct(rows.slice(0, end)))
@@ -267,15 +278,17 @@ def covered_ranges(docs: DataFrame, units: Units, repeated: Callable[[Block, Uni
     discard(spark, again_path)
 
     classes = occurrences.groupBy("h", "fp").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("dk", "th", "lo", "n", "lead")).alias("f"))
-    kinds = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    mixed = classes.join(kinds, "h").select("f.dk", "f.th", F.struct("h", "fp", "m", "f.lo", "f.n", "f.lead", (F.col("k") > hot_classes).alias("hot")).alias("x"))
+    kinds = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum("f.n").alias("windows")).where("k > 1")
+    parts = F.when(F.col("k") > hot_classes, F.ceil(F.col("windows") / PART_WINDOWS)).otherwise(F.lit(0)).cast("int")
+    mixed = classes.join(kinds.select("h", parts.alias("parts")), "h").select("f.dk", "f.th", F.struct("h", "fp", "f.lo", "f.n", "f.lead", "parts").alias("x"))
     wanted = mixed.groupBy("dk", "th").agg(F.collect_list("x").alias("wanted"))
     content = texts.join(wanted, ["dk", "th"]).mapInArrow(_content_rows(units), CONTENT)
-    dealt = content.repartition("h", "sub").sortWithinPartitions("h", "sub")
+    dealt = content.repartition("h", "sub").sortWithinPartitions("h", "sub", "w", "dk", "th", "at")
     solved = dealt.mapInArrow(_solve(units, repeated, block_bytes), RANGES)
     solved = solved.groupBy("h", "fp").agg(F.collect_set(F.struct("s", "e")).alias("some"))
 
-    told = classes.join(solved, ["h", "fp"], "left").where("m > 1 or some is not null")
+    # a table as well: a neighbourhood that half of the occurrences share is split by the join below
+    told, _ = materialise(classes.join(solved, ["h", "fp"], "left").where("m > 1 or some is not null"))
     at = occurrences.join(told, ["h", "fp"])
     place = F.struct(F.col("dk"), F.col("th"), F.col("lo"))
     whole = place != F.struct("f.dk", "f.th", "f.lo") if keep_first else F.col("m") > 1

@@ -4,7 +4,8 @@ The suffixes of the distinct neighbourhoods (see repeats) are sorted one bucket
 holds the suffixes that start at one distance from one anchor, so its members are congruent modulo
 V. Ties longer than V bytes are not followed byte by byte: the ranks of a difference-cover sample of
 the block, made once, settle the next L - V bytes in one comparison, and a last V bytes close the
-window. Memory is that of one block (a few MB of text), however long the ties are.
+window. Memory is that of one block (a few MB of text), however long the ties are and however many
+neighbourhoods an anchor has (see repeats).
 
 Nulls and empty texts remove nothing. Repeated rows are documents of their own. Other columns are
 ignored by the query and kept by `cut_repeats`.
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import text_or_empty
 from .repeats import NO_ID, Block, Units, covered_ranges, refine
 from .textkit import runs
 
@@ -170,10 +172,9 @@ def repeat_digest(docs: DataFrame, **limits) -> DataFrame:
 
 def cut_repeats(docs: DataFrame, **limits) -> DataFrame:
     """The documents, their other columns as they were, with repeated passages cut from the text."""
-    _, found = byte_repeats(docs, **limits)
-    found = found.select(F.col("dk").alias("__dk"), F.col("th").alias("__th"), F.transform("spans", lambda x: x["s"]).alias("__s"), F.transform("spans", lambda x: x["e"]).alias("__e"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumn("__dk", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__th", F.xxhash64(text))
-    joined = marked.join(found, ["__dk", "__th"], "left")
-    new = F.when(F.col("__s").isNull(), F.col("text")).otherwise(_cut(text, "__s", "__e"))
-    return joined.withColumn("text", new).select(*docs.columns)
+    _, found = byte_repeats(docs.select("doc_id", "text"), **limits)
+    found = found.select("dk", "th", F.transform("spans", lambda x: x["s"]).alias("s"), F.transform("spans", lambda x: x["e"]).alias("e"))
+    text = text_or_empty()
+    marked = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("dk"), F.xxhash64(text).alias("th"), F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
+    joined = marked.join(found, ["dk", "th"], "left").withColumn("new", F.when(F.col("s").isNull(), F.col("text")).otherwise(_cut("text", "s", "e")))
+    return joined.select(*[F.col("new").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -35,30 +35,31 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+_ODD = np.uint64(0x5851F42D4C957F2D)
 
 
-def _power_table(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if len(have) <= 8 * SLICE_BYTES:  # one huge document does not pin its table
-            _powers[base] = have
-    return have[:n]
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in order."""
+    x = a * _ODD
+    x += b
+    x ^= x >> np.uint64(32)
+    x *= _M2
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hash of every run of k values (uint64); len(values) - k + 1 of them."""
-    n = len(values)
-    if n < k:
+    """64-bit hash of every run of k values (uint64); len(values) - k + 1 of them.
+
+    Hashes of 1, 2, 4, ... values are paired level by level, and two that overlap make a run of any
+    length. Unlike a polynomial modulo 2**64, no two texts collide by construction.
+    """
+    if len(values) < k:
         return np.zeros(0, np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.add.accumulate(values * _power_table(_BASE, n), out=total[1:])
-    return mix64((total[k:] - total[:-k]) * _power_table(_INVERSE, n - k + 1))
+    level, reach = values, 1
+    while 2 * reach <= k:
+        level, reach = _pair(level[:-reach], level[reach:]), 2 * reach
+    return mix64(_pair(level[: len(values) - k + 1], level[k - reach :]) if reach < k else level)
 
 
 #: sliding_argmin compares 40 bits of each key; the other 24 hold the place.
@@ -135,10 +136,7 @@ class Words:
         self.doc = np.searchsorted(offsets, self.starts, "right") - 1
         self.first = np.searchsorted(self.starts, offsets)  # words of text d: first[d] .. first[d+1]
         if len(self.starts):
-            value = _BYTE[data] * _power_table(_BASE, n)
-            total = np.zeros(n + 1, np.uint64)
-            np.add.accumulate(value, out=total[1:])
-            self.hashes = mix64((total[self.ends] - total[self.starts]) * _power_table(_INVERSE, n)[self.starts])
+            self.hashes = range_hashes(_BYTE[data], self.starts, self.ends)
         else:
             self.hashes = np.zeros(0, np.uint64)
 
@@ -152,10 +150,18 @@ def byte_values(data: np.ndarray) -> np.ndarray:
 
 
 def range_hashes(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """64-bit hash of values[lo:hi] for arrays of bounds; equal content gives equal hashes."""
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.add.accumulate(values * _power_table(_BASE, len(values)), out=total[1:])
-    return mix64((total[hi] - total[lo]) * _power_table(_INVERSE, len(values) + 1)[lo] + (hi - lo).astype(np.uint64))
+    """64-bit hash of values[lo:hi] for arrays of bounds; equal content gives equal hashes (see gram_hashes)."""
+    size = np.asarray(hi - lo, np.int64)
+    out = np.zeros(len(size), np.uint64)
+    height = np.frexp(size)[1] - 1  # of the largest power of two within, -1 for nothing
+    level, reach = values, 1
+    for h in range(int(height.max(initial=-1)) + 1):
+        if h:
+            level, reach = _pair(level[:-reach], level[reach:]), 2 * reach
+        here = np.flatnonzero(height == h)
+        if len(here):
+            out[here] = _pair(level[lo[here]], level[hi[here] - reach])
+    return mix64(out + size.astype(np.uint64))
 
 
 def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:

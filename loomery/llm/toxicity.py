@@ -1,15 +1,20 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine over whole texts.
 
-Terms are words (letters and digits, ASCII lower case) and word beginnings of PREFIXES characters.
-Every term of the labelled examples counts (at most EXAMPLES rows, chosen by hash of the id), and
-document frequencies are counted over all documents. A term that toxic examples hold more often than
-chance weighs 1 + sqrt(g) times its TF-IDF, g being its log-likelihood ratio; no term is left out. An
-example is normalised over its whole text. A query's length divides all its cosines alike, so neither
-neighbours nor votes depend on it, and terms that no example holds need no frequency.
-
-Terms held by more than COMMON of the examples are scored as a matrix product in single precision, the
-others through an inverted index. All examples within the rounding bound of the k-th best are scored
-again in double precision, so the k nearest are exact.
+Terms are words (letters and digits, ASCII lower case), and word beginnings of the lengths in PREFIXES
+where that names any. Every term of the labelled examples counts (at most EXAMPLES rows, chosen by hash
+of the id), and document frequencies are counted over all documents. A term that toxic examples hold
+more often than chance weighs (1 + sqrt(g)) ** STRENGTH times its TF-IDF, g being its log-likelihood
+ratio; no term is left out. An example is normalised over its whole text. A query's length divides all
+its cosines alike, so neither neighbours nor votes depend on it, and terms that no example holds need no
+frequency.
+
+The index is inverted over blocks of BLOCK examples that are alike in their common terms (those that
+more than COMMON of the examples hold). Postings of the other terms are added up in full; of the common
+terms only the largest weight in each block is, which bounds every example's cosine from above. The
+examples with the k largest bounds are scored, and their k-th cosine is a floor under which no block is
+opened. A text whose bounds leave more than OPEN examples gets its common terms as one matrix product.
+All examples within the rounding bound of the k-th best are scored again in double precision, so the k
+nearest are exact.
 
 Neighbours vote by squared cosine, and the vote is calibrated: examples vote on each other, and a
 non-decreasing fit (pool adjacent violators) of their labels on their votes gives the score. Texts
@@ -35,14 +40,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, text_or_empty
-from .textkit import _BASE, _BYTE, _INVERSE, _LOWER, _power_table, buffers, mix64, slices
+from .textkit import _BYTE, _LOWER, buffers, mix64, range_hashes, slices
 
 FOLDS = 5
-EXAMPLES = 20_000
-PREFIXES = (4, 5, 6)
-#: Share of the examples above which a term is scored by matrix product, and texts scored at once.
+EXAMPLES = 12_000
+PREFIXES: tuple[int, ...] = ()
+#: Chosen with PREFIXES on two halves of the labelled rows outside the held-out fold.
+STRENGTH = 1.5
+#: Share of the examples above which a term is common, examples of a block, texts scored at once.
 COMMON = 0.05
+BLOCK = 32
 CHUNK = 256
+OPEN = 256
 NEIGHBOURS = 15
 
 _TERM = np.zeros(256, bool)
@@ -63,21 +72,17 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start[edge], end[edge - 1] = inside[edge + 1], inside[edge]
     start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
     doc = np.searchsorted(offsets, start, "right") - 1
-    total = np.zeros(n + 1, np.uint64)
-    np.add.accumulate(_BYTE[data] * _power_table(_BASE, n), out=total[1:])
-    inverse = _power_table(_INVERSE, n)
-
-    def hashed(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
-        return mix64(mix64((total[b] - total[a]) * inverse[a]) + np.uint64(kind))
-
-    hashes, docs = [hashed(start, end, 0)], [doc]
+    value = _BYTE[data]
+    hashes, docs = [range_hashes(value, start, end)], [doc]
+    if not PREFIXES:
+        return hashes[0], doc
     lead = np.flatnonzero((data & 0xC0) != 0x80)
     lead = np.append(lead, np.full(max(PREFIXES) + 1, n))
     at = np.searchsorted(lead, start)
     for p in PREFIXES:
         stop = lead[np.minimum(at + p, len(lead) - 1)]
         long = stop < end
-        hashes.append(hashed(start[long], stop[long], p))
+        hashes.append(mix64(range_hashes(value, start[long], stop[long]) + np.uint64(p)))
         docs.append(doc[long])
     return np.concatenate(hashes), np.concatenate(docs)
 
@@ -140,7 +145,7 @@ def _vectors(vocabulary: Broadcast):
 
 
 @dataclass
-class ExampleIndex:
+class BlockMaxIndex:
     """Terms and counts of the examples end to end; what searches need besides is made where they run."""
 
     ids: np.ndarray
@@ -151,9 +156,9 @@ class ExampleIndex:
     count: np.ndarray
 
     @staticmethod
-    def build(ids, labels, idf, rows: list[tuple[np.ndarray, np.ndarray]]) -> ExampleIndex:
+    def build(ids, labels, idf, rows: list[tuple[np.ndarray, np.ndarray]]) -> BlockMaxIndex:
         term, count = (np.concatenate([*(r[x] for r in rows), np.zeros(0, np.int32)]).astype(np.int32) for x in (0, 1))
-        return ExampleIndex(np.asarray(ids), np.asarray(labels), idf, np.cumsum([0, *(len(t) for t, _ in rows)]), term, count)
+        return BlockMaxIndex(np.asarray(ids), np.asarray(labels), idf, np.cumsum([0, *(len(t) for t, _ in rows)]), term, count)
 
     def __getstate__(self):
         """Gaps and counts by byte planes, compressed: every executor keeps a copy on disk."""
@@ -177,57 +182,109 @@ class ExampleIndex:
         return {d: i for i, d in enumerate(self.ids.tolist())}
 
     @cached_property
-    def common(self) -> tuple[np.ndarray, np.ndarray]:
-        """(column of each term or -1, weights by column and example)."""
+    def common(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of each common term or -1, weights by row and slot, largest weight by row and block)."""
         often = np.bincount(self.term, minlength=len(self.idf)) > COMMON * len(self.ids)
-        column = np.where(often, np.cumsum(often) - 1, -1)
-        out = np.zeros((int(often.sum()), len(self.ids)), np.float32)
-        for e in range(len(self.ids)):
-            here = slice(self.begin[e], self.begin[e + 1])
-            at = column[self.term[here]]
-            out[at[at >= 0], e] = self.weight[here][at >= 0]
-        return column, out
+        row = np.where(often, np.cumsum(often) - 1, -1)
+        at = np.flatnonzero(row[self.term] >= 0)
+        blocks = -(-len(self.ids) // BLOCK)
+        out = np.zeros((int(often.sum()), blocks * BLOCK), np.float32)
+        out[row[self.term[at]], self.slot[self.example[at]]] = self.weight[at]
+        return row, out, out.reshape(len(out), blocks, BLOCK).max(2)
+
+    @cached_property
+    def example(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.begin))
+
+    @cached_property
+    def slot(self) -> np.ndarray:
+        """Place of each example in the blocks: by the heaviest of its most common terms, then by the weight that those have in it."""
+        held = np.bincount(self.term, minlength=len(self.idf))
+        at = np.flatnonzero(held[self.term] > COMMON * len(self.ids))
+        share = np.bincount(self.example[at], self.weight[at] ** 2, len(self.ids))
+        at = at[np.lexsort((self.weight[at], self.example[at]))]
+        lead = np.zeros(len(self.ids), np.int64)
+        lead[self.example[at]] = self.term[at]  # the last, so the heaviest, stays
+        slot = np.empty(len(self.ids), np.int64)
+        slot[np.lexsort((share, lead))] = np.arange(len(self.ids))
+        return slot
+
+    @cached_property
+    def at_slot(self) -> np.ndarray:
+        out = np.empty(len(self.slot), np.int64)
+        out[self.slot] = np.arange(len(self.slot))
+        return out
 
     @cached_property
     def rare(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first posting of each term and an end, examples, weights) of the other terms."""
+        """(first posting of each term and an end, slots, weights) of the other terms."""
         keep = np.flatnonzero(self.common[0][self.term] < 0)
         keep = keep[np.argsort(self.term[keep], kind="stable")]
-        example = np.searchsorted(self.begin, keep, "right") - 1
-        return np.searchsorted(self.term[keep], np.arange(len(self.idf) + 1)), example, self.weight[keep]
+        return np.searchsorted(self.term[keep], np.arange(len(self.idf) + 1)), self.slot[self.example[keep]], self.weight[keep]
 
     def search(self, cuts: np.ndarray, terms_: np.ndarray, counts: np.ndarray, k: int, without: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(examples, cosines) of the k nearest with a cosine above 0 of texts cuts[i] .. cuts[i+1], ties to the smaller number; `without` is an example to leave out of each, or -1."""
-        column, matrix = self.common
-        begin, example, weight = self.rare
-        slack = 2 * (len(matrix) + 4) * 2.0**-24  # of sums of unit vectors' products in single precision
+        row, matrix, most = self.common
+        begin, slots, weight = self.rare
+        n = len(self.ids)
+        slack = 4 * (len(matrix) + 4) * 2.0**-24  # of sums of unit vectors' products in single precision
         dense = np.zeros(len(self.idf))
+
+        def others(t: np.ndarray, q: np.ndarray) -> np.ndarray:
+            """Cosines as far as the terms that are not common go."""
+            at, source = _ranges(begin[t], begin[t + 1])
+            return np.bincount(slots[at], q[source] * weight[at], n)
+
+        def exact(t: np.ndarray, q: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at, source = _ranges(self.begin[near], self.begin[near + 1])
+            dense[t] = q
+            score = np.bincount(source, dense[self.term[at]] * self.weight[at], len(near))
+            dense[t] = 0
+            order = np.lexsort((near, -score))[:k]
+            return near[order], score[order]
+
         for low in range(0, len(cuts) - 1, CHUNK):
             texts = range(low, min(low + CHUNK, len(cuts) - 1))
             table, queries = np.zeros((len(texts), len(matrix)), np.float32), []
             for i in texts:
                 t = terms_[cuts[i] : cuts[i + 1]]
                 q = weigh(self.idf, t, counts[cuts[i] : cuts[i + 1]])
-                at = column[t]
+                at = row[t]
                 table[i - low, at[at >= 0]] = q[at >= 0]
-                queries.append((t, q, at < 0))
-            scores = table @ matrix
-            for i, (t, q, other), score in zip(texts, queries, scores, strict=True):
-                at, source = _ranges(begin[t[other]], begin[t[other] + 1])
-                score = score + np.bincount(example[at], q[other][source] * weight[at], len(score))
-                if without[i] >= 0:
-                    score[without[i]] = 0
-                least = np.partition(score, len(score) - k)[len(score) - k] - 2 * slack if len(score) > k else 0.0
-                near = np.flatnonzero((score >= least) & (score > 0))
-                if not len(near):
-                    yield near, np.zeros(0)
-                    continue
-                at, source = _ranges(self.begin[near], self.begin[near + 1])
-                dense[t] = q
-                exact = np.bincount(source, dense[self.term[at]] * self.weight[at], len(near))
-                dense[t] = 0
-                order = np.lexsort((near, -exact))[:k]
-                yield near[order], exact[order]
+                queries.append((t, q, at))
+            bounds = table @ most
+            found: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(texts)
+            left = []
+            for i, (t, q, at) in enumerate(queries):
+                score = others(t[at < 0], q[at < 0])
+                bound = score + np.repeat(bounds[i], BLOCK)[:n]
+                if without[low + i] >= 0:
+                    bound[self.slot[without[low + i]]] = 0
+                if n > k:
+                    first = np.argpartition(bound, n - k)[n - k :]
+                    known = score[first] + table[i, at[at >= 0]] @ matrix[np.ix_(at[at >= 0], first)]
+                    if without[low + i] >= 0:
+                        known[first == self.slot[without[low + i]]] = 0
+                    near = np.flatnonzero((bound >= known.min() - slack) & (bound > 0))
+                else:
+                    near = np.flatnonzero(bound > 0)
+                if len(near) <= max(OPEN, k):
+                    found[i] = self._positive(*exact(t, q, self.at_slot[near]))
+                else:
+                    left.append(i)
+            scores = table[left] @ matrix
+            for i, score in zip(left, scores, strict=True):
+                t, q, at = queries[i]
+                score = score[:n] + others(t[at < 0], q[at < 0])
+                if without[low + i] >= 0:
+                    score[self.slot[without[low + i]]] = 0
+                least = np.partition(score, n - k)[n - k] - slack if n > k else 0.0
+                found[i] = self._positive(*exact(t, q, self.at_slot[np.flatnonzero((score >= least) & (score > 0))]))
+            yield from found
+
+    @staticmethod
+    def _positive(examples: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return examples[score > 0], score[score > 0]
 
     def nearest(self, terms_: np.ndarray, counts: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         return next(self.search(np.array([0, len(terms_)]), terms_, counts, k, np.array([without])))
@@ -239,10 +296,6 @@ class ExampleIndex:
             yield (float((power * self.labels[best]).sum() / power.sum()) if len(best) else -1.0), self.ids[best]
 
 
-#: The name it had when blocks of examples were pruned by their largest weights.
-BlockMaxIndex = ExampleIndex
-
-
 def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(members of the ranges end to end, number of the range of each)."""
     n = end - begin
@@ -256,14 +309,14 @@ def weigh(idf: np.ndarray, terms_: np.ndarray, counts: np.ndarray) -> np.ndarray
 
 
 def strength(yes: np.ndarray, no: np.ndarray, n_yes: float, n_all: float) -> np.ndarray:
-    """1, plus the root of the log-likelihood ratio of terms that toxic examples hold more often than chance."""
+    """1, plus the root of the log-likelihood ratio of terms that toxic examples hold more often than chance, to the power STRENGTH."""
     expected = (yes + no) * (n_yes / n_all if n_all else 0.0)
 
     def part(observed: np.ndarray, chance: np.ndarray) -> np.ndarray:
         return np.where(observed > 0, observed * np.log(np.maximum(observed, 1) / np.maximum(chance, 1e-300)), 0.0)
 
     g = 2 * (part(yes, expected) + part(no, yes + no - expected))
-    return 1 + np.where(yes > expected, np.sqrt(np.maximum(g, 0)), 0.0)
+    return (1 + np.where(yes > expected, np.sqrt(np.maximum(g, 0)), 0.0)) ** STRENGTH
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -347,7 +400,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model | None]:
     ids, toxic, vectors = ids[order], toxic[order], [vectors[r] for r in order]
     del rows, marks, counted
     some = np.array([len(t) > 0 for t, _ in vectors])
-    index = context.broadcast(ExampleIndex.build(ids[some], toxic[some], idf, [v for v, s in zip(vectors, some, strict=True) if s]))
+    index = context.broadcast(BlockMaxIndex.build(ids[some], toxic[some], idf, [v for v, s in zip(vectors, some, strict=True) if s]))
     del vectors
     cast = sample.select("doc_id", "text").mapInArrow(_votes(vocabulary, index, True), VOTES).select("doc_id", "vote").toArrow().sort_by("doc_id")
     votes = cast.column("vote").to_numpy()
