@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import html
+import re
 import unicodedata
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column
@@ -177,3 +180,134 @@ def negated(text: Column, at: Column, left: int = 28) -> Column:
     """A negation stands in the `left` characters before place `at` (from 1)."""
     before = F.substring(text, F.greatest(at - left, F.lit(1)), at - F.greatest(at - left, F.lit(1)))
     return F.lower(before).rlike(r"(?<![\p{L}\p{N}])(no|not|never|without|except)(?![\p{L}\p{N}])")
+
+
+def refused(text: Column, after: Column, right: int = 30) -> Column:
+    """A refusal stands in the `right` characters from place `after` (from 1)."""
+    behind = F.substring(text, after, F.lit(right))
+    return F.lower(behind).rlike(r"(?<![\p{L}\p{N}])(not needed|not wanted|no thanks|does not matter|cancel)(?![\p{L}\p{N}])")
+
+
+def whole_words(words: list[str]) -> str:
+    """Pattern of any of the words with no letter or digit on either side, for Java and Python."""
+    quoted = "|".join(re.escape(w).replace(r"\ ", r"\s+") for w in sorted(words, key=len, reverse=True))
+    return rf"(?<![\p{{L}}\p{{N}}])(?:{quoted})(?![\p{{L}}\p{{N}}])"
+
+
+def safe_value(text: Column, private: list[str], most: int = 120) -> Column:
+    """A log value: redacted if a private pattern is in it, else its first `most` characters."""
+    return F.when(text.rlike("|".join(private)), "[redacted]").otherwise(F.substring(text, 1, most))
+
+
+def code_of(value: Column, codes: dict[str, str], default: str = "unknown") -> Column:
+    """Code of an exact value; everything else, nulls too, is the default."""
+    table = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, value), F.lit(default))
+
+
+def stem(word: Column, endings: list[str], least: int = 3) -> Column:
+    """The word without its longest ending, if `least` characters remain."""
+    return F.regexp_replace(word, rf"^(.{{{least},}}?)(?:{'|'.join(endings)})$", "$1")
+
+
+def one_edit(a: Column, b: Column) -> Column:
+    """At most one character replaced, put in or taken out, or one pair of neighbours swapped."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1)))
+    swapped = F.exists(at, lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))) == b)
+    return (F.levenshtein(a, b) <= 1) | ((F.length(a) == F.length(b)) & swapped)
+
+
+def begins_nearly(word: Column, query: Column, least: int = 5) -> Column:
+    """The word begins with the query, or (queries of `least` characters on) with one edit of it."""
+    heads = F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: F.substring(word, F.lit(1), F.length(query) + d))
+    return word.startswith(query) | ((F.length(query) >= least) & F.exists(heads, lambda h: one_edit(query, h)))
+
+
+def phrase_rank(phrase: Column, query: Column) -> Column:
+    """How well a phrase fits a query: 0 equal, 1 begins with it, 2 every word begins a word, 3 so without a final vowel,
+    4 contains it, 5 every word begins a word but for one edit; null if none.
+    """
+    words, parts = F.split(query, " "), F.split(phrase, " ")
+    root = lambda w: F.when(F.length(w) >= 4, F.regexp_replace(w, "[aeiouy]$", "")).otherwise(w)
+    every = lambda fits: F.forall(words, lambda w: F.exists(parts, lambda p: fits(p, w)))
+    return (
+        F.when(phrase == query, 0)
+        .when(phrase.startswith(query), 1)
+        .when(every(lambda p, w: p.startswith(w)), 2)
+        .when(every(lambda p, w: p.startswith(root(w))), 3)
+        .when(F.contains(phrase, query), 4)
+        .when(every(lambda p, w: p.startswith(root(w)) | begins_nearly(p, w)), 5)
+    )
+
+
+def merged_ranges(ranges: Column) -> Column:
+    """Sorted ranges [from, to) without overlaps; those that touch are one."""
+    kind = "array<struct<from:int,to:int>>"
+
+    def add(acc: Column, r: Column) -> Column:
+        last = F.element_at(acc, -1)
+        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["from"].alias("from"), F.greatest(last["to"], r["to"]).alias("to"))))
+        return F.when((F.size(acc) > 0) & (r["from"] <= F.get(acc, F.size(acc) - 1)["to"]), grown).otherwise(F.concat(acc, F.array(r)))
+
+    return F.aggregate(F.array_sort(ranges.cast(kind)), F.array().cast(kind), add)
+
+
+def places_of(text: Column, token: Column) -> Column:
+    """Ranges [from, to) of the token in the text, case aside, overlapping ones of it too."""
+    low, n = F.lower(text), F.length(token)
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.length(text) - n, F.lit(0))), lambda i: F.substring(low, i + 1, n) == F.lower(token))
+    return F.when((n > 0) & (F.length(text) >= n), F.transform(starts, lambda i: F.struct(i.alias("from"), (i + n).alias("to")))).otherwise(F.array().cast("array<struct<from:int,to:int>>"))
+
+
+def highlighted(text: Column, tokens: Column) -> Column:
+    """array<struct<text, match>>: the text in parts, matched ones merged where they overlap or touch."""
+    ranges = merged_ranges(F.flatten(F.transform(tokens, lambda t: places_of(text, t))))
+    part = lambda a, b, match: F.struct(F.substring(text, a + 1, b - a).alias("text"), F.lit(match).alias("match"))
+    before = lambda i: F.when(i > 0, F.get(ranges, i - 1)["to"]).otherwise(F.lit(0))
+    pieces = F.flatten(F.transform(ranges, lambda r, i: F.array(part(before(i), r["from"], False), part(r["from"], r["to"], True))))
+    end = F.when(F.size(ranges) > 0, F.element_at(ranges, -1)["to"]).otherwise(F.lit(0))
+    return F.filter(F.concat(pieces, F.array(part(end, F.length(text), False))), lambda p: F.length(p["text"]) > 0)
+
+
+def decode_once(text: str) -> str:
+    """One round of entities, percent and backslash-u escapes; what is no valid escape stays."""
+    out = re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)) if not 0xD800 <= int(m[1], 16) < 0xE000 else m[0], html.unescape(text))
+    return unquote(out, errors="strict") if "%" in out and _percent_fine(out) else out
+
+
+def _percent_fine(text: str) -> bool:
+    try:
+        unquote(text, errors="strict")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+@F.pandas_udf(T.StringType())
+def decoded(text: pd.Series) -> pd.Series:
+    """Escapes undone, at most three rounds."""
+
+    def run(t: str | None) -> str | None:
+        for _ in range(3):
+            if t is None or (new := decode_once(t)) == t:
+                break
+            t = new
+        return t
+
+    return text.map(run)
+
+
+def run_length(classes: Column, pattern: str) -> Column:
+    """Length of the longest match of a pattern in a string of one-letter classes, 0 for none."""
+    return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(classes, F.lit(pattern), F.lit(0)), lambda r: F.length(r))), F.lit(0))
+
+
+def obfuscation(text: Column, number_words: list[str]) -> Column:
+    """struct(letters, numbers, mixed, suspicious): longest runs of single letters, of number words, and of number words with digits."""
+    tokens = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    kind = lambda t: F.when(F.lower(t).isin(*number_words), "N").when(t.rlike(r"^\d+$"), "D").when(t.rlike(r"^\p{L}$"), "L").otherwise("x")
+    classes = F.array_join(F.transform(tokens, kind), "")
+    mixed = F.filter(F.regexp_extract_all(classes, F.lit("[ND]+"), F.lit(0)), lambda r: F.contains(r, F.lit("N")) & F.contains(r, F.lit("D")))
+    longest = F.coalesce(F.array_max(F.transform(mixed, lambda r: F.length(r))), F.lit(0))
+    letters, numbers = run_length(classes, "L+"), run_length(classes, "N+")
+    return F.struct(letters.alias("letters"), numbers.alias("numbers"), longest.alias("mixed"), ((letters >= 4) | (numbers >= 5) | (longest >= 5)).alias("suspicious"))

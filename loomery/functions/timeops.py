@@ -160,3 +160,19 @@ def resolve_days(spark: SparkSession, today: date, window: int = 14, only: list[
                 some = some | match(s)
             days = days.where(some if keep else ~some)
     return days
+
+
+def ready_at(start: Column, hours: Column) -> Column:
+    """When a result that takes `hours` from `start` is there; null without both."""
+    return F.when(hours > 0, start + F.make_dt_interval(hours=hours.cast("int")))
+
+
+def days_to_ready(hours: Column, opens: int = 9, closes: int = 20) -> Column:
+    """Days from a visit at `opens` until a result is there while open; null for no positive number of hours."""
+    ready = hours + opens
+    return F.when(hours > 0, (F.floor(ready / 24) + (ready % 24 > closes).cast("int")).cast("int"))
+
+
+def rounded_up_clock(minute: Column, hours: Column, step: int = 5) -> Column:
+    """The minute of the day `hours` from now, up to a step of minutes, at most midnight."""
+    return F.least(F.ceil((minute + hours * 60) / step) * step, F.lit(24 * 60)).cast("int")

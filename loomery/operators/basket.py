@@ -23,9 +23,10 @@ def quote(offers: DataFrame, basket: DataFrame, fees: DataFrame, branch: str, it
 
 def badges(quotes: DataFrame, total: str, slow: str, unique: str) -> DataFrame:
     """Marks the cheapest and the fastest of the complete quotes, one each."""
-    complete = F.col("missing") == 0
-    order = lambda c: Window.partitionBy(complete).orderBy(F.asc_nulls_last(c), unique)
-    return quotes.withColumns({"cheapest": complete & (F.row_number().over(order(total)) == 1), "fastest": complete & (F.row_number().over(order(slow)) == 1)})
+    first = lambda c: F.min_by(unique, F.struct(F.col(c).isNull(), F.col(c), F.col(unique)))
+    best = quotes.where("missing = 0").agg(first(total).alias("__cheapest"), first(slow).alias("__fastest"))
+    marked = quotes.crossJoin(best)
+    return marked.withColumns({k: (F.col("missing") == 0) & F.col(unique).eqNullSafe(F.col(f"__{k}")) for k in ("cheapest", "fastest")}).drop("__cheapest", "__fastest")
 
 
 def contained(sets: DataFrame, name: str, member: str) -> DataFrame:
@@ -40,3 +41,42 @@ def contained(sets: DataFrame, name: str, member: str) -> DataFrame:
 def offer_statistics(offers: DataFrame, item: list[str], branch: str, price: str) -> DataFrame:
     """Per item: lowest and highest price and how many branches offer it."""
     return offers.groupBy(*item).agg(F.min(price).alias("lowest"), F.max(price).alias("highest"), F.count_distinct(branch).alias("branches"))
+
+
+def price_lines(wanted: DataFrame, offers: DataFrame, fees: DataFrame, branch: str, code: str, kind: str, price: str, fee: str) -> DataFrame:
+    """(branch, line, what, name, price): tests offered, then one fee for each of their kinds; what is missing has no line and no price.
+
+    wanted: branch, code and the code's kind. what: test, fee, missing_test or missing_fee.
+    """
+    found = wanted.distinct().join(offers.select(branch, code, F.col(price).alias("__p")), [branch, code], "left")
+    tests = found.select(branch, F.when(F.col("__p").isNull(), "missing_test").otherwise("test").alias("what"), F.col(code).cast("string").alias("name"), F.col("__p").alias("price"))
+    kinds = found.where(F.col("__p").isNotNull()).select(branch, kind).distinct().join(fees.select(branch, kind, F.col(fee).alias("__f")), [branch, kind], "left")
+    fee_rows = kinds.select(branch, F.when(F.col("__f").isNull(), "missing_fee").otherwise("fee").alias("what"), F.col(kind).cast("string").alias("name"), F.col("__f").alias("price"))
+    rows = tests.unionByName(fee_rows)
+    turn = F.row_number().over(Window.partitionBy(branch, F.col("price").isNull()).orderBy(F.desc("what"), "name"))
+    return rows.withColumn("line", F.when(F.col("price").isNotNull(), turn)).select(branch, "line", "what", "name", "price")
+
+
+def admit(requests: DataFrame, slot: str, order: list[str], refused: Column, capacity: str) -> DataFrame:
+    """result of each booking in order: its own reason to refuse, else slot_full once `capacity` were booked, else booked.
+
+    What is refused takes no place, so a running count of the others decides.
+    """
+    turn = F.sum(F.col("__reason").isNull().cast("int")).over(Window.partitionBy(slot).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    marked = requests.withColumn("__reason", refused).withColumn("__turn", turn)
+    return marked.withColumn("result", F.coalesce("__reason", F.when(F.col("__turn") > F.col(capacity), "slot_full"), F.lit("booked"))).drop("__reason", "__turn")
+
+
+#: Sort modes of quotes: fixed orders; unknown minutes count as 999.
+QUOTE_SORTS = {"total": ["total", "__m"], "distance": ["__m", "total"], "turnaround": ["ready", "turnaround", "total"], "soonest": ["first_slot", "total"]}
+
+
+def quote_ranks(quotes: DataFrame, unique: str, top: int) -> DataFrame:
+    """(mode, rank, unique) of the first `top` quotes in each sort mode; every task keeps no more than that."""
+    rows = quotes.withColumn("__m", F.coalesce("minutes", F.lit(999)))
+    out = None
+    for mode, keys in QUOTE_SORTS.items():
+        order = [*[F.asc_nulls_last(k) for k in keys], F.asc(unique)]
+        one = rows.orderBy(*order).limit(top).select(F.lit(mode).alias("mode"), F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"), unique)
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -98,3 +98,48 @@ def merge_records(rows: DataFrame, identity: list[str], sets: dict[str, str], le
     """One record per identity: value sets gathered (sorted), the least of others, and how many rows made it."""
     gathered = [F.sort_array(F.collect_set(c)).alias(n) for n, c in sets.items()]
     return rows.groupBy(*identity).agg(*gathered, *[F.min(c).alias(n) for n, c in least.items()], F.count(F.lit(1)).alias("n"))
+
+
+def person_on_page(text: Column, surname: Column, first: Column) -> Column:
+    """The name stands on the page in either order, or the surname with the initial; false without both parts."""
+    page = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    s, f = F.lower(surname), F.lower(first)
+    holds = lambda *parts: F.contains(page, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
+    found = holds(" ", s, " ", f) | holds(" ", f, " ", s, " ") | holds(" ", s, " ", F.substring(f, 1, 1), " ")
+    return F.coalesce((s != "") & (f != "") & found, F.lit(False))
+
+
+def verify_on_pages(people: DataFrame, pages: DataFrame, key: str, url: str, html: str, surname: str, first: str) -> DataFrame:
+    """(key, status) of people with a web address: present, missing, or unreachable where no page of that address has text."""
+    listed = people.where(F.col(url).rlike("^https?://"))
+    texts = pages.select(url, html_text(F.col(html)).alias("__t"))
+    found = listed.join(texts, url, "left")
+    # a page more than one row: present on any counts
+    marked = found.select(key, F.when(F.coalesce(F.col("__t"), F.lit("")) == "", 0).when(person_on_page(F.col("__t"), F.col(surname), F.col(first)), 2).otherwise(1).alias("__s"))
+    status = F.element_at(F.array(F.lit("unreachable"), F.lit("missing"), F.lit("present")), F.max("__s") + 1)
+    return marked.groupBy(key).agg(status.alias("status"))
+
+
+def parse_guard(people: Column, prices: Column, unmatched: Column, has_place: Column, most_people: int, most_prices: int, most_unmatched: int) -> Column:
+    """too_many_records, parse_empty, or ok: pages that read as too much or as nothing go to review whole."""
+    return F.when((people > most_people) | (prices > most_prices) | (unmatched > most_unmatched), "too_many_records").when(~has_place & (people == 0) & (prices == 0), "parse_empty").otherwise("ok")
+
+
+def aliases(name: Column, table: dict[str, list[str]], excluded: dict[str, list[str]]) -> Column:
+    """Aliases of a name that holds the alias or one of its long forms, and none of the alias's exclusions; sorted, all forms."""
+    key = F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", "")
+    out = F.array().cast("array<string>")
+    for alias, forms in table.items():
+        holds = F.contains(key, F.lit(alias))
+        for form in forms:
+            holds = holds | F.contains(key, F.lit(form.replace(" ", "")))
+        for stop in excluded.get(alias, []):
+            holds = holds & ~F.contains(key, F.lit(stop))
+        out = F.concat(out, F.when(holds, F.array(*[F.lit(x) for x in (alias, *forms)])).otherwise(F.array().cast("array<string>")))
+    return F.array_sort(F.array_distinct(out))
+
+
+def cleaned(text: Column, most: int) -> Column:
+    """At most `most` characters without control characters, blanks collapsed and trimmed."""
+    plain = F.regexp_replace(F.substring(text, 1, most), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+    return F.trim(F.regexp_replace(plain, r"[ \t]+", " "))

@@ -6,43 +6,65 @@ written as a table, so the graph may be larger than any machine and a lost execu
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_km
+from ..functions.geo import EARTH_KM, haversine_km
 
 _own: dict[str, str] = {}
+KM_A_DEGREE = EARTH_KM * math.pi / 180
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df written to the shared folder (spark.checkpoint.dir, or one of our own where unset) and read back."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or one of our own in a local session that names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
-        folder = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="loomery-graph-", dir=os.environ.get("TMPDIR")))
-    path = f"{folder.rstrip('/')}/loomery-graph/{uuid.uuid4().hex}"
+        folder = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="loomery-", dir=os.environ.get("TMPDIR")))
+    return f"{folder.rstrip('/')}/loomery-{name}/{uuid.uuid4().hex}"
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back."""
+    path = shared_folder(df.sparkSession, "graph")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
+def _band(lat: Column, km: float) -> Column:
+    return F.floor(lat / (km / KM_A_DEGREE)).cast("long")
 
-def with_cell(points: DataFrame, lat: str, lon: str, degrees: float) -> DataFrame:
-    return points.withColumns({"__cy": F.floor(F.col(lat) / degrees).cast("long"), "__cx": F.floor(F.col(lon) / degrees).cast("long")})
 
+def _width(band: Column, km: float) -> Column:
+    """Degrees of longitude that hold `km` anywhere in a band of latitude or the bands beside it."""
+    height = km / KM_A_DEGREE
+    far = F.least(F.greatest(F.abs(band - 1), F.abs(band + 2)) * height, F.lit(90.0))
+    share = F.lit(math.sin(min(km / (2 * EARTH_KM), math.pi / 2))) / F.greatest(F.cos(F.radians(far)), F.lit(1e-9))
+    return F.least(F.degrees(2 * F.asin(F.least(share, F.lit(1.0)))) * 1.000001, F.lit(360.0))
 
-def within(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", lon: str = "lon", degrees: float = 0.05) -> DataFrame:
-    """Pairs at most `km` apart, with their distance; `degrees` must span at least `km` in both directions.
 
-    Right rows are copied to the nine cells around them, so pairs come from an equality on cells.
+def within(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Pairs at most `km` apart, with their distance, at any latitude and over the date line.
+
+    Points are put into bands of latitude `km` high and cells as wide as `km` is at that latitude; right
+    rows are copied to the nine cells around them, so pairs come from an equality on cells. Nulls pair
+    with nothing.
     """
-    step = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    near = with_cell(right, lat, lon, degrees).withColumn("__d", F.explode(step))
-    near = near.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], (F.col("__cy") + F.col("__d.a")).alias("__cy"), (F.col("__cx") + F.col("__d.b")).alias("__cx"))
-    pairs = with_cell(left, lat, lon, degrees).join(near, ["__cy", "__cx"]).drop("__cy", "__cx")
+    step = lambda n: F.array(*[F.lit(i) for i in n])
+    cells = left.withColumn("__cy", _band(F.col(lat), km)).withColumn("__cx", F.floor(F.col(lon) / _width(F.col("__cy"), km)).cast("long"))
+    near = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], F.explode(F.transform(step((-1, 0, 1)), lambda d: _band(F.col(lat), km) + d)).alias("__cy"))
+    turned = near.withColumn("__w", _width(F.col("__cy"), km)).withColumn("__lon", F.explode(F.transform(step((-360, 0, 360)), lambda d: F.col(f"r_{lon}") + d)))
+    turned = turned.where(F.col("__lon").between(-180 - F.col("__w"), 180 + F.col("__w")))
+    turned = turned.withColumn("__cx", F.explode(F.sequence(F.floor(F.col("__lon") / F.col("__w")).cast("long") - 1, F.floor(F.col("__lon") / F.col("__w")).cast("long") + 1)))
+    pairs = cells.join(turned.drop("__w", "__lon").distinct(), ["__cy", "__cx"]).drop("__cy", "__cx")
     return pairs.withColumn("km", haversine_km(F.col(lat), F.col(lon), F.col(f"r_{lat}"), F.col(f"r_{lon}"))).where(F.col("km") <= km)
 
 
@@ -51,25 +73,35 @@ def nearest(points: DataFrame, lat: Column, lon: Column, k: int, unique: str) ->
     return points.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), lat, lon)).orderBy("km", unique).limit(k)
 
 
-def snap(points: DataFrame, segments: DataFrame, key: str, fast_kmh: int = 80, penalty_m: float = 150.0, degrees: float = 0.05) -> DataFrame:
-    """Each point's best admissible segment: the least distance to it, fast roads counting penalty_m more.
+def snap(points: DataFrame, segments: DataFrame, key: str, fast_kmh: int = 80, penalty_m: float = 150.0, reach_m: float = 2000.0) -> DataFrame:
+    """Each point's best admissible segment within `reach_m`: the least distance to it, fast roads counting penalty_m more.
 
-    segments: seg, lat1, lon1, lat2, lon2, speed. Local plane around the point; a segment is found from
-    the cells of its ends and the nine around the point. Adds seg, share (0..1 along it) and metres.
+    segments: seg, lat1, lon1, lat2, lon2, speed. Local plane around the point. A segment is copied to
+    the cells that it runs through, sampled every quarter of a cell, and a point looks into the nine
+    cells around it; cells are as large as twice the reach, so none within it is missed. Adds seg, share (0..1 along
+    it) and metres.
     """
-    ends = F.array(F.struct(F.col("lat1").alias("y"), F.col("lon1").alias("x")), F.struct(F.col("lat2").alias("y"), F.col("lon2").alias("x")))
-    cells = segments.withColumn("__e", F.explode(ends)).withColumns({"__cy": F.floor(F.col("__e.y") / degrees).cast("long"), "__cx": F.floor(F.col("__e.x") / degrees).cast("long")}).drop("__e").distinct()
+    high = 2 * reach_m / 1000 / KM_A_DEGREE
+    # as wide in degrees as the reach is at the latitude farthest from the equator that has points
+    wide = lambda lat: F.lit(high) / F.greatest(F.cos(F.radians(F.least(F.abs(F.floor(lat)) + 2, F.lit(89)))), F.lit(0.01))
+    steps = F.greatest(F.ceil(4 * F.greatest(F.abs(F.col("lat2") - F.col("lat1")), F.abs(F.col("lon2") - F.col("lon1"))) / high), F.lit(1)).cast("int")
+    along = segments.withColumn("__n", steps).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__n"))))
+    along = along.withColumns({"__y": F.col("lat1") + (F.col("lat2") - F.col("lat1")) * F.col("__i") / F.col("__n"), "__x": F.col("lon1") + (F.col("lon2") - F.col("lon1")) * F.col("__i") / F.col("__n")})
+    # widths belong to whole degrees of latitude; a segment near an edge is listed under both
+    along = along.withColumn("__d", F.explode(F.array_distinct(F.array(F.floor(F.col("__y") - high), F.floor("__y"), F.floor(F.col("__y") + high)))))
+    cells = along.withColumns({"__cy": F.floor(F.col("__y") / high).cast("long"), "__cx": F.floor(F.col("__x") / wide(F.col("__d"))).cast("long")}).drop("__y", "__x", "__i", "__n").distinct()
     step = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    around = with_cell(points, "lat", "lon", degrees).withColumn("__d", F.explode(step)).withColumns({"__cy": F.col("__cy") + F.col("__d.a"), "__cx": F.col("__cx") + F.col("__d.b")}).drop("__d")
-    pairs = around.join(cells, ["__cy", "__cx"])
-    metre = F.lit(111_194.93)
+    around = points.withColumn("__d", F.floor("lat")).withColumn("__s", F.explode(step))
+    around = around.withColumns({"__cy": F.floor(F.col("lat") / high).cast("long") + F.col("__s.a"), "__cx": F.floor(F.col("lon") / wide(F.col("__d"))).cast("long") + F.col("__s.b")}).drop("__s")
+    pairs = around.join(cells, ["__d", "__cy", "__cx"])
+    metre = F.lit(KM_A_DEGREE * 1000)
     shrink = F.cos(F.radians("lat"))
     dx, dy = (F.col("lon2") - F.col("lon1")) * shrink * metre, (F.col("lat2") - F.col("lat1")) * metre
     px, py = (F.col("lon") - F.col("lon1")) * shrink * metre, (F.col("lat") - F.col("lat1")) * metre
     length = dx * dx + dy * dy
     share = F.when(length > 0, F.least(F.greatest((px * dx + py * dy) / length, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
     found = pairs.withColumn("share", share)
-    found = found.withColumn("metres", F.sqrt(F.pow(px - F.col("share") * dx, 2) + F.pow(py - F.col("share") * dy, 2)))
+    found = found.withColumn("metres", F.sqrt(F.pow(px - F.col("share") * dx, 2) + F.pow(py - F.col("share") * dy, 2))).where(F.col("metres") <= reach_m)
     cost = F.col("metres") + F.when(F.col("speed") >= fast_kmh, penalty_m).otherwise(0.0)
     ranked = found.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(cost, "seg"))).where("__r = 1")
     return ranked.select(*points.columns, "seg", "share", "metres")
@@ -84,24 +116,66 @@ def grid_graph(spark: SparkSession, n: int) -> DataFrame:
     return moved.select("src", dst.cast("long").alias("dst"), (1 + (F.col("src") * 7 + dst * 13) % 10).cast("long").alias("cost"), F.when((F.col("src") + dst) % 11 == 0, 4).otherwise(7).alias("access"))
 
 
-def shortest(edges: DataFrame, sources: DataFrame, ceiling: int | None = None, rounds: int = 10_000) -> DataFrame:
-    """(source, node, cost): least cost from every source to every node within the ceiling.
+def shortest(edges: DataFrame, sources: DataFrame, ceiling: int | None = None) -> DataFrame:
+    """(source, node, cost, via): least cost from every source to every node within the ceiling, and the node before.
 
-    Each round relaxes only the edges of the nodes that got cheaper in the last one.
+    Each round relaxes only the edges of the nodes that got cheaper in the last one, and writes only
+    those; of equal costs the smaller node before stays. Costs must not be negative.
     """
-    best = _kept(sources.select("source", F.col("source").alias("node"), F.lit(0).cast("long").alias("cost")))
-    front = best
-    for _ in range(rounds):
-        reached = front.join(edges, front.node == edges.src).select("source", F.col("dst").alias("node"), (front.cost + edges.cost).alias("cost"))
+    nothing = F.lit(None).cast("long")
+    front = _kept(sources.select("source", F.col("source").alias("node"), F.lit(0).cast("long").alias("cost"), nothing.alias("via")))
+    parts = [front]
+    while True:
+        best = reduce(DataFrame.unionByName, parts).groupBy("source", "node").agg(F.min("cost").alias("old"))
+        reached = front.join(edges, front.node == edges.src).select("source", F.col("dst").alias("node"), F.struct((front.cost + edges.cost).cast("long").alias("cost"), F.col("node").alias("via")).alias("b"))
         if ceiling is not None:
-            reached = reached.where(F.col("cost") <= ceiling)
-        reached = reached.groupBy("source", "node").agg(F.min("cost").alias("new"))
-        merged = _kept(best.join(reached, ["source", "node"], "full_outer").select("source", "node", F.least("cost", "new").alias("cost"), (F.col("cost").isNull() | (F.col("new") < F.col("cost"))).alias("moved")))
-        best = merged.select("source", "node", "cost")
-        front = merged.where("moved").select("source", "node", "cost")
+            reached = reached.where(F.col("b.cost") <= ceiling)
+        reached = reached.groupBy("source", "node").agg(F.min("b").alias("b"))
+        cheaper = reached.join(best, ["source", "node"], "left").where("old IS NULL OR b.cost < old")
+        front = _kept(cheaper.select("source", "node", "b.cost", "b.via"))
         if front.isEmpty():
             break
-    return best
+        parts.append(front)
+        if len(parts) == 12:  # so that no round reads more than a dozen tables
+            parts = [_kept(_least(parts))]
+    return _least(parts)
+
+
+def _least(parts: list[DataFrame]) -> DataFrame:
+    every = reduce(DataFrame.unionByName, parts).groupBy("source", "node").agg(F.min(F.struct("cost", "via")).alias("b"))
+    return every.select("source", "node", "b.cost", "b.via")
+
+
+def paths(costs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(source, target, cost, path) of pairs (source, target): nodes from the source to the target, walked back by `via`; null if unreachable."""
+    found = pairs.select("source", "target").distinct().join(costs.withColumnRenamed("node", "target"), ["source", "target"], "left")
+    state = _kept(found.select("source", "target", "cost", F.when(F.col("cost").isNotNull(), F.array("target")).alias("path"), F.col("via").alias("at")))
+    done = []
+    while True:
+        ended = state.where("at IS NULL").drop("at")
+        done.append(ended)
+        open_ = state.where("at IS NOT NULL")
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        before = costs.select("source", F.col("node").alias("at"), F.col("via").alias("next"))
+        state = _kept(open_.join(before, ["source", "at"]).select("source", "target", "cost", F.concat(F.array("at"), "path").alias("path"), F.col("next").alias("at")))
+
+
+def route(edges: DataFrame, trips: DataFrame, budget: int) -> DataFrame:
+    """(trip, cost, path, state) of trips (trip, stops): the legs between stops in order, joined where they meet.
+
+    state: ok, too_far (more than the budget in all), unreachable, or bad_request for fewer than two stops.
+    """
+    legs = trips.where(F.size("stops") >= 2).select("trip", F.posexplode(F.slice("stops", F.lit(1), F.size("stops") - 1)).alias("leg", "source"), "stops")
+    legs = legs.select("trip", "leg", "source", F.get("stops", F.col("leg") + 1).alias("target"))
+    costs = _kept(shortest(edges, legs.select("source").distinct(), budget))
+    walked = legs.join(paths(costs, legs), ["source", "target"], "left")
+    gathered = walked.groupBy("trip").agg(F.sum("cost").alias("cost"), F.bool_or(F.col("cost").isNull()).alias("broken"), F.array_sort(F.collect_list(F.struct("leg", "path"))).alias("all"))
+    joined = F.aggregate("all", F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.when(F.size(acc) > 0, F.slice(x["path"], F.lit(2), F.size(x["path"]))).otherwise(x["path"])))
+    state = F.when(F.col("cost").isNull() & F.col("broken").isNull(), "bad_request").when(F.col("broken"), "unreachable").when(F.col("cost") > budget, "too_far").otherwise("ok")
+    out = trips.select("trip").join(gathered, "trip", "left").withColumn("state", state)
+    fine = F.col("state") == "ok"
+    return out.select("trip", F.when(fine, F.col("cost")).alias("cost"), F.when(fine, joined).alias("path"), "state")
 
 
 def travel_minutes(costs: DataFrame, factor: float, ceiling: int) -> DataFrame:

@@ -63,15 +63,16 @@ def prune(partitions: DataFrame, day: str, size: str, oldest: Column, most_bytes
     return partitions.withColumn("kept", ((F.col(day) >= oldest) & fits) | (F.row_number().over(w) == 1))
 
 
-def _fold(rows: DataFrame, keys: list[str], order: str, step, start, schema: T.StructType) -> DataFrame:
-    """Sequential decisions over the rows of each key: step(state, row) -> (state, columns)."""
+def _fold(rows: DataFrame, keys: list[str], order: str, step, start, schema: T.StructType, tie: str | None = None) -> DataFrame:
+    """Sequential decisions over the rows of each key: step(state, row) -> (state, columns). `tie` orders rows of one time."""
+    by = [order, tie] if tie else [order]
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         state, made = start(), []
-        for row in block.sort_values(order, kind="stable").itertuples(index=False):
+        out = block.sort_values(by, kind="stable").reset_index(drop=True)
+        for row in out.itertuples(index=False):
             state, columns = step(state, row)
             made.append(columns)
-        out = block.sort_values(order, kind="stable").reset_index(drop=True)
         added = schema.fieldNames()[len(block.columns) :]
         return out.assign(**{n: [m[i] for m in made] for i, n in enumerate(added)})
 
@@ -82,7 +83,7 @@ def _with(rows: DataFrame, **columns: T.DataType) -> T.StructType:
     return T.StructType([*rows.schema.fields, *[T.StructField(n, t) for n, t in columns.items()]])
 
 
-def sliding_limit(rows: DataFrame, keys: list[str], at: str, span: int, most: int) -> DataFrame:
+def sliding_limit(rows: DataFrame, keys: list[str], at: str, span: int, most: int, tie: str | None = None) -> DataFrame:
     """accepted: fewer than `most` requests accepted in the last `span`; a rejected one takes no room."""
 
     def step(held: list, row):
@@ -90,10 +91,10 @@ def sliding_limit(rows: DataFrame, keys: list[str], at: str, span: int, most: in
         fine = len(held) < most
         return (held + [getattr(row, at)] if fine else held), (fine,)
 
-    return _fold(rows, keys, at, step, list, _with(rows, accepted=T.BooleanType()))
+    return _fold(rows, keys, at, step, list, _with(rows, accepted=T.BooleanType()), tie)
 
 
-def token_bucket(rows: DataFrame, keys: list[str], at: str, cost: str, capacity: float, per_unit: float) -> DataFrame:
+def token_bucket(rows: DataFrame, keys: list[str], at: str, cost: str, capacity: float, per_unit: float, tie: str | None = None) -> DataFrame:
     """accepted while the level is above 0, and the level after the cost is charged; it refills to capacity."""
 
     def step(state, row):
@@ -103,10 +104,10 @@ def token_bucket(rows: DataFrame, keys: list[str], at: str, cost: str, capacity:
         level = level - getattr(row, cost) if fine else level
         return (level, getattr(row, at)), (fine, float(level))
 
-    return _fold(rows, keys, at, step, lambda: None, _with(rows, accepted=T.BooleanType(), level=T.DoubleType()))
+    return _fold(rows, keys, at, step, lambda: None, _with(rows, accepted=T.BooleanType(), level=T.DoubleType()), tie)
 
 
-def lockout(rows: DataFrame, keys: list[str], at: str, failed: str, window: int, threshold: int, base: int, most: int, memory: int) -> DataFrame:
+def lockout(rows: DataFrame, keys: list[str], at: str, failed: str, window: int, threshold: int, base: int, most: int, memory: int, tie: str | None = None) -> DataFrame:
     """locked: attempts while a lock holds. Failures inside `window` that reach the threshold lock for
     base * 2**n, at most `most`, n locks having gone before within `memory`; a success clears the failures.
     """
@@ -126,10 +127,10 @@ def lockout(rows: DataFrame, keys: list[str], at: str, failed: str, window: int,
             return ([], now + min(most, base * 2**locks), locks + 1, now), (False, int(now + min(most, base * 2**locks)))
         return (fails, until, locks, last), (False, 0)
 
-    return _fold(rows, keys, at, step, lambda: ([], -1, 0, None), _with(rows, locked=T.BooleanType(), until=T.LongType()))
+    return _fold(rows, keys, at, step, lambda: ([], -1, 0, None), _with(rows, locked=T.BooleanType(), until=T.LongType()), tie)
 
 
-def apply_slot_operations(ops: DataFrame, slot: str, at: str, ttl: int) -> DataFrame:
+def apply_slot_operations(ops: DataFrame, slot: str, at: str, ttl: int, tie: str | None = None) -> DataFrame:
     """result of hold, release, book and cancel on each slot, folded in order of time.
 
     ops: slot, time, kind, who (holder token), key (idempotency), starts (of the slot). A hold takes a
@@ -161,7 +162,7 @@ def apply_slot_operations(ops: DataFrame, slot: str, at: str, ttl: int) -> DataF
             return ("FREE" if future else "CANCELLED", None, 0, None), ("cancelled",)
         return (status, who, until, key), ("nothing",)
 
-    return _fold(ops, [slot], at, step, lambda: ("FREE", None, 0, None), _with(ops, result=T.StringType()))
+    return _fold(ops, [slot], at, step, lambda: ("FREE", None, 0, None), _with(ops, result=T.StringType()), tie)
 
 
 def forget(rows: DataFrame, owner: str, day: Column, cutoff: Column) -> DataFrame:

@@ -86,3 +86,38 @@ def classify(tokens: DataFrame, keys: list[str], rules: DataFrame, position: str
     ranked = scored.withColumns({"total": F.sum("score").over(w), "__r": F.row_number().over(w.orderBy(F.desc("score"), "label")), "__top": F.max("score").over(w)})
     tied = F.sum((F.col("score") == F.col("__top")).cast("int")).over(w) > 1
     return ranked.withColumn("tied", tied).where("__r = 1").select(*keys, "label", "score", (F.col("score") * (0.5 + 0.5 * F.col("score") / F.col("total"))).alias("strength"), "tied")
+
+
+def longest_mentions(texts: DataFrame, keys: list[str], text: str, phrases: DataFrame, phrase: str, code: str, most_words: int = 4) -> DataFrame:
+    """(keys, at, to, code) of the phrases in a text, in words from 0: longer ones first, then earlier ones, none over another.
+
+    Runs of words of the text meet the phrases by equality; which of a text's own matches stay is one
+    fold over them. A phrase of several codes counts as the smallest.
+    """
+    words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
+    named = phrases.select(F.lower(phrase).alias("__p"), code).groupBy("__p").agg(F.min(code).alias("code"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(i.alias("at"), (i + n).alias("to"), F.array_join(F.slice(words, i + 1, n), " ").alias("p")))).otherwise(F.array().cast("array<struct<at:int,to:int,p:string>>"))))
+    found = texts.select(*keys, F.explode(runs).alias("r")).select(*keys, "r.at", "r.to", F.col("r.p").alias("__p")).join(named, "__p")
+    listed = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((F.col("at") - F.col("to")).alias("size"), "at", "to", "code"))).alias("c"))
+    kind = F.expr("cast(array() as array<struct<size:int,at:int,to:int,code:string>>)")
+    free = lambda acc, x: ~F.exists(acc, lambda t: (x["at"] < t["to"]) & (t["at"] < x["to"]))
+    taken = F.aggregate(F.transform("c", lambda x: F.struct(x["size"].alias("size"), x["at"].alias("at"), x["to"].alias("to"), x["code"].cast("string").alias("code"))), kind, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    return listed.select(*keys, F.explode(taken).alias("t")).select(*keys, "t.at", "t.to", "t.code")
+
+
+def catalog_search(items: DataFrame, key: str, phrases: str, query: str, order: str) -> DataFrame:
+    """Items by the best of their phrases' ranks for a query, then in catalog order; an empty query finds all."""
+    from ..functions.text import phrase_rank, words_only
+
+    asked = words_only(F.lit(query))
+    best = F.array_min(F.filter(F.transform(phrases, lambda p: phrase_rank(words_only(p), asked)), lambda r: r.isNotNull()))
+    rows = items.withColumn("score", F.when(asked == "", F.lit(0)).otherwise(best)).where("score IS NOT NULL")
+    return rows.select(key, "score", order)
+
+
+def fuzzy_names(mentions: DataFrame, names: DataFrame, mention: str, name: str) -> DataFrame:
+    """(mention, name): the nearest name with the same first letter; words of 5 letters may have 1 edit, of 10 letters 2."""
+    allowed = F.when(F.length(mention) >= 10, 2).when(F.length(mention) >= 5, 1).otherwise(0)
+    m, n = mentions.select(mention).distinct(), names.select(name).distinct()
+    pairs = blocked_distance(m, n, mention, name, 2).where(F.col("distance") <= allowed)
+    return pairs.groupBy(mention).agg(F.min(F.struct("distance", name)).alias("b")).select(mention, f"b.{name}", "b.distance")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,8 +31,16 @@ HARD = ("card", "phone", "email", "coordinates")
 SPAN = T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("end", "integer").add("confidence", "double").add("value", "string"))
 
 
+#: What every match of a kind holds, so that most texts need no pattern: fixed values.
+HINTS = {"email": "@", "handle": "@", "url": "://", "phone": "+"}
+
+
+def _hinted(text: Column, kind: str, found: Column, none: Column) -> Column:
+    return F.when(F.contains(text, F.lit(HINTS[kind])), found).when(text.isNotNull(), none) if kind in HINTS else found
+
+
 def counts(text: Column, kinds=PATTERNS) -> dict[str, Column]:
-    return {k: F.regexp_count(text, F.lit(PATTERNS[k][0])) for k in kinds}
+    return {k: _hinted(text, k, F.regexp_count(text, F.lit(PATTERNS[k][0])), F.lit(0)) for k in kinds}
 
 
 def values(docs: DataFrame, keys: list[str], text: str, kinds=PATTERNS) -> DataFrame:
@@ -83,10 +91,11 @@ def substitute(text: Column, spans: Column, names: Column) -> Column:
 
 
 def masked(text: Column, kinds=PATTERNS) -> Column:
-    """The text with every match replaced by its kind, pattern by pattern."""
+    """The text with every match replaced by its kind, pattern by pattern; texts with no match at all are looked through once."""
+    out = text
     for k in kinds:
-        text = F.regexp_replace(text, PATTERNS[k][0], f"[{k}]")
-    return text
+        out = F.regexp_replace(out, PATTERNS[k][0], f"[{k}]")
+    return F.when(text.rlike("|".join(f"(?:{PATTERNS[k][0]})" for k in kinds)), out).otherwise(text)
 
 
 #: Budgets of a text that may leave: fixed values.
@@ -151,3 +160,149 @@ def long_windows(docs: DataFrame, keys: list[str], text: str, size: int = 3500,
 def bands(score: Column, contextual: Column, sure: float = 0.6, doubtful: float = 0.4) -> Column:
     """mask, doubtful or drop: types that need no context are masked at any score."""
     return F.when((score >= sure) | ~contextual, "mask").when(score >= doubtful, "doubtful").otherwise("drop")
+
+
+RANGES = "array<struct<type:string,from:int,to:int>>"
+
+
+def without(ranges: Column, protected: Column) -> Column:
+    """Ranges (type, from, to) less the protected ranges (from, to), which may cut one in two."""
+
+    def cut(acc: Column, p: Column) -> Column:
+        sides = lambda r: F.array(F.struct(r["type"].alias("type"), r["from"].alias("from"), F.least(r["to"], p["from"]).alias("to")), F.struct(r["type"].alias("type"), F.greatest(r["from"], p["to"]).alias("from"), r["to"].alias("to")))
+        return F.filter(F.flatten(F.transform(acc, lambda r: F.when((p["to"] <= r["from"]) | (r["to"] <= p["from"]), F.array(r)).otherwise(sides(r)))), lambda r: r["to"] > r["from"])
+
+    return F.aggregate(protected, ranges.cast(RANGES), cut)
+
+
+def joined_ranges(text: Column, ranges: Column, priority: list[str]) -> Column:
+    """Ranges in order of start; one that overlaps the last, or follows it over nothing but blanks and quotes and has its
+    type, is one with it. Of two types that overlap the one further down `priority` stays.
+    """
+    weight = F.create_map(*[x for i, p in enumerate(priority) for x in (F.lit(p), F.lit(i))])
+
+    def add(acc: Column, r: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        between = F.substring(text, last["to"] + 1, r["from"] - last["to"])
+        close = (r["from"] <= last["to"]) | ((r["type"] == last["type"]) & between.rlike(r"^[\s\-\"'.]*$"))
+        kind = F.when(weight[r["type"]] > weight[last["type"]], r["type"]).otherwise(last["type"])
+        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(kind.alias("type"), last["from"].alias("from"), F.greatest(last["to"], r["to"]).alias("to"))))
+        return F.when((F.size(acc) > 0) & close, grown).otherwise(F.concat(acc, F.array(r)))
+
+    order = lambda a, b: F.when(a["from"] != b["from"], a["from"] - b["from"]).otherwise(b["to"] - a["to"])
+    return F.aggregate(F.array_sort(ranges.cast(RANGES), order), F.array().cast(RANGES), add)
+
+
+def labelled(text: Column, ranges: Column) -> Column:
+    """The text with a label [type] in place of every range, from the right so that places hold."""
+    return F.aggregate(F.reverse(ranges), text, lambda acc, r: F.concat(F.substring(acc, F.lit(1), r["from"]), F.lit("["), r["type"], F.lit("]"), F.substring(acc, r["to"] + 1, F.length(acc))))
+
+
+def reconciled(detected: Column, linked: Column) -> Column:
+    """Detected and linked ranges as one list without overlaps: bounds are the union, an address keeps its type, else the link does."""
+    kind = "array<struct<from:int,strength:int,to:int,type:string>>"
+    strong = lambda xs, n: F.transform(xs, lambda x: F.struct(x["from"].alias("from"), F.lit(n).alias("strength"), x["to"].alias("to"), x["type"].alias("type")))
+
+    def add(acc: Column, r: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        address = F.when(last["type"] == "address", last["type"]).when(r["type"] == "address", r["type"])
+        stronger = r["strength"] > last["strength"]
+        kind_ = F.coalesce(address, F.when(stronger, r["type"]).otherwise(last["type"]))
+        rank = F.when(address.isNotNull(), F.when(last["type"] == "address", last["strength"]).otherwise(r["strength"])).otherwise(F.greatest(last["strength"], r["strength"]))
+        grown = F.struct(last["from"].alias("from"), rank.alias("strength"), F.greatest(last["to"], r["to"]).alias("to"), kind_.alias("type"))
+        return F.when((F.size(acc) > 0) & (r["from"] < last["to"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(r)))
+
+    def order(a: Column, b: Column) -> Column:
+        return F.when(a["from"] != b["from"], a["from"] - b["from"]).when(a["strength"] != b["strength"], b["strength"] - a["strength"]).otherwise(b["to"] - a["to"])
+
+    every = F.array_sort(F.concat(strong(linked, 2), strong(detected, 1)).cast(kind), order)
+    merged = F.aggregate(every, F.array().cast(kind), add)
+    return F.transform(merged, lambda r: F.struct(r["type"].alias("type"), r["from"].alias("from"), r["to"].alias("to")))
+
+
+#: Phrases for places that a person means without naming them: fixed values.
+LOCATION_WORDS = {"HOME": ["at home", "my home", "my house", "my place"], "HERE": ["right here", "near me", "where i am"], "WORK": ["at work", "my office", "my job"]}
+
+
+def location_tokens(text: Column, words: dict[str, list[str]] = LOCATION_WORDS) -> Column:
+    """Such phrases as tokens: @HOME, @HERE, @WORK."""
+    for token, phrases in words.items():
+        for _ in range(2):  # a second time, as the space between two phrases belongs to the first
+            text = F.regexp_replace(text, rf"(?i)(^|[^\p{{L}}\p{{N}}])(?:{'|'.join(phrases)})($|[^\p{{L}}\p{{N}}])", f"$1@{token}$2")
+    return text
+
+
+def residual_names(text: Column, endings: list[str], ignore: list[str] | None = None) -> Column:
+    """Capitalised words of three letters or more that end like a name and are not to be ignored."""
+    words = F.regexp_extract_all(text, F.lit(r"\p{Lu}\p{L}{2,}"), F.lit(0))
+    like = lambda w: w.rlike(rf"(?:{'|'.join(endings)})$")
+    return F.size(F.filter(words, lambda w: like(w) & ~w.isin(*(ignore or [""]))))
+
+
+def person_cues(text: Column, cues: list[str], endings: list[str]) -> Column:
+    """Names by their surroundings: two capitalised words after a self-introduction or another cue, or a word that ends like a name after a capitalised one."""
+    cue = rf"(?i:\b(?:{'|'.join(cues)})\s+)((?:\p{{Lu}}\p{{L}}+\s+)?\p{{Lu}}\p{{L}}+)"
+    shape = rf"\p{{Lu}}\p{{L}}+\s+\p{{Lu}}\p{{L}}*(?:{'|'.join(endings)})\b"
+    return F.array_sort(F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(cue), F.lit(1)), F.regexp_extract_all(text, F.lit(shape), F.lit(0)))))
+
+
+def closed_gate(turns: DataFrame, keys: list[str], order: str, text: str, most_digits: int = 5, most_run: int = 3, most_pictographs: int = 3) -> DataFrame:
+    """fine: of a dialogue so far at most `most_digits` digits, no run over `most_run`, at most `most_pictographs` different pictographs in a turn."""
+    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    digits = F.length(F.regexp_replace(text, "[^0-9]", ""))
+    run = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)), lambda r: F.length(r))), F.lit(0))
+    pictographs = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"), F.lit(0))))
+    out = turns.withColumns({"digits": F.sum(digits).over(upto).cast("long"), "run": run, "pictographs": pictographs})
+    return out.withColumn("fine", (F.col("digits") <= most_digits) & (F.col("run") <= most_run) & (F.col("pictographs") <= most_pictographs))
+
+
+def survived(original: Column, sent: Column, terms: dict[str, list[str]]) -> Column:
+    """array<struct<kind, said, kept>>: of each kind of term whether the original says it and the sent text still does."""
+    says = lambda c, words: F.lower(c).rlike(rf"\b(?:{'|'.join(words)})\b")
+    return F.array(*[F.struct(F.lit(k).alias("kind"), says(original, words).alias("said"), (says(original, words) & says(sent, words)).alias("kept")) for k, words in terms.items()])
+
+
+def full_verdict(emergency: Column, hard: Column, sensitive: Column, suspicious: Column, entities: Column, masked_chars: Column, length: Column, residual: Column, share: float = 0.45, least_chars: int = 8) -> Column:
+    """First rule that holds: emergency, hard identifiers, sensitive content, obfuscation, then the budgets of what may leave."""
+    return (
+        F.when(emergency, "emergency")
+        .when(hard > 0, "local_only")
+        .when(sensitive, "local_sensitive")
+        .when(suspicious, "reject_obfuscated")
+        .when(entities > MAX_ENTITIES, "reject_entities")
+        .when(masked_chars > length * share, "reject_share")
+        .when(length < least_chars, "reject_short")
+        .when(residual > 0, "reject_residual")
+        .otherwise("allow_external")
+    )
+
+
+def mint_tokens(uses: DataFrame, session: str, kind: str, order: str, at: str, secret: str, most: int = 64, ttl: int = 120) -> DataFrame:
+    """(session_key, token, expires) beside each use: tokens of a session are numbered by kind in letters that start at an
+    offset of the session's own, keys are a keyed hash of the session, and a session has at most `most`.
+    """
+    w = Window.partitionBy(session)
+    key = F.sha2(F.concat(F.lit(f"{secret}:session:"), F.col(session).cast("string")), 256)
+    offset = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{secret}:label:"), F.col(session).cast("string")), 256), 1, 2), 16, 10).cast("int") % 26
+    rows = uses.withColumn("__n", F.row_number().over(w.orderBy(order))).where(F.col("__n") <= most)
+    place = (offset + F.row_number().over(Window.partitionBy(session, kind).orderBy(order)) - 1) % (26 * 26)
+    letter = lambda i: F.char(F.lit(65) + i)
+    label = F.concat(F.when(place >= 26, letter(F.floor(place / 26) - 1)).otherwise(F.lit("")), letter(place % 26))
+    return rows.select("*", F.substring(key, 1, 32).alias("session_key"), F.concat(F.lit("@"), F.upper(kind), F.lit("_"), label).alias("token"), (F.col(at) + ttl).alias("expires")).drop("__n")
+
+
+def redeem(minted: DataFrame, asked: DataFrame, value: str) -> DataFrame:
+    """asked (session_key, token, at) with the value of its token; null if that session has none such, or it has run out by then."""
+    live = minted.select("session_key", "token", "expires", F.col(value).alias("value"))
+    joined = asked.join(live, ["session_key", "token"], "left")
+    return joined.withColumn("value", F.when(F.col("expires") > F.col("at"), F.col("value"))).drop("expires")
+
+
+def rates(rows: DataFrame, groups: dict[str, Column], measures: dict[str, Column]) -> DataFrame:
+    """(kind, key, n, each measure, rate) by every group and in all, the rate that of the first measure in percent."""
+    from ..functions.numbers import percent
+
+    keys = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in groups.items()], F.struct(F.lit("all").alias("kind"), F.lit("all").alias("key")))
+    marked = rows.select(F.explode(keys).alias("k"), *[c.alias(n) for n, c in measures.items()])
+    out = marked.groupBy("k.kind", "k.key").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(n).alias(n) for n in measures])
+    return out.withColumn("rate", percent(F.col(next(iter(measures))), F.col("n")))

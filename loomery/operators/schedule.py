@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,3 +34,10 @@ def first_free(slots: DataFrame, keys: list[str], free: Column, order: list[str]
     chosen = slots.where(free)
     cut = F.slice(F.sort_array(F.collect_list(F.struct(*order))), 1, n)
     return chosen.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_free"), cut.alias("first"))
+
+
+def merged_sources(sources: dict[str, DataFrame | None], keys: list[str], start: str) -> DataFrame:
+    """Slots of several sources end to end in order of start, each with its source and its turn within the keys; a source that failed is None."""
+    parts = [df.withColumn("source", F.lit(name)) for name, df in sources.items() if df is not None]
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(start, "source")).cast("long")
+    return reduce(DataFrame.unionByName, parts).withColumn("turn", turn)

@@ -152,9 +152,65 @@ def diverse_picks(rows: DataFrame, group: list[str], rank: str, person: str, pla
 
 def page(rows: DataFrame, keys: list[Column], size: int, number: int) -> DataFrame:
     """A page of the rows with the total count beside each."""
-    return rows.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy())).orderBy(*keys).offset(size * number).limit(size)
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    return rows.orderBy(*keys).offset(size * number).limit(size).crossJoin(total)
 
 
 def without_own(rows: DataFrame, stages: Stages, facet: str, value: str) -> DataFrame:
     """Counts of a facet's values among rows that pass every other stage."""
     return matching(rows, {n: c for n, c in stages.items() if n != facet}).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+
+
+def services_for(services: Column, key: Column, visit: Column, exact: Column | None = None) -> Column:
+    """The services that a visit means: the first or the repeat consultation of a key, procedures, or all; or the one that is named."""
+    of = lambda kind: F.filter(services, lambda s: s == F.concat(F.lit("consult."), key, F.lit(f".{kind}")))
+    meant = F.when(visit == "first", of("first")).when(visit == "repeat", of("repeat")).when(visit == "procedure", F.filter(services, lambda s: ~s.startswith("consult."))).otherwise(services)
+    return meant if exact is None else F.when(exact.isNotNull(), F.filter(services, lambda s: s == exact)).otherwise(meant)
+
+
+def affordable(services: Column, most: Column, covered_pass: Column) -> Column:
+    """Of services (service, price, covered) those at most so dear; covered ones at any price where a plan is given."""
+    return F.filter(services, lambda s: (covered_pass & F.coalesce(s["covered"], F.lit(False))) | F.coalesce(s["price"] <= most, F.lit(False)))
+
+
+def travel_stage(candidates: DataFrame, times: DataFrame, place: str, most: int | None = None) -> DataFrame:
+    """Candidates with the minutes to their place (null where it is not reached); with a ceiling only those within it."""
+    out = candidates.join(times.select(place, "minutes"), place, "left")
+    return out if most is None else out.where(F.col("minutes") <= most)
+
+
+def option_maps(offers: DataFrame, keys: list[str], service: str, price: str, coverage: str) -> DataFrame:
+    """Per option the map of its services' prices and that of their coverage."""
+    return offers.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(service, price)))).alias("prices"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(service, coverage)))).alias("coverage"))
+
+
+def without_reuse(steps: DataFrame, candidates: DataFrame, plan: str, step: str, on: list[str], entity: str, order: list[str], most_steps: int = 5) -> DataFrame:
+    """(plan, step, entity): each step of a plan takes the best candidate that no step before it took; null if none is left.
+
+    The first `most_steps` candidates of a step suffice, as no more can be taken before it. A plan of
+    more steps is refused by `plan_errors`.
+    """
+    ranked_ = candidates.withColumn("__r", F.row_number().over(Window.partitionBy(*on).orderBy(*order, entity))).where(F.col("__r") <= most_steps)
+    best = ranked_.groupBy(*on).agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", entity))), lambda x: x[entity]).alias("__c"))
+    listed = steps.join(best, on, "left").groupBy(plan).agg(F.array_sort(F.collect_list(F.struct(F.col(step), F.col("__c")))).alias("__s"))
+    kind = f"array<{candidates.schema[entity].dataType.simpleString()}>"
+    free = lambda acc, s: F.get(F.filter(s["__c"], lambda c: ~F.exists(acc, lambda a: a.eqNullSafe(c))), 0)
+    chosen = F.aggregate("__s", F.array().cast(kind), lambda acc, s: F.concat(acc, F.array(free(acc, s))))
+    rows = listed.withColumn("__t", chosen).select(plan, F.posexplode(F.arrays_zip("__s", "__t")).alias("__i", "__x"))
+    return rows.select(plan, F.col(f"__x.__s.{step}").alias(step), F.col("__x.__t").alias(entity))
+
+
+def plan_errors(action: Column, steps: Column, tokens: Column, issued: Column, actions: list[str], most_steps: int = 5) -> Column:
+    """The first reason to refuse a plan, null for none: action not allowed, too many steps, or a token that was not issued."""
+    return (
+        F.when(action.isNull() | ~action.isin(*actions), "unknown_action")
+        .when(steps > most_steps, "too_many_steps")
+        .when(F.size(F.array_except(tokens, issued)) > 0, "unknown_token")
+    )
+
+
+def sections(rows: DataFrame, pinned: Column, group: str, order: list[Column]) -> DataFrame:
+    """section ('pinned' or the group), section_rank (pinned first, then by name) and place within it."""
+    named = rows.withColumn("section", F.when(true_only(pinned), "pinned").otherwise(F.col(group)))
+    names = named.select("section").distinct().withColumn("section_rank", F.dense_rank().over(Window.orderBy(F.when(F.col("section") == "pinned", 0).otherwise(1), "section")).cast("long"))
+    return named.join(names, "section").withColumn("place", F.row_number().over(Window.partitionBy("section").orderBy(*order)).cast("long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import LATENCY_BOUNDS, bin_of, change, half_up
+from ..functions.numbers import LATENCY_BOUNDS, average, bin_of, change, half_up
 
 UP_TO = (Window.unboundedPreceding, Window.currentRow)
 
@@ -81,3 +81,19 @@ def key_cap(rows: DataFrame, period: str, key: str, order: str, cap: int, other:
     seen = seen.withColumn("__turn", F.row_number().over(Window.partitionBy(period).orderBy("__first", key)))
     named = seen.withColumn("capped", F.when(F.col("__turn") <= cap, F.col(key)).otherwise(F.lit(other)))
     return rows.join(named.select(period, key, "capped"), [period, key])
+
+
+def status_rollup(requests: DataFrame, hour: Column, endpoint: Column, status: Column, latency_cs: Column) -> DataFrame:
+    """Per hour and endpoint: count, status classes, 429s apart, and the average latency as a whole number."""
+    classes = [F.count_if((F.floor(status / 100) == k) & (status != 429)).alias(f"s{k}xx") for k in (2, 3, 4, 5)]
+    out = requests.groupBy(hour.alias("hour"), endpoint.alias("endpoint")).agg(F.count(F.lit(1)).alias("n"), *classes, F.count_if(status == 429).alias("s429"), F.sum(latency_cs).cast("long").alias("total"))
+    return out.withColumn("average", average(F.col("total"), F.col("n")))
+
+
+def last_hours(events: DataFrame, ts: Column, failed: Column, now: Column, hours: int = 24) -> DataFrame:
+    """(hours_ago, n, failures) of each of the last hours by the clock, the running one too: minutes first, then hours, then gaps filled."""
+    minutes = events.groupBy(F.date_trunc("minute", ts).alias("minute")).agg(F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("failures"))
+    ago = F.timestamp_diff("HOUR", F.date_trunc("hour", F.col("minute")), F.date_trunc("hour", now)).cast("int")
+    per_hour = minutes.withColumn("hours_ago", ago).where(F.col("hours_ago").between(0, hours - 1)).groupBy("hours_ago").agg(F.sum("n").alias("n"), F.sum("failures").alias("failures"))
+    every = events.sparkSession.range(hours).select(F.col("id").cast("int").alias("hours_ago"))
+    return every.join(per_hour, "hours_ago", "left").fillna(0, ["n", "failures"])

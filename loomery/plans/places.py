@@ -63,11 +63,11 @@ def basket_partial(t):
 
 
 @query("""
-WITH r AS (SELECT DISTINCT p_brand AS name, p_size // 10 AS member FROM part WHERE p_partkey % 9 = 0), n AS (SELECT name, count(*) AS n FROM r GROUP BY name),
+WITH r AS (SELECT DISTINCT p_brand || ' ' || (p_size % 10) AS name, p_name AS member FROM part), n AS (SELECT name, count(*) AS n FROM r GROUP BY name),
 p AS (SELECT a.name, b.name AS inside, count(*) AS n FROM r a JOIN r b ON a.member = b.member AND a.name <> b.name GROUP BY 1, 2)
 SELECT p.name, p.inside, p.n FROM p JOIN n ON p.name = n.name AND p.n = n.n""")
 def panel_overlap(t):
-    return bk.contained(t.part.where("p_partkey % 9 = 0").select(F.col("p_brand").alias("name"), F.floor(F.col("p_size") / 10).cast("int").alias("member")), "name", "member")
+    return bk.contained(t.part.select(F.concat_ws(" ", "p_brand", (F.col("p_size") % 10).cast("string")).alias("name"), F.col("p_name").alias("member")), "name", "member")
 
 
 @query("""
@@ -75,7 +75,7 @@ WITH r AS (SELECT DISTINCT p_brand || ' ' || p_size AS name, p_type AS member FR
 p AS (SELECT a.name, b.name AS inside, count(*) AS n FROM r a JOIN r b ON a.member = b.member AND a.name <> b.name GROUP BY 1, 2)
 SELECT p.name, p.inside, p.n FROM p JOIN n ON p.name = n.name AND p.n = n.n""")
 def panel_overlap_whole(t):
-    """Types of each brand and size over the whole part table; panel_overlap keeps to the keys of its SQL."""
+    """Types of each brand and size."""
     return bk.contained(t.part.select(F.concat_ws(" ", "p_brand", "p_size").alias("name"), F.col("p_type").alias("member")), "name", "member")
 
 
@@ -95,9 +95,8 @@ SELECT p_partkey, access, CAST(rule_seq AS INTEGER) AS rule_seq FROM m WHERE n =
 def best_rule_join(t):
     rules = t.spark.createDataFrame(RULES, "rule_seq int, r_kind string, r_brand string, access string, valid_from string, valid_to string")
     rules = rules.withColumns({c: F.col(c).cast("date") for c in ("valid_from", "valid_to")})
-    on = (F.col("r_kind").isNull() | (F.col("r_kind") == F.col("p_type"))) & (F.col("r_brand").isNull() | (F.col("r_brand") == F.col("p_brand"))) & F.lit("1998-06-01").cast("date").between(F.col("valid_from"), F.col("valid_to"))
-    weight = F.when(F.col("r_brand").isNotNull(), 2).when(F.col("r_kind").isNotNull(), 1).otherwise(0)
-    return jn.best_rule(t.part.select("p_partkey", "p_type", "p_brand"), rules, on, weight, "rule_seq", ["p_partkey"], ["access", "rule_seq"]).select("p_partkey", "access", "rule_seq")
+    valid = F.lit("1998-06-01").cast("date").between(F.col("valid_from"), F.col("valid_to"))
+    return jn.most_specific(t.part.select("p_partkey", "p_type", "p_brand"), rules, {"r_kind": "p_type", "r_brand": "p_brand"}, valid, "rule_seq", ["p_partkey"], ["access", "rule_seq"]).select("p_partkey", "access", "rule_seq")
 
 
 @query("""
@@ -201,18 +200,30 @@ def bbox_filter(t):
     return p.select("s_suppkey", F.floor(haversine_km(F.col("lat"), F.col("lon"), F.lit(50.25), F.lit(30.25)) * 1000 + 0.5).cast("long").alias("metres"))
 
 
-@query()
+def _grid(n: int, cost: str = "1 + (src * 7 + dst * 13) % 10") -> str:
+    return f"""SELECT src, dst, CAST({cost} AS BIGINT) AS cost, CASE WHEN (src + dst) % 11 = 0 THEN 4 ELSE 7 END AS access FROM (
+ SELECT i AS src, (i // {n} + d.y) * {n} + i % {n} + d.x AS dst FROM (SELECT unnest(range({n * n})) AS i), (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(x, y) WHERE i % {n} + d.x BETWEEN 0 AND {n - 1} AND i // {n} + d.y BETWEEN 0 AND {n - 1})"""
+
+
+def _grid_search(n: int, cost: str, sources: str, ceiling: int) -> str:
+    return f"""WITH RECURSIVE e AS MATERIALIZED ({_grid(n, cost)}), d(source, node, cost) USING KEY (source, node) AS (SELECT CAST(s AS BIGINT), CAST(s AS BIGINT), CAST(0 AS BIGINT) FROM (SELECT unnest({sources}) AS s)
+ UNION (SELECT d.source, e.dst, min(d.cost + e.cost) FROM d JOIN e ON d.node = e.src LEFT JOIN recurring.d k ON k.source = d.source AND k.node = e.dst WHERE d.cost + e.cost <= {ceiling} AND (k.cost IS NULL OR d.cost + e.cost < k.cost) GROUP BY d.source, e.dst))"""
+
+
+@query(f"{_grid_search(12, '1 + (src * 7 + dst * 13) % 10', '[0, 77]', 10**9)} SELECT source, node, cost FROM d")
 def sssp_grid(t):
-    return gr.shortest(gr.grid_graph(t.spark, 12), t.spark.createDataFrame([(0,), (77,)], "source long"))
+    return gr.shortest(gr.grid_graph(t.spark, 12), t.spark.createDataFrame([(0,), (77,)], "source long")).select("source", "node", "cost")
 
 
-@query()
+@query(f"{_grid_search(12, '60 * (1 + (src * 7 + dst * 13) % 10)', '[5]', 1800)}, m AS (SELECT source, node, cost, CAST(greatest(floor(cost * 1.9::DOUBLE / 60 + 0.5), 1) AS INTEGER) AS minutes FROM d) SELECT * FROM m WHERE minutes <= 30")
 def travel_matrix(t):
     costs = gr.shortest(gr.grid_graph(t.spark, 12).withColumn("cost", F.col("cost") * 60), t.spark.createDataFrame([(5,)], "source long"), ceiling=1800)
-    return gr.travel_minutes(costs, 1.9, 30)
+    return gr.travel_minutes(costs, 1.9, 30).select("source", "node", "cost", "minutes")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM ({_grid(10)}) WHERE NOT (src % 10 = 4 AND dst = src + 1) AND access >= 4 AND NOT (dst % 10 = 4 AND src = dst + 1)), r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src),
+c AS (SELECT x.a AS node, max(x.b) AS top FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a), s AS (SELECT top, count(*) AS n FROM c GROUP BY top ORDER BY n DESC, top DESC LIMIT 1) SELECT node FROM c JOIN s USING (top)""")
 def component_largest(t):
     edges = gr.grid_graph(t.spark, 10).where("NOT (src % 10 = 4 AND dst = src + 1) AND access >= 4")
     return gr.largest_strong_component(edges.where("NOT (dst % 10 = 4 AND src = dst + 1)"))

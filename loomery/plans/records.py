@@ -67,17 +67,19 @@ def external_validation(t):
 
 
 @query("""
-SELECT l_partkey % 50 AS external, CASE WHEN m.id IS NULL THEN 'unmapped' ELSE 'mapped' END AS state, count(*) AS n FROM lineitem LEFT JOIN (SELECT p_partkey AS id FROM part WHERE p_partkey % 3 <> 0 AND p_partkey < 50) m ON l_partkey % 50 = m.id GROUP BY 1, 2""")
+WITH m AS (SELECT p_partkey AS id FROM part WHERE p_brand <> 'Brand#3'), x AS (SELECT DISTINCT l_partkey + 3 AS external FROM lineitem)
+SELECT external, CASE WHEN id IS NULL THEN 'unmapped' WHEN external IS NULL THEN 'stale' ELSE 'mapped' END AS state, id FROM x FULL JOIN m ON external = id""")
 def mapping_reconciliation(t):
-    m = t.part.where("p_partkey % 3 <> 0 AND p_partkey < 50").select(F.col("p_partkey").alias("id"))
-    joined = t.lineitem.withColumn("external", F.col("l_partkey") % 50).join(m, F.col("external") == F.col("id"), "left")
-    return joined.groupBy("external", F.when(F.col("id").isNull(), "unmapped").otherwise("mapped").alias("state")).agg(F.count(F.lit(1)).alias("n"))
+    """External ids against a mapping: those without one, and mappings that nothing uses any more."""
+    m = t.part.where("p_brand <> 'Brand#3'").select(F.col("p_partkey").alias("id"))
+    seen = t.lineitem.select((F.col("l_partkey") + 3).alias("external")).distinct()
+    return jn.reconciled(seen, m, "external", "id")
 
 
 @query("""
 SELECT l_partkey AS external, CASE WHEN m.id IS NULL THEN 'unmapped' ELSE 'mapped' END AS state, count(*) AS n FROM lineitem LEFT JOIN (SELECT p_partkey AS id FROM part WHERE p_size % 3 <> 0) m ON l_partkey = m.id GROUP BY 1, 2""")
 def mapping_reconciliation_whole(t):
-    """All keys against a mapping of the whole part table; mapping_reconciliation keeps to the 50 keys of its SQL."""
+    """How many lines each external id has, mapped or not."""
     m = t.part.where("p_size % 3 <> 0").select(F.col("p_partkey").alias("id"))
     joined = t.lineitem.select(F.col("l_partkey").alias("external")).join(m, F.col("external") == F.col("id"), "left")
     return joined.groupBy("external", F.when(F.col("id").isNull(), "unmapped").otherwise("mapped").alias("state")).agg(F.count(F.lit(1)).alias("n"))
@@ -168,28 +170,79 @@ def timed(t: Tables):
     return t.events.select("event_id", "user_id", seconds.alias("at"), F.col("value").alias("cost"), (F.col("event_type") == "error").alias("failed"))
 
 
-@query()
+TIMED = "SELECT event_id AS i, user_id, CAST(date_diff('second', TIMESTAMP '2024-01-01 00:00:00', date_trunc('second', ts)) AS BIGINT) AS sec, value AS cost, event_type = 'error' AS failed, event_type FROM events"
+
+
+def _folded(key: str, first: str, row: str, step: str, seed: str) -> str:
+    """SQL of a fold: rows (i, f) of each key in order of (sec, i); `step` makes a row from acc, the rows so far, and x[1], the next."""
+    return f"""WITH t AS ({TIMED}), g AS (SELECT {key}, list([{row}] ORDER BY sec, i) AS l FROM t GROUP BY {key}),
+f AS (SELECT list_reduce(list_prepend([{seed}], l), lambda acc, x: acc || [{step}]) AS f FROM g), u AS (SELECT unnest(f) AS x FROM f)
+SELECT x.i AS event_id, {first} FROM u WHERE x.i >= 0"""
+
+
+@query(_folded("user_id", "x.ok AS accepted", "{'i': i, 'sec': sec, 'ok': true}", "{'i': x[1].i, 'sec': x[1].sec, 'ok': len(list_filter(acc, lambda y: y.ok AND y.sec > x[1].sec - 86400)) < 2}", "{'i': CAST(-1 AS BIGINT), 'sec': CAST(-100000000 AS BIGINT), 'ok': false}"))
 def sliding_window_limit(t):
-    return lg.sliding_limit(timed(t), ["user_id"], "at", 86_400, 2).select("event_id", "accepted")
+    return lg.sliding_limit(timed(t), ["user_id"], "at", 86_400, 2, "event_id").select("event_id", "accepted")
 
 
-@query()
+_LEVEL = "least(60.0::DOUBLE, acc[-1].level + (x[1].sec - acc[-1].sec) * 0.0005::DOUBLE)"
+
+
+@query(_folded("user_id", "x.ok AS accepted", "{'i': i, 'sec': sec, 'cost': cost, 'ok': true, 'level': 0.0::DOUBLE}", f"{{'i': x[1].i, 'sec': x[1].sec, 'cost': x[1].cost, 'ok': {_LEVEL} > 0, 'level': CASE WHEN {_LEVEL} > 0 THEN {_LEVEL} - x[1].cost ELSE {_LEVEL} END}}", "{'i': CAST(-1 AS BIGINT), 'sec': CAST(0 AS BIGINT), 'cost': 0.0::DOUBLE, 'ok': false, 'level': 60.0::DOUBLE}"))
 def token_bucket_limit(t):
-    return lg.token_bucket(timed(t), ["user_id"], "at", "cost", 60.0, 0.0005).select("event_id", "accepted")
+    return lg.token_bucket(timed(t), ["user_id"], "at", "cost", 60.0, 0.0005, "event_id").select("event_id", "accepted")
 
 
-@query()
-def lockout_counter(t):
-    return lg.lockout(timed(t), ["user_id"], "at", "failed", 400_000, 2, 60_000, 600_000, 1_000_000).select("event_id", "locked", "until")
+_HELD = "x[1].sec < acc[-1].lock"
+_LOCKS = "CASE WHEN acc[-1].last IS NOT NULL AND x[1].sec - acc[-1].last > 1000000 THEN 0 ELSE acc[-1].locks END"
+_FAILS = "list_filter(acc[-1].fails, lambda y: y > x[1].sec - 400000)"
+_FULL = f"x[1].failed AND len({_FAILS}) + 1 >= 2"
+_UNTIL = f"x[1].sec + least(600000, 60000 * CAST(pow(2, {_LOCKS}) AS BIGINT))"
+_LOCK_ROW = "{{'i': {0}, 'sec': {1}, 'failed': {2}, 'locked': {3}, 'until': {4}, 'fails': {5}, 'lock': {6}, 'locks': {7}, 'last': {8}}}"
 
 
-@query()
+@query(_folded("user_id", "x.locked AS locked, x.until AS until", _LOCK_ROW.format("i", "sec", "failed", "false", "CAST(0 AS BIGINT)", "CAST([] AS BIGINT[])", "CAST(-1 AS BIGINT)", "CAST(0 AS BIGINT)", "CAST(NULL AS BIGINT)"), _LOCK_ROW.format(
+    "x[1].i", "x[1].sec", "x[1].failed", _HELD, f"CASE WHEN {_HELD} THEN acc[-1].lock WHEN {_FULL} THEN {_UNTIL} ELSE 0 END",
+    f"CASE WHEN {_HELD} THEN acc[-1].fails WHEN NOT x[1].failed OR {_FULL} THEN CAST([] AS BIGINT[]) ELSE list_append({_FAILS}, x[1].sec) END", f"CASE WHEN NOT ({_HELD}) AND {_FULL} THEN {_UNTIL} ELSE acc[-1].lock END",
+    f"CASE WHEN {_HELD} THEN acc[-1].locks WHEN {_FULL} THEN {_LOCKS} + 1 ELSE {_LOCKS} END", f"CASE WHEN NOT ({_HELD}) AND {_FULL} THEN x[1].sec ELSE acc[-1].last END"), _LOCK_ROW.format("CAST(-1 AS BIGINT)", "CAST(0 AS BIGINT)", "false", "false", "CAST(0 AS BIGINT)", "CAST([] AS BIGINT[])", "CAST(-1 AS BIGINT)", "CAST(0 AS BIGINT)", "CAST(NULL AS BIGINT)")))
+def lockout_counter(t):
+    return lg.lockout(timed(t), ["user_id"], "at", "failed", 400_000, 2, 60_000, 600_000, 1_000_000, "event_id").select("event_id", "locked", "until")
+
+
+_STATUS = "CASE WHEN acc[-1].status = 'HELD' AND acc[-1].until <= x[1].sec THEN 'FREE' ELSE acc[-1].status END"
+_WHO = "CASE WHEN acc[-1].status = 'HELD' AND acc[-1].until <= x[1].sec THEN NULL ELSE acc[-1].who END"
+_AHEAD = "2000000 > x[1].sec"
+_TAKES = f"x[1].kind = 'hold' AND {_STATUS} = 'FREE' AND {_AHEAD}"
+_LETS = f"x[1].kind = 'release' AND {_STATUS} = 'HELD' AND {_WHO} IS NOT DISTINCT FROM x[1].by"
+_BOOKS = f"x[1].kind = 'book' AND {_STATUS} <> 'BOOKED' AND {_AHEAD} AND ({_STATUS} = 'FREE' OR {_WHO} IS NOT DISTINCT FROM x[1].by)"
+_CANCELS = f"x[1].kind = 'cancel' AND {_STATUS} = 'BOOKED' AND acc[-1].key IS NOT DISTINCT FROM x[1].by"
+_SLOT_ROW = "{{'i': {0}, 'sec': {1}, 'kind': {2}, 'by': {3}, 'result': {4}, 'status': {5}, 'who': {6}, 'until': {7}, 'key': {8}}}"
+_KIND = "CASE event_type WHEN 'view' THEN 'hold' WHEN 'purchase' THEN 'book' WHEN 'error' THEN 'cancel' ELSE 'release' END"
+_NONE = "CAST(NULL AS VARCHAR)"
+
+
+@query(_folded("user_id", "x.result AS result", _SLOT_ROW.format("i", "sec", _KIND, "CAST(i % 3 AS VARCHAR)", "''", "'FREE'", _NONE, "CAST(0 AS BIGINT)", _NONE), _SLOT_ROW.format(
+    "x[1].i", "x[1].sec", "x[1].kind", "x[1].by",
+    f"CASE WHEN {_TAKES} THEN 'held' WHEN x[1].kind = 'hold' THEN 'taken' WHEN {_LETS} THEN 'released' WHEN x[1].kind = 'release' THEN 'not_held' WHEN {_BOOKS} THEN 'booked' WHEN x[1].kind = 'book' AND {_STATUS} = 'BOOKED' AND acc[-1].key IS NOT DISTINCT FROM x[1].by THEN 'booked' WHEN x[1].kind = 'book' THEN 'taken' WHEN {_CANCELS} THEN 'cancelled' ELSE 'nothing' END",
+    f"CASE WHEN {_TAKES} THEN 'HELD' WHEN {_LETS} THEN 'FREE' WHEN {_BOOKS} THEN 'BOOKED' WHEN {_CANCELS} THEN CASE WHEN {_AHEAD} THEN 'FREE' ELSE 'CANCELLED' END ELSE {_STATUS} END",
+    f"CASE WHEN {_TAKES} OR {_BOOKS} THEN x[1].by WHEN {_LETS} OR {_CANCELS} THEN NULL ELSE {_WHO} END", f"CASE WHEN {_TAKES} THEN x[1].sec + 50000 WHEN {_LETS} OR {_BOOKS} OR {_CANCELS} THEN 0 ELSE acc[-1].until END",
+    f"CASE WHEN {_BOOKS} THEN x[1].by WHEN {_CANCELS} THEN NULL ELSE acc[-1].key END"), _SLOT_ROW.format("CAST(-1 AS BIGINT)", "CAST(0 AS BIGINT)", "''", _NONE, "''", "'FREE'", _NONE, "CAST(0 AS BIGINT)", _NONE)))
 def slot_operations(t):
+    """Every user's slot, worked on by three holders."""
     kind = F.when(F.col("event_type") == "view", "hold").when(F.col("event_type") == "purchase", "book").when(F.col("event_type") == "error", "cancel").otherwise("release")
-    ops = timed(t).join(t.events.select("event_id", "event_type"), "event_id").select("event_id", (F.col("user_id") % 7).alias("slot"), "at", kind.alias("kind"), F.col("user_id").cast("string").alias("who"), F.col("user_id").cast("string").alias("key"), F.lit(2_000_000).cast("long").alias("starts"))
-    return lg.apply_slot_operations(ops, "slot", "at", 50_000).select("event_id", "result")
+    holder = (F.col("event_id") % 3).cast("string")
+    ops = timed(t).join(t.events.select("event_id", "event_type"), "event_id").select("event_id", F.col("user_id").alias("slot"), "at", kind.alias("kind"), holder.alias("who"), holder.alias("key"), F.lit(2_000_000).cast("long").alias("starts"))
+    return lg.apply_slot_operations(ops, "slot", "at", 50_000, "event_id").select("event_id", "result")
 
 
-@query("SELECT o_orderkey, sum(l_linenumber) AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P' GROUP BY o_orderkey".replace("sum(l_linenumber)", "CAST(sum(l_linenumber) AS BIGINT)"))
+@query("""
+WITH l AS (SELECT l_orderkey AS o, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS price, l_returnflag AS k FROM lineitem), f AS (SELECT o, k, CASE k WHEN 'A' THEN 500 WHEN 'N' THEN 300 END AS fee FROM (SELECT DISTINCT o, k FROM l)),
+i AS (SELECT o, CAST(sum(price) AS BIGINT) AS items, count(*) AS n FROM l GROUP BY o), g AS (SELECT o, CAST(coalesce(sum(fee), 0) AS BIGINT) AS fees, count(*) FILTER (fee IS NULL) AS missing FROM f GROUP BY o)
+SELECT i.o AS o_orderkey, n, items, fees, items + fees AS total, missing FROM i JOIN g ON i.o = g.o""")
 def booking_lines(t):
-    return t.orders.where("o_orderstatus = 'P'").join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(F.sum("l_linenumber").alias("weight"))
+    """Orders as bookings: their lines, one fee for each kind among them, the total, and kinds without a fee."""
+    lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), cents(F.col("l_extendedprice")).alias("price"), F.col("l_returnflag").alias("kind"))
+    fee = F.when(F.col("kind") == "A", 500).when(F.col("kind") == "N", 300)
+    kinds = lines.select("o_orderkey", "kind").distinct().groupBy("o_orderkey").agg(F.coalesce(F.sum(fee), F.lit(0)).alias("fees"), F.count_if(fee.isNull()).alias("missing"))
+    items = lines.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("items"))
+    return items.join(kinds, "o_orderkey").select("o_orderkey", "n", "items", "fees", (F.col("items") + F.col("fees")).alias("total"), "missing")

@@ -28,18 +28,23 @@ def trigram_similarity(t):
     return lk.similar_by_trigrams(t.part.select(F.col("p_name").alias("k")).distinct(), "k", "k", 0.3)
 
 
-@query("""
-WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM benchmark) WHERE length(w) BETWEEN 6 AND 9 AND regexp_full_match(w, '[a-z]+'))
-SELECT a.w AS a, b.w AS b, CAST(levenshtein(a.w, b.w) AS INTEGER) AS distance FROM w a JOIN w b ON substr(a.w, 1, 3) = substr(b.w, 1, 3) AND a.w < b.w WHERE levenshtein(a.w, b.w) <= 1""")
+_WORDS = "SELECT DISTINCT w FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM benchmark) WHERE w <> ''"
+#: DuckDB counts edits in bytes, so letters of two bytes are told as capitals, which lower-cased words have none of.
+_ONE_BYTE = "translate({0}, 'äöüßéèêëçáíóúñàùîïôûâœ¿¡', 'ABCDEFGHIJKLMNOPQRSTUVWX')"
+_PAIRS = f"WITH w AS ({{0}}), v AS (SELECT w, {_ONE_BYTE.format('w')} AS v FROM w) SELECT a.w AS a, b.w AS b, CAST({{1}}(a.v, b.v) AS INTEGER) AS distance FROM v a JOIN v b ON substr(a.w, 1, 1) = substr(b.w, 1, 1) AND a.w < b.w WHERE {{1}}(a.v, b.v) <= {{2}}"
+
+
+@query(_PAIRS.format(_WORDS, "levenshtein", 2))
 def levenshtein_block_join(t):
-    words = t.benchmark.select(F.explode(F.split(F.lower("text"), " ")).alias("w")).where("length(w) BETWEEN 6 AND 9 AND w RLIKE '^[a-z]+$'").distinct()
-    pairs = lk.blocked_distance(words.select(F.col("w").alias("a")), words.select(F.col("w").alias("b")), "a", "b", 1, block=3)
+    """Pairs of words with the same first character, at most two edits apart."""
+    words = t.benchmark.select(F.explode(F.split(F.lower("text"), " ")).alias("w")).where("w <> ''").distinct()
+    pairs = lk.blocked_distance(words.select(F.col("w").alias("a")), words.select(F.col("w").alias("b")), "a", "b", 2)
     return pairs.where("a < b").select("a", "b", "distance")
 
 
-@query()
+@query(_PAIRS.format(_WORDS, "levenshtein", 1))
 def levenshtein_words(t):
-    """levenshtein_block_join over all words; that one keeps to the words and the block of its SQL."""
+    """Pairs one edit apart, by what is left of a word without one character."""
     return lk.one_edit_pairs(t.benchmark.select(F.explode(F.split(F.lower("text"), " ")).alias("w")), "w")
 
 
@@ -88,8 +93,10 @@ def policy_verdict(t):
     n = pv.counts(text)
     hard = sum((n[k] for k in pv.HARD), F.lit(0))
     soft = sum((n[k] for k in ("url", "ipv4", "uuid", "date")), F.lit(0))
-    digits = F.length(F.regexp_replace(text, "[^0-9]", ""))
-    return t.documents.select("doc_id", pv.verdict(hard, hard + soft, digits, F.length(text), F.lower(text).rlike("idiot.*moron")).alias("verdict"))
+    seen = F.struct(hard.alias("hard"), soft.alias("soft"), F.length(F.regexp_replace(text, "[^0-9]", "")).alias("digits"), F.length(text).alias("n"), F.lower(text).rlike("idiot.*moron").alias("emergency"))
+    # as a lambda's argument the counts are made once, however often the rules name them
+    told = F.transform(F.array(seen), lambda c: pv.verdict(c["hard"], c["hard"] + c["soft"], c["digits"], c["n"], c["emergency"]))
+    return t.documents.select("doc_id", F.get(told, 0).alias("verdict"))
 
 
 @query(r"""
@@ -101,19 +108,25 @@ def closed_vocab(t):
     return pv.unknown_words(t.conversations, ["conv_id", "turn"], "text", words, "w")
 
 
-@query(f"""
-WITH e AS (SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all(text, {_re('email')})) AS value, {_masked_sql('text')} AS sent FROM documents)
-SELECT kind, count(*) AS n, count(*) FILTER (contains(lower(sent), lower(value))) AS leaked FROM e GROUP BY kind""")
+LEAK_KINDS = list(dict.fromkeys([*KINDS, *pv.HARD]))
+_ALL_VALUES = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, {_re(k)})) AS value, m FROM s" for k in LEAK_KINDS)
+_WINDOW = "CASE WHEN length(d) >= {0} THEN len(list_filter(generate_series(1, length(d) - {1}), lambda i: contains(ds, substr(d, CAST(i AS BIGINT), {0})))) > 0 ELSE false END"
+LEAKED = f"""
+WITH s AS (SELECT doc_id, text, {_masked_sql('text')} AS m FROM documents), e AS (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS d, CASE WHEN kind IN ('phone', 'card') THEN regexp_replace(m, '[^0-9]', '', 'g') END AS ds FROM ({_ALL_VALUES})),
+l AS (SELECT doc_id, kind, CASE WHEN kind = 'phone' THEN {_WINDOW.format(5, 4)} WHEN kind = 'card' THEN {_WINDOW.format(6, 5)} ELSE contains(lower(m), lower(value)) END AS leaked FROM e)"""
+
+
+@query(f"{LEAKED} SELECT doc_id, kind, count(*) AS n, count(*) FILTER (leaked) AS leaked FROM l GROUP BY doc_id, kind")
 def leak_check(t):
+    """Leaks by document: of every masked kind and those that may never leave."""
     sent = t.documents.select("doc_id", pv.masked(F.col("text"), KINDS).alias("sent"))
-    samples = pv.values(t.documents, ["doc_id"], "text", ["email"]).join(sent, "doc_id")
-    return pv.leaks(samples, ["doc_id"], "sent", "kind", "value").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("leaked").alias("leaked"))
+    samples = pv.values(t.documents, ["doc_id"], "text", LEAK_KINDS).join(sent, "doc_id")
+    return pv.leaks(samples, ["doc_id"], "sent", "kind", "value").groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("leaked").alias("leaked"))
 
 
-@query()
+@query(f"{LEAKED} SELECT kind, count(*) AS n, count(*) FILTER (leaked) AS leaked FROM l GROUP BY kind")
 def leak_check_all(t):
-    """Every masked kind and those that may never leave; leak_check keeps to the e-mails of its SQL."""
-    kinds = list(dict.fromkeys([*KINDS, *pv.HARD]))
+    kinds = LEAK_KINDS
     sent = t.documents.select("doc_id", pv.masked(F.col("text"), KINDS).alias("sent"))
     samples = pv.values(t.documents, ["doc_id"], "text", kinds).join(sent, "doc_id")
     return pv.leaks(samples, ["doc_id"], "sent", "kind", "value").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("leaked").alias("leaked"))
@@ -171,7 +184,7 @@ def lookup_cascade(t):
     return lk.cascade(m, "mention", [("exact", exact), ("noun", noun)])
 
 
-@query()
+@query(_PAIRS.format(_WORDS, "damerau_levenshtein", 1))
 def osa_join(t):
     return lk.one_edit_pairs(t.benchmark.select(F.explode(F.split(F.lower("text"), " ")).alias("w")), "w", exact_swaps=True)
 
@@ -208,10 +221,10 @@ def url_parts(t):
 
 
 @query(r"""
-WITH c AS (SELECT doc_id, substr(text, 1, 60) AS v FROM documents), s AS (SELECT doc_id, CASE WHEN regexp_matches(v, '^[=+\-@\t\r]') THEN '''' || v ELSE v END AS s FROM c)
+WITH c AS (SELECT doc_id, text AS v FROM documents), s AS (SELECT doc_id, CASE WHEN regexp_matches(v, '^[=+\-@\t\r]') THEN '''' || v ELSE v END AS s FROM c)
 SELECT doc_id, CASE WHEN regexp_matches(s, '[",;\r\n]') THEN '"' || replace(s, '"', '""') || '"' ELSE s END AS cell FROM s""")
 def csv_escape(t):
-    return t.documents.select("doc_id", tx.csv_cell(F.substring("text", 1, 60)).alias("cell"))
+    return t.documents.select("doc_id", tx.csv_cell(F.col("text")).alias("cell"))
 
 
 @query(r"""
@@ -219,7 +232,7 @@ WITH s AS (SELECT doc_id, CASE WHEN regexp_matches(text, '^[=+\-@\t\r]') THEN ''
 c AS (SELECT doc_id, CASE WHEN regexp_matches(s, '[",;\r\n]') THEN '"' || replace(s, '"', '""') || '"' ELSE s END AS cell FROM s)
 SELECT doc_id, md5(cell) AS digest, length(cell) AS chars FROM c""")
 def csv_escape_whole(t):
-    """Cells of whole texts; csv_escape keeps to the prefix of its SQL."""
+    """Digest and length of the cells."""
     cell = tx.csv_cell(F.col("text"))
     return t.documents.select("doc_id", F.md5(cell).alias("digest"), F.length(cell).cast("long").alias("chars"))
 
