@@ -18,13 +18,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a batch that with_struct sends back.
 BATCH_ROWS = 500
 _own: dict[str, str] = {}
+_written: dict[str, set[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session that names none one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="loomery-", dir=os.environ.get("TMPDIR") or None)
@@ -38,17 +41,36 @@ def materialise(df: DataFrame) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomery/{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table that materialise() wrote and nothing will read again."""
+    _written.get(spark.sparkContext.applicationId, set()).discard(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete every table that materialise() wrote in this session: once the results that read them are written themselves."""
+    for path in list(_written.get(spark.sparkContext.applicationId, ())):
+        discard(spark, path)
+
+
+def own_names(columns: list[str], made: list[str]) -> dict[str, str]:
+    """What columns are called beside those that an operator makes: a clashing one gets an underscore, as many as it takes."""
+    out: dict[str, str] = {}
+    for c in columns:
+        name = c
+        while name in made or name in out.values():
+            name += "_"
+        out[c] = name
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

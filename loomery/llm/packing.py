@@ -1,12 +1,13 @@
 """Packing into batches by optimal length buckets.
 
-The global histogram of sequence lengths goes to the driver (at most GRID steps of length), dynamic
+The global histogram of sequence lengths goes to the driver (at most `longest` of them), dynamic
 programming there chooses the bucket boundaries that minimise padding, and token-budget batches form
 inside each bucket: a batch of a bucket of length L holds budget // L sequences, each padded to L.
 
 A text above `longest` words is cut into pieces of `longest`, so no sequence is dropped or cut short.
 Nulls and empty texts have no tokens: they keep a row with piece 0, length 0 and no batch. Rows that
-repeat are packed each on its own. Other columns are kept by `pack`.
+repeat are packed each on its own. Other columns are kept by `pack`; one that is named like a column
+that it makes gets an underscore.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, gapless, materialise, text_or_empty
+from .common import WORD, gapless, materialise, own_names, text_or_empty
 
 LONGEST = 2048
 BUDGET = 16_384
 BUCKETS = 16
-#: Boundaries are multiples of longest / GRID; optimal among those (exact when longest <= GRID).
-GRID = 2048
+#: Rows that are numbered together.
+CELL_ROWS = 20_000
+MADE = ["piece", "length", "bucket", "padded", "batch", "place"]
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> tuple[list[int], int]:
@@ -66,9 +68,9 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> tuple[l
 
 
 def sequences(docs: DataFrame, longest: int, keep: list[str]) -> DataFrame:
-    """A row per piece: kept columns, piece, length."""
+    """A row per piece: kept (a struct of columns), __id, __th (of doc_id and text), piece, length."""
     n = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
-    rows = docs.select(*keep, n.alias("__n"), F.xxhash64(text_or_empty()).alias("__th"))
+    rows = docs.select(F.struct(*keep).alias("kept"), n.alias("__n"), F.col("doc_id").alias("__id"), F.xxhash64(text_or_empty(), "doc_id").alias("__th"))
     last = F.greatest(F.ceil(F.col("__n") / F.lit(longest)).cast("long") - 1, F.lit(0).cast("long"))
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     return pieces.withColumn("length", F.least(F.col("__n") - F.col("piece") * longest, F.lit(longest).cast("long"))).drop("__n")
@@ -76,23 +78,21 @@ def sequences(docs: DataFrame, longest: int, keep: list[str]) -> DataFrame:
 
 def pack(docs: DataFrame, keep: list[str], longest: int = LONGEST, budget: int = BUDGET, buckets: int = BUCKETS) -> DataFrame:
     """Kept columns, piece, length, bucket (0 for no tokens), padded (length in the batch), batch, place."""
-    step = -(-longest // GRID)
     rows, _ = materialise(sequences(docs, longest, keep))
-    rung = F.ceil(F.col("length") / F.lit(step)).cast("long")
-    histogram = rows.where("length > 0").groupBy(rung.alias("r")).agg(F.count(F.lit(1)).alias("c")).collect()
-    uppers, _ = boundaries(np.array([r.r for r in histogram], np.int64), np.array([r.c for r in histogram], np.int64), buckets)
-    tops = [min(u * step, longest) for u in uppers]
+    histogram = rows.where("length > 0").groupBy(F.col("length").alias("r")).agg(F.count(F.lit(1)).alias("c")).collect()  # at most `longest` lengths
+    tops, _ = boundaries(np.array([r.r for r in histogram], np.int64), np.array([r.c for r in histogram], np.int64), buckets)
     bucket = F.when(F.col("length") <= 0, F.lit(0))
     padded = F.when(F.col("length") <= 0, F.lit(0).cast("long"))
     for i, top in enumerate(tops):
         bucket = bucket.when(F.col("length") <= top, F.lit(i + 1))
         padded = padded.when(F.col("length") <= top, F.lit(top).cast("long"))
     placed = rows.withColumns({"bucket": bucket.cast("int"), "padded": padded})
-    mixed = F.xxhash64("__th", "piece", *[c for c in keep if c == "doc_id"])
-    numbered = gapless(placed.withColumn("__mix", mixed), ["bucket"], ["__mix", "length", *[c for c in keep if c == "doc_id"]], [F.shiftright("__mix", 52)], "__k")
+    bits = max(12, (rows.count() // CELL_ROWS).bit_length())
+    mixed = placed.withColumn("__mix", F.xxhash64("__th", "piece"))
+    numbered = gapless(mixed, ["bucket"], ["__mix", "length", "__id"], [F.shiftright("__mix", 64 - bits)], "__k")
     each = F.greatest(F.floor(F.lit(budget) / F.col("padded")), F.lit(1).cast("long"))
     out = numbered.withColumns({"batch": F.when(F.col("bucket") > 0, F.floor(F.col("__k") / each).cast("long")), "place": F.when(F.col("bucket") > 0, F.pmod(F.col("__k"), each).cast("int"))})
-    return out.select(*keep, "piece", "length", "bucket", "padded", "batch", "place")
+    return out.select(*[F.col("kept")[c].alias(n) for c, n in own_names(keep, MADE).items()], *MADE)
 
 
 def pack_digest(docs: DataFrame) -> DataFrame:

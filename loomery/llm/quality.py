@@ -56,47 +56,76 @@ def _again(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return place[order], number[order]
 
 
+def _first_ranks(words: Words, end: np.ndarray, k: int) -> np.ndarray:
+    """For every word the number of suffixes that come before its own, by text and the next k words; equal ones share it.
+
+    Words are in the order of their hashes, which is as good as any, and a text's end comes before every word.
+    """
+    n = len(words.hashes)
+    _, number = np.unique(words.hashes, return_inverse=True)
+    number = np.append(number.astype(np.int64) + 1, np.zeros(k, np.int64))
+    place = np.arange(n)
+    ahead = [np.where(place + j < end, number[place + j], 0) for j in range(k)]
+    bits = int(number.max()).bit_length()
+    keys, each = [words.doc], max(1, 62 // bits)
+    for i in range(0, k, each):
+        packed = ahead[i]
+        for x in ahead[i + 1 : i + each]:
+            packed = (packed << bits) | x
+        keys.append(packed)
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(n, bool)
+    for key in keys:
+        new[1:] |= np.diff(key[order]) != 0
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, place, 0))
+    return rank
+
+
 def repeat_lengths(words: Words, k: int = MIN_REPEAT) -> tuple[np.ndarray, np.ndarray]:
     """(places, length in words of the longest string from there that occurs again in the text).
 
-    Prefix doubling ranks the suffixes by k, 2k, 4k, ... words; the same ranks then measure the common
-    prefixes of neighbours in suffix-array order.
+    The suffixes are ranked by their first k words, and by prefix doubling those that tie by 2k, 4k, ...
+    A rank is the number of suffixes before, so those that are settled keep theirs. The ranks of each
+    round then measure the common prefixes of neighbours in suffix-array order.
     """
-    place, number = _again(words, k)
+    n = len(words.hashes)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    end = words.first[words.doc + 1]
+    level = _first_ranks(words, end, k)
+    place = np.flatnonzero(np.bincount(level, minlength=n)[level] > 1)
     if not len(place):
         return place, place
-    n = len(words.hashes)
-    # a suffix outside `place` is unlike any other after k words: its rank is its own
-    alone = -1 - np.arange(n + 1)
-    level = alone.copy()
-    level[place] = number
     levels, reach = [level], k
     while True:
-        ahead = level[np.minimum(place + reach, n)]
+        ahead = np.where(place + reach < end[place], level[np.minimum(place + reach, n - 1)], -1)
         order = np.lexsort((ahead, level[place]))
         a, b = level[place[order]], ahead[order]
-        same = np.zeros(len(order), bool)
-        same[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-        if not same.any():
+        at = np.arange(len(order))
+        group, head = np.ones(len(order), bool), np.ones(len(order), bool)
+        group[1:] = a[1:] != a[:-1]
+        head[1:] = group[1:] | (b[1:] != b[:-1])
+        level = level.copy()
+        level[place[order]] = a + np.maximum.accumulate(np.where(head, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
+        if head.all():
             break
-        level = alone.copy()
-        level[place[order]] = np.cumsum(~same)
         levels.append(level)
         reach *= 2
     suffix = place[order]
+    last = end[suffix]
     p, q = suffix[:-1].copy(), suffix[1:].copy()
     common = np.zeros(len(p), np.int64)
+    inside = lambda: (p < last[:-1]) & (q < last[1:])
     for i in range(len(levels) - 1, -1, -1):
-        equal = (levels[i][np.minimum(p, n)] == levels[i][np.minimum(q, n)]) & (p < n) & (q < n)
+        equal = inside() & (levels[i][np.minimum(p, n - 1)] == levels[i][np.minimum(q, n - 1)])
         step = (k << i) * equal
         common += step
         p, q = p + step, q + step
-    end = words.first[words.doc[suffix] + 1]
-    open_ = np.ones(len(p), bool)
+    open_ = common > 0
     for _ in range(k - 1):  # the rest is shorter than k
-        open_ &= (common > 0) & (p < end[:-1]) & (q < end[1:])
-        at, to = np.minimum(p, n - 1), np.minimum(q, n - 1)
-        open_ &= words.hashes[at] == words.hashes[to]
+        open_ &= inside()
+        open_ &= words.hashes[np.minimum(p, n - 1)] == words.hashes[np.minimum(q, n - 1)]
         common += open_
         p, q = p + open_, q + open_
     longest = np.zeros(len(suffix), np.int64)

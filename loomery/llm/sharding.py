@@ -19,11 +19,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import gapless, materialise, text_or_empty
+from .common import gapless, materialise, own_names, text_or_empty
 
 SHARDS = 24
 BITS = 10
 KEY_BITS = 60
+#: Rows that a cell of equal texts is meant to have at most.
+CELL_ROWS = 20_000
 #: A splitter may miss its target by this share of a shard's bytes.
 TOLERANCE = 0.01
 
@@ -108,16 +110,22 @@ def assign(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE)
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law)."""
     rows, _ = materialise(keyed_sizes(docs))
     placed = rows.withColumn("shard", shard_of(splitters(rows, shards, tolerance)).cast("int"))
-    cells = [F.shiftright("hi", KEY_BITS - BITS), F.shiftright("lo", KEY_BITS - 4)]
+    # as many cells of one text's rows as the count of rows asks, so that a text that is a third of them is dealt out too
+    bits = max(4, (rows.count() // CELL_ROWS).bit_length())
+    cells = [F.shiftright("hi", KEY_BITS - BITS), F.shiftright("lo", KEY_BITS - bits)]
     numbered = gapless(placed, ["shard"], ["hi", "lo", "doc_id"], cells, "slot")
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, tolerance: float = TOLERANCE) -> None:
-    """Write the documents themselves, a folder per shard, in one exchange by (shard, part of its key range)."""
-    sized = docs.withColumns({f"__{c}": e for c, e in (("hi", F.xxhash64(text_or_empty()).bitwiseAND(F.lit((1 << KEY_BITS) - 1))), ("lo", F.xxhash64(F.lit(1), F.col("doc_id")).bitwiseAND(F.lit((1 << KEY_BITS) - 1))))})
+    """Write the documents themselves, a folder per shard, in one exchange by (shard, part of its key range).
+
+    A column of theirs called shard is written as shard_.
+    """
     rows, _ = materialise(keyed_sizes(docs))
-    bounds = splitters(rows, shards, tolerance)
-    above = [((F.col("__hi") > hi) | ((F.col("__hi") == hi) & (F.col("__lo") >= lo))).cast("int") for hi, lo in bounds]
-    placed = sized.withColumn("shard", sum(above[1:], above[0]) if above else F.lit(0))
-    placed.repartition("shard", F.shiftright("__lo", KEY_BITS - 3)).drop("__hi", "__lo").write.partitionBy("shard").parquet(path)
+    bits = max(3, (rows.count() // CELL_ROWS).bit_length())
+    mask = F.lit((1 << KEY_BITS) - 1)
+    keyed = docs.select(F.xxhash64(text_or_empty()).bitwiseAND(mask).alias("hi"), F.xxhash64(F.lit(1), F.col("doc_id")).bitwiseAND(mask).alias("lo"), F.struct(*docs.columns).alias("row"))
+    placed = keyed.withColumn("shard", shard_of(splitters(rows, shards, tolerance))).repartition("shard", F.shiftright("lo", KEY_BITS - bits))
+    names = own_names(docs.columns, ["shard"])
+    placed.select("shard", *[F.col("row")[c].alias(n) for c, n in names.items()]).write.partitionBy("shard").parquet(path)

@@ -201,3 +201,90 @@ def test_pipeline_stages(spark):
     packed = cp.run(spark, sf)
     assert packed.agg(F.sum("length")).first()[0] == words
     assert [s for s, _ in cp.STAGES] == ["quality_rules", "near_duplicates", "repeated_passages", "source_mix", "batches"]
+
+
+def test_lines_that_polynomials_take_for_equal(make_docs):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    lines = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    row = quality.quality_digest(make_docs(["\n".join(lines), "\n".join([lines[0], *lines])])).orderBy("doc_id").collect()
+    assert [r.n_dup_lines for r in row] == [0, 1]
+
+
+def test_clashing_names(spark, make_docs, tmp_path):
+    """Columns called as the operators' own come back, with an underscore where both stand side by side."""
+    from loomery.llm import minhash_dedup, suffix_dedup
+
+    names = ["dk", "th", "row", "text_", "quality", "shard", "length", "piece", "kept", "size", "__s", "__dk", "hi", "lo", "label"]
+    docs = make_docs([" ".join(f"w{j}" for j in range(i % 7, 60)) for i in range(20)]).withColumns({n: F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")) for n in names})
+    for f in (quality.keep_good, minhash_dedup.drop_near_duplicates, suffix_dedup.cut_repeats, mixing.take):
+        got = f(docs)
+        assert got.columns == docs.columns
+        for r in got.collect():
+            assert all(r[n] == f"{n} {r.doc_id}" for n in names)
+    packed = packing.pack(docs, ["doc_id", "length", "piece", "dk"])
+    assert packed.columns == ["doc_id", "length_", "piece_", "dk", *packing.MADE] and all(r.length_ == f"length {r.doc_id}" and r.length > 0 for r in packed.collect())
+    sharding.write_shards(docs, str(tmp_path / "s"), shards=3)
+    back = spark.read.parquet(str(tmp_path / "s")).collect()
+    assert len(back) == 20 and all(r.shard_ == f"shard {r.doc_id}" and 0 <= r.shard < 3 for r in back)
+
+
+def test_near_duplicates_among_rows_of_one_id(spark):
+    from loomery.llm import minhash_dedup
+
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text, x) for x in ("b", "a", "c")] + [(2, text, "d"), (3, "", "e"), (3, "", "f"), (None, text + " end", "g")]
+    got = [sorted(r.x for r in minhash_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, x string").repartition(n)).collect()) for n in (1, 3, 5)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 3 and got[0][-2:] == ["e", "f"]
+
+
+def test_shards_equal_a_plain_cut_by_bytes(make_docs):
+    """Rows in order of their keys, cut where the bytes pass each share: every boundary within the tolerance of that cut."""
+    docs = make_docs([f"text {i} " * (i % 40) for i in range(1500)])
+    rows = sharding.keyed_sizes(docs).collect()
+    ordered = sorted(rows, key=lambda r: (r.hi, r.lo))
+    total = sum(r.size for r in rows)
+    upto = np.cumsum([r.size for r in ordered])
+    got = {r.doc_id: r.shard for r in sharding.assign(docs, shards=6, tolerance=0.02).collect()}
+    shards = [got[r.doc_id] for r in ordered]
+    assert shards == sorted(shards)
+    for s in range(1, 6):
+        cut = sum(x < s for x in shards)
+        assert abs(upto[cut - 1] - total * s / 6) <= 0.02 * total / 6 + max(r.size for r in rows)
+
+
+def test_whole_packing_against_a_plain_program(make_docs):
+    made = texts(9, 120) + ["w " * 450]
+    rows = packing.pack(make_docs(made), ["doc_id"], longest=200, budget=900, buckets=5).collect()
+    lengths = []
+    for i, t in enumerate(made):
+        n = len(WORD.findall(t or ""))
+        lengths += [(i, p, max(0, min(200, n - 200 * p))) for p in range(max(1, -(-n // 200)))]
+    assert sorted((r.doc_id, r.piece, r.length) for r in rows) == sorted(lengths)
+    histogram = Counter(n for _, _, n in lengths if n)
+    values = sorted(histogram)
+    best = {(-1, 0): (0, [])}
+    for k in range(1, 6):  # plain dynamic programming over all boundaries
+        for j in range(len(values)):
+            options = [(best[i, k - 1][0] + sum(histogram[v] * (values[j] - v) for v in values[i + 1 : j + 1]), best[i, k - 1][1] + [values[j]]) for i in range(-1, j) if (i, k - 1) in best]
+            if options:
+                best[j, k] = min(options)
+    padding = min(best[len(values) - 1, k][0] for k in range(1, 6) if (len(values) - 1, k) in best)
+    assert sum(r.padded - r.length for r in rows) == padding
+    for bucket in {r.bucket for r in rows if r.bucket}:
+        held = [r for r in rows if r.bucket == bucket]
+        each = max(1, 900 // held[0].padded)
+        assert sorted((r.batch, r.place) for r in held) == [(k // each, k % each) for k in range(len(held))]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_repeat_lengths_over_few_words(seed):
+    """Small alphabets, where repeats run into each other and into the ends of texts: spans and longest by brute force."""
+    from loomery.llm.textkit import buffers
+
+    import pyarrow as pa
+
+    rng = random.Random(seed)
+    made = [" ".join(rng.choice("abc"[: rng.randint(1, 3)]) for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    data, offsets = buffers(pa.array(made))
+    got = [tuple(x.tolist()) for x in quality.measure(data, offsets)]
+    assert list(zip(*got)) == [brute_quality(t) for t in made]
