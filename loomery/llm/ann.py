@@ -5,7 +5,9 @@ PARTS slices of the residuals a codebook of CODES entries. Every vector is index
 centroid. A query probes the lists of the largest inner products with the centroids; in each, an
 asymmetric distance table gives approximate scores, and the RERANK best are scored exactly on the
 original vectors. How many lists are probed is measured on the sample, as the smallest number that
-holds TARGET of the true neighbours; `recall` measures the result against brute force.
+holds TARGET of the true neighbours. Then `recall` measures the result itself: CHECKED queries are
+compared with all vectors, in blocks, and while less than LEAST of their neighbours are found the
+probes grow by a half.
 
 Lists are cut into blocks of at most BLOCK vectors by hash of the id, and the queries of a block into
 parts, so a list or vector that holds a third of all rows is many small tasks. Only the vectors of
@@ -13,7 +15,8 @@ one block are in memory.
 
 Vectors that are null, zero, of another dimension than most, or hold null or non-finite components
 take no part. Equal vectors have equal codes, and ties go to the smaller id throughout. A query finds
-all candidates if there are fewer than k. Rows that repeat an id are candidates of their own.
+all candidates if there are fewer than k. Rows that repeat an id are queries and candidates of their own:
+only a query's own row is no candidate of it.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 SAMPLE = 20_000
 PARTS = 16
@@ -34,7 +37,10 @@ CODES = 64
 BLOCK = 4096
 QUERY_BLOCK = 4096
 RERANK = 200
-TARGET = 0.99
+TARGET = 0.96
+#: Queries whose neighbours are counted against brute force, and the share of them that must be found.
+CHECKED = 64
+LEAST = 0.92
 K = 20
 
 
@@ -101,19 +107,19 @@ def fit(x: np.ndarray, lists: int, k: int = K, target: float = TARGET) -> Index:
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """(vec_id, v): the vectors that take part, as doubles."""
+    """(key, vec_id, v): the vectors that take part, as doubles; key names the row, once this is written as a table."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     good = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null").where(fine)
     common = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return good.where(F.size("v") == (common.d if common else 0))
+    return good.where(F.size("v") == (common.d if common else 0)).select(F.monotonically_increasing_id().alias("key"), "vec_id", "v")
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-ROWS = "list int, part int, queries int, kind int, id long, v binary, code binary"
+ROWS = "list int, part int, queries int, kind int, key long, id long, v binary, code binary"
 
 
 def _binary(x: np.ndarray) -> pa.Array:
@@ -128,7 +134,7 @@ def _deal(index: Index, dim: int, parts: np.ndarray, query_parts: np.ndarray, as
         for whole in batches:
             for i in range(0, len(whole), 1000):
                 batch = whole.slice(i, 1000)
-                x, ids, salt = _matrix(batch.column("v"), dim), batch.column("vec_id").to_numpy(), batch.column("salt").to_numpy()
+                x, keys, ids, salt = _matrix(batch.column("v"), dim), *(batch.column(c).to_numpy() for c in ("key", "vec_id", "salt"))
                 if as_queries:
                     lists = index.order(x)[:, : index.probes].ravel()
                     row = np.repeat(np.arange(len(x)), index.probes)
@@ -144,32 +150,32 @@ def _deal(index: Index, dim: int, parts: np.ndarray, query_parts: np.ndarray, as
                 at = pa.array(row[again])
                 codes = pa.nulls(len(again), pa.binary()) if as_queries else code.take(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(z) for z in (lists[again].astype(np.int32), part.astype(np.int32), query.astype(np.int32), np.full(len(again), int(as_queries), np.int32), ids[row[again]])] + [_binary(x).take(at), codes],
-                    names=["list", "part", "queries", "kind", "id", "v", "code"],
+                    [pa.array(z) for z in (lists[again].astype(np.int32), part.astype(np.int32), query.astype(np.int32), np.full(len(again), int(as_queries), np.int32), keys[row[again]], ids[row[again]])] + [_binary(x).take(at), codes],
+                    names=["list", "part", "queries", "kind", "key", "id", "v", "code"],
                 )
 
     return run
 
 
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query long, query_id long, key long, vec_id long, score double"
 
 
 def _search(index: Index, dim: int, k: int, rerank: int):
     """Rows come block by block, vectors before queries."""
 
-    def top(which, ids, x, codes, query_ids, queries):
+    def top(which, ids, keys, x, codes, query_ids, query_keys, queries):
         score = index.approximate(queries, codes, which)
-        score[query_ids[:, None] == ids[None, :]] = -np.inf
+        score[query_keys[:, None] == keys[None, :]] = -np.inf
         n = min(rerank, len(ids))
         best = np.argsort(-score, axis=1, kind="stable")[:, :n]  # ids ascend, so ties go to the smaller
         exact = np.einsum("qd,qnd->qn", queries, x[best])
         exact[np.take_along_axis(score, best, axis=1) == -np.inf] = -np.inf
         named = ids[best]
         order = np.lexsort((named, -exact), axis=1)[:, :k]
-        exact, named = (np.take_along_axis(z, order, axis=1) for z in (exact, named))
-        q = np.repeat(query_ids, exact.shape[1])
+        exact, named, found = (np.take_along_axis(z, order, axis=1) for z in (exact, named, keys[best]))
         fine = exact.ravel() > -np.inf
-        return pa.RecordBatch.from_arrays([pa.array(q[fine]), pa.array(named.ravel()[fine]), pa.array(exact.ravel()[fine])], names=["query_id", "vec_id", "score"])
+        told = (np.repeat(query_keys, exact.shape[1]), np.repeat(query_ids, exact.shape[1]), found.ravel(), named.ravel(), exact.ravel())
+        return pa.RecordBatch.from_arrays([pa.array(z[fine]) for z in told], names=["query", "query_id", "key", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, ready = None, [], None
@@ -180,30 +186,31 @@ def _search(index: Index, dim: int, k: int, rerank: int):
                 if a == b:
                     continue
                 which, kind = tuple(block[a, :3].tolist()), block[a, 3]
-                ids = batch.column("id").to_numpy()[a:b]
+                ids, keys = (batch.column(c).to_numpy()[a:b] for c in ("id", "key"))
                 x = np.frombuffer(b"".join(batch.column("v").slice(a, b - a).to_pylist()), np.float64).reshape(-1, dim)
                 if which != key:
                     key, held, ready = which, [], None
                 if kind == 0:
                     codes = np.frombuffer(b"".join(batch.column("code").slice(a, b - a).to_pylist()), np.uint8).reshape(b - a, -1)
-                    held.append((ids, x, codes))
+                    held.append((ids, keys, x, codes))
                 elif held:
                     if ready is None:
                         ready = [np.concatenate(z) for z in zip(*held, strict=True)]
                         order = np.argsort(ready[0], kind="stable")
                         ready = [z[order] for z in ready]
                     for i in range(0, b - a, 64):
-                        yield top(key[0], *ready, ids[i : min(i + 64, b - a)], x[i : min(i + 64, b - a)])
+                        yield top(key[0], *ready, ids[i : i + 64], keys[i : i + 64], x[i : i + 64])
 
     return run
 
 
 def build(vectors: DataFrame, lists: int | None = None, k: int = K) -> Index | None:
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "key").limit(SAMPLE).select("v").toPandas()
     if not len(sample):
         return None
     if lists is None:
-        lists = max(64, round(vectors.count() ** 0.5 / 8))
+        # eight sample vectors a list at least; as many lists as the sample carries, and no more than the root of the rows asks
+        lists = max(64, min(len(sample) // 40, round(2 * vectors.count() ** 0.5)))
     return fit(np.array(sample["v"].tolist(), np.float64), lists, k)
 
 
@@ -220,12 +227,48 @@ def search(vectors: DataFrame, queries: DataFrame, index: Index, k: int = K, rer
         return n
 
     parts, query_parts = counts(vectors, False, BLOCK), counts(queries, True, QUERY_BLOCK)
-    salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)))
+    salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("vec_id", "key"), F.lit(1 << 40)))
     dealt = salted(vectors).mapInArrow(_deal(index, dim, parts, query_parts, False), ROWS).union(salted(queries).mapInArrow(_deal(index, dim, parts, query_parts, True), ROWS))
     block = ["list", "part", "queries"]
     found = dealt.repartition(*block).sortWithinPartitions(*block, "kind").mapInArrow(_search(index, dim, k, rerank), FOUND)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "key")
+    return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query", "query_id", "rank", "key", "vec_id", "score")
+
+
+def _every(queries: np.ndarray, keys: np.ndarray, dim: int, k: int):
+    """The k best scores of each of a few queries in every batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = queries @ _matrix(batch.column("v"), dim).T
+            score[keys[:, None] == batch.column("key").to_numpy()[None, :]] = -np.inf
+            best = -np.sort(-score, axis=1)[:, :k]
+            q, s = np.repeat(keys, best.shape[1]), best.ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(q[s > -np.inf]), pa.array(s[s > -np.inf])], names=["query", "score"])
+
+    return run
+
+
+def recall(vectors: DataFrame, queries: DataFrame, index: Index, k: int = K, checked: int = CHECKED, rerank: int = RERANK) -> float:
+    """Share of the true k nearest that a search finds, for `checked` queries by hash against all vectors, in blocks.
+
+    A neighbour counts as found if its score is among those found, so that ties are no misses.
+    """
+    some = queries.orderBy(F.xxhash64("key", "vec_id")).limit(checked).select("key", "vec_id", "v")
+    some, path = materialise(some)
+    rows = some.toPandas()
+    if not len(rows):
+        return 1.0
+    dim = index.centres.shape[1]
+    scores = vectors.select("key", "v").mapInArrow(_every(np.array(rows["v"].tolist(), np.float64), rows["key"].to_numpy(), dim, k), "query long, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"))
+    true = scores.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+    least = true.groupBy("query").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+    found = search(vectors, some, index, k, rerank).join(least, "query").where(F.col("score") >= F.col("least") - 1e-9)
+    got = found.groupBy("query").agg(F.count(F.lit(1)).alias("got")).agg(F.sum("got")).first()[0] or 0
+    want = least.agg(F.sum("n")).first()[0] or 0
+    discard(vectors.sparkSession, path)
+    return got / want if want else 1.0
 
 
 def nearest(rows: DataFrame, every: int = 20, k: int = K) -> DataFrame:
@@ -234,4 +277,7 @@ def nearest(rows: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     index = build(vectors, k=k)
     if index is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return search(vectors, vectors.where(F.pmod("vec_id", F.lit(every)) == 0), index, k)
+    queries = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
+    while index.probes < len(index.centres) and recall(vectors, queries, index, k) < LEAST:
+        index.probes = min(len(index.centres), index.probes + index.probes // 2 + 1)
+    return search(vectors, queries, index, k).drop("query", "key")

@@ -50,3 +50,27 @@ def test_odd_vectors(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [(0, 1, 7, 5.0), (0, 2, 20, 2.5), (20, 1, 0, 2.5), (20, 2, 7, 2.5)]
     assert ann.nearest(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_repeated_rows_are_queries_and_candidates(spark):
+    rng = np.random.default_rng(6)
+    vectors = {i: rng.normal(size=8).astype(np.float32).tolist() for i in range(40)}
+    rows = [(i, v, 0) for i, v in vectors.items()] + [(0, vectors[0], 0), (20, vectors[20], 0)]
+    x = {i: np.array(v, np.float64) for i, v in vectors.items()}
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for q in (0, 20):
+        ids = [*(i for i in x if i != q), q, *({0, 20} - {q})]  # the twin is a candidate, and so is the other's
+        want = sorted(ids, key=lambda i: (-float(x[i] @ x[q]), i))[:20]
+        assert sorted(got[q]) == sorted([(n + 1, i) for n, i in enumerate(want)] * 2)
+
+
+def test_recall_is_measured(spark, sf):
+    vectors, _ = ann.materialise(ann.usable(spark.read.parquet(f"{sf}/embeddings.parquet")))
+    index = ann.build(vectors)
+    queries = vectors.where("vec_id % 20 = 0")
+    index.probes = len(index.centres)
+    assert ann.recall(vectors, queries, index) > 0.99
+    index.probes = 1
+    assert ann.recall(vectors, queries, index) < 0.5
