@@ -1,13 +1,20 @@
 """Edit-aware token counts.
 
-A text's pre-tokens are grouped into leaves of about LEAF characters, cut only where a single space
-follows a non-space and precedes one: there a pre-token ends whatever stands further off, so counts
-of leaves add up to the count of the text. A segment tree over the leaves holds subtree sums. An edit
-re-encodes the leaves that it touches, with the neighbour whose cut it might undo, replaces them in
-the tree and updates the sums above; the rest is not read again.
+A text's pre-tokens are grouped into leaves of about LEAF characters, cut only where a pre-token must end
+whatever stands further off: before blanks, and between letters, digits and other signs (but not after
+an apostrophe, which may begin a contraction). No pre-token reaches over such a place and the pattern
+looks at nothing behind it, so counts of leaves add up to the count of the text. A segment tree over the
+leaves holds subtree sums. An edit re-encodes the leaves that it touches, with the neighbour whose cut it
+might undo, replaces them in the tree and updates the sums above; the rest is not read again.
+
+Trees are kept as a table, a row per document: `build_trees` makes it, `edit_trees` takes the table and one
+of edits (doc_id, start, end, text) and gives the next one. A run of letters without any such place, as in
+scripts that write no blanks, is one pre-token and stays one leaf.
 
 Nulls and empty texts have no tokens and no leaves. Edits are (start, end, text) in characters of the
-text before any edit, sorted and apart; repeated rows are counted each, other columns are ignored.
+text before any of them, apart from one another; of edits that overlap the first stays, and what lies
+beyond the end is cut to it. Edits of unknown documents are ignored, of repeated rows all get them; rows
+of a null id get none. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,17 +25,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import BATCH_ROWS, text_or_empty
 
 LEAF = 512
 #: Vocabulary of the counts; a parameter, read on the executors.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokens of that vocabulary's scheme: a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_CUT = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
 
 
 @lru_cache(maxsize=2)
@@ -52,22 +60,36 @@ def cuts(text: str, leaf: int = LEAF) -> list[int]:
 class TokenTree:
     """Leaves of a text and their token counts, under a binary tree of sums of counts and lengths.
 
-    Leaf slots that an edit merges away stay, empty, so places in the tree never move; a leaf that an
-    edit makes long is kept as one until `TokenTree(text)` builds anew.
+    Leaf slots that an edit merges away stay, empty; where an edit makes more leaves than it touched, the
+    sums are laid out anew, without encoding any other leaf.
     """
 
     def __init__(self, text: str, count, leaf: int = LEAF):
         at = cuts(text, leaf)
-        self.count = count
-        self.leaves = [text[a:b] for a, b in zip(at, at[1:])]
-        self.encoded = len(self.leaves)
+        self.count, self.leaf = count, leaf
+        leaves = [text[a:b] for a, b in zip(at, at[1:])]
+        self.encoded = len(leaves)
+        self._lay(leaves, [count(x) for x in leaves])
+
+    @classmethod
+    def of(cls, leaves: list[str], tokens: list[int], count, leaf: int = LEAF) -> TokenTree:
+        """A tree from leaves that have been counted before."""
+        tree = cls("", count, leaf)
+        tree._lay(leaves, tokens)
+        return tree
+
+    @property
+    def leaf_tokens(self) -> list[int]:
+        return self.tokens[self.size : self.size + len(self.leaves)]
+
+    def _lay(self, leaves: list[str], tokens: list[int]) -> None:
+        self.leaves = leaves
         self.size = 1
-        while self.size < len(self.leaves):
+        while self.size < len(leaves):
             self.size *= 2
-        self.tokens = [0] * (2 * self.size)
-        self.lengths = [0] * (2 * self.size)
-        for i, x in enumerate(self.leaves):
-            self.tokens[self.size + i], self.lengths[self.size + i] = count(x), len(x)
+        spare = [0] * (self.size - len(leaves))
+        self.tokens = [0] * self.size + tokens + spare
+        self.lengths = [0] * self.size + [len(x) for x in leaves] + spare
         for i in range(self.size - 1, 0, -1):
             self._sum(i)
 
@@ -106,7 +128,7 @@ class TokenTree:
     def edit(self, start: int, end: int, new: str) -> None:
         """Replace characters [start, end) of the text as it is now."""
         if not self.leaves:
-            self.leaves = [""]
+            self._lay([""], [0])
         if start == end and not new:
             return
         first, inside = self._find(start)
@@ -129,16 +151,31 @@ class TokenTree:
         while len(joined) < 3 and (before := self._beside(first, -1)) is not None:
             first = before
             joined = self.leaves[before] + joined
-        pieces = cuts(joined)
+        pieces = cuts(joined, self.leaf)
         pieces = [joined[a:b] for a, b in zip(pieces, pieces[1:])]
-        slots = last - first + 1
-        if len(pieces) > slots:  # no slot for more leaves: the last is longer
-            pieces[slots - 1 :] = ["".join(pieces[slots - 1 :])]
-        for k in range(slots):
-            piece = pieces[k] if k < len(pieces) else ""
+        old = {self.leaves[i]: self.tokens[self.size + i] for i in range(first, last + 1)}
+        self.encoded += sum(p not in old for p in pieces)
+        counted = [old[p] if p in old else self.count(p) for p in pieces]
+        if len(pieces) > last + 1 - first:
+            tokens = self.leaf_tokens
+            self._lay(self.leaves[:first] + pieces + self.leaves[last + 1 :], tokens[:first] + counted + tokens[last + 1 :])
+            return
+        for k in range(last + 1 - first):
+            piece, n = (pieces[k], counted[k]) if k < len(pieces) else ("", 0)
             if piece != self.leaves[first + k]:
-                self.encoded += bool(piece)
-                self._set(first + k, piece, self.count(piece) if piece else 0)
+                self._set(first + k, piece, n)
+
+    def edit_all(self, edits: list[tuple[int, int, str]]) -> int:
+        """Apply edits told in places of the text before any of them; how many were."""
+        shift, end_before, n, length = 0, 0, 0, self.lengths[1]
+        for start, end, new in sorted(edits, key=lambda e: e[:2]):
+            start, end = min(start, length), min(max(start, end), length)
+            if start < end_before:
+                continue
+            self.edit(start + shift, end + shift, new)
+            shift += len(new) - (end - start)
+            end_before, n = end, n + 1
+        return n
 
     @property
     def text(self) -> str:
@@ -170,12 +207,9 @@ def _counts(edits, ranks: str):
             for i in range(len(batch)):
                 tree = TokenTree(text := batch.column("text")[i].as_py(), count)
                 before, leaves = tree.total, len(tree.leaves)
-                todo = edits(text)
-                shift, encoded = 0, tree.encoded
-                for start, end, new in todo:
-                    tree.edit(start + shift, end + shift, new)
-                    shift += len(new) - (end - start)
-                rows.append((before, len(todo), tree.total, leaves, tree.encoded - encoded))
+                encoded = tree.encoded
+                done = tree.edit_all(edits(text))
+                rows.append((before, done, tree.total, leaves, tree.encoded - encoded))
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_leaves", "n_encoded_again"])
 
@@ -186,3 +220,43 @@ def edited_counts(docs: DataFrame, edits=mask_edits, ranks: str = RANKS) -> Data
     """Token counts of every document before and after its edits (a function of the text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(_counts(edits, ranks), COUNTS)
+
+
+TREES = "doc_id long, n_tokens long, leaves array<string>, tokens array<int>, n_encoded long"
+
+
+def _tree_rows(ids: pa.Array, trees: list[TokenTree]) -> pa.RecordBatch:
+    columns = [ids, pa.array([t.total for t in trees], pa.int64()), pa.array([t.leaves for t in trees], pa.list_(pa.string())), pa.array([t.leaf_tokens for t in trees], pa.list_(pa.int32())), pa.array([t.encoded for t in trees], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "leaves", "tokens", "n_encoded"])
+
+
+def build_trees(docs: DataFrame, ranks: str = RANKS, leaf: int = LEAF) -> DataFrame:
+    """The tree of every document: its token count, leaves, their counts, and how many leaves were encoded now."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(ranks).encode_ordinary
+        for whole in batches:
+            for i in range(0, len(whole), BATCH_ROWS):
+                batch = whole.slice(i, BATCH_ROWS)
+                yield _tree_rows(batch.column("doc_id"), [TokenTree(t, lambda x: len(encode(x)), leaf) for t in batch.column("text").to_pylist()])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, TREES)
+
+
+def edit_trees(trees: DataFrame, edits: DataFrame, ranks: str = RANKS, leaf: int = LEAF) -> DataFrame:
+    """The trees after their edits (doc_id, start, end, text): only leaves that an edit touches are encoded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(ranks).encode_ordinary
+        for whole in batches:
+            for i in range(0, len(whole), BATCH_ROWS):
+                batch, made = whole.slice(i, BATCH_ROWS), []
+                for leaves, tokens, todo in zip(*(batch.column(c).to_pylist() for c in ("leaves", "tokens", "todo")), strict=True):
+                    tree = TokenTree.of(leaves, tokens, lambda x: len(encode(x)), leaf)
+                    tree.edit_all([(e["start"], e["end"], e["text"] or "") for e in todo or ()])
+                    made.append(tree)
+                yield _tree_rows(batch.column("doc_id"), made)
+
+    kinds = edits.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.col("start"), F.lit(0)).cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("text").cast("string").alias("text"))
+    listed = kinds.where("start is not null and end is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "text"))).alias("todo"))
+    return trees.join(listed, "doc_id", "left").select("doc_id", "leaves", "tokens", "todo").mapInArrow(run, TREES)

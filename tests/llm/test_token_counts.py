@@ -1,5 +1,7 @@
 """Counts after edits against counting the edited text anew."""
 
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -49,3 +51,33 @@ def test_query_over_documents(make_docs, spark, sf):
             masked = masked[:a] + new + masked[b:]
         assert (r.n_tokens, r.n_tokens_edited) == (count(d.text), count(masked))
     assert tc.edited_counts(make_docs([])).count() == 0
+
+
+def test_cuts_are_safe_in_any_text():
+    """Counts of leaves add up whatever a text is made of, also without single blanks."""
+    rng = random.Random(4)
+    parts = ["word", "don't", "'s", "''s", "  ", " ", "\n\n", "\t", "12", "½", "é", "汉字", "。", "...", "'", "I'll", "_", "x1", "😀"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))
+        tree = tc.TokenTree(text, count, leaf=5)
+        assert tree.total == count(text) and tree.text == text
+    assert len(tc.TokenTree("two  blanks " * 2000, count).leaves) > 30 and len(tc.TokenTree("汉字汉字。" * 2000, count).leaves) > 10
+
+
+def test_trees_as_a_table(spark):
+    rng = random.Random(5)
+    texts = {i: " ".join(rng.choice(["alpha", "beta", "don't", "12"]) for _ in range(600)) for i in range(6)} | {6: "", 7: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    edits = [(0, 5, 9, "new words here"), (0, 2000, 2001, ""), (1, 0, 0, "long " * 900), (6, 0, 0, "from nothing"), (99, 0, 1, "x"), (2, 10, 20, "a"), (2, 15, 30, "overlaps"), (3, 10**6, 10**6, " end"), (None, 0, 1, "y")]
+    trees = tc.build_trees(docs)
+    once = tc.edit_trees(trees, spark.createDataFrame(edits, "doc_id long, start int, end int, text string"))
+    again = {r.doc_id: r for r in tc.edit_trees(once, spark.createDataFrame([(1, 100, 4000, "!")], "doc_id long, start int, end int, text string")).collect()}
+    first = {r.doc_id: r for r in once.collect()}
+    want = {i: t or "" for i, t in texts.items()}
+    want[0] = want[0][:5] + "new words here" + want[0][9:2000] + want[0][2001:]
+    want[1], want[6], want[2], want[3] = "long " * 900 + want[1], "from nothing", want[2][:10] + "a" + want[2][20:], want[3] + " end"
+    for i, text in want.items():
+        assert "".join(first[i].leaves) == text and first[i].n_tokens == count(text) == sum(first[i].tokens)
+    assert first[0].n_encoded <= 4 and first[4].n_encoded == 0 and max(map(len, first[1].leaves)) < 2 * tc.LEAF
+    want[1] = want[1][:100] + "!" + want[1][4000:]
+    assert again[1].n_tokens == count(want[1]) and again[1].n_encoded <= 3
