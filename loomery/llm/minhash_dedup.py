@@ -216,8 +216,10 @@ def across(places: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     main = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", "main")
     mixed, _ = materialise(labelled.join(main, "key"))
     outside = mixed.where("label <> main")
-    # a node's home is the component that most of its keys lie in; a home's nodes are dealt to parts of a few blocks by their number
-    home = outside.groupBy("id", "label", "main").agg(F.count(F.lit(1)).alias("c")).groupBy("id", "label").agg(F.max(F.struct("c", "main")).alias("most"))
+    # a node's home is the component that is largest where it is not, so that a group's blocks fill. Counts are tables of
+    # their own: small ones are broadcast by their measured size, else both sides are plain shuffles that can be split
+    crowd, _ = materialise(outside.groupBy("main").agg(F.count(F.lit(1)).alias("c")))
+    home = outside.join(crowd, "main").groupBy("id", "label").agg(F.max(F.struct("c", "main")).alias("most"))
     home, _ = materialise(home.select("id", "label", F.col("most.main").alias("home")))
     parts, _ = materialise(home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(8 * block)).alias("parts")))
     home = home.join(parts, "home").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
