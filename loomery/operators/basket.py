@@ -30,11 +30,17 @@ def badges(quotes: DataFrame, total: str, slow: str, unique: str) -> DataFrame:
 
 
 def contained(sets: DataFrame, name: str, member: str) -> DataFrame:
-    """(name, inside, n): sets all of whose members are in another set, by counting shared members."""
+    """(name, inside, n): sets all of whose members are in another set.
+
+    Whatever holds a set holds its rarest member, so pairs come from that one and are then counted out.
+    """
     rows = sets.select(name, member).distinct()
     sizes = rows.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+    held = rows.groupBy(member).agg(F.count(F.lit(1)).alias("__c"))
+    rarest = rows.join(held, member).groupBy(name).agg(F.min_by(member, F.struct("__c", member)).alias(member))
     other = rows.select(F.col(name).alias("inside"), member)
-    shared = rows.join(other, member).where(F.col(name) != F.col("inside")).groupBy(name, "inside").agg(F.count(F.lit(1)).alias("n"))
+    pairs = rarest.join(other, member).where(F.col(name) != F.col("inside")).select(name, "inside")
+    shared = pairs.join(rows, name).join(other, ["inside", member]).groupBy(name, "inside").agg(F.count(F.lit(1)).alias("n"))
     return shared.join(sizes, [name, "n"]).select(name, "inside", "n")
 
 

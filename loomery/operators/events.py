@@ -92,6 +92,21 @@ def sanitise(raw: DataFrame, payload: str, allowed: dict[str, str], required: li
 
 
 def daily_cap(events: DataFrame, day: str, order: list[str], cap: int) -> DataFrame:
-    """accepted: the first `cap` events of each day, in log order."""
-    turn = F.row_number().over(Window.partitionBy(day).orderBy(*order))
-    return events.withColumn("accepted", turn <= cap)
+    """accepted: the first `cap` events of each day, in log order; `order` must tell a day's events apart."""
+    return within_cap(events, day, order, F.lit(cap))
+
+
+def within_cap(events: DataFrame, day: str, order: list[str], cap: Column, parts: int = 64) -> DataFrame:
+    """accepted: the first `cap` (a number that may depend on the day) of each day.
+
+    The last place that fits is found from the first ones of each of `parts` parts of a day, so no task
+    sorts a whole day; rows then compare with it.
+    """
+    place = F.struct(*order)
+    part = Window.partitionBy(day, "__part").orderBy("__place")
+    keyed = events.select(day, place.alias("__place"), cap.alias("__cap"), F.pmod(F.xxhash64(*order), F.lit(parts)).alias("__part"))
+    first = keyed.withColumn("__n", F.row_number().over(part)).where(F.col("__n") <= F.col("__cap"))
+    last = first.withColumn("__n", F.row_number().over(Window.partitionBy(day).orderBy("__place"))).where(F.col("__n") == F.col("__cap"))
+    marked = events.join(last.select(day, F.col("__place").alias("__last")), day, "left")
+    fits = F.when(cap <= 0, False).when(F.col("__last").isNull(), True).otherwise(place <= F.col("__last"))
+    return marked.withColumn("accepted", fits).drop("__last")

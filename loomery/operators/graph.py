@@ -32,7 +32,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/loomery-{name}/{uuid.uuid4().hex}"
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back."""
     path = shared_folder(df.sparkSession, "graph")
     df.write.parquet(path)
@@ -123,7 +123,7 @@ def shortest(edges: DataFrame, sources: DataFrame, ceiling: int | None = None) -
     those; of equal costs the smaller node before stays. Costs must not be negative.
     """
     nothing = F.lit(None).cast("long")
-    front = _kept(sources.select("source", F.col("source").alias("node"), F.lit(0).cast("long").alias("cost"), nothing.alias("via")))
+    front = kept(sources.select("source", F.col("source").alias("node"), F.lit(0).cast("long").alias("cost"), nothing.alias("via")))
     parts = [front]
     while True:
         best = reduce(DataFrame.unionByName, parts).groupBy("source", "node").agg(F.min("cost").alias("old"))
@@ -132,12 +132,12 @@ def shortest(edges: DataFrame, sources: DataFrame, ceiling: int | None = None) -
             reached = reached.where(F.col("b.cost") <= ceiling)
         reached = reached.groupBy("source", "node").agg(F.min("b").alias("b"))
         cheaper = reached.join(best, ["source", "node"], "left").where("old IS NULL OR b.cost < old")
-        front = _kept(cheaper.select("source", "node", "b.cost", "b.via"))
+        front = kept(cheaper.select("source", "node", "b.cost", "b.via"))
         if front.isEmpty():
             break
         parts.append(front)
         if len(parts) == 12:  # so that no round reads more than a dozen tables
-            parts = [_kept(_least(parts))]
+            parts = [kept(_least(parts))]
     return _least(parts)
 
 
@@ -149,7 +149,7 @@ def _least(parts: list[DataFrame]) -> DataFrame:
 def paths(costs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(source, target, cost, path) of pairs (source, target): nodes from the source to the target, walked back by `via`; null if unreachable."""
     found = pairs.select("source", "target").distinct().join(costs.withColumnRenamed("node", "target"), ["source", "target"], "left")
-    state = _kept(found.select("source", "target", "cost", F.when(F.col("cost").isNotNull(), F.array("target")).alias("path"), F.col("via").alias("at")))
+    state = kept(found.select("source", "target", "cost", F.when(F.col("cost").isNotNull(), F.array("target")).alias("path"), F.col("via").alias("at")))
     done = []
     while True:
         ended = state.where("at IS NULL").drop("at")
@@ -158,7 +158,7 @@ def paths(costs: DataFrame, pairs: DataFrame) -> DataFrame:
         if open_.isEmpty():
             return reduce(DataFrame.unionByName, done)
         before = costs.select("source", F.col("node").alias("at"), F.col("via").alias("next"))
-        state = _kept(open_.join(before, ["source", "at"]).select("source", "target", "cost", F.concat(F.array("at"), "path").alias("path"), F.col("next").alias("at")))
+        state = kept(open_.join(before, ["source", "at"]).select("source", "target", "cost", F.concat(F.array("at"), "path").alias("path"), F.col("next").alias("at")))
 
 
 def route(edges: DataFrame, trips: DataFrame, budget: int) -> DataFrame:
@@ -168,7 +168,7 @@ def route(edges: DataFrame, trips: DataFrame, budget: int) -> DataFrame:
     """
     legs = trips.where(F.size("stops") >= 2).select("trip", F.posexplode(F.slice("stops", F.lit(1), F.size("stops") - 1)).alias("leg", "source"), "stops")
     legs = legs.select("trip", "leg", "source", F.get("stops", F.col("leg") + 1).alias("target"))
-    costs = _kept(shortest(edges, legs.select("source").distinct(), budget))
+    costs = kept(shortest(edges, legs.select("source").distinct(), budget))
     walked = legs.join(paths(costs, legs), ["source", "target"], "left")
     gathered = walked.groupBy("trip").agg(F.sum("cost").alias("cost"), F.bool_or(F.col("cost").isNull()).alias("broken"), F.array_sort(F.collect_list(F.struct("leg", "path"))).alias("all"))
     joined = F.aggregate("all", F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.when(F.size(acc) > 0, F.slice(x["path"], F.lit(2), F.size(x["path"]))).otherwise(x["path"])))
@@ -186,22 +186,22 @@ def travel_minutes(costs: DataFrame, factor: float, ceiling: int) -> DataFrame:
 
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(node): everything that can be reached from the start nodes, by rounds over the frontier."""
-    seen = _kept(start.select("node").distinct())
+    seen = kept(start.select("node").distinct())
     front = seen
     while True:
-        new = _kept(front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
+        new = kept(front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
         if new.isEmpty():
             return seen
-        seen, front = _kept(seen.union(new)), new
+        seen, front = kept(seen.union(new)), new
 
 
 def _coloured(edges: DataFrame) -> DataFrame:
     """(node, colour): the largest node that reaches it, by rounds over what changed."""
-    colours = _kept(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
+    colours = kept(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
     front = colours
     while True:
         new = front.join(edges, front.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("new"))
-        merged = _kept(colours.join(new, "node", "left").select("node", F.greatest("colour", "new").alias("colour"), F.coalesce(F.col("new") > F.col("colour"), F.lit(False)).alias("moved")))
+        merged = kept(colours.join(new, "node", "left").select("node", F.greatest("colour", "new").alias("colour"), F.coalesce(F.col("new") > F.col("colour"), F.lit(False)).alias("moved")))
         colours, front = merged.select("node", "colour"), merged.where("moved").select("node", "colour")
         if front.isEmpty():
             return colours
@@ -214,21 +214,21 @@ def largest_strong_component(edges: DataFrame) -> DataFrame:
     colour is its component, so each round finds one component of every colour; no component spans two
     colours. Rounds go on until no colour's remaining nodes can be more than the best component.
     """
-    left = _kept(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    left = kept(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
     best, size, root = None, 0, None
     while not left.isEmpty():
         colours = _coloured(left)
         inside = left.join(colours.withColumnRenamed("node", "src"), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("other")), "dst").where("colour = other")
-        inside = _kept(inside.select("src", "dst"))
+        inside = kept(inside.select("src", "dst"))
         back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        found = _kept(reachable(back, colours.where("node = colour").select("node")).join(colours, "node"))
+        found = kept(reachable(back, colours.where("node = colour").select("node")).join(colours, "node"))
         top = found.groupBy("colour").count().orderBy(F.desc("count"), F.desc("colour")).first()
         if (top["count"], top["colour"]) > (size, root):
             best, size, root = found.where(F.col("colour") == top["colour"]).select("node"), top["count"], top["colour"]
         rest = colours.join(found, "node", "left_anti")
         open_ = rest.groupBy("colour").count().where(F.col("count") >= size)
-        rest = _kept(rest.join(open_, "colour", "left_semi").select("node"))
-        left = _kept(inside.join(rest.withColumnRenamed("node", "src"), "src", "left_semi").join(rest.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+        rest = kept(rest.join(open_, "colour", "left_semi").select("node"))
+        left = kept(inside.join(rest.withColumnRenamed("node", "src"), "src", "left_semi").join(rest.withColumnRenamed("node", "dst"), "dst", "left_semi"))
     return best if best is not None else edges.select(F.col("src").alias("node")).limit(0)
 
 

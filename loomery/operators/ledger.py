@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,11 +20,29 @@ def link(before: Column, payload: Column) -> Column:
 
 
 def build_chain(records: DataFrame, owner: str, order: str, payload: str) -> DataFrame:
-    """Each record with its place, prev_hash and hash; an owner's chain is folded in order of its records."""
-    listed = records.groupBy(owner).agg(F.sort_array(F.collect_list(F.struct(order, payload))).alias("__r"))
-    hashes = F.aggregate("__r", F.array(genesis(F.col(owner))), lambda acc, r: F.concat(acc, F.array(link(F.element_at(acc, -1), r[payload]))))
-    rows = listed.withColumn("__h", hashes).select(owner, F.posexplode("__r").alias("place", "r"), "__h")
-    return rows.select(owner, "place", F.col(f"r.{order}").alias(order), F.col(f"r.{payload}").alias(payload), F.element_at("__h", F.col("place") + 1).alias("prev_hash"), F.element_at("__h", F.col("place") + 2).alias("hash"))
+    """Each record with its place, prev_hash and hash, in order of its owner's records.
+
+    A chain can only be made one record after another; a task reads its owners' records in order, as a
+    stream that keeps no more than the last hash, so a long chain takes time but no memory.
+    """
+    rows = records.select(owner, F.lit(0).alias("place"), order, F.col(payload).cast("string").alias(payload), F.col(owner).cast("string").alias("__owner"))
+    schema = T.StructType([records.schema[owner], T.StructField("place", T.IntegerType()), records.schema[order], T.StructField(payload, T.StringType()), T.StructField("prev_hash", T.StringType()), T.StructField("hash", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who, place, last = None, 0, ""
+        for batch in batches:
+            places, before, after = [], [], []
+            for name, text in zip(batch["__owner"], batch[payload], strict=True):
+                if name != who:
+                    who, place, last = name, 0, hashlib.sha256(f"genesis:{name}".encode()).hexdigest()
+                places.append(place)
+                before.append(last)
+                last = hashlib.sha256(f"{last}|{text}".encode()).hexdigest()
+                after.append(last)
+                place += 1
+            yield batch.drop(columns="__owner").assign(place=places, prev_hash=before, hash=after)
+
+    return rows.where(F.col("__owner").isNotNull()).repartition(owner).sortWithinPartitions(owner, order).mapInPandas(run, schema)
 
 
 def verify_chain(chain: DataFrame, owner: str, order: str, payload: str) -> DataFrame:

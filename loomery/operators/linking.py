@@ -46,13 +46,21 @@ def one_edit_pairs(words: DataFrame, word: str, block: int = 1, exact_swaps: boo
 
 
 def similar_by_trigrams(names: DataFrame, key: str, text: str, least: float) -> DataFrame:
-    """(a, b, similarity) of names whose trigram sets overlap by `least` or more; pairs come from shared trigrams."""
+    """(a, b, similarity) of names whose trigram sets overlap by `least` or more.
+
+    Two such sets share one of their rarest trigrams: of n, the n - ceil(least * n) + 1 that fewest names
+    hold. Pairs come from those alone, so a frequent trigram pairs nothing off.
+    """
     sets = names.select(key, trigrams(F.col(text)).alias("__t"))
     grams = sets.select(key, F.size("__t").alias("__n"), F.explode("__t").alias("__g"))
-    other = grams.select(F.col(key).alias("b"), F.col("__n").alias("__m"), "__g")
-    shared = grams.join(other, "__g").where(F.col(key) < F.col("b")).groupBy(F.col(key).alias("a"), "b", "__n", "__m").agg(F.count(F.lit(1)).alias("__c"))
-    similarity = F.col("__c") / (F.col("__n") + F.col("__m") - F.col("__c"))
-    return shared.withColumn("similarity", similarity).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    held = grams.groupBy("__g").agg(F.count(F.lit(1)).alias("__c"))
+    turn = F.row_number().over(Window.partitionBy(key).orderBy("__c", "__g"))
+    rare = grams.join(held, "__g").withColumn("__r", turn).where(F.col("__r") <= F.col("__n") - F.ceil(F.col("__n") * F.lit(least)) + 1).select(key, "__g")
+    pairs = rare.join(rare.withColumnRenamed(key, "b"), "__g").where(F.col(key) < F.col("b")).select(F.col(key).alias("a"), "b").distinct()
+    full = pairs.join(sets.select(F.col(key).alias("a"), F.col("__t").alias("__ta")), "a").join(sets.select(F.col(key).alias("b"), F.col("__t").alias("__tb")), "b")
+    shared = F.size(F.array_intersect("__ta", "__tb"))
+    similarity = shared / (F.size("__ta") + F.size("__tb") - shared)
+    return full.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least)
 
 
 def cascade(mentions: DataFrame, mention: str, stages: list[tuple[str, DataFrame]]) -> DataFrame:

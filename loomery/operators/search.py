@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .graph import kept
+
 Stages = dict[str, Column]
 
 
@@ -75,6 +77,20 @@ def ranked(rows: DataFrame, keys: list[Column], out: str = "rank", within: list[
     return rows.withColumn(out, F.row_number().over(Window.partitionBy(*(within or [])).orderBy(*keys)).cast("long"))
 
 
+def ranked_all(rows: DataFrame, keys: list[Column], out: str = "rank") -> DataFrame:
+    """All rows numbered by the sort keys, without any task that holds them all.
+
+    A distributed sort is written with the number of its part; parts are numbered inside, and the counts
+    of the parts before are added.
+    """
+    parts = kept(rows.orderBy(*keys).withColumn("__part", F.spark_partition_id()))
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
+    joined = parts.join(sizes.select("__part", before.alias("__before")), "__part")  # a row a part
+    return joined.withColumn(out, (F.col("__before") + inside).cast("long")).drop("__part", "__before")
+
+
 def top(rows: DataFrame, keys: list[Column], n: int) -> DataFrame:
     """The first n rows with their rank; every task keeps no more than n."""
     return ranked(rows.orderBy(*keys).limit(n), keys)

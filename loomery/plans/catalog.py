@@ -141,7 +141,7 @@ SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'O' THEN
 def nulls_last_sort(t):
     c = t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("due"), "o_orderstatus")
     turn = F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
-    return se.ranked(c, [turn, F.asc_nulls_last("due"), F.desc("o_orderkey")]).select("o_orderkey", "rank")
+    return se.ranked_all(c, [turn, F.asc_nulls_last("due"), F.desc("o_orderkey")]).select("o_orderkey", "rank")
 
 
 @query("SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F'")

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_folder
 from ..streaming.jobs import run_rollup
 from .registry import Tables, query
 
@@ -16,6 +14,5 @@ BINS = "CASE WHEN value <= 5 THEN 0 WHEN value <= 10 THEN 1 WHEN value <= 25 THE
 @query(f"""SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS hour, event_type AS endpoint, count(*) AS n, CAST(sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS BIGINT) AS total_cs,
  {', '.join(f'count(*) FILTER ({BINS} = {i}) AS b{i}' for i in range(10))} FROM events GROUP BY 1, 2""")
 def stream_hourly_rollup(t: Tables):
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomery-stream-", dir=os.environ.get("TMPDIR"))
-    out = run_rollup(t.spark, t.sf_dir, t.events.schema, shared, "events.parquet")
+    out = run_rollup(t.spark, t.sf_dir, t.events.schema, shared_folder(t.spark, "stream"), "events.parquet")
     return out.withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm:ss"))

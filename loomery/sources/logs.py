@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.timeops import local_day
+from ..operators.events import within_cap
 
 
 def read_days(spark: SparkSession, path: str, schema: str | T.StructType, first: str | None = None, last: str | None = None) -> DataFrame:
@@ -32,11 +33,11 @@ def append_days(events: DataFrame, path: str, order: list[str], cap: int, ts: st
     spark = events.sparkSession
     dated = events.withColumn("day", local_day(F.col(ts)))
     held = _counts(spark, path)
-    turn = F.row_number().over(Window.partitionBy("day").orderBy(*order))
-    marked = dated.join(held, "day", "left").withColumn("__fits", turn + F.coalesce("__held", F.lit(0)) <= cap)
+    left = dated.join(held, "day", "left").withColumn("__left", F.lit(cap) - F.coalesce("__held", F.lit(0)))
+    marked = within_cap(left, "day", order, F.col("__left")).withColumnRenamed("accepted", "__fits")
     told = marked.groupBy("day").agg(F.count_if("__fits").alias("accepted"), F.count_if(~F.col("__fits")).alias("dropped"))
     report = spark.createDataFrame(told.collect(), told.schema)  # a row a day
-    kept = marked.where("__fits").drop("__fits", "__held").withColumn(ts, F.date_trunc("minute", ts))
+    kept = marked.where("__fits").drop("__fits", "__held", "__left").withColumn(ts, F.date_trunc("minute", ts))
     kept.write.mode("append").partitionBy("day").json(path)
     return report
 

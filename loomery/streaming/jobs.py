@@ -32,30 +32,37 @@ def hourly(events: DataFrame, ts: str = "ts", endpoint: str = "event_type", valu
 class Rollup:
     """An additive upsert as a foreachBatch sink.
 
-    Every batch writes a new version of the table under its batch id; a batch that is repeated after a
-    failure writes the same version from the one before it again, so its counts are added once.
+    Every batch writes its own counters, and nothing else, under its batch id; a batch that is repeated
+    after a failure writes the same again, so its counts are added once. Every `merge_every` batches the
+    counters so far are summed into a base table, and what it holds is not read again. Tables are only
+    read once they are complete.
     """
 
-    def __init__(self, path: str, keys: list[str]):
-        self.path, self.keys = path.rstrip("/"), keys
+    def __init__(self, path: str, keys: list[str], merge_every: int = 100):
+        self.path, self.keys, self.merge_every = path.rstrip("/"), keys, merge_every
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        delta = hourly(batch)
-        before = self._read(batch.sparkSession, batch_id - 1) if batch_id else None
-        after = add_counters(before, delta, self.keys) if before is not None else delta
-        after.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
+        hourly(batch).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        if (batch_id + 1) % self.merge_every == 0:
+            self._sum(batch.sparkSession, batch_id).write.mode("overwrite").parquet(f"{self.path}/base={batch_id}")
 
-    def _read(self, spark: SparkSession, version: int) -> DataFrame | None:
+    def _ids(self, spark: SparkSession, kind: str) -> list[int]:
+        """Batches up to which there is a complete table of a kind."""
         jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={version}")
-        there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-        return spark.read.parquet(f"{self.path}/v={version}") if there else None
+        where = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(where)]
+        return [int(n.split("=")[1]) for n in names if n.startswith(f"{kind}=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+
+    def _sum(self, spark: SparkSession, upto: int) -> DataFrame:
+        bases = [i for i in self._ids(spark, "base") if i < upto]
+        base = max(bases, default=-1)
+        parts = [f"{self.path}/batch={i}" for i in self._ids(spark, "batch") if base < i <= upto] + ([f"{self.path}/base={base}"] if bases else [])
+        rows = spark.read.option("basePath", self.path).parquet(*parts).drop("batch", "base")
+        return add_counters(rows, rows.limit(0), self.keys)
 
     def latest(self, spark: SparkSession) -> DataFrame:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
-        return self._read(spark, max(int(f.getPath().getName()[2:]) for f in found))
+        return self._sum(spark, max(self._ids(spark, "batch")))
 
 
 def run_rollup(spark: SparkSession, folder: str, schema: T.StructType, shared: str, pattern: str = "*.parquet") -> DataFrame:
