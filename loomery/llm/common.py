@@ -60,6 +60,15 @@ def release(spark: SparkSession) -> None:
         discard(spark, path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    """What `make` returns as a table; the tables that were written on the way to it are deleted."""
+    before = set(_written.get(spark.sparkContext.applicationId, ()))
+    out, path = materialise(make())
+    for other in _written[spark.sparkContext.applicationId] - before - {path}:
+        discard(spark, other)
+    return out, path
+
+
 def own_names(columns: list[str], made: list[str]) -> dict[str, str]:
     """What columns are called beside those that an operator makes: a clashing one gets an underscore, as many as it takes."""
     out: dict[str, str] = {}
