@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last
 return the columns of `documents`. Each stage's rows are written to the shared folder before the next
-one reads them, so a lost executor never costs more than one stage's tasks.
+one reads them, so a lost executor never costs more than one stage's tasks; then what it read, and what
+it wrote on the way, is deleted.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.llm import minhash_dedup, mixing, packing, quality, suffix_dedup
-from loomery.llm.common import materialise, table
+from loomery.llm.common import discard, settled, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs, _ = materialise(stage(spark, docs, sf_dir))
+        docs, path = settled(spark, lambda f=stage, d=docs: f(spark, d, sf_dir))
+        if before:
+            discard(spark, before)  # the stage after it has been written
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
