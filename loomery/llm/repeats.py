@@ -13,7 +13,8 @@ A task holds one block of neighbourhoods (BLOCK_BYTES) at a time. An anchor with
 distinct neighbourhoods, which would not fit a block, is split by what stands around it: its windows
 are dealt out by their whole content to as many parts as their number asks, and come in the order of
 that content, so that a block can end between any two different windows. Where copies of one window
-fill a block by themselves, the first of them is carried into the next block.
+fill a block by themselves, the first of them is carried into the next block. A task that has sent such a
+window sends no copy of it again: a copy is told as repeated at once, after its content was compared.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ PART = 1 << 22
 HOT_CLASSES = 4_000
 #: Windows of such an anchor that a part is meant to have.
 PART_WINDOWS = 100_000
+#: Windows of hot anchors that a task remembers; older ones are forgotten, and then sent again.
+REMEMBERED = 50_000
+#: Parts over which those told at once are spread.
+SPREAD = 1009
 #: Neighbourhoods that one suffix structure holds at a time; its arrays take about 60 times this.
 BLOCK_BYTES = 2 << 20
 #: Stands for a null doc_id, which comes last in document order.
@@ -120,11 +125,42 @@ def keyed(docs: DataFrame) -> DataFrame:
 CONTENT = "h long, sub int, w long, fp long, dk long, th long, at int, off int, n int, content binary"
 
 
-def _content_rows(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The units of the wanted neighbourhoods of each text; those of a hot anchor window by window."""
+class _Sent:
+    """The windows of hot anchors that a task has sent, so that copies need not be."""
+
+    def __init__(self, keep_first: bool):
+        self.keep_first = keep_first
+        self.known: dict[tuple[int, int], list] = {}
+
+    def add(self, h: int, w: int, place: tuple, fp: int, content: bytes) -> tuple[bool, list[tuple]]:
+        """(whether to send it, windows (place, fp) now known to be repeated). A place is (dk, th, at, off)."""
+        old = self.known.get((h, w))
+        if old is None or old[2] != content:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[h, w] = [place, fp, content, False]
+            return True, []
+        if old[0] == place:  # a repeated input row
+            return False, []
+        if self.keep_first:
+            if place > old[0]:
+                return False, [(place, fp)]
+            self.known[h, w] = [place, fp, content, False]
+            return True, [(old[0], old[1])]
+        told = [(place, fp)] + ([] if old[3] else [(old[0], old[1])])
+        old[3] = True
+        return False, told
+
+
+def _content_rows(units: Units, keep_first: bool):
+    """The units of the wanted neighbourhoods of each text; those of a hot anchor window by window. Rows with sub < 0 are windows known to be repeated."""
     schema = pa.schema([("h", pa.int64()), ("sub", pa.int32()), ("w", pa.int64()), ("fp", pa.int64()), ("dk", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("off", pa.int32()), ("n", pa.int32()), ("content", pa.binary())])
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = _Sent(keep_first)
         for batch in batches:
             rows = []
             held = 0
@@ -142,13 +178,17 @@ def _content_rows(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                     else:
                         told = gram_hashes(around if units.words else byte_values(around), units.window)
                         for c, (w, part) in enumerate(zip(told.view(np.int64).tolist(), (told % np.uint64(parts)).tolist(), strict=True)):
-                            rows.append((h, 1 + part, w, fp, dk, th, lo + lead, c - lead, 1, around[c : c + units.window].tobytes()))
-                        held += n * units.window
-                    if held > 1 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                            window = around[c : c + units.window].tobytes()
+                            send, repeated = sent.add(h, w, (dk, th, lo + lead, c - lead), fp, window)
+                            if send:
+                                rows.append((h, 1 + part, w, fp, dk, th, lo + lead, c - lead, 1, window))
+                                held += units.window
+                            rows += [(h, -1 - (p[0] + p[2]) % SPREAD, 0, f, *p, 1, None) for p, f in repeated]
+                    if held > 1 << 20 or len(rows) > 20_000:
+                        yield batch_of(rows)
                         rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                yield batch_of(rows)
 
     return run
 
@@ -228,7 +268,12 @@ def _solve(units: Units, repeated: Callable[[Block, Units], np.ndarray], block_b
                 if out is not None:
                     yield out
 
-        for batch in batches:
+        for whole in batches:
+            known = whole.column("sub").to_numpy() < 0
+            if known.any():
+                off = whole.column("off").to_numpy()[known]
+                yield pa.RecordBatch.from_arrays([whole.column(c).filter(pa.array(known)) for c in ("h", "fp")] + [pa.array(off), pa.array(off + np.int32(1))], names=["h", "fp", "s", "e"])
+            batch = whole.filter(pa.array(~known))
             for i in range(0, len(batch), 2000):
                 part = pa.Table.from_batches([batch.slice(i, 2000)])
                 held.append(part)
@@ -282,7 +327,7 @@ def covered_ranges(docs: DataFrame, units: Units, repeated: Callable[[Block, Uni
     parts = F.when(F.col("k") > hot_classes, F.ceil(F.col("windows") / PART_WINDOWS)).otherwise(F.lit(0)).cast("int")
     mixed = classes.join(kinds.select("h", parts.alias("parts")), "h").select("f.dk", "f.th", F.struct("h", "fp", "f.lo", "f.n", "f.lead", "parts").alias("x"))
     wanted = mixed.groupBy("dk", "th").agg(F.collect_list("x").alias("wanted"))
-    content = texts.join(wanted, ["dk", "th"]).mapInArrow(_content_rows(units), CONTENT)
+    content = texts.join(wanted, ["dk", "th"]).mapInArrow(_content_rows(units, keep_first), CONTENT)
     dealt = content.repartition("h", "sub").sortWithinPartitions("h", "sub", "w", "dk", "th", "at")
     solved = dealt.mapInArrow(_solve(units, repeated, block_bytes), RANGES)
     solved = solved.groupBy("h", "fp").agg(F.collect_set(F.struct("s", "e")).alias("some"))

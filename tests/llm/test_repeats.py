@@ -3,13 +3,16 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from loomery.llm import repeats, substring_dedup, suffix_dedup
-from loomery.llm.textkit import gram_hashes, sliding_argmin
+from loomery.llm.textkit import gram_hashes, range_hashes, sliding_argmin
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -134,3 +137,47 @@ def test_cut_keeps_whole_characters(make_docs):
     shared = "é" * 150
     got = [r.text for r in suffix_dedup.cut_repeats(make_docs(["aé" + shared + "b", "cè" + shared + "d"])).orderBy("doc_id").collect()]
     assert got == ["ab", "cèd"] or all("é" * 10 not in t for t in got)
+
+
+def test_polynomial_collisions_do_not_count():
+    """Thue-Morse strings have equal polynomial hashes modulo 2**64 under every base."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = np.array(bits, np.uint64), 1 - np.array(bits, np.uint64)
+    both = np.concatenate((a, b))
+    assert range_hashes(both, np.array([0, 1024]), np.array([1024, 2048]))[0] != range_hashes(both, np.array([0, 1024]), np.array([1024, 2048]))[1]
+    assert gram_hashes(a, 1024)[0] != gram_hashes(b, 1024)[0]
+    values = np.random.default_rng(2).integers(0, 3, 50).astype(np.uint64)
+    lo, hi = (x.ravel() for x in np.meshgrid(np.arange(51), np.arange(51)))
+    lo, hi = lo[lo <= hi], hi[lo <= hi]
+    names = {}
+    for x, y, h in zip(lo, hi, range_hashes(values, lo, hi)):
+        assert names.setdefault(values[x:y].tobytes(), h) == h
+    assert len(set(names.values())) == len(names)
+
+
+HOT = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from loomery.llm import repeats, suffix_dedup
+n = 200_000
+rng = np.random.default_rng(1)
+schema = pa.schema([("h", pa.int64()), ("sub", pa.int32()), ("w", pa.int64()), ("fp", pa.int64()), ("dk", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("off", pa.int32()), ("n", pa.int32()), ("content", pa.binary())])
+def batches():
+    for i in range(0, n, 5000):
+        names = [(i + j) // 2 * 2 if (i + j) < n // 2 else 10**9 for j in range(5000)]  # pairs, then one window 100,000 times
+        content = [np.random.default_rng(x).integers(0, 256, 200, dtype=np.uint8).tobytes() for x in names]
+        one = np.ones(5000, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(5000, 7)), pa.array(one), pa.array(np.array(names)), pa.array(np.arange(i, i + 5000)), pa.array(np.arange(i, i + 5000)), pa.array(np.zeros(5000, np.int64)), pa.array(one * 0), pa.array(one * 0), pa.array(one), pa.array(content, pa.binary())], schema=schema)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+hits = set()
+for out in repeats._solve(suffix_dedup.UNITS, suffix_dedup.suffix_array_repeats, repeats.BLOCK_BYTES)(batches()):
+    hits |= set(out.column("fp").to_pylist())
+print(len(hits), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+def test_a_hot_anchor_takes_bounded_memory():
+    """200,000 windows of one anchor, half of them one window: all are found repeated, in the memory of a block."""
+    out = subprocess.run([sys.executable, "-c", HOT], capture_output=True, text=True, check=True, cwd=Path(__file__).resolve().parents[2])
+    found, mb = map(int, out.stdout.split())
+    assert found == 200_000 and mb < 500
