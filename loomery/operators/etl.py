@@ -143,3 +143,10 @@ def cleaned(text: Column, most: int) -> Column:
     """At most `most` characters without control characters, blanks collapsed and trimmed."""
     plain = F.regexp_replace(F.substring(text, 1, most), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
     return F.trim(F.regexp_replace(plain, r"[ \t]+", " "))
+
+
+def apply_prices(current: DataFrame, decided: DataFrame, key: str, price: str = "price") -> DataFrame:
+    """Prices after the changes that were decided 'auto'; baseline, the last price a person approved, stays, so drift adds up against it."""
+    auto = decided.where("decision = 'auto'").select(key, F.col("after").cast("long").alias("__new"))
+    joined = current.join(auto, key, "left")
+    return joined.withColumn("changed", F.coalesce(F.col("__new") != F.col(price), F.lit(False))).withColumn(price, F.coalesce("__new", price)).drop("__new")

@@ -25,6 +25,30 @@ PATTERNS: dict[str, tuple[str, float]] = {
     "handle": (r"\B@[A-Za-z0-9_]{4,}", 0.7),
     "coordinates": (r"-?[0-9]{1,2}\.[0-9]{4,}, ?-?[0-9]{1,3}\.[0-9]{4,}", 0.85),
     "digits": (r"\b[0-9]{9,}\b", 0.6),
+    # formats of documents, accounts and machines
+    "iban": (r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}\b", 0.95),
+    "social_number": (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.9),
+    "passport": (r"\b[A-Z]{1,2}[0-9]{7}\b", 0.7),
+    "document": (r"\b(?:[Pp]assport|[Ll]icen[cs]e|[Pp]olicy|[Cc]ontract) (?:no|number)[.:]? ?[A-Z0-9-]{5,}", 0.9),
+    "account": (r"\b[Aa]ccount(?: no| number)?[.:]? ?[0-9]{6,}\b", 0.9),
+    "internal_id": (r"\b[A-Z]{2,5}-[0-9]{3,}\b", 0.5),
+    "plate": (r"\b[A-Z]{1,3}-[A-Z]{1,2} [0-9]{1,4}\b", 0.7),
+    "mac": (r"\b(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}\b", 0.95),
+    "ipv6": (r"\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b", 0.9),
+    "secret": (r"\b(?:sk|pk|ghp|AKIA)[_-]?[A-Za-z0-9]{16,}\b", 0.9),
+    # other ways to write what has a pattern above
+    "email_spoken": (r"\b[A-Za-z0-9._%+-]+ ?[\[(]at[\])] ?[A-Za-z0-9-]+ ?(?:[\[(]dot[\])]|\.) ?[A-Za-z]{2,}\b", 0.9),
+    "phone_local": (r"\(0[0-9]{2,4}\) ?[0-9]{3,4}[ -]?[0-9]{2,4}\b", 0.85),
+    "phone_dotted": (r"\b[0-9]{3}\.[0-9]{3}\.[0-9]{4}\b", 0.85),
+    "date_dotted": (r"\b[0-9]{1,2}\.[0-9]{1,2}\.(?:19|20)[0-9]{2}\b", 0.6),
+    "date_slashed": (r"\b[0-9]{1,2}/[0-9]{1,2}/(?:19|20)[0-9]{2}\b", 0.6),
+    "date_named": (r"\b[0-9]{1,2} (?:January|February|March|April|May|June|July|August|September|October|November|December) (?:19|20)[0-9]{2}\b", 0.6),
+    "born": (r"\b(?:[Bb]orn on|[Dd]ate of birth:?) [0-9A-Za-z./-]{6,}", 0.9),
+    "geo_link": (r"\bgeo:-?[0-9]{1,2}\.[0-9]+,-?[0-9]{1,3}\.[0-9]+", 0.9),
+    "degrees": (r"[0-9]{1,2}°[0-9]{1,2}'[NS],? ?[0-9]{1,3}°[0-9]{1,2}'[EW]", 0.9),
+    "street": (r"\b[0-9]{1,4} [A-Z][a-z]+ (?:Street|Road|Avenue|Lane|Drive|Square)\b", 0.8),
+    "post_box": (r"\bP\.?O\.? ?[Bb]ox [0-9]{1,6}\b", 0.8),
+    "post_code": (r"\b[0-9]{5}-[0-9]{4}\b", 0.6),
 }
 #: Identifiers that may never leave, whatever else a text holds.
 HARD = ("card", "phone", "email", "coordinates")
@@ -32,7 +56,7 @@ SPAN = T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").
 
 
 #: What every match of a kind holds, so that most texts need no pattern: fixed values.
-HINTS = {"email": "@", "handle": "@", "url": "://", "phone": "+"}
+HINTS = {"email": "@", "handle": "@", "url": "://", "phone": "+", "degrees": "°", "geo_link": "geo:", "phone_local": "(0"}
 
 
 def _hinted(text: Column, kind: str, found: Column, none: Column) -> Column:
@@ -45,7 +69,8 @@ def counts(text: Column, kinds=PATTERNS) -> dict[str, Column]:
 
 def values(docs: DataFrame, keys: list[str], text: str, kinds=PATTERNS) -> DataFrame:
     """(keys, kind, value): every match of every pattern, overlaps included."""
-    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all(text, F.lit(PATTERNS[k][0]), F.lit(0)).alias("all")) for k in kinds])
+    none = F.array().cast("array<string>")
+    found = F.array(*[F.struct(F.lit(k).alias("kind"), _hinted(F.col(text), k, F.regexp_extract_all(text, F.lit(PATTERNS[k][0]), F.lit(0)), none).alias("all")) for k in kinds])
     return docs.select(*keys, F.explode(found).alias("f")).select(*keys, "f.kind", F.explode("f.all").alias("value"))
 
 
@@ -306,3 +331,11 @@ def rates(rows: DataFrame, groups: dict[str, Column], measures: dict[str, Column
     marked = rows.select(F.explode(keys).alias("k"), *[c.alias(n) for n, c in measures.items()])
     out = marked.groupBy("k.kind", "k.key").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(n).alias(n) for n in measures])
     return out.withColumn("rate", percent(F.col(next(iter(measures))), F.col("n")))
+
+
+def deidentified(text: Column, chain: list[str], blocked: list[str]) -> Column:
+    """struct(blocked, text): the text after the chain's replacements in order; none where a blocked kind is in it."""
+    held = F.lit(False)
+    for k in blocked:
+        held = held | text.rlike(PATTERNS[k][0])
+    return F.struct(held.alias("blocked"), F.when(~held, masked(text, chain)).alias("text"))

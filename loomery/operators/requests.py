@@ -142,3 +142,12 @@ def round_up(minute: Column, step: int = 5) -> Column:
 def next_days(today: date, n: int) -> tuple[date, date]:
     """The n days from today."""
     return today, today + timedelta(days=n - 1)
+
+
+def fold_with_retractions(turns: DataFrame, key: str, order: str, columns: list[str], taken_back: str) -> DataFrame:
+    """State after a conversation, where the word `taken_back` takes a field's value back; and how many turns did so."""
+    retracts = F.lit(False)
+    for c in columns:
+        retracts = retracts | F.coalesce(F.col(c) == taken_back, F.lit(False))
+    folded = [F.nullif(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))), F.lit(taken_back)).alias(c) for c in columns]
+    return turns.groupBy(key).agg(*folded, F.count_if(retracts).alias("retracted"))

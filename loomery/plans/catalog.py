@@ -119,7 +119,12 @@ def suggestions(t):
     return se.suggestions(t.part, "p_name", "old")
 
 
-@query()
+@query(f"""
+WITH r AS (SELECT kind, brand, district, row_number() OVER (PARTITION BY kind ORDER BY rating DESC, price, s, p) AS rank FROM ({CARDS})),
+u AS (SELECT *, 1 AS turn FROM r WHERE rank <= 12 UNION ALL SELECT *, 2 FROM r), l AS (SELECT kind, list([{{'rank': rank, 'brand': brand, 'district': district, 'turn': turn, 'pick': CAST(1 AS BIGINT)}}] ORDER BY turn, rank) AS l FROM u GROUP BY kind),
+f AS (SELECT kind, list_reduce(l, lambda acc, x: CASE WHEN len(acc) < 3 AND len(list_filter(acc, lambda y: y.brand = x[1].brand OR x[1].turn = 1 AND y.district = x[1].district)) = 0
+ THEN acc || [{{'rank': x[1].rank, 'brand': x[1].brand, 'district': x[1].district, 'turn': x[1].turn, 'pick': CAST(len(acc) + 1 AS BIGINT)}}] ELSE acc END) AS f FROM l)
+SELECT kind, x.rank AS rank, x.pick AS pick FROM (SELECT kind, unnest(f) AS x FROM f)""")
 def diverse_topk(t):
     ranked = se.ranked(cards(t), [F.desc("rating"), F.col("price"), F.col("s"), F.col("p")], within=["kind"])
     return se.diverse_picks(ranked, ["kind"], "rank", person="brand", place="district")

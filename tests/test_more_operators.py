@@ -145,3 +145,15 @@ def test_tokens_run_out_and_stay_in_their_session(spark):
     asked = [(rows[0].session_key, rows[0].token, 100), (rows[0].session_key, rows[0].token, 120), (rows[2].session_key, rows[1].token, 20)]
     got = [r.value for r in privacy.redeem(minted, spark.createDataFrame(asked, "session_key string, token string, at int"), "value").orderBy("at").collect()]
     assert got == [None, "v0", None] and privacy.mint_tokens(uses, "session", "kind", "i", "at", "secret", most=2).count() == 3
+
+
+def test_patterns_of_every_kind(spark):
+    said = {
+        "iban": "to DE44 5001 0517 5407 3249 please", "social_number": "it is 078-05-1120.", "passport": "C1234567", "document": "passport number: X12-9981", "account": "account no 1234567",
+        "internal_id": "see TICK-4411", "plate": "car B-MX 4021", "mac": "at 00:1B:44:11:3A:B7", "ipv6": "2001:0db8:0000:0000:0000:ff00:0042:8329", "secret": "sk_abcdefghijklmnop1234",
+        "email_spoken": "jo [at] example [dot] org", "phone_local": "(030) 1234 5678", "phone_dotted": "555.123.4567", "date_dotted": "on 3.12.1999", "date_slashed": "12/24/2001", "date_named": "4 July 1976",
+        "born": "born on 1980-02-03", "geo_link": "geo:52.5,13.4", "degrees": "52°31'N 13°24'E", "street": "12 Baker Street", "post_box": "PO Box 12", "post_code": "90210-1234",
+    }
+    rows = spark.createDataFrame([(k, v) for k, v in said.items()], "want string, t string")
+    got = {(r.want, r.kind) for r in privacy.values(rows, ["want"], "t").collect()}
+    assert {(k, k) for k in said} <= got and privacy.values(spark.createDataFrame([("plain words, and 12 of them",)], "t string"), [], "t").count() == 0
