@@ -205,13 +205,13 @@ def _search(index: Index, dim: int, k: int, rerank: int):
 
 
 def build(vectors: DataFrame, lists: int | None = None, k: int = K) -> Index | None:
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "key").limit(SAMPLE).select("v").toPandas()
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "key").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
     if not len(sample):
         return None
     if lists is None:
-        # eight sample vectors a list at least; as many lists as the sample carries, and no more than the root of the rows asks
+        # forty sample vectors a list at least, and no more lists than twice the root of the rows
         lists = max(64, min(len(sample) // 40, round(2 * vectors.count() ** 0.5)))
-    return fit(np.array(sample["v"].tolist(), np.float64), lists, k)
+    return fit(_matrix(sample, len(sample[0])), lists, k)
 
 
 def search(vectors: DataFrame, queries: DataFrame, index: Index, k: int = K, rerank: int = RERANK) -> DataFrame:
@@ -256,11 +256,11 @@ def recall(vectors: DataFrame, queries: DataFrame, index: Index, k: int = K, che
     """
     some = queries.orderBy(F.xxhash64("key", "vec_id")).limit(checked).select("key", "vec_id", "v")
     some, path = materialise(some)
-    rows = some.toPandas()
+    rows = some.select("key", "v").toArrow()
     if not len(rows):
         return 1.0
     dim = index.centres.shape[1]
-    scores = vectors.select("key", "v").mapInArrow(_every(np.array(rows["v"].tolist(), np.float64), rows["key"].to_numpy(), dim, k), "query long, score double")
+    scores = vectors.select("key", "v").mapInArrow(_every(_matrix(rows.column("v").combine_chunks(), dim), rows.column("key").to_numpy(), dim, k), "query long, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"))
     true = scores.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
     least = true.groupBy("query").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
