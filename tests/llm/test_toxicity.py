@@ -104,3 +104,34 @@ def test_neighbours_are_over_whole_texts(spark):
         cosine = {e: vector[i] @ vector[e] / np.linalg.norm(vector[i]) / np.linalg.norm(vector[e]) for e in examples}
         assert len(got[i].evidence) == tx.NEIGHBOURS
         assert np.allclose([cosine[e] for e in got[i].evidence], sorted(cosine.values(), reverse=True)[: tx.NEIGHBOURS])
+
+
+def test_examples_without_words_or_of_one_kind(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["", "a b c", " ", None, "a b", "...", "a c d", "e"] * 3)], "doc_id long, text string")
+    blank = [i for i in range(24) if i % 8 in (0, 2, 3, 5)]
+    for ids, toxic in ((blank, 1), (range(24), 0), (range(24), 1), ([1], 1)):
+        got = tx.toxicity(docs, spark.createDataFrame([(i, toxic) for i in ids], "doc_id long, toxic int")).collect()
+        assert len(got) == 24 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+        if len(list(ids)) == 24:
+            assert {r.predicted for r in got} == {toxic}
+
+
+def test_search_is_exact_with_many_open_blocks(monkeypatch):
+    """Few, common terms: bounds stay loose, and the matrix product decides; many, rare ones: blocks are pruned."""
+    rng = np.random.default_rng(7)
+    for n_terms, opened in ((12, 8), (400, 8), (400, 10_000)):
+        monkeypatch.setattr(tx, "OPEN", opened)
+        idf = rng.uniform(1, 5, n_terms)
+        rows = [(np.sort(rng.choice(n_terms, rng.integers(1, 9), replace=False)),) for _ in range(500)]
+        rows = [(t, rng.integers(1, 5, len(t))) for (t,) in rows]
+        index = tx.BlockMaxIndex.build(np.arange(500), rng.integers(0, 2, 500), idf, rows)
+        dense = np.zeros((500, n_terms))
+        for i, (t, c) in enumerate(rows):
+            dense[i, t] = tx.weigh(idf, t, c)
+        cuts = np.cumsum([0, *(len(t) for t, _ in rows[:300])])
+        found = list(index.search(cuts, np.concatenate([t for t, _ in rows[:300]]), np.concatenate([c for _, c in rows[:300]]), 15, np.arange(300)))
+        for i, (best, score) in enumerate(found):
+            want = dense @ dense[i]
+            want[i] = 0
+            top = np.sort(want)[::-1][:15]
+            assert i not in best and np.allclose(score, top[top > 0]) and np.allclose(want[best], score)
