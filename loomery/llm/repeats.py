@@ -35,7 +35,7 @@ PART = 1 << 22
 #: Distinct neighbourhoods of one anchor above which its windows are dealt out by content.
 HOT_CLASSES = 4_000
 #: Windows of such an anchor that a part is meant to have.
-PART_WINDOWS = 100_000
+PART_WINDOWS = 4_000
 #: Windows of hot anchors that a task remembers; older ones are forgotten, and then sent again.
 REMEMBERED = 50_000
 #: Parts over which those told at once are spread.
