@@ -269,7 +269,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 
 def _with_components(rows: DataFrame) -> DataFrame:
-    least = rows.where("label is not null").groupBy("label").agg(F.min("dk").alias("least"))
+    # a table of its own, so that a component with a third of the rows is split by the join
+    least, _ = materialise(rows.where("label is not null").groupBy("label").agg(F.min("dk").alias("least")))
     joined = rows.join(least, "label", "left")
     return joined.withColumn("least", F.coalesce("least", "dk"))
 
