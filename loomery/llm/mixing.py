@@ -78,11 +78,15 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__source": F.col("source").cast("string"), "__hash": _hash(text), "size": F.regexp_count(text, F.lit(WORD)).cast("long")})
 
 
-def mix(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """`keep` columns of docs with size, source_size, target, __copies (times taken) and taken (words)."""
+def mix(docs: DataFrame, keep: list[str], narrow: bool = False) -> DataFrame:
+    """`keep` columns of docs with size, source_size, target, __copies (times taken) and taken (words).
+
+    Narrow columns are written beside the sizes, so the texts are read once; wide ones are read again.
+    """
     names = [f"k{i}" for i in range(len(keep))]
     rows = sized(docs).select(*[F.col(k).alias(n) for k, n in zip(keep, names, strict=True)], "__source", "__hash", "size")
-    measured, _ = materialise(rows.select("__source", "__hash", "size"))
+    measured, _ = materialise(rows if narrow else rows.select("__source", "__hash", "size"))
+    rows = measured if narrow else rows
     hashed = measured.where("size > 0")
     goals, _ = materialise(targets(measured.groupBy("__source").agg(F.sum("size").alias("source_size"))))
     plan = goals.alias("g").join(_thresholds(hashed, goals.where("source_size > 0")).alias("t"), F.col("g.__source").eqNullSafe(F.col("t.__source")), "left").select("g.*", "t.__threshold")
@@ -96,7 +100,7 @@ def mix(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def mix_digest(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
-    return mix(docs.select("doc_id", "text", "source"), ["doc_id"]).drop("__copies")
+    return mix(docs.select("doc_id", "text", "source"), ["doc_id"], narrow=True).drop("__copies")
 
 
 def take(docs: DataFrame) -> DataFrame:
