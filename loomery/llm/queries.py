@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, minhash_dedup, mixing, packing, quality, sharding, substring_dedup, suffix_dedup, token_counts, toxicity
+from . import ann, centroids, fill_middle, minhash_dedup, mixing, packing, quality, quality_classifier, sharding, substring_dedup, suffix_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -21,6 +21,9 @@ QUERIES = {
     "op8_quality_rules": _over("documents", quality.quality_digest),
     "op9_length_buckets": _over("documents", packing.pack_digest),
     "op10_source_mixing": _over("documents", mixing.mix_digest),
+    "op11_centroid_clustering": _over("embeddings", centroids.cluster_digest),
+    "op12_quality_classifier": lambda spark, sf_dir: quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op13_fill_in_middle": _over("documents", fill_middle.fill_digest),
 }
 
-ORACLE_SQL = {"op10_source_mixing": mixing.ORACLE}
+ORACLE_SQL = {"op10_source_mixing": mixing.ORACLE, "op11_centroid_clustering": centroids.ORACLE, "op13_fill_in_middle": fill_middle.ORACLE}
