@@ -145,3 +145,30 @@ def nearest_then_minutes(t):
     start = t.supplier.where("s_suppkey = 0").select(F.col("s_suppkey").alias("source"))
     minutes = gr.travel_minutes(gr.shortest(roads(t), start, 3600), 1.0, 60)
     return near.join(minutes, F.col("s_suppkey") == F.col("node"), "left").select("s_suppkey", "minutes")
+
+
+NATION_PAIRS = "SELECT s.source, s_suppkey AS target FROM supplier JOIN (SELECT s_nationkey AS k, min(s_suppkey) AS source FROM supplier GROUP BY 1) s ON s_nationkey = s.k"
+
+
+def nation_pairs(t: Tables):
+    """From each nation's first supplier to every one of its suppliers."""
+    first = t.supplier.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("source"))
+    return t.supplier.join(first, "s_nationkey").select("source", F.col("s_suppkey").alias("target"))
+
+
+@query(f"""{_search(f'SELECT DISTINCT source FROM ({NATION_PAIRS})', 1200)}, p AS ({NATION_PAIRS})
+SELECT p.source, p.target, d.cost, CASE WHEN d.cost IS NULL THEN 'unreachable' ELSE 'found' END AS state FROM p LEFT JOIN d ON p.source = d.source AND p.target = d.node""")
+def routes_to_goals(t):
+    """Routes steered by landmarks towards their targets, up to twenty minutes."""
+    edges = roads(t)
+    return gr.Goals(edges, gr.landmarks(edges)).search(nation_pairs(t), ceiling=1200)[0]
+
+
+@query(f"""
+WITH c AS (SELECT c_custkey, {NORTH.format('(c_custkey + 5)')} FROM customer), s AS (SELECT s_suppkey, {NORTH.format('s_suppkey')} FROM supplier),
+d AS (SELECT c_custkey, s_suppkey, CAST(floor({KM.format('c.lat', 'c.lon', 's.lat', 's.lon')} * 1000 + 0.5) AS BIGINT) AS metres FROM c, s)
+SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY metres, s_suppkey) AS INTEGER) AS rank, s_suppkey, metres FROM d QUALIFY rank <= 3""")
+def three_nearest(t):
+    """The three nearest suppliers of every customer, anywhere on the globe."""
+    c, s = t.customer.select("c_custkey", *anywhere(F.col("c_custkey") + 5)), t.supplier.select("s_suppkey", *anywhere(F.col("s_suppkey")))
+    return gr.nearest_of(c, s, "c_custkey", "s_suppkey", 3)
