@@ -88,8 +88,25 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def gapless(df: DataFrame, group: list[str], order: list, cell: list, out: str) -> DataFrame:
-    """Number the rows of each group from 0 without gaps, in the order (cell, order).
+#: Copies that `spread` makes of a row in one task.
+PIECE = 20_000
+
+
+def spread(df: DataFrame, count: str, out: str, deal: list[str]) -> DataFrame:
+    """Each row as often as its `count` says, without that column and with the copy's number from 0 as `out`.
+
+    Rows that stand for many are cut into pieces of PIECE copies, dealt out by the piece and the columns `deal`
+    before the copies are made, so that no task makes all copies of a row.
+    """
+    one = df.where(F.col(count) == 1).withColumn(out, F.lit(0).cast("long")).drop(count)
+    many = df.where(F.col(count) > 1).withColumn("__at", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1, F.lit(PIECE).cast("long"))))
+    last = F.least(F.col("__at") + PIECE, F.col(count)) - 1
+    many = many.repartition(*deal, "__at").withColumn(out, F.explode(F.sequence(F.col("__at"), last)))
+    return one.unionByName(many.drop("__at", count))
+
+
+def gapless(df: DataFrame, group: list[str], order: list, cell: list, out: str, weight: str | None = None) -> DataFrame:
+    """Number the rows of each group from 0 without gaps, in the order (cell, order); a row with a weight takes so many numbers and gets their first.
 
     `cell` are expressions that cut a group into many parts of bounded size whose own order is the
     order of the numbers. Rows are counted per cell, the counts are summed over the (few) cells, and
@@ -98,10 +115,11 @@ def gapless(df: DataFrame, group: list[str], order: list, cell: list, out: str)
     names = [f"__cell{i}" for i in range(len(cell))]
     df = df.withColumns(dict(zip(names, cell, strict=True)))
     keys = group + names
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    counts = df.groupBy(*keys).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__n"))
     before = Window.partitionBy(*group).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    within = Window.partitionBy(*keys).orderBy(*order)
+    inside = F.coalesce(F.sum(weight).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if weight else F.row_number().over(within) - 1
     left, right = df.alias("l"), starts.alias("r")
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     joined = left.join(right, same).select("l.*", "r.__start")

@@ -7,8 +7,9 @@ again. Two refinements settle the first BITS * LEVELS bits. Nothing is sorted bu
 a source has at most 2**BITS a level, and everything is DataFrame functions.
 
 A target above a source's size takes every document once and a threshold of them twice. Nulls and
-empty texts have size 0 and take 0; a null source is a source of its own, last in the order. Rows
-equal in doc_id and text share a hash and are taken alike. Other columns are kept by `take`.
+empty texts have size 0 and take 0; a null source is a source of its own, last in the order. Of rows
+equal in doc_id, text and source each copy has its number in its hash, so they are taken one by one; a
+row stands for its copies until then. Other columns are kept by `take`.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, text_or_empty
+from .common import WORD, gapless, materialise, spread, text_or_empty
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -25,10 +26,15 @@ BITS = 12
 LEVELS = 3
 
 
-def _hash(text):
-    """BITS * LEVELS bits of an md5 of doc_id and text."""
-    name = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)
-    return F.shiftright(F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("long"), 48 - BITS * LEVELS)
+def _name(text):
+    """The md5 of doc_id and text."""
+    return F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text))
+
+
+def _hash(name, copy):
+    """BITS * LEVELS bits of a copy's md5; the first copy has the document's own."""
+    told = F.when(copy == 0, name).otherwise(F.md5(F.concat_ws(":", name, copy.cast("string"))))
+    return F.shiftright(F.conv(F.substring(told, 1, 12), 16, 10).cast("long"), 48 - BITS * LEVELS)
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -72,10 +78,25 @@ def _thresholds(hashed: DataFrame, goals: DataFrame) -> DataFrame:
     return state.select("__source", F.col("__low").alias("__threshold"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """docs with __source, __hash and size (words of the text)."""
+def sized(docs: DataFrame, row: list[str]) -> DataFrame:
+    """`row` columns of docs with __source, __hash and size (words of the text), a row for every copy."""
     text = text_or_empty()
-    return docs.withColumns({"__source": F.col("source").cast("string"), "__hash": _hash(text), "size": F.regexp_count(text, F.lit(WORD)).cast("long")})
+    named = docs.select(*row, F.col("source").cast("string").alias("__source"), _name(text).alias("__name"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+    if set(row) <= {"doc_id"}:  # nothing else tells copies apart
+        counted = named.groupBy(*named.columns).agg(F.count(F.lit(1)).alias("__copies"))
+        every = spread(counted, "__copies", "__copy", ["__name", "__source"])
+    else:  # texts are moved only where they repeat
+        key = ["__name", "__source"]
+        again, _ = materialise(named.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*key))
+        same = (F.col("n.__name") == F.col("a.__name")) & F.col("n.__source").eqNullSafe(F.col("a.__source"))
+        n, a = named.alias("n"), again.alias("a")
+        once = n.join(a, same, "left_anti").withColumn("__copy", F.lit(0).cast("long"))
+        counted = n.join(a, same, "left_semi").groupBy(*named.columns).agg(F.count(F.lit(1)).alias("__copies"))
+        counted = counted.withColumn("__json", F.md5(F.to_json(F.struct(*row))))
+        counted = gapless(counted, key, ["__json"], [F.substring("__json", 1, 2)], "__first", "__copies")
+        every = spread(counted, "__copies", "__copy", key).withColumn("__copy", F.col("__first") + F.col("__copy")).drop("__json", "__first")
+        every = once.unionByName(every)
+    return every.withColumn("__hash", _hash(F.col("__name"), F.col("__copy"))).drop("__name", "__copy")
 
 
 def mix(docs: DataFrame, keep: list[str], narrow: bool = False) -> DataFrame:
@@ -84,7 +105,7 @@ def mix(docs: DataFrame, keep: list[str], narrow: bool = False) -> DataFrame:
     Narrow columns are written beside the sizes, so the texts are read once; wide ones are read again.
     """
     names = [f"k{i}" for i in range(len(keep))]
-    rows = sized(docs).select(*[F.col(k).alias(n) for k, n in zip(keep, names, strict=True)], "__source", "__hash", "size")
+    rows = sized(docs, keep).select(*[F.col(k).alias(n) for k, n in zip(keep, names, strict=True)], "__source", "__hash", "size")
     measured, _ = materialise(rows if narrow else rows.select("__source", "__hash", "size"))
     rows = measured if narrow else rows
     hashed = measured.where("size > 0")
@@ -111,11 +132,15 @@ def take(docs: DataFrame) -> DataFrame:
 
 
 ORACLE = r"""
-WITH docs AS (
+WITH named AS (
   SELECT doc_id, source,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 12))::BIGINT >> 12 AS h
+         md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS name,
+         row_number() OVER (PARTITION BY doc_id, coalesce(text, ''), source) - 1 AS copy
   FROM documents),
+docs AS (
+  SELECT doc_id, source, size, ('0x' || substr(CASE WHEN copy = 0 THEN name ELSE md5(name || ':' || copy) END, 1, 12))::BIGINT >> 12 AS h
+  FROM named),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w

@@ -7,9 +7,10 @@ tolerance. A cut prefers the edge of a group of equal texts and goes through a g
 doc_id, only where the group is larger than the tolerance. Counting works on sizes and hashes; the
 driver gets at most (shards - 1) * 2**BITS counts a round. One exchange then deals the rows out.
 
-A null text counts as empty (size 8). Null doc_ids, repeated rows and an empty table need nothing
-special: rows equal in both hashes are cut only between each other's copies' keys, so they stay
-together. Everything is DataFrame functions.
+Rows equal in text and doc_id (null ids among them) are one row with a count until they are dealt out. Where
+such a row is larger than the tolerance, the last part of its key is the number of the copy: copies have
+one size, so the boundary among them is a division. A null text counts as empty (size 8); an empty table
+gives no rows. Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import gapless, materialise, own_names, text_or_empty
+from .common import gapless, materialise, own_names, spread, text_or_empty
 
 SHARDS = 24
 BITS = 10
@@ -31,15 +32,17 @@ TOLERANCE = 0.01
 
 
 def keyed_sizes(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, text_crc32, hi, lo, copies): a row for each document, with the number of rows equal to it."""
     text = text_or_empty()
     mask = F.lit((1 << KEY_BITS) - 1)
-    return docs.select(
+    rows = docs.select(
         "doc_id",
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).bitwiseAND(mask).alias("hi"),
         F.xxhash64(F.lit(1), F.col("doc_id")).bitwiseAND(mask).alias("lo"),
     )
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
 
 
 @dataclass
@@ -60,19 +63,20 @@ def _histogram(rows: DataFrame, key: str, open_: list[_Search], shift: int) -> d
         inside |= here if group is None else here & (F.col("hi") == group)
     grouping = [F.shiftright(key, shift).alias("cell")] + (["hi"] if key == "lo" else [])
     found: dict[tuple, list[Row]] = {}
-    counts = rows.where(inside).groupBy(*grouping).agg(F.sum("size").alias("bytes"), F.min(key).alias("least"), F.max(key).alias("most"))
+    weight = F.sum(F.col("size") * F.col("copies")).alias("bytes")
+    counts = rows.where(inside).groupBy(*grouping).agg(weight, F.min(key).alias("least"), F.max(key).alias("most"), F.max("size").alias("unit"), F.max("copies").alias("copies"))
     for r in counts.collect():
         found.setdefault((r.hi if key == "lo" else None, r.cell >> BITS), []).append(r)
     return {k: sorted(v, key=lambda r: r.cell) for k, v in found.items()}
 
 
-def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
-    """shards - 1 boundaries (hi, lo); a row's shard is the number of boundaries not above its key."""
-    total = rows.agg(F.sum("size")).first()[0] or 0
+def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> list[tuple[int, int, int]]:
+    """shards - 1 boundaries (hi, lo, copy); a row's shard is the number of boundaries not above its key."""
+    total = rows.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] or 0
     if not total:
-        return [(1 << KEY_BITS, 0)] * (shards - 1)
+        return [(1 << KEY_BITS, 0, 0)] * (shards - 1)
     slack = tolerance * total / shards
-    done: dict[int, tuple[int, int]] = {}
+    done: dict[int, tuple[int, int, int]] = {}
     groups: dict[int, _Search] = {}
     open_ = {s: _Search(total * s / shards) for s in range(1, shards)}
     for key in ("hi", "lo"):
@@ -87,10 +91,12 @@ def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
                     x.below += r.bytes
                 else:
                     x.below -= r.bytes
-                edge, one = (lambda k, g=x.group: (k, 0) if g is None else (g, k)), r.least == r.most
+                edge, one = (lambda k, g=x.group: (k, 0, 0) if g is None else (g, k, 0)), r.least == r.most
                 low, high = x.target - x.below, x.below + r.bytes - x.target
-                if min(abs(low), abs(high)) <= slack or one and key == "lo":
+                if min(abs(low), abs(high)) <= slack:
                     done[s] = edge(r.least if abs(low) <= abs(high) else r.most + 1)
+                elif one and key == "lo":  # copies of one row above the tolerance: cut between two of them
+                    done[s] = (x.group, r.least, max(0, min(r.copies, round(low / r.unit))))
                 elif one:  # a group of equal texts above the tolerance: cut through it
                     groups[s] = _Search(x.target, x.below, r.least)
                 else:
@@ -101,31 +107,50 @@ def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
     return [done[s] for s in range(1, shards)]
 
 
-def shard_of(bounds: list[tuple[int, int]]) -> Column:
-    above = [((F.col("hi") > hi) | ((F.col("hi") == hi) & (F.col("lo") >= lo))).cast("int") for hi, lo in bounds]
+def shard_of(bounds: list[tuple[int, int, int]], copy: Column) -> Column:
+    past = lambda hi, lo, n: (F.col("hi") > hi) | ((F.col("hi") == hi) & ((F.col("lo") > lo) | ((F.col("lo") == lo) & (copy >= n))))
+    above = [past(*b).cast("int") for b in bounds]
     return sum(above[1:], above[0]) if above else F.lit(0)
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law)."""
     rows, _ = materialise(keyed_sizes(docs))
-    placed = rows.withColumn("shard", shard_of(splitters(rows, shards, tolerance)).cast("int"))
+    bounds = splitters(rows, shards, tolerance)
+    # copies that a boundary parts, before and behind it
+    cuts = F.array(*[F.struct(*[F.lit(x).cast("long").alias(c) for c, x in zip(("hi", "lo", "n"), b, strict=True)]) for b in bounds if b[2]]) if any(b[2] for b in bounds) else None
+    starts = F.array(F.lit(0).cast("long"))
+    if cuts is not None:
+        own = F.filter(cuts, lambda c: (c["hi"] == F.col("hi")) & (c["lo"] == F.col("lo")) & (c["n"] < F.col("copies")))
+        starts = F.array_sort(F.array_union(starts, F.transform(own, lambda c: c["n"])))
+    parts = rows.withColumn("starts", starts).select(*rows.columns, F.posexplode("starts").alias("i", "first"), "starts")
+    parts = parts.withColumn("copies", F.coalesce(F.get("starts", F.col("i") + 1), F.col("copies")) - F.col("first")).drop("i", "starts")
+    placed = parts.withColumn("shard", shard_of(bounds, F.col("first")).cast("int"))
     # as many cells of one text's rows as the count of rows asks, so that a text that is a third of them is dealt out too
     bits = max(4, (rows.count() // CELL_ROWS).bit_length())
     cells = [F.shiftright("hi", KEY_BITS - BITS), F.shiftright("lo", KEY_BITS - bits)]
-    numbered = gapless(placed, ["shard"], ["hi", "lo", "doc_id"], cells, "slot")
+    numbered = gapless(placed, ["shard"], ["hi", "lo", "doc_id", "first"], cells, "slot", "copies")
+    numbered = spread(numbered, "copies", "copy", ["hi", "lo"]).withColumn("slot", F.col("slot") + F.col("copy"))
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, tolerance: float = TOLERANCE) -> None:
     """Write the documents themselves, a folder per shard, in one exchange by (shard, part of its key range).
 
-    A column of theirs called shard is written as shard_.
+    A column of theirs called shard is written as shard_. Where a boundary parts equal rows, each of them goes
+    to either side by chance, in the boundary's proportion.
     """
     rows, _ = materialise(keyed_sizes(docs))
+    bounds = splitters(rows, shards, tolerance)
+    parted = {(hi, lo) for hi, lo, n in bounds if n}
+    many = rows.where(F.lit(False)) if not parted else rows.where(F.struct("hi", "lo").isin([F.struct(F.lit(h), F.lit(lo)) for h, lo in parted]))
+    held = {(r.hi, r.lo): r.copies for r in many.select("hi", "lo", "copies").collect()}  # a row a boundary at most
+    copy = F.lit(0.0)
+    for (h, lo), n in held.items():
+        copy = F.when((F.col("hi") == h) & (F.col("lo") == lo), F.rand(7) * n).otherwise(copy)
     bits = max(3, (rows.count() // CELL_ROWS).bit_length())
     mask = F.lit((1 << KEY_BITS) - 1)
     keyed = docs.select(F.xxhash64(text_or_empty()).bitwiseAND(mask).alias("hi"), F.xxhash64(F.lit(1), F.col("doc_id")).bitwiseAND(mask).alias("lo"), F.struct(*docs.columns).alias("row"))
-    placed = keyed.withColumn("shard", shard_of(splitters(rows, shards, tolerance))).repartition("shard", F.shiftright("lo", KEY_BITS - bits))
+    placed = keyed.withColumn("copy", copy).withColumn("shard", shard_of(bounds, F.col("copy"))).repartition("shard", F.shiftright("lo", KEY_BITS - bits))
     names = own_names(docs.columns, ["shard"])
     placed.select("shard", *[F.col("row")[c].alias(n) for c, n in names.items()]).write.partitionBy("shard").parquet(path)
