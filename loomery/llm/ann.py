@@ -14,8 +14,8 @@ parts, so a list or vector that holds a third of all rows is many small tasks. O
 one block are in memory.
 
 Vectors that are null, zero, of another dimension than most, or hold null or non-finite components
-take no part. Equal vectors have equal codes, and ties go to the smaller id throughout. A query finds
-all candidates if there are fewer than k. Rows that repeat an id are queries and candidates of their own:
+take no part. Equal vectors have equal codes, and ties go to the smaller id throughout, rows without
+an id last; they are candidates and no queries. A query finds all candidates if there are fewer than k. Rows that repeat an id are queries and candidates of their own:
 only a query's own row is no candidate of it.
 """
 
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialise
+from .repeats import NO_ID
 
 SAMPLE = 20_000
 PARTS = 16
@@ -110,7 +111,7 @@ def usable(rows: DataFrame) -> DataFrame:
     """(key, vec_id, v): the vectors that take part, as doubles; key names the row, once this is written as a table."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
-    good = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null").where(fine)
+    good = rows.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_id"), v.alias("v")).where("v is not null").where(fine)
     common = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return good.where(F.size("v") == (common.d if common else 0)).select(F.monotonically_increasing_id().alias("key"), "vec_id", "v")
 
@@ -127,6 +128,22 @@ def _binary(x: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
 
 
+def _tally(index: Index, dim: int, as_queries: bool):
+    """How many vectors a list holds, or how many queries probe it, of each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(index.centres), np.int64)
+        for batch in batches:
+            for i in range(0, len(batch), 1000):
+                x = _matrix(batch.column("v").slice(i, 1000), dim)
+                lists = index.order(x)[:, : index.probes].ravel() if as_queries else index.lists(x)
+                n += np.bincount(lists, minlength=len(n))
+        held = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(n[held])], names=["list", "n"])
+
+    return run
+
+
 def _deal(index: Index, dim: int, parts: np.ndarray, query_parts: np.ndarray, as_queries: bool):
     """Vectors to every query part of their block, or queries to every block of the lists that they probe."""
 
@@ -217,13 +234,12 @@ def build(vectors: DataFrame, lists: int | None = None, k: int = K) -> Index | N
 def search(vectors: DataFrame, queries: DataFrame, index: Index, k: int = K, rerank: int = RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found among vectors other than itself."""
     dim = index.centres.shape[1]
-    none = np.ones(len(index.centres), np.int64)
 
     def counts(df: DataFrame, as_queries: bool, size: int) -> np.ndarray:
-        rows = df.withColumn("salt", F.lit(0).cast("long")).mapInArrow(_deal(index, dim, none, none, as_queries), ROWS)
-        n = np.ones(len(none), np.int64)
-        for r in rows.groupBy("list").count().collect():
-            n[r["list"]] = -(-r["count"] // size)
+        rows = df.select("v").mapInArrow(_tally(index, dim, as_queries), "list int, n long")
+        n = np.ones(len(index.centres), np.int64)
+        for r in rows.groupBy("list").agg(F.sum("n").alias("n")).collect():
+            n[r["list"]] = -(-r["n"] // size)
         return n
 
     parts, query_parts = counts(vectors, False, BLOCK), counts(queries, True, QUERY_BLOCK)
@@ -272,12 +288,13 @@ def recall(vectors: DataFrame, queries: DataFrame, index: Index, k: int = K, che
 
 
 def nearest(rows: DataFrame, every: int = 20, k: int = K) -> DataFrame:
-    """Queries: rows whose vec_id is divisible by `every`; candidates: every other row."""
+    """Queries: rows whose vec_id is divisible by `every`; candidates: every other row, those without an id too (last among ties)."""
     vectors, _ = materialise(usable(rows))
     index = build(vectors, k=k)
     if index is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    queries = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
+    queries = vectors.where((F.pmod("vec_id", F.lit(every)) == 0) & (F.col("vec_id") != NO_ID))
     while index.probes < len(index.centres) and recall(vectors, queries, index, k) < LEAST:
         index.probes = min(len(index.centres), index.probes + index.probes // 2 + 1)
-    return search(vectors, queries, index, k).drop("query", "key")
+    found = search(vectors, queries, index, k)
+    return found.select("query_id", "rank", F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")

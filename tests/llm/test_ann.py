@@ -48,7 +48,7 @@ def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0], 0), (20, [0.5, 1.0], 0), (1, None, 0), (2, [0.0, 0.0], 0), (3, [nan, 1.0], 0), (4, [inf, 1.0], 0), (5, [None, 1.0], 0), (6, [1.0], 0), (None, [1.0, 1.0], 0), (7, [-1.0, 3.0], 0)]
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(spark.createDataFrame(rows, SCHEMA)).collect())
-    assert got == [(0, 1, 7, 5.0), (0, 2, 20, 2.5), (20, 1, 0, 2.5), (20, 2, 7, 2.5)]
+    assert got == [(0, 1, 7, 5.0), (0, 2, None, 3.0), (0, 3, 20, 2.5), (20, 1, 0, 2.5), (20, 2, 7, 2.5), (20, 3, None, 1.5)]
     assert ann.nearest(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
@@ -74,3 +74,9 @@ def test_recall_is_measured(spark, sf):
     assert ann.recall(vectors, queries, index) > 0.99
     index.probes = 1
     assert ann.recall(vectors, queries, index) < 0.5
+
+
+def test_rows_without_an_id_are_candidates_and_last_among_ties(spark):
+    rows = [(0, [1.0, 0.0], 0), (None, [9.0, 1.0], 0), (None, [2.0, 1.0], 0), (5, [2.0, 3.0], 0), (1, [2.0, 0.0], 0)]
+    got = [(r["rank"], r.vec_id, r.score) for r in ann.nearest(spark.createDataFrame(rows, SCHEMA)).orderBy("rank").collect()]
+    assert got == [(1, None, 9.0), (2, 1, 2.0), (3, 5, 2.0), (4, None, 2.0)]
