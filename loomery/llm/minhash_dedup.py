@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import discard, materialise, text_or_empty
 from .components import components
 from .repeats import NO_ID, keyed
 from .textkit import Words, buffers, gram_hashes, mix64, range_hashes, slices
@@ -189,7 +189,9 @@ def _confirm(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, perc
 
     Rows of `wanted`: block, place, id, label. A block's other nodes are dealt out in parts of PART_ROWS.
     """
-    parts = wanted.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART_ROWS)).cast("int").alias("parts"))
+    # tables on the side of every join that is counted from its other side, so that a frequent key is split by it
+    wanted, _ = materialise(wanted)
+    parts, _ = materialise(wanted.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART_ROWS)).cast("int").alias("parts")))
     dealt = wanted.join(parts, "block")
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     one = F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
@@ -202,7 +204,7 @@ def _confirm(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, perc
 def table_keys(nodes: DataFrame) -> DataFrame:
     """(key, id) of the tables: pairs of a short key of either collection that the node shares with another node."""
     short = nodes.select("id", F.posexplode("keys").alias("j", "value")).select("id", "j", F.xxhash64("j", "value").alias("short"))
-    shared = short.groupBy("short").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("short")
+    shared, _ = materialise(short.groupBy("short").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("short"))
     held = short.join(shared, "short").groupBy("id").agg(F.collect_list(F.struct("j", "short")).alias("all"))
     first, second = F.filter("all", lambda x: x["j"] < SIDE), F.filter("all", lambda x: x["j"] >= SIDE)
     pairs = held.select("id", F.explode(first).alias("a"), second.alias("bs")).select("id", "a", F.explode("bs").alias("b"))
@@ -211,10 +213,11 @@ def table_keys(nodes: DataFrame) -> DataFrame:
 
 def across(places: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     """What is left to compare: rows of `_confirm` for nodes that share a key and lie in different components."""
-    labelled = places.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    labelled, labelled_path = materialise(places.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")))
     sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    main = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", "main")
+    main, _ = materialise(sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", "main"))
     mixed, _ = materialise(labelled.join(main, "key"))
+    discard(places.sparkSession, labelled_path)
     outside = mixed.where("label <> main")
     # a node's home is the component that is largest where it is not, so that a group's blocks fill. Counts are tables of
     # their own: small ones are broadcast by their measured size, else both sides are plain shuffles that can be split
@@ -253,8 +256,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     signed, _ = materialise(texts.mapInArrow(_sign(shingle), "dk long, th long, n long, id long, check long, keys array<long>"))
     signed, nodes = named_sets(signed)
     keys = table_keys(nodes)
-    many = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
+    keys, keys_path = materialise(keys)
+    many, _ = materialise(keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most"))
     places, _ = materialise(keys.join(many, "key").select("key", "id", F.col("least").alias("pivot")))
+    discard(docs.sparkSession, keys_path)
 
     met = places.where("id <> pivot").select("pivot", "id").distinct()
     pivots = met.select(F.col("pivot").alias("block"), F.lit(0).alias("place"), F.col("pivot").alias("id"), F.col("pivot").alias("label")).distinct()

@@ -323,7 +323,9 @@ def covered_ranges(docs: DataFrame, units: Units, repeated: Callable[[Block, Uni
     discard(spark, again_path)
 
     classes = occurrences.groupBy("h", "fp").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("dk", "th", "lo", "n", "lead")).alias("f"))
-    kinds = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum("f.n").alias("windows")).where("k > 1")
+    # tables, as above: one anchor may have a large share of all neighbourhoods
+    classes, classes_path = materialise(classes)
+    kinds, kinds_path = materialise(classes.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum("f.n").alias("windows")).where("k > 1"))
     parts = F.when(F.col("k") > hot_classes, F.ceil(F.col("windows") / PART_WINDOWS)).otherwise(F.lit(0)).cast("int")
     mixed = classes.join(kinds.select("h", parts.alias("parts")), "h").select("f.dk", "f.th", F.struct("h", "fp", "f.lo", "f.n", "f.lead", "parts").alias("x"))
     wanted = mixed.groupBy("dk", "th").agg(F.collect_list("x").alias("wanted"))
@@ -334,6 +336,8 @@ def covered_ranges(docs: DataFrame, units: Units, repeated: Callable[[Block, Uni
 
     # a table as well: a neighbourhood that half of the occurrences share is split by the join below
     told, _ = materialise(classes.join(solved, ["h", "fp"], "left").where("m > 1 or some is not null"))
+    discard(spark, classes_path)
+    discard(spark, kinds_path)
     at = occurrences.join(told, ["h", "fp"])
     place = F.struct(F.col("dk"), F.col("th"), F.col("lo"))
     whole = place != F.struct("f.dk", "f.th", "f.lo") if keep_first else F.col("m") > 1
