@@ -69,42 +69,48 @@ def works_weekend(week: Column) -> Column:
     return F.coalesce(known("sa") | known("su"), F.lit(False))
 
 
-def _day_numbers(days: Column) -> Column:
-    """array<int> of the weekdays of 'mo-fr,su'; a range may wrap; null where a name is unknown."""
-    names = F.array(*[F.lit(d) for d in WEEK])
-    number = lambda d: F.nullif(F.array_position(names, d), F.lit(0).cast("long")).cast("int")
-
-    def span(part: Column) -> Column:
-        first, last = number(F.substring(part, 1, 2)), number(F.substring(part, -2, 2))
-        return F.transform(F.sequence(first, F.when(last < first, last + 7).otherwise(last)), lambda i: (i - 1) % 7 + 1)
-
-    spans = F.transform(F.filter(F.split(days, r"\s*,\s*"), lambda p: p != "ph"), span)
-    return F.when(~F.exists(spans, lambda s: s.isNull()), F.flatten(spans))
+#: What a text of rules is made of: whole days, spans of time, names, single signs.
+_LEXEME = r"24/7|day\s+off|\d{1,2}:\d{2}\s*[-–]\s*\d{1,2}:\d{2}|\p{L}+|\S"
+_RULE_STATE = "struct<days:array<int>,reach:boolean,laid:boolean,holiday:boolean,fine:boolean,known:boolean,week:array<string>>"
+
+
+def _read(state: Column, token: Column) -> Column:
+    """One token further: days gather until hours are laid over them, and a day after hours begins the next rule."""
+    day = F.coalesce(F.array_position(F.array(*[F.lit(d) for d in WEEK]), token).cast("int"), F.lit(0))
+    part = lambda i: F.regexp_extract(token, r"^(\d{1,2}):(\d{2})\D+(\d{1,2}):(\d{2})$", i).try_cast("int")
+    timed = F.coalesce((part(1) <= 24) & (part(3) <= 24) & (part(2) < 60) & (part(4) < 60), F.lit(False))
+    shut = token.isin("off", "closed") | token.rlike(r"^day\s+off$")
+    hours = F.when(shut, "closed").when(token == "24/7", "00:00-24:00").when(timed, F.format_string("%02d:%02d-%02d:%02d", part(1), part(2), part(3), part(4)))
+    named = day > 0
+    anew = state["laid"] & (named | (token == "ph")) | (token == ";")
+    none = F.array().cast("array<int>")
+    held = F.when(anew, none).otherwise(state["days"])
+    last = F.element_at(state["days"], -1)
+    reached = F.transform(F.sequence(F.lit(1), F.pmod(day - last, F.lit(7))), lambda i: (last + i - 1) % 7 + 1)
+    days = F.when(named & state["reach"] & (day != last), F.concat(held, reached)).when(named, F.concat(held, F.array(day))).otherwise(held)
+    holiday = (token == "ph") | (state["holiday"] & ~anew)
+    over = F.when(F.size(days) > 0, days).when(holiday, none).otherwise(F.sequence(F.lit(1), F.lit(7)))
+    more = state["laid"] & ~anew & ~shut
+    week = F.transform(state["week"], lambda w, i: F.when(hours.isNotNull() & F.array_contains(over, i + 1), F.when(more, F.concat(w, F.lit(","), hours)).otherwise(hours)).otherwise(w))
+    reach = token == "-"
+    odd = (state["reach"] & ~named) | (reach & ((F.size(state["days"]) == 0) | state["laid"])) | ((token == ";") & ~state["laid"] & (F.size(state["days"]) > 0))
+    readable = named | hours.isNotNull() | token.isin("ph", "-", ",", ";")
+    laid = hours.isNotNull() | (state["laid"] & ~anew)
+    known = state["known"] | (hours.isNotNull() & (F.size(over) > 0))
+    return F.struct(days.alias("days"), reach.alias("reach"), laid.alias("laid"), holiday.alias("holiday"), (state["fine"] & readable & ~odd).alias("fine"), known.alias("known"), week.alias("week")).cast(_RULE_STATE)
 
 
 def week_map(text: Column) -> Column:
     """map from day to the text of its hours, by rules like 'Mo-Fr 08:00-18:00; Sa 09:00-13:00; Su off'.
 
-    Later rules go over earlier ones, hours without days hold every day, rules for holidays alone are
-    passed over, what follows '||' is a comment, and '24/7' is every day whole. Days that no rule names
-    are closed. Null where a rule can't be read or none names a day.
+    The text is read token by token: days and ranges of days (which may wrap), then spans of time, 'off' or '24/7'
+    for them. Later rules go over earlier ones, hours without days hold every day, rules for holidays alone are
+    passed over, and what follows '||' is a comment. Days that no rule names are closed. Null where something can't
+    be read (an hour above 24 or a minute above 59 among it), where days have no hours, or where no day is named.
     """
-    clean = F.lower(F.trim(F.split(text, r"\|\|")[0]))
-    parted = F.regexp_replace(clean, r"(\d{2}:\d{2})\s*,\s*(?=[a-z]{2}[\s,-])", "$1;")
-    rules = F.filter(F.transform(F.split(parted, ";"), lambda r: F.trim(r)), lambda r: (r != "") & ~r.rlike(r"^ph\s"))
-    times = r"(?:\d{1,2}:[0-5]\d\s*[-–]\s*\d{1,2}:[0-5]\d(?:\s*,\s*)?)+"
-    head = r"^((?:[a-z]{2}(?:\s*-\s*[a-z]{2})?)(?:\s*,\s*[a-z]{2}(?:\s*-\s*[a-z]{2})?)*)\s+(.+)$"
-
-    def read(rule: Column) -> Column:
-        bare = rule.rlike(rf"^{times}$")
-        days = F.when(bare, F.sequence(F.lit(1), F.lit(7))).otherwise(_day_numbers(F.regexp_replace(F.regexp_extract(rule, head, 1), r"\s+", "")))
-        said = F.when(bare, rule).otherwise(F.trim(F.regexp_extract(rule, head, 2)))
-        fine = said.rlike(rf"^{times}$") | said.rlike(CLOSED) | (said == "24/7")
-        return F.struct(F.when(fine & (F.size(days) > 0), days).alias("days"), F.when(said.rlike(CLOSED), "closed").when(said == "24/7", "00:00-24:00").otherwise(said).alias("hours"))
-
-    read_rules = F.transform(rules, read)
-    last = lambda d: F.element_at(F.concat(F.array(F.lit("closed")), F.transform(F.filter(read_rules, lambda r: F.array_contains(r["days"], d)), lambda r: r["hours"])), -1)
-    made = F.map_from_arrays(F.array(*[F.lit(d) for d in WEEK]), F.array(*[last(F.lit(i + 1)) for i in range(7)]))
-    whole = F.map_from_arrays(F.array(*[F.lit(d) for d in WEEK]), F.array(*[F.lit("00:00-24:00")] * 7))
-    fine = (F.size(rules) > 0) & ~F.exists(read_rules, lambda r: r["days"].isNull())
-    return F.when(clean == "24/7", whole).when(fine, made)
+    clean = F.lower(F.trim(F.get(F.split(text, r"\|\|"), F.lit(0))))
+    shut = F.array(*[F.lit("closed")] * 7)
+    begin = F.struct(F.array().cast("array<int>"), F.lit(False), F.lit(False), F.lit(False), F.lit(True), F.lit(False), shut).cast(_RULE_STATE)
+    end = F.aggregate(F.regexp_extract_all(clean, F.lit(_LEXEME), F.lit(0)), begin, _read)
+    fine = end["fine"] & end["known"] & ~end["reach"] & (end["laid"] | (F.size(end["days"]) == 0))
+    return F.when(fine, F.map_from_arrays(F.array(*[F.lit(d) for d in WEEK]), end["week"]))

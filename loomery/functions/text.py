@@ -108,6 +108,12 @@ def osa(a: str, b: str, most: int | None = None) -> int:
     return old[-1]
 
 
+@F.pandas_udf(T.IntegerType())
+def osa_within(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
+    """osa of two texts, given up once it exceeds `most`."""
+    return pd.Series([None if x is None or y is None else osa(x, y, int(m)) for x, y, m in zip(a, b, most, strict=True)], dtype="Int32")
+
+
 @F.pandas_udf(T.IntegerType())
 def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else osa(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
@@ -302,12 +308,16 @@ def run_length(classes: Column, pattern: str) -> Column:
     return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(classes, F.lit(pattern), F.lit(0)), lambda r: F.length(r))), F.lit(0))
 
 
+#: A word torn by pictographs, and a capitalised one torn by a stroke.
+TORN = r"\p{L}{2}[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}]+\p{L}{2}|\p{Lu}\p{Ll}{2,}[/|\\]\p{Ll}{2,}"
+
+
 def obfuscation(text: Column, number_words: list[str]) -> Column:
-    """struct(letters, numbers, mixed, suspicious): longest runs of single letters, of number words, and of number words with digits."""
+    """struct(letters, numbers, mixed, broken, suspicious): longest runs of single letters, of number words, and of number words with digits; a torn word."""
     tokens = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     kind = lambda t: F.when(F.lower(t).isin(*number_words), "N").when(t.rlike(r"^\d+$"), "D").when(t.rlike(r"^\p{L}$"), "L").otherwise("x")
     classes = F.array_join(F.transform(tokens, kind), "")
     mixed = F.filter(F.regexp_extract_all(classes, F.lit("[ND]+"), F.lit(0)), lambda r: F.contains(r, F.lit("N")) & F.contains(r, F.lit("D")))
     longest = F.coalesce(F.array_max(F.transform(mixed, lambda r: F.length(r))), F.lit(0))
     letters, numbers = run_length(classes, "L+"), run_length(classes, "N+")
-    return F.struct(letters.alias("letters"), numbers.alias("numbers"), longest.alias("mixed"), ((letters >= 4) | (numbers >= 5) | (longest >= 5)).alias("suspicious"))
+    return F.struct(letters.alias("letters"), numbers.alias("numbers"), longest.alias("mixed"), text.rlike(TORN).alias("broken"), ((letters >= 4) | (numbers >= 5) | (longest >= 5) | text.rlike(TORN)).alias("suspicious"))

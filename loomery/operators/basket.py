@@ -9,16 +9,55 @@ from pyspark.sql import functions as F
 def quote(offers: DataFrame, basket: DataFrame, fees: DataFrame, branch: str, item: list[str], price: str, kind: str, fee: str, extra: list[Column] | None = None) -> DataFrame:
     """Per branch: items found and missing, their sum, one fee per distinct kind among them, the total.
 
-    `basket` has a row per wanted item with its kind; `fees` a row per branch and kind. Branches that
+    `basket` has a row per wanted item with its kind; `fees` a row per branch and kind. A kind whose fee a branch
+    does not name is missing there like an item, as its total is not known. Branches that
     offer nothing of the basket are left out. A basket is what one request names, so it is broadcast
     when its measured size allows, by Spark itself.
     """
     wanted = basket.agg(F.count(F.lit(1)).alias("n_wanted"))
     found = offers.join(basket, item)
     items = found.groupBy(branch).agg(F.count(F.lit(1)).alias("n_found"), F.sum(price).cast("long").alias("items"), *(extra or []))
-    kinds = found.select(branch, kind).distinct().join(fees, [branch, kind]).groupBy(branch).agg(F.sum(fee).cast("long").alias("fees"))
-    out = items.join(kinds, branch, "left").fillna(0, ["fees"]).crossJoin(wanted)
-    return out.withColumns({"missing": F.col("n_wanted") - F.col("n_found"), "total": F.col("items") + F.col("fees")}).drop("n_wanted")
+    kinds = found.select(branch, kind).distinct().join(fees.select(branch, kind, fee), [branch, kind], "left")
+    kinds = kinds.groupBy(branch).agg(F.coalesce(F.sum(fee), F.lit(0)).cast("long").alias("fees"), F.count_if(F.col(fee).isNull()).alias("__no_fee"))
+    out = items.join(kinds, branch).crossJoin(wanted)
+    missing = F.col("n_wanted") - F.col("n_found") + F.col("__no_fee")
+    return out.withColumns({"missing": missing, "total": F.col("items") + F.col("fees")}).drop("n_wanted", "__no_fee")
+
+
+#: Stages of a quote in order; a branch is counted in those that it passes.
+QUOTE_STAGES = ("branches", "complete", "price", "turnaround", "travel", "slots")
+NOON = 12 * 60
+
+
+def quote_options(quotes: DataFrame, slots: DataFrame, branch: str, most_total: int | None = None, most_hours: int | None = None, most_minutes: int | None = None, fasting: bool = False, from_minute: int | None = None, to_minute: int | None = None) -> DataFrame:
+    """quotes with their free slots and `passed`, the number of QUOTE_STAGES that each branch passes.
+
+    quotes: branch, missing, total, turnaround (hours), minutes (travel, null if unknown). slots: branch, day, minute,
+    a row for each free one. Fasting tests are taken before noon unless hours are asked for; unknown travel
+    does not pass a limit. Adds slots, first_slot (minutes from day 0) and ready (first_slot plus turnaround).
+    """
+    until = NOON if fasting and from_minute is None and to_minute is None else to_minute
+    open_ = slots
+    if from_minute is not None:
+        open_ = open_.where(F.col("minute") >= from_minute)
+    if until is not None:
+        open_ = open_.where(F.col("minute") < until)
+    first = F.min(F.col("day") * 1440 + F.col("minute")).cast("long")
+    held = open_.groupBy(branch).agg(F.count(F.lit(1)).alias("slots"), first.alias("first_slot"))
+    out = quotes.join(held, branch, "left").withColumn("slots", F.coalesce("slots", F.lit(0)))
+    limit = lambda c, most: F.lit(True) if most is None else F.coalesce(F.col(c) <= most, F.lit(False))
+    stages = [F.col("missing") == 0, limit("total", most_total), limit("turnaround", most_hours), limit("minutes", most_minutes), F.col("slots") > 0]
+    passed, so_far = F.lit(1), F.lit(True)
+    for stage in stages:
+        so_far = so_far & stage
+        passed = passed + so_far.cast("int")
+    return out.withColumns({"passed": passed, "ready": F.col("first_slot") + F.col("turnaround") * 60})
+
+
+def quote_funnel(options: DataFrame) -> DataFrame:
+    """(stage, branches): how many branches pass each stage, in one pass."""
+    counts = options.agg(*[F.count_if(F.col("passed") > i).alias(n) for i, n in enumerate(QUOTE_STAGES)])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("stage"), F.col(n).alias("branches")) for n in QUOTE_STAGES])).alias("x")).select("x.*")
 
 
 def badges(quotes: DataFrame, total: str, slow: str, unique: str) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, osa_distance, trigrams
+from ..functions.text import jaccard, one_edit, osa_distance, osa_within, trigrams
 
 
 def ngram_index(names: DataFrame, key: str, text: str, sizes=(1, 2, 3), most_owners: int = 8) -> DataFrame:
@@ -41,8 +41,9 @@ def one_edit_pairs(words: DataFrame, word: str, block: int = 1, exact_swaps: boo
     every = words.select(word).where(F.length(word) > 0).distinct()
     keyed = every.select(F.col(word).alias("a"), F.substring(word, 1, block).alias("__h"), F.explode(F.array_distinct(F.concat(F.array(word), less))).alias("__k"))
     pairs = keyed.join(keyed.withColumnRenamed("a", "b"), ["__h", "__k"]).where("a < b").select("a", "b").distinct()
-    distance = osa_distance(F.col("a"), F.col("b")) if exact_swaps else F.levenshtein(F.col("a"), F.col("b"))
-    return pairs.withColumn("distance", distance).where("distance <= 1")
+    # the words differ, so at most one edit is one
+    distance = F.when(one_edit(F.col("a"), F.col("b")), 1) if exact_swaps else F.levenshtein(F.col("a"), F.col("b"))
+    return pairs.withColumn("distance", distance.cast("int")).where("distance <= 1")
 
 
 def similar_by_trigrams(names: DataFrame, key: str, text: str, least: float) -> DataFrame:
@@ -96,23 +97,6 @@ def classify(tokens: DataFrame, keys: list[str], rules: DataFrame, position: str
     return ranked.withColumn("tied", tied).where("__r = 1").select(*keys, "label", "score", (F.col("score") * (0.5 + 0.5 * F.col("score") / F.col("total"))).alias("strength"), "tied")
 
 
-def longest_mentions(texts: DataFrame, keys: list[str], text: str, phrases: DataFrame, phrase: str, code: str, most_words: int = 4) -> DataFrame:
-    """(keys, at, to, code) of the phrases in a text, in words from 0: longer ones first, then earlier ones, none over another.
-
-    Runs of words of the text meet the phrases by equality; which of a text's own matches stay is one
-    fold over them. A phrase of several codes counts as the smallest.
-    """
-    words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
-    named = phrases.select(F.lower(phrase).alias("__p"), code).groupBy("__p").agg(F.min(code).alias("code"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(i.alias("at"), (i + n).alias("to"), F.array_join(F.slice(words, i + 1, n), " ").alias("p")))).otherwise(F.array().cast("array<struct<at:int,to:int,p:string>>"))))
-    found = texts.select(*keys, F.explode(runs).alias("r")).select(*keys, "r.at", "r.to", F.col("r.p").alias("__p")).join(named, "__p")
-    listed = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((F.col("at") - F.col("to")).alias("size"), "at", "to", "code"))).alias("c"))
-    kind = F.expr("cast(array() as array<struct<size:int,at:int,to:int,code:string>>)")
-    free = lambda acc, x: ~F.exists(acc, lambda t: (x["at"] < t["to"]) & (t["at"] < x["to"]))
-    taken = F.aggregate(F.transform("c", lambda x: F.struct(x["size"].alias("size"), x["at"].alias("at"), x["to"].alias("to"), x["code"].cast("string").alias("code"))), kind, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    return listed.select(*keys, F.explode(taken).alias("t")).select(*keys, "t.at", "t.to", "t.code")
-
-
 def catalog_search(items: DataFrame, key: str, phrases: str, query: str, order: str) -> DataFrame:
     """Items by the best of their phrases' ranks for a query, then in catalog order; an empty query finds all."""
     from ..functions.text import phrase_rank, words_only
@@ -123,9 +107,38 @@ def catalog_search(items: DataFrame, key: str, phrases: str, query: str, order:
     return rows.select(key, "score", order)
 
 
+def _without_one(word: Column) -> Column:
+    """The word without each one of its characters."""
+    at = F.when(F.length(word) > 0, F.sequence(F.lit(1), F.length(word))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+
+
+def remains(word: Column, edits: Column) -> Column:
+    """The word and what is left of it without one, or any two, of its characters.
+
+    Two words that `edits` insertions, removals, replacements and swaps of neighbours part have one of these in common.
+    """
+    one = _without_one(word)
+    two = F.flatten(F.transform(one, _without_one))
+    return F.array_distinct(F.when(edits >= 2, F.concat(F.array(word), one, two)).when(edits == 1, F.concat(F.array(word), one)).otherwise(F.array(word)))
+
+
+def edits_allowed(word: Column) -> Column:
+    """Words of 5 letters may have 1 edit, of 10 letters 2."""
+    return F.when(F.length(word) >= 10, 2).when(F.length(word) >= 5, 1).otherwise(0)
+
+
 def fuzzy_names(mentions: DataFrame, names: DataFrame, mention: str, name: str) -> DataFrame:
-    """(mention, name): the nearest name with the same first letter; words of 5 letters may have 1 edit, of 10 letters 2."""
-    allowed = F.when(F.length(mention) >= 10, 2).when(F.length(mention) >= 5, 1).otherwise(0)
-    m, n = mentions.select(mention).distinct(), names.select(name).distinct()
-    pairs = blocked_distance(m, n, mention, name, 2).where(F.col("distance") <= allowed)
-    return pairs.groupBy(mention).agg(F.min(F.struct("distance", name)).alias("b")).select(mention, f"b.{name}", "b.distance")
+    """(mention, name, distance): the nearest name within the edits that the mention's length allows, wherever they fall; a swap is one edit.
+
+    The join is on what is left of either without the edited characters, so no pair is lost to a block and only
+    alike words are compared.
+    """
+    m = mentions.select(mention).where(F.col(mention).isNotNull()).distinct().withColumn("__allowed", edits_allowed(F.col(mention)))
+    m = m.withColumn("__k", F.explode(remains(F.col(mention), F.col("__allowed"))))
+    # a name that two edits reach has 8 letters at least, one that one edit reaches has 4
+    reach = F.when(F.length(name) >= 8, 2).when(F.length(name) >= 4, 1).otherwise(0)
+    n = names.select(name).where(F.col(name).isNotNull()).distinct().withColumn("__k", F.explode(remains(F.col(name), reach)))
+    pairs = m.join(n, "__k").select(mention, name, "__allowed").distinct()
+    near = pairs.withColumn("distance", osa_within(F.col(mention), F.col(name), F.col("__allowed"))).where(F.col("distance") <= F.col("__allowed"))
+    return near.groupBy(mention).agg(F.min(F.struct("distance", name)).alias("b")).select(mention, f"b.{name}", "b.distance")

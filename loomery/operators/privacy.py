@@ -174,12 +174,29 @@ def precision_recall(rows: DataFrame, group: str, predicted: Column, actual: Col
     return out.withColumns({"precision": percent(F.col("tp"), F.col("tp") + F.col("fp")), "recall": percent(F.col("tp"), F.col("tp") + F.col("fn"))})
 
 
+def window_starts(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """[from, to) of the windows of a text: at most `size` characters, ended at their last space if that is in their second half."""
+    out, start = [], 0
+    while True:
+        end = min(len(text), start + size)
+        if end < len(text):
+            space = text.rfind(" ", start, end + 1)
+            end = space if space > start + size / 2 else end
+        out.append((start, end))
+        if end >= len(text):
+            return out
+        start = max(end - overlap, start + 1)
+
+
 def long_windows(docs: DataFrame, keys: list[str], text: str, size: int = 3500, overlap: int = 200) -> DataFrame:
-    """(keys, part, start, window): whole texts in windows of at most `size` characters that overlap."""
-    step = size - overlap
-    last = F.greatest(F.ceil((F.length(text) - overlap) / F.lit(step)).cast("int") - 1, F.lit(0))
-    parts = docs.select(*keys, text, F.posexplode(F.sequence(F.lit(0), last)).alias("part", "__i"))
-    return parts.select(*keys, "part", (F.col("__i") * step).alias("start"), F.substring(F.col(text), F.col("__i") * step + 1, F.lit(size)).alias("window"))
+    """(keys, part, start, window): whole texts in windows of at most `size` characters that overlap and end at spaces; a null text is empty."""
+
+    @F.pandas_udf("array<struct<start:int,window:string>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [(a, (t or "")[a:b]) for a, b in window_starts(t or "", size, overlap)])
+
+    parts = docs.select(*keys, F.posexplode(cut(F.col(text))).alias("part", "w"))
+    return parts.select(*keys, "part", "w.start", "w.window")
 
 
 def bands(score: Column, contextual: Column, sure: float = 0.6, doubtful: float = 0.4) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hours import in_windows, intervals, week_map, works_after, works_before, works_weekend
+from ..functions.hours import WEEK, in_windows, intervals, week_map, works_after, works_before, works_weekend
 from ..functions.numbers import distance_label, price_label
 from ..functions.timeops import days_to_ready, ready_at, rounded_up_clock
 from ..operators import basket as bk
@@ -121,12 +121,13 @@ def price_lines(t):
 
 
 @query("""
-WITH r AS (SELECT o_orderkey, o_custkey % 40 AS slot, o_orderdate, CASE WHEN o_orderkey % 9 = 0 THEN 'test_unavailable' WHEN o_totalprice < 5000 THEN 'price_changed' WHEN o_orderdate < TIMESTAMP '1995-06-01' THEN 'slot_past' END AS reason FROM orders),
+WITH r AS (SELECT o_orderkey, o_custkey % 40 AS slot, o_orderdate, CASE WHEN o_orderdate < TIMESTAMP '1995-06-01' THEN 'slot_past' WHEN o_orderkey % 9 = 0 THEN 'test_unavailable' WHEN o_totalprice < 5000 THEN 'price_changed' END AS reason FROM orders),
 c AS (SELECT *, sum(CASE WHEN reason IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY slot ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS turn FROM r)
 SELECT o_orderkey, coalesce(reason, CASE WHEN turn > 3 + slot % 4 THEN 'slot_full' END, 'booked') AS result FROM c""")
 def lab_booking(t):
     rows = t.orders.withColumns({"slot": F.col("o_custkey") % 40, "capacity": 3 + F.col("o_custkey") % 40 % 4})
-    refused = F.when(F.col("o_orderkey") % 9 == 0, "test_unavailable").when(F.col("o_totalprice") < 5000, "price_changed").when(F.col("o_orderdate") < F.lit("1995-06-01").cast("timestamp_ntz"), "slot_past")
+    past = F.col("o_orderdate") < F.lit("1995-06-01").cast("timestamp_ntz")
+    refused = F.when(past, "slot_past").when(F.col("o_orderkey") % 9 == 0, "test_unavailable").when(F.col("o_totalprice") < 5000, "price_changed")
     return bk.admit(rows, "slot", ["o_orderdate", "o_orderkey"], refused, "capacity").select("o_orderkey", "result")
 
 
@@ -166,10 +167,10 @@ def card_labels(t):
 
 
 @query(f"""
-WITH a AS (SELECT s_suppkey AS s, day, start, 'demo' AS source FROM ({SLOTS}) WHERE s_suppkey % 2 = 0 AND day < 3), b AS (SELECT s_suppkey AS s, day, start + 10 AS start, 'external' AS source FROM ({SLOTS}) WHERE s_suppkey % 3 = 0 AND day < 3), u AS (SELECT * FROM a UNION ALL SELECT * FROM b)
+WITH a AS (SELECT s_suppkey AS s, day, start, 'demo' AS source FROM ({SLOTS}) WHERE s_suppkey % 2 = 0), b AS (SELECT s_suppkey AS s, day, start + 10 AS start, 'external' AS source FROM ({SLOTS}) WHERE s_suppkey % 3 = 0), u AS (SELECT * FROM a UNION ALL SELECT * FROM b)
 SELECT s, day, CAST(start AS INTEGER) AS start, source, row_number() OVER (PARTITION BY s, day ORDER BY start, source) AS turn FROM u""")
 def merged_slots(t):
-    rows = slots(t).where("day < 3").select(F.col("s_suppkey").alias("s"), "day", "start")
+    rows = slots(t).select(F.col("s_suppkey").alias("s"), "day", "start")
     return sc.merged_sources({"demo": rows.where("s % 2 = 0"), "external": rows.where("s % 3 = 0").withColumn("start", F.col("start") + 10), "failed": None}, ["s", "day"], "start")
 
 
@@ -207,11 +208,27 @@ def feature_and_group(t):
     return se.matching(t.customer, stages).select("c_custkey")
 
 
-WEEK_TEXTS = ["Mo-Fr 08:00-18:00; Sa 09:00-13:00", "24/7", "Mo,We 10:00-12:00,13:00-17:00; Su off", "Sa-Mo 09:00-15:00", "08:00-20:00; PH off", "Mo-Fr 08:00-18:00, Sa 10:00-12:00", "by appointment", "Mo-Xx 08:00-18:00", None]
-WEEKS = ["08:00-18:00|08:00-18:00|08:00-18:00|08:00-18:00|08:00-18:00|09:00-13:00|closed", "|".join(["00:00-24:00"] * 7), "10:00-12:00,13:00-17:00|closed|10:00-12:00,13:00-17:00|closed|closed|closed|closed", "09:00-15:00|closed|closed|closed|closed|09:00-15:00|09:00-15:00", "|".join(["08:00-20:00"] * 7), "08:00-18:00|08:00-18:00|08:00-18:00|08:00-18:00|08:00-18:00|10:00-12:00|closed", None, None, None]
+_DAYS = "['Mo', 'Tu', 'We', 'Th', 'Fr', 'Sa', 'Su']"
 
 
-@query("SELECT s_suppkey, CASE s_suppkey % 9 " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(WEEKS) if w) + " END AS week FROM supplier")
+@query(f"""
+WITH k AS (SELECT s_suppkey, s_suppkey % 7 AS a, s_suppkey // 7 % 7 AS b, s_suppkey // 3 % 7 AS c, 6 + s_suppkey % 5 AS h, 15 + s_suppkey % 12 AS e FROM supplier)
+SELECT s_suppkey, CASE WHEN e <= 24 THEN array_to_string(list_transform([0, 1, 2, 3, 4, 5, 6], lambda d: CASE WHEN d = c THEN 'closed' WHEN (d - a + 7) % 7 <= (b - a + 7) % 7 THEN printf('%02d:00-12:00,13:30-%02d:15', h, e) ELSE 'closed' END), '|') END AS week FROM k""")
 def week_of_hours(t):
-    text = F.get(F.array(*[F.lit(x) for x in WEEK_TEXTS]), (F.col("s_suppkey") % 9).cast("int"))
+    """Rules written out of the keys; hours above 24 make the text unreadable."""
+    k = F.col("s_suppkey")
+    day = lambda n: F.get(F.array(*[F.lit(d.capitalize()) for d in WEEK]), n.cast("int"))
+    text = F.concat(day(k % 7), F.lit("-"), day(F.floor(k / 7) % 7), F.lit(" "), (6 + k % 5).cast("string"), F.lit(":00 - 12:00, 13:30-"), (15 + k % 12).cast("string"), F.lit(":15; "), day(F.floor(k / 3) % 7), F.lit(" off || call first"))
     return t.supplier.select("s_suppkey", week_map(text).alias("w")).select("s_suppkey", F.when(F.col("w").isNotNull(), F.array_join(F.map_values("w"), "|")).alias("week"))
+
+
+@query(f"""{QUOTE}, x AS (SELECT s, missing, total, slowest AS turnaround, CASE WHEN s % 6 = 0 THEN NULL ELSE s * 7 % 60 END AS minutes FROM q),
+z AS (SELECT s_suppkey AS s, count(*) AS slots FROM ({SLOTS}) WHERE start < 720 GROUP BY 1),
+y AS (SELECT x.*, coalesce(slots, 0) AS slots FROM x LEFT JOIN z USING (s)), c AS (SELECT *, missing = 0 AS a, missing = 0 AND total <= 5500 AS b, missing = 0 AND total <= 5500 AND turnaround <= 40 AS d, missing = 0 AND total <= 5500 AND turnaround <= 40 AND coalesce(minutes <= 45, false) AS e FROM y)
+SELECT unnest(['branches', 'complete', 'price', 'turnaround', 'travel', 'slots']) AS stage, unnest([count(*), count(*) FILTER (a), count(*) FILTER (b), count(*) FILTER (d), count(*) FILTER (e), count(*) FILTER (e AND slots > 0)]) AS branches FROM c""")
+def quote_funnel(t):
+    """A quote with limits on price, turnaround and travel, for fasting tests: slots before noon."""
+    s = F.col("s")
+    rows = quotes(t).select("s", "missing", "total", F.col("slowest").alias("turnaround"), F.when(s % 6 != 0, s * 7 % 60).alias("minutes"))
+    free = slots(t).select(F.col("s_suppkey").alias("s"), "day", F.col("start").alias("minute"))
+    return bk.quote_funnel(bk.quote_options(rows, free, "s", 5500, 40, 45, fasting=True))

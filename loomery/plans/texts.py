@@ -145,7 +145,12 @@ def eval_precision_recall(t):
     return pv.precision_recall(joined, "lang", F.lower("text").rlike(rf"\b({INSULTS})\b"), F.col("toxic") == 1)
 
 
-@query("SELECT doc_id, CAST(i AS INTEGER) AS part, CAST(i * 3300 AS INTEGER) AS start, md5(substr(text, CAST(i * 3300 + 1 AS BIGINT), 3500)) AS digest FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(CAST(ceil((length(text) - 200) / 3300.0) AS BIGINT) - 1, 0))) AS i FROM documents)")
+@query("""
+WITH RECURSIVE w(doc_id, text, part, start, stop) AS (
+ SELECT doc_id, t, 0, 0, CASE WHEN length(t) <= 3500 THEN length(t) WHEN 3501 - instr(reverse(substr(t, 1, 3501)), ' ') > 1750 AND instr(reverse(substr(t, 1, 3501)), ' ') > 0 THEN 3501 - instr(reverse(substr(t, 1, 3501)), ' ') ELSE 3500 END FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+ UNION ALL SELECT doc_id, text, part + 1, a, CASE WHEN length(text) <= a + 3500 THEN length(text) WHEN 3501 - back > 1750 AND back > 0 THEN a + 3501 - back ELSE a + 3500 END
+ FROM (SELECT *, instr(reverse(substr(text, a + 1, 3501)), ' ') AS back FROM (SELECT *, greatest(stop - 200, start + 1) AS a FROM w WHERE stop < length(text))))
+SELECT doc_id, CAST(part AS INTEGER) AS part, CAST(start AS INTEGER) AS start, md5(substr(text, start + 1, stop - start)) AS digest FROM w""")
 def long_text_windows(t):
     return pv.long_windows(t.documents, ["doc_id"], "text").select("doc_id", "part", "start", F.md5("window").alias("digest"))
 

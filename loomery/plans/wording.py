@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scan
 from ..functions import text as tx
 from ..functions.numbers import unit_hash
 from ..operators import linking as lk
+from ..operators import phrases as ph
 from ..operators import privacy as pv
 from .registry import Tables, query
 from .texts import INSULTS, KINDS, _masked_sql, _re
@@ -85,10 +87,10 @@ _CLASSES = "list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda w
 
 
 @query(f"""
-WITH c AS (SELECT doc_id, array_to_string({_CLASSES}, '') AS c FROM documents),
-r AS (SELECT doc_id, coalesce(list_max(list_transform(regexp_extract_all(c, 'L+'), lambda x: length(x))), 0) AS letters, coalesce(list_max(list_transform(regexp_extract_all(c, 'N+'), lambda x: length(x))), 0) AS numbers,
+WITH c AS (SELECT doc_id, array_to_string({_CLASSES}, '') AS c, regexp_matches(text, '\\p{{L}}{{2}}[\\x{{1F300}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}\\x{{FE0F}}]+\\p{{L}}{{2}}|\\p{{Lu}}\\p{{Ll}}{{2,}}[/|\\\\]\\p{{Ll}}{{2,}}') AS torn FROM documents),
+r AS (SELECT doc_id, torn, coalesce(list_max(list_transform(regexp_extract_all(c, 'L+'), lambda x: length(x))), 0) AS letters, coalesce(list_max(list_transform(regexp_extract_all(c, 'N+'), lambda x: length(x))), 0) AS numbers,
  coalesce(list_max(list_transform(list_filter(regexp_extract_all(c, '[ND]+'), lambda x: contains(x, 'N') AND contains(x, 'D')), lambda x: length(x))), 0) AS mixed FROM c)
-SELECT doc_id, CAST(letters AS INTEGER) AS letters, CAST(numbers AS INTEGER) AS numbers, CAST(mixed AS INTEGER) AS mixed, letters >= 4 OR numbers >= 5 OR mixed >= 5 AS suspicious FROM r""")
+SELECT doc_id, CAST(letters AS INTEGER) AS letters, CAST(numbers AS INTEGER) AS numbers, CAST(mixed AS INTEGER) AS mixed, torn AS broken, letters >= 4 OR numbers >= 5 OR mixed >= 5 OR torn AS suspicious FROM r""")
 def obfuscation_metrics(t):
     return t.documents.select("doc_id", tx.obfuscation(F.col("text"), NUMBER_WORDS).alias("o")).select("doc_id", "o.*")
 
@@ -162,27 +164,74 @@ def unit_interval(t):
 
 
 MENTIONS = [("the", "A1"), ("of the", "A2"), ("the thin", "A3"), ("and", "A4"), ("in", "A5"), ("is of", "A6"), ("that", "A7"), ("that the", "A8")]
+_WORDS_OF = r"list_filter(string_split(lower(regexp_replace(text, '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')"
 
 
-@query(r"""
-WITH w AS (SELECT item_id, list_filter(string_split(lower(regexp_replace(text, '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM benchmark),
-p(p, code, n) AS (VALUES ('the', 'A1', 1), ('of the', 'A2', 2), ('the thin', 'A3', 2), ('and', 'A4', 1), ('in', 'A5', 1), ('is of', 'A6', 2), ('that', 'A7', 1), ('that the', 'A8', 2)),
+@query(f"""
+WITH w AS (SELECT item_id, {_WORDS_OF} AS w FROM benchmark),
+p AS (SELECT p, min(code) AS code, len(string_split(p, ' ')) AS n FROM (SELECT * FROM (VALUES {", ".join(map(str, MENTIONS))}) v(p, code) UNION ALL SELECT array_to_string(list_slice(w, 1, 6), ' '), 'F' || item_id FROM w WHERE len(w) > 5) GROUP BY p),
 r AS (SELECT item_id, w, unnest(generate_series(1, len(w))) AS i FROM w), c AS (SELECT item_id, i - 1 AS a, i - 1 + n AS b, n, code FROM r JOIN p ON array_to_string(list_slice(w, i, i + n - 1), ' ') = p.p AND i + n - 1 <= len(w)),
-g AS (SELECT item_id, list([{'a': a, 'b': b, 'code': code}] ORDER BY n DESC, a) AS c FROM c GROUP BY item_id),
+g AS (SELECT item_id, list([{{'a': a, 'b': b, 'code': code}}] ORDER BY n DESC, a) AS c FROM c GROUP BY item_id),
 t AS (SELECT item_id, unnest(list_reduce(c, lambda acc, x: CASE WHEN len(list_filter(acc, lambda t: x[1].a < t.b AND t.a < x[1].b)) > 0 THEN acc ELSE acc || x END)) AS t FROM g)
 SELECT item_id, CAST(t.a AS INTEGER) AS at, CAST(t.b AS INTEGER) AS "to", t.code AS code FROM t""")
 def longest_mentions(t):
-    phrases = t.spark.createDataFrame(MENTIONS, "p string, code string")
-    return lk.longest_mentions(t.benchmark, ["item_id"], "text", phrases, "p", "code")
+    """A few short phrases, and the first six words of every item."""
+    first = t.benchmark.select(ph.words_of(F.col("text")).alias("w"), "item_id").where(F.size("w") > 5)
+    own = first.select(F.array_join(F.slice("w", 1, 6), " ").alias("p"), F.concat(F.lit("F"), F.col("item_id").cast("string")).alias("code"))
+    phrases = t.spark.createDataFrame(MENTIONS, "p string, code string").union(own)
+    return ph.longest_mentions(t.benchmark, ["item_id"], "text", phrases, "p", "code")
+
+
+TRIAGE_RULES = [("of the", 2.0, "alpha", 0), ("of the", 2.0, "beta", 1), ("tion*", 1.0, "beta", 0), ("and", 1.5, "gamma", 0), ("der", 1.0, "delta", 0), ("und ver*", 2.0, "delta", 0), ("de la", 2.5, "epsilon", 0), ("de la", 2.5, "alpha", 1), ("que*", 0.5, "epsilon", 0)]
+TRIAGE_FLAGS = [("urgent", 1, 1, 1, "with the", True), ("urgent", 1, 2, 1, "die", False), ("urgent", 1, 2, 2, "heit*", False), ("watch", 2, 1, 1, "in", True), ("watch", 2, 1, 1, "sur", True)]
+TRIAGE_CONTEXT = ["was", "est*", "dans"]
+_FITS = "CASE WHEN ends_with({p}, '*') THEN starts_with({w}, rtrim({p}, '*')) ELSE {w} = {p} END"
+
+
+@query(f"""
+WITH w AS (SELECT conv_id, turn, {_WORDS_OF} AS w FROM conversations), i AS (SELECT *, unnest(generate_series(1, len(w))) AS i FROM w),
+r(phrase, weight, label, place) AS (VALUES {", ".join(map(str, TRIAGE_RULES))}), f(flag, rank, combo, part, phrase, contextual) AS (VALUES {", ".join(map(str, TRIAGE_FLAGS))}), x(phrase) AS (VALUES {", ".join(f"('{c}')" for c in TRIAGE_CONTEXT)}),
+p AS (SELECT phrase, string_split(phrase, ' ') AS p FROM (SELECT phrase FROM r UNION SELECT phrase FROM f UNION SELECT phrase FROM x)),
+h AS (SELECT conv_id, turn, phrase, i - 1 AS a, i - 1 + len(p) AS b FROM i JOIN p ON {_FITS.format(p='p[1]', w='w[i]')} WHERE i + len(p) - 1 <= len(w) AND len(list_filter(generate_series(1, len(p)), lambda k: {_FITS.format(p='p[k]', w='w[i + k - 1]')})) = len(p)),
+s AS (SELECT conv_id, turn, label, sum(weight * CASE WHEN place = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) AS score FROM (SELECT DISTINCT conv_id, turn, phrase FROM h) JOIN r USING (phrase) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, label) AS n, max(score) OVER (PARTITION BY conv_id, turn) AS top, sum(score) OVER (PARTITION BY conv_id, turn) AS total FROM s),
+b AS (SELECT conv_id, turn, string_agg(label, '|' ORDER BY n) FILTER (n <= 3) AS labels, floor(least(1.0::DOUBLE, max(top) / 3) * (0.5::DOUBLE + 0.5::DOUBLE * max(top) / max(total)) * 1000 + 0.5::DOUBLE) / 1000 AS confidence, count(*) FILTER (score = top) > 1 AS tied FROM k GROUP BY ALL),
+c AS (SELECT conv_id, turn, a, b FROM h JOIN x USING (phrase)),
+y AS (SELECT DISTINCT h.conv_id, h.turn, flag, rank, combo, part FROM h JOIN f USING (phrase) WHERE NOT contextual OR NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = h.conv_id AND c.turn = h.turn AND c.b > h.a - 6 AND c.a < h.b + 5)),
+z AS (SELECT conv_id, turn, flag, rank FROM y GROUP BY conv_id, turn, flag, rank, combo HAVING count(DISTINCT part) = (SELECT count(DISTINCT part) FROM f WHERE f.flag = y.flag AND f.combo = y.combo)), g AS (SELECT conv_id, turn, arg_min(flag, rank) AS flag FROM z GROUP BY ALL)
+SELECT w.conv_id, w.turn, flag, coalesce(labels, '') AS labels, coalesce(confidence, 0) AS confidence, coalesce(tied, false) AS tied FROM w LEFT JOIN g USING (conv_id, turn) LEFT JOIN b USING (conv_id, turn)""")
+def phrase_triage(t):
+    """Scores of labels by phrases and stems, flags by combinations that stand away from what excludes them."""
+    rules = t.spark.createDataFrame(TRIAGE_RULES, "phrase string, weight double, label string, place int")
+    flags = t.spark.createDataFrame(TRIAGE_FLAGS, "flag string, rank int, combo int, part int, phrase string, contextual boolean")
+    context = t.spark.createDataFrame([(c,) for c in TRIAGE_CONTEXT], "phrase string")
+    out = ph.triage(t.conversations, ["conv_id", "turn"], "text", rules, flags, context)
+    return out.withColumn("labels", F.array_join("labels", "|"))
+
+
+@query(r"""
+WITH n AS (SELECT c_custkey, 'no' || chr(8203) || 'te ' || c_mktsegment || ' ' AS a, translate(substr(c_name, 10, 3), '0123456789', '٠١٢٣٤٥٦٧٨٩') || '–' || translate(substr(c_name, 13, 3), '0123456789', '０１２３４５６７８９') || chr(8203) || substr(c_name, 16, 3) AS d FROM customer)
+SELECT c_custkey, CAST(length(a) AS INTEGER) AS "from", CAST(length(a) + 11 AS INTEGER) AS "to", d AS found, md5(a || '[NUMBER]' || ' end') AS masked FROM n""")
+def scan_spans(t):
+    """Numbers written in digits of other scripts with signs that show nothing, found in the scan view and masked in the original."""
+    part = lambda at: F.substring("c_name", at, 3)
+    number = F.concat(F.translate(part(10), "0123456789", "٠١٢٣٤٥٦٧٨٩"), F.lit("–"), F.translate(part(13), "0123456789", "０１２３４５６７８９"), F.lit("​"), part(16))
+    texts = t.customer.select("c_custkey", F.concat(F.lit("no​te "), F.col("c_mktsegment"), F.lit(" "), number, F.lit(" end")).alias("text"))
+    spans = texts.withColumn("v", scan.scan_view("text")).select("c_custkey", "text", F.explode(scan.matches(F.col("v"), r"\d{3}-\d{6}")).alias("s"))
+    cut = F.substring(F.col("text"), F.col("s.from") + 1, F.col("s.to") - F.col("s.from"))
+    masked = F.concat(F.substring(F.col("text"), F.lit(1), F.col("s.from")), F.lit("[NUMBER]"), F.substring(F.col("text"), F.col("s.to") + 1, F.length("text")))
+    return spans.select("c_custkey", "s.from", "s.to", cut.alias("found"), F.md5(masked).alias("masked"))
 
 
 @query("""
-WITH n AS (SELECT DISTINCT p_name AS v FROM part), m AS (SELECT DISTINCT replace(replace(p_name, 'bolt', 'bollt'), 'ring', 'rnig') AS m FROM part),
-d AS (SELECT m, v, CAST(levenshtein(m, v) AS INTEGER) AS distance FROM m JOIN n ON substr(m, 1, 1) = substr(v, 1, 1)), f AS (SELECT * FROM d WHERE distance <= CASE WHEN length(m) >= 10 THEN 2 WHEN length(m) >= 5 THEN 1 ELSE 0 END)
+WITH n AS (SELECT DISTINCT p_name AS v FROM part), m AS (SELECT DISTINCT unnest([replace(replace(p_name, 'bolt', 'bollt'), 'ring', 'rnig'), substr(p_name, 2, 1) || substr(p_name, 1, 1) || substr(p_name, 3), 'z' || substr(p_name, 2)]) AS m FROM part),
+d AS (SELECT m, v, CAST(damerau_levenshtein(m, v) AS INTEGER) AS distance FROM m, n), f AS (SELECT * FROM d WHERE distance <= CASE WHEN length(m) >= 10 THEN 2 WHEN length(m) >= 5 THEN 1 ELSE 0 END)
 SELECT m, v, distance FROM f QUALIFY row_number() OVER (PARTITION BY m ORDER BY distance, v) = 1""")
 def fuzzy_names(t):
     names = t.part.select(F.col("p_name").alias("v")).distinct()
-    m = names.select(F.replace(F.replace("v", F.lit("bolt"), F.lit("bollt")), F.lit("ring"), F.lit("rnig")).alias("m"))
+    swapped = F.concat(F.substring("v", 2, 1), F.substring("v", 1, 1), F.substring(F.col("v"), F.lit(3), F.length("v")))
+    other = F.concat(F.lit("z"), F.substring(F.col("v"), F.lit(2), F.length("v")))
+    m = names.select(F.explode(F.array(F.replace(F.replace("v", F.lit("bolt"), F.lit("bollt")), F.lit("ring"), F.lit("rnig")), swapped, other)).alias("m"))
     return lk.fuzzy_names(m, names, "m", "v").select("m", "v", "distance")
 
 
