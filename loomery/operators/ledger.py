@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .graph import kept
+
 
 def genesis(owner: Column) -> Column:
     return F.sha2(F.concat(F.lit("genesis:"), owner.cast("string")), 256)
@@ -85,19 +87,26 @@ def prune(partitions: DataFrame, day: str, size: str, oldest: Column, most_bytes
 
 
 def _fold(rows: DataFrame, keys: list[str], order: str, step, start, schema: T.StructType, tie: str | None = None) -> DataFrame:
-    """Sequential decisions over the rows of each key: step(state, row) -> (state, columns). `tie` orders rows of one time."""
-    by = [order, tie] if tie else [order]
+    """Sequential decisions over the rows of each key: step(state, row) -> (state, columns). `tie` orders rows of one time.
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        state, made = start(), []
-        out = block.sort_values(by, kind="stable").reset_index(drop=True)
-        for row in out.itertuples(index=False):
-            state, columns = step(state, row)
-            made.append(columns)
-        added = schema.fieldNames()[len(block.columns) :]
-        return out.assign(**{n: [m[i] for m in made] for i, n in enumerate(added)})
+    A task reads its keys' rows in order, as a stream that keeps one key's state and no history.
+    """
+    by = [order, tie] if tie else [order]
+    added = schema.fieldNames()[len(rows.columns) :]
+
+    def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who, state = None, None
+        for block in blocks:
+            made = []
+            names = zip(*(block[k].astype(object).where(block[k].notna(), None) for k in keys), strict=True)
+            for name, row in zip(names, block.itertuples(index=False), strict=True):
+                if name != who:
+                    who, state = name, start()
+                state, columns = step(state, row)
+                made.append(columns)
+            yield block.assign(**{n: [m[i] for m in made] for i, n in enumerate(added)})
 
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *by).mapInPandas(run, schema)
 
 
 def _with(rows: DataFrame, **columns: T.DataType) -> T.StructType:
@@ -186,6 +195,106 @@ def apply_slot_operations(ops: DataFrame, slot: str, at: str, ttl: int, tie: str
     return _fold(ops, [slot], at, step, lambda: ("FREE", None, 0, None), _with(ops, result=T.StringType()), tie)
 
 
+def book_with_keys(ops: DataFrame, slot: str, at: str, ttl: int, tie: str) -> DataFrame:
+    """result of the operations of apply_slot_operations where a booking's key counts on all slots.
+
+    A key that has booked a slot answers later bookings of that slot with repeated, whatever has become of it, and
+    those of another slot with conflict. A decision thus depends on the slot's and on the key's past at once. Slots are folded apart, given the first booking of
+    every key that is used on several slots; what they book is then taken for those first bookings, and slots
+    whose keys' first bookings have changed are folded again until none has. Decisions only look back in
+    time, so what stands still is what one pass over all operations would say. Bookings without a key are refused.
+    """
+    # key columns that Python sees beside the operations: when and where the key was first booked
+    book = ops.where(F.col("kind") == "book").where("key IS NOT NULL")
+    several = kept(book.groupBy("key").agg(F.min(slot).alias("a"), F.max(slot).alias("b")).where("a <> b").select("key"))
+    touched = kept(book.join(several, "key", "left_semi").select(slot).distinct())
+
+    def step(state, row):
+        status, who, until, key, used = state
+        now, me = getattr(row, at), (getattr(row, at), getattr(row, tie))
+        if status == "HELD" and until <= now:
+            status, who = "FREE", None
+        future = row.starts > now
+        same = (status, who, until, key, used)
+        if row.kind == "hold":
+            return (("HELD", row.who, now + ttl, key, used), ("held",)) if status == "FREE" and future else (same, ("taken",))
+        if row.kind == "release":
+            return (("FREE", None, 0, key, used), ("released",)) if status == "HELD" and who == row.who else (same, ("not_held",))
+        if row.kind == "book":
+            if row.key is None:
+                return same, ("no_key",)
+            if row.key in used:
+                return same, ("repeated",)
+            if row.first_slot is not None and row.first_slot == row.first_slot and row.first_slot != getattr(row, slot) and (row.first_at, row.first_tie) < me:
+                return same, ("conflict",)
+            if status != "BOOKED" and future and (status == "FREE" or who == row.who):
+                return ("BOOKED", row.who, 0, row.key, used | {row.key}), ("booked",)
+            return same, ("taken",)
+        if status == "BOOKED" and key == row.key:
+            return ("FREE" if future else "CANCELLED", None, 0, None, used), ("cancelled",)
+        return same, ("nothing",)
+
+    none = ops.schema[slot].dataType, ops.schema[at].dataType, ops.schema[tie].dataType
+    names = ("first_slot", "first_at", "first_tie")
+
+    def folded(part: DataFrame, first: DataFrame | None) -> DataFrame:
+        if first is None:
+            given = part.withColumns({n: F.lit(None).cast(k) for n, k in zip(names, none, strict=True)})
+        else:
+            given = part.join(first, "key", "left").select(*part.columns, *names)
+        return _fold(given, [slot], at, step, lambda: ("FREE", None, 0, None, frozenset()), _with(given, result=T.StringType()), tie).drop(*names)
+
+    def claims(results: DataFrame) -> DataFrame:
+        won = results.where((F.col("kind") == "book") & (F.col("result") == "booked")).join(several, "key", "left_semi")
+        first = won.groupBy("key").agg(F.min(F.struct(at, tie, slot)).alias("f"))
+        return kept(first.select("key", *[F.col(f"f.{c}").alias(n) for n, c in zip(names, (slot, at, tie), strict=True)]))
+
+    settled = folded(ops.join(touched, slot, "left_anti"), None)
+    apart = kept(ops.join(touched, slot, "left_semi").select(*ops.columns))
+    results, first = kept(folded(apart, None)), None
+    while True:
+        found = claims(results)
+        if first is not None:
+            same = F.col("o.key") == F.col("n.key")
+            moved = first.alias("o").join(found.alias("n"), same, "full").where(~F.struct("o.*").eqNullSafe(F.struct("n.*"))).select(F.coalesce("o.key", "n.key").alias("key"))
+        else:
+            moved = found.select("key")
+        moved = kept(moved)
+        if moved.isEmpty():
+            return settled.unionByName(results)
+        again = kept(apart.where(F.col("kind") == "book").join(moved, "key", "left_semi").select(slot).distinct())
+        fresh = folded(apart.join(again, slot, "left_semi").select(*ops.columns), found)
+        results, first = kept(results.join(again, slot, "left_anti").select(*results.columns).unionByName(fresh)), found
+
+
+def heads(chain: DataFrame, owner: str, order: str, until: Column | None = None) -> DataFrame:
+    """(owner, hash): the last hash of every owner's chain among the records that `until` admits."""
+    rows = chain if until is None else chain.where(until)
+    return rows.groupBy(owner).agg(F.max_by("hash", order).alias("hash"))
+
+
+def anchor(last: DataFrame, owner: str, width: int = 256) -> DataFrame:
+    """(subjects, anchor): one hash over the heads of all chains, as a tree.
+
+    A head's leaf is the sha-256 of 'owner:hash', and its place the sha-256 of the owner. Leaves that begin alike, by
+    as many hexadecimal digits as give about `width` leaves to a group, are hashed together in order, then those
+    groups by one digit less, up to the root: no task has more than a group. The number of digits follows from the number of
+    heads alone, so the same heads give the same anchor on any machines; without heads it is the hash of nothing.
+    """
+    leaf = kept(last.select(F.sha2(F.col(owner).cast("string"), 256).alias("k"), F.sha2(F.concat(F.col(owner).cast("string"), F.lit(":"), F.col("hash")), 256).alias("h")))
+    n = leaf.count()
+    digits = 0
+    while width * 16**digits < n:
+        digits += 1
+    level = leaf
+    for d in range(digits, -1, -1):
+        pairs = F.array_sort(F.collect_list(F.struct("k", "h")))
+        text = F.array_join(F.transform(pairs, lambda p: F.concat(p["k"], F.lit(":"), p["h"])), "\n")
+        level = level.withColumn("p", F.substring("k", 1, d)).groupBy("p").agg(F.sha2(text, 256).alias("h")).withColumnRenamed("p", "k")
+    empty = F.sha2(F.lit(""), 256)
+    return level.agg(F.coalesce(F.max("h"), empty).alias("anchor")).select(F.lit(n).cast("long").alias("subjects"), "anchor")
+
+
 def forget(rows: DataFrame, owner: str, day: Column, cutoff: Column) -> DataFrame:
     """The owner is forgotten on rows older than the cutoff."""
     return rows.withColumn(owner, F.when(day >= cutoff, F.col(owner)))

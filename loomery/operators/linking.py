@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, one_edit, osa_distance, osa_within, trigrams
+from ..functions.text import collapse_repeats, jaccard, one_edit, osa_distance, osa_within, trigrams, unfold_leet, words_only
+from .graph import kept
 
 
 def ngram_index(names: DataFrame, key: str, text: str, sizes=(1, 2, 3), most_owners: int = 8) -> DataFrame:
@@ -142,3 +143,54 @@ def fuzzy_names(mentions: DataFrame, names: DataFrame, mention: str, name: str)
     pairs = m.join(n, "__k").select(mention, name, "__allowed").distinct()
     near = pairs.withColumn("distance", osa_within(F.col(mention), F.col(name), F.col("__allowed"))).where(F.col("distance") <= F.col("__allowed"))
     return near.groupBy(mention).agg(F.min(F.struct("distance", name)).alias("b")).select(mention, f"b.{name}", "b.distance")
+
+
+#: Stages of `resolve` in order.
+STAGES = ("exact", "folded", "fuzzy")
+SIMILAR = 0.86
+MOST_EDITS = 2
+
+
+def resolve(mentions: DataFrame, names: DataFrame, text: str, place: str, mention: str, name: str, budget: int = 8) -> DataFrame:
+    """(text, place, mention, name, stage): each mention by the first stage that knows it.
+
+    exact: equal words. folded: equal once signs that stand for letters are letters and repeated ones are one. fuzzy: the
+    most similar name, 1 - edits / longer length being SIMILAR or more and the edits MOST_EDITS at most (ties by name).
+    A stage sees only what the one before left over, and of each text the first `budget` leftovers in order of
+    place reach the fuzzy one; the others are over_budget. What no stage knows is unknown, with a null name.
+    Of several names that look the same in a stage the smallest counts. text and place name a mention.
+    """
+    exact = lambda c: words_only(F.col(c))
+    folded = lambda c: collapse_repeats(unfold_leet(words_only(F.col(c))))
+    left = kept(mentions.select(text, place, mention))
+    known = kept(names.select(F.col(name).alias("name")).where("name IS NOT NULL").distinct())
+    done = []
+    for stage, key in (("exact", exact), ("folded", folded)):
+        table = known.groupBy(key("name").alias("__k")).agg(F.min("name").alias("name")).where("__k <> ''")
+        met = kept(left.withColumn("__k", key(mention)).join(table, "__k", "left").drop("__k"))
+        done.append(met.where("name IS NOT NULL").withColumn("stage", F.lit(stage)))
+        left = met.where("name IS NULL").drop("name")
+    turn = F.row_number().over(Window.partitionBy(text).orderBy(place))
+    left = kept(left.withColumn("__turn", turn))
+    over = left.where(F.col("__turn") > budget).drop("__turn").withColumns({"name": F.lit(None).cast("string"), "stage": F.lit("over_budget")})
+    tried = left.where(F.col("__turn") <= budget).drop("__turn")
+    said = tried.select(mention).distinct().withColumn("__a", words_only(F.col(mention)))
+    spelt = known.withColumn("__b", words_only(F.col("name")))
+    reach = lambda c: F.least(F.floor((F.length(c) + MOST_EDITS) * F.lit(1 - SIMILAR) + 1e-9), F.lit(MOST_EDITS))
+    keyed = lambda df, c: df.withColumn("__k", F.explode(remains(F.col(c), reach(c))))
+    pairs = keyed(said, "__a").join(keyed(spelt, "__b"), "__k").select(mention, "__a", "name", "__b").distinct()
+    pairs = pairs.withColumn("__d", osa_within("__a", "__b", F.lit(MOST_EDITS))).where(F.col("__d") <= MOST_EDITS)
+    alike = pairs.withColumn("__s", 1 - F.col("__d") / F.greatest(F.length("__a"), F.length("__b"))).where(F.col("__s") >= SIMILAR)
+    best = alike.groupBy(mention).agg(F.min_by("name", F.struct(-F.col("__s"), "name")).alias("name"))
+    last = tried.join(best, mention, "left").withColumn("stage", F.when(F.col("name").isNotNull(), "fuzzy").otherwise("unknown"))
+    columns = [text, place, mention, "name", "stage"]
+    return reduce(DataFrame.unionByName, [d.select(*columns) for d in (*done, over, last)])
+
+
+def stage_rows(resolved: DataFrame) -> DataFrame:
+    """(stage, rows_in, found): what each stage of `resolve` saw and knew."""
+    n = {s: F.count_if(F.col("stage") == s) for s in (*STAGES, "over_budget", "unknown")}
+    counts = resolved.agg(F.count(F.lit(1)).alias("all"), *[c.alias(s) for s, c in n.items()])
+    rows_in = {"exact": F.col("all"), "folded": F.col("all") - F.col("exact"), "fuzzy": F.col("fuzzy") + F.col("unknown")}
+    told = F.array(*[F.struct(F.lit(s).alias("stage"), rows_in[s].alias("rows_in"), F.col(s).alias("found")) for s in STAGES])
+    return counts.select(F.explode(told).alias("x")).select("x.*")

@@ -229,10 +229,60 @@ _NONE = "CAST(NULL AS VARCHAR)"
     f"CASE WHEN {_BOOKS} THEN x[1].by WHEN {_CANCELS} THEN NULL ELSE acc[-1].key END"), _SLOT_ROW.format("CAST(-1 AS BIGINT)", "CAST(0 AS BIGINT)", "''", _NONE, "''", "'FREE'", _NONE, "CAST(0 AS BIGINT)", _NONE)))
 def slot_operations(t):
     """Every user's slot, worked on by three holders."""
+    return lg.apply_slot_operations(slot_work(t.events), "slot", "at", 50_000, "event_id").select("event_id", "result")
+
+
+def slot_work(events, key=None):
+    """Events as operations on the slot of their user."""
     kind = F.when(F.col("event_type") == "view", "hold").when(F.col("event_type") == "purchase", "book").when(F.col("event_type") == "error", "cancel").otherwise("release")
     holder = (F.col("event_id") % 3).cast("string")
-    ops = timed(t).join(t.events.select("event_id", "event_type"), "event_id").select("event_id", F.col("user_id").alias("slot"), "at", kind.alias("kind"), holder.alias("who"), holder.alias("key"), F.lit(2_000_000).cast("long").alias("starts"))
-    return lg.apply_slot_operations(ops, "slot", "at", 50_000, "event_id").select("event_id", "result")
+    seconds = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
+    return events.select("event_id", F.col("user_id").alias("slot"), seconds.alias("at"), kind.alias("kind"), holder.alias("who"), (holder if key is None else key).alias("key"), F.lit(2_000_000).cast("long").alias("starts"))
+
+
+_OWN = "acc[-1].s[x[1].side + 1]"
+_GONE = f"{_OWN}.status = 'HELD' AND {_OWN}.until <= x[1].sec"
+_NOW = f"CASE WHEN {_GONE} THEN 'FREE' ELSE {_OWN}.status END"
+_BY = f"CASE WHEN {_GONE} THEN NULL ELSE {_OWN}.who END"
+_USED = "list_filter(acc[-1].used, lambda u: u.key = x[1].key)"
+_KEYED = f"""CASE x[1].kind WHEN 'hold' THEN CASE WHEN {_NOW} = 'FREE' AND {_AHEAD} THEN 'held' ELSE 'taken' END
+ WHEN 'release' THEN CASE WHEN {_NOW} = 'HELD' AND {_BY} IS NOT DISTINCT FROM x[1].who THEN 'released' ELSE 'not_held' END
+ WHEN 'book' THEN CASE WHEN len({_USED}) > 0 THEN CASE WHEN {_USED}[1].side = x[1].side THEN 'repeated' ELSE 'conflict' END WHEN {_NOW} <> 'BOOKED' AND {_AHEAD} AND ({_NOW} = 'FREE' OR {_BY} IS NOT DISTINCT FROM x[1].who) THEN 'booked' ELSE 'taken' END
+ ELSE CASE WHEN {_NOW} = 'BOOKED' AND {_OWN}.key IS NOT DISTINCT FROM x[1].key THEN 'cancelled' ELSE 'nothing' END END"""
+_ONE_SLOT = "{{'status': {0}, 'who': {1}, 'until': {2}, 'key': {3}}}"
+_NEXT = f"""CASE {_KEYED} WHEN 'held' THEN {_ONE_SLOT.format("'HELD'", "x[1].who", "x[1].sec + 50000", f"{_OWN}.key")} WHEN 'released' THEN {_ONE_SLOT.format("'FREE'", _NONE, "CAST(0 AS BIGINT)", f"{_OWN}.key")}
+ WHEN 'booked' THEN {_ONE_SLOT.format("'BOOKED'", "x[1].who", "CAST(0 AS BIGINT)", "x[1].key")} WHEN 'cancelled' THEN {_ONE_SLOT.format(f"CASE WHEN {_AHEAD} THEN 'FREE' ELSE 'CANCELLED' END", _NONE, "CAST(0 AS BIGINT)", _NONE)} ELSE {_ONE_SLOT.format(_NOW, _BY, f"{_OWN}.until", f"{_OWN}.key")} END"""
+_FREE_SLOT = _ONE_SLOT.format("'FREE'", _NONE, "CAST(0 AS BIGINT)", _NONE)
+_KEY_ROW = "{{'i': {0}, 'sec': {1}, 'kind': {2}, 'side': {3}, 'who': {4}, 'key': {5}, 'result': {6}, 's': {7}, 'used': {8}}}"
+_NO_KEYS = "list_filter([{'key': '', 'side': CAST(0 AS BIGINT)}], lambda u: u.key <> '')"
+
+
+@query(_folded("user_id // 2", "x.result AS result", _KEY_ROW.format("i", "sec", _KIND, "CAST(user_id % 2 AS BIGINT)", "CAST(i % 3 AS VARCHAR)", "(user_id // 2) || '-' || (i % 5)", "''", f"[{_FREE_SLOT}, {_FREE_SLOT}]", _NO_KEYS), _KEY_ROW.format(
+    "x[1].i", "x[1].sec", "x[1].kind", "x[1].side", "x[1].who", "x[1].key", _KEYED, f"CASE WHEN x[1].side = 0 THEN [{_NEXT}, acc[-1].s[2]] ELSE [acc[-1].s[1], {_NEXT}] END",
+    f"CASE WHEN {_KEYED} = 'booked' THEN list_append(acc[-1].used, {{'key': x[1].key, 'side': x[1].side}}) ELSE acc[-1].used END"), _KEY_ROW.format("CAST(-1 AS BIGINT)", "CAST(0 AS BIGINT)", "''", "CAST(0 AS BIGINT)", "''", "''", "''", f"[{_FREE_SLOT}, {_FREE_SLOT}]", _NO_KEYS)))
+def keyed_bookings(t):
+    """Two users' slots share their booking keys: a key used on the second slot is a conflict."""
+    key = F.concat(F.floor(F.col("user_id") / 2).cast("string"), F.lit("-"), (F.col("event_id") % 5).cast("string"))
+    return lg.book_with_keys(slot_work(t.events, key), "slot", "at", 50_000, "event_id").select("event_id", "result")
+
+
+_LEVELS = ",\n".join(f"l{i} AS (SELECT p AS k, CASE WHEN min(d) < {i} THEN min(h) ELSE sha256(string_agg(k || ':' || h, chr(10) ORDER BY k)) END AS h FROM (SELECT *, CASE WHEN {i} > d THEN k ELSE substr(k, 1, {i}) END AS p FROM l{i + 1}, n) GROUP BY p)" for i in range(5, -1, -1))
+
+
+@query(f"""
+WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM ({CHAIN})),
+c AS (SELECT user_id, n, event_id, sha256(sha256('genesis:' || user_id) || '|' || payload) AS hash FROM r WHERE n = 1
+ UNION ALL SELECT r.user_id, r.n, r.event_id, sha256(c.hash || '|' || r.payload) FROM c JOIN r ON r.user_id = c.user_id AND r.n = c.n + 1),
+h AS (SELECT user_id, arg_max(hash, n) AS hash FROM c WHERE event_id < (SELECT max(event_id) // 2 FROM events) GROUP BY user_id),
+n AS (SELECT count(*) AS n, (SELECT min(d) FROM (SELECT unnest(generate_series(0, 12)) AS d) WHERE 8 * pow(16, d) >= (SELECT count(*) FROM h)) AS d FROM h),
+l6 AS (SELECT sha256(CAST(user_id AS VARCHAR)) AS k, sha256(user_id || ':' || hash) AS h FROM h),
+{_LEVELS}
+SELECT (SELECT n FROM n) AS subjects, h AS anchor FROM l0""")
+def chain_anchor(t):
+    """One hash over the heads of all users' chains as of the middle of the log."""
+    middle = t.events.agg(F.floor(F.max("event_id") / 2).alias("m"))
+    upto = chain(t).join(middle, F.col("event_id") < F.col("m")).select("user_id", "event_id", "hash")
+    return lg.anchor(lg.heads(upto, "user_id", "event_id"), "user_id", width=8)
 
 
 @query("""

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.graph import shared_folder
-from ..streaming.jobs import run_rollup
-from .registry import Tables, query
+from ..streaming.jobs import read_events, run_rollup
+from ..streaming.slots import from_seconds, run_slots
+from .records import slot_work
+from .registry import SQL, Tables, query
 
 BINS = "CASE WHEN value <= 5 THEN 0 WHEN value <= 10 THEN 1 WHEN value <= 25 THEN 2 WHEN value <= 50 THEN 3 WHEN value <= 75 THEN 4 WHEN value <= 100 THEN 5 WHEN value <= 150 THEN 6 WHEN value <= 200 THEN 7 WHEN value <= 250 THEN 8 ELSE 9 END"
 
@@ -16,3 +18,12 @@ BINS = "CASE WHEN value <= 5 THEN 0 WHEN value <= 10 THEN 1 WHEN value <= 25 THE
 def stream_hourly_rollup(t: Tables):
     out = run_rollup(t.spark, t.sf_dir, t.events.schema, shared_folder(t.spark, "stream"), "events.parquet")
     return out.withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(SQL["slot_operations"])
+def stream_slot_operations(t):
+    """The operations of slot_operations through the state machine with timers: the same results."""
+    events = read_events(t.spark, t.sf_dir, t.events.schema, "events.parquet")
+    ops = slot_work(events).withColumnRenamed("event_id", "tie").withColumn("time", from_seconds(F.col("at")))
+    out = run_slots(t.spark, ops, 50_000, shared_folder(t.spark, "slots"), keep=10**9)
+    return out.where("kind <> 'timer'").select(F.col("tie").alias("event_id"), "result")

@@ -296,3 +296,39 @@ def full_policy(t):
     kept = t.documents.select("doc_id", (n["card"] + n["phone"]).alias("hard"), (n["email"] + n["url"] + n["ipv4"] + n["uuid"] + n["date"]).alias("soft"), F.lower(text).rlike("idiot.*moron").alias("emergency"), F.lower(text).rlike(r"\b(license|copyright)\b").alias("sensitive"), tx.obfuscation(text, NUMBER_WORDS)["suspicious"].alias("hidden"), F.length(F.regexp_replace(text, "[^0-9]", "")).alias("digits"), F.length(text).alias("n"), pv.residual_names(text, ["tionheit", "ingeau"]).alias("residual"))
     c = F.col
     return kept.select("doc_id", pv.full_verdict(c("emergency"), c("hard"), c("sensitive"), c("hidden"), c("soft"), c("digits"), c("n"), c("residual")).alias("verdict"))
+
+
+_SAID = "CASE p_partkey % 5 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(replace(p_name, 'o', '0'), 'l', 'll') WHEN 2 THEN substr(p_name, 1, 2) || substr(p_name, 4, 1) || substr(p_name, 3, 1) || substr(p_name, 5) WHEN 3 THEN p_name || ' ' || p_brand ELSE 'q' || p_name END"
+_FOLD = "array_to_string(list_transform(list_filter(list_zip(string_split({0}, ''), list_prepend('', string_split({0}, ''))), lambda x: x[1] IS NOT NULL AND (x[2] IS NULL OR x[1] <> x[2])), lambda x: x[1]), '')"
+_PLAIN = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+RESOLVED = f"""
+WITH m AS (SELECT p_partkey // 10 AS doc, p_partkey AS place, {_SAID} AS mention FROM part), n AS (SELECT DISTINCT p_name AS name FROM part),
+a AS (SELECT *, {_PLAIN.format('mention')} AS w FROM m), b AS (SELECT *, {_PLAIN.format('name')} AS w FROM n),
+a2 AS (SELECT *, translate(w, '{tx.LEET_FROM}', '{tx.LEET_TO}') AS u FROM a), b2 AS (SELECT *, translate(w, '{tx.LEET_FROM}', '{tx.LEET_TO}') AS u FROM b),
+a3 AS (SELECT *, {_FOLD.format('u')} AS f FROM a2), b3 AS (SELECT *, {_FOLD.format('u')} AS f FROM b2),
+bw AS (SELECT w, min(name) AS x FROM b3 GROUP BY w), bf AS (SELECT f, min(name) AS y FROM b3 GROUP BY f),
+e AS (SELECT a3.*, x, y FROM a3 LEFT JOIN bw USING (w) LEFT JOIN bf USING (f)),
+t AS (SELECT *, CASE WHEN x IS NULL AND y IS NULL THEN row_number() OVER (PARTITION BY doc, x IS NULL AND y IS NULL ORDER BY place) END AS turn FROM e),
+d AS (SELECT q.w, name, damerau_levenshtein(q.w, b3.w) AS d, 1 - damerau_levenshtein(q.w, b3.w) * 1.0::DOUBLE / greatest(length(q.w), length(b3.w)) AS s FROM (SELECT DISTINCT w FROM t WHERE turn <= 2) q, b3),
+z AS (SELECT w, name FROM d WHERE d <= 2 AND s >= 0.86 QUALIFY row_number() OVER (PARTITION BY w ORDER BY s DESC, name) = 1),
+r AS (SELECT t.doc, t.place, mention, CASE WHEN turn > 2 THEN NULL ELSE coalesce(x, y, z.name) END AS name, CASE WHEN x IS NOT NULL THEN 'exact' WHEN y IS NOT NULL THEN 'folded' WHEN turn > 2 THEN 'over_budget' WHEN z.name IS NOT NULL THEN 'fuzzy' ELSE 'unknown' END AS stage FROM t LEFT JOIN z ON z.w = t.w)"""
+
+
+def resolved(t: Tables):
+    n = F.col("p_name")
+    swapped = F.concat(F.substring(n, 1, 2), F.substring(n, 4, 1), F.substring(n, 3, 1), F.substring(n, F.lit(5), F.length(n)))
+    said = F.when(F.col("p_partkey") % 5 == 0, F.upper(n)).when(F.col("p_partkey") % 5 == 1, F.replace(F.replace(n, F.lit("o"), F.lit("0")), F.lit("l"), F.lit("ll"))).when(F.col("p_partkey") % 5 == 2, swapped)
+    said = said.when(F.col("p_partkey") % 5 == 3, F.concat(n, F.lit(" "), F.col("p_brand"))).otherwise(F.concat(F.lit("q"), n))
+    mentions = t.part.select(F.floor(F.col("p_partkey") / 10).alias("doc"), F.col("p_partkey").alias("place"), said.alias("mention"))
+    return lk.resolve(mentions, t.part.select("p_name"), "doc", "place", "mention", "p_name", budget=2)
+
+
+@query(f"{RESOLVED} SELECT * FROM r")
+def resolve_mentions(t):
+    """Parts named in capitals, with signs for letters, with a swap, with a brand behind, with a letter before."""
+    return resolved(t)
+
+
+@query(f"{RESOLVED} SELECT unnest(['exact', 'folded', 'fuzzy']) AS stage, unnest([count(*), count(*) FILTER (stage <> 'exact'), count(*) FILTER (stage IN ('fuzzy', 'unknown'))]) AS rows_in, unnest([count(*) FILTER (stage = 'exact'), count(*) FILTER (stage = 'folded'), count(*) FILTER (stage = 'fuzzy')]) AS found FROM r")
+def resolve_stages(t):
+    return lk.stage_rows(resolved(t))
