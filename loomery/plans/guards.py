@@ -157,35 +157,43 @@ def address_keys(t):
 
 
 NOW = datetime(2024, 5, 15, 10, 30)
-PRESETS = {"today": ("2024-05-15 00:00", "2024-05-15 10:30", "hour"), "yesterday": ("2024-05-14 00:00", "2024-05-15 00:00", "hour"), "7d": ("2024-05-09 00:00", "2024-05-15 10:30", "day"), "30d": ("2024-04-16 00:00", "2024-05-15 10:30", "day"), "90d": ("2024-02-16 00:00", "2024-05-15 10:30", "day"), "week": ("2024-05-13 00:00", "2024-05-15 10:30", "day"), "month": ("2024-05-01 00:00", "2024-05-15 10:30", "day"), "prev_month": ("2024-04-01 00:00", "2024-05-01 00:00", "day"), "year": ("2024-01-01 00:00", "2024-05-15 10:30", "week")}
+PRESET_NAMES = ["today", "yesterday", "7d", "30d", "90d", "week", "month", "prev_month", "year"]
 
 
 @query("""
-WITH n AS (SELECT TIMESTAMP '2024-05-15 10:30:00' AS now, date_trunc('day', TIMESTAMP '2024-05-15 10:30:00') AS day),
+WITH n AS (SELECT max(ts) AS now, date_trunc('day', max(ts)) AS day FROM events),
 p AS (SELECT unnest(['today', 'yesterday', '7d', '30d', '90d', 'week', 'month', 'prev_month', 'year']) AS preset,
  unnest([day, day - INTERVAL 1 DAY, day - INTERVAL 6 DAY, day - INTERVAL 29 DAY, day - INTERVAL 89 DAY, date_trunc('week', now), date_trunc('month', now), date_trunc('month', now) - INTERVAL 1 MONTH, date_trunc('year', now)]) AS a,
  unnest([now, day, now, now, now, now, now, date_trunc('month', now), now]) AS b FROM n)
-SELECT preset, strftime(a, '%Y-%m-%d %H:%M') AS start, strftime(b, '%Y-%m-%d %H:%M') AS "end", CASE WHEN epoch(b - a) <= 2 * 86400 THEN 'hour' WHEN epoch(b - a) <= 92 * 86400 THEN 'day' WHEN epoch(b - a) <= 400 * 86400 THEN 'week' ELSE 'month' END AS bucket,
- strftime(a - (b - a), '%Y-%m-%d %H:%M') AS previous FROM p""")
+SELECT preset, CASE WHEN epoch(b - a) <= 2 * 86400 THEN 'hour' WHEN epoch(b - a) <= 92 * 86400 THEN 'day' WHEN epoch(b - a) <= 400 * 86400 THEN 'week' ELSE 'month' END AS bucket,
+ (SELECT count(*) FROM events WHERE ts >= a AND ts < b) AS n, (SELECT count(*) FROM events WHERE ts >= a - (b - a) AND ts < a) AS n_before FROM p""")
 def period_presets(t):
-    """Presets at a fixed moment, with their bucket and the start of the period before."""
-    said = lambda x: x.strftime("%Y-%m-%d %H:%M")
-    rows = [(p, said(x.start), said(x.end), x.bucket, said(x.previous.start)) for p in PRESETS for x in [ti.period(p, NOW)]]
-    return t.spark.createDataFrame(rows, "preset string, start string, end string, bucket string, previous string")
+    """Events of every preset period up to the last event, and of the period before it, in one pass of conditional counts."""
+    now = t.events.agg(F.max("ts")).first()[0]
+    spans = {p: ti.period(p, now) for p in PRESET_NAMES}
+    at = lambda x: F.lit(x.isoformat(sep=" ")).cast("timestamp_ntz")
+    inside = lambda p: F.count_if((F.col("ts") >= at(p.start)) & (F.col("ts") < at(p.end)))
+    counts = t.events.agg(*[inside(p).alias(f"n{i}") for i, p in enumerate(spans.values())], *[inside(p.previous).alias(f"b{i}") for i, p in enumerate(spans.values())])
+    rows = F.array(*[F.struct(F.lit(name).alias("preset"), F.lit(p.bucket).alias("bucket"), F.col(f"n{i}").alias("n"), F.col(f"b{i}").alias("n_before")) for i, (name, p) in enumerate(spans.items())])
+    return counts.select(F.explode(rows).alias("x")).select("x.*")
 
 
 @query("""
-WITH d AS (SELECT CAST(DATE '2024-05-15' + CAST(i AS INTEGER) AS DATE) AS day FROM (SELECT unnest(range(14)) AS i)), w AS (SELECT day, CAST(isodow(day) AS INTEGER) AS weekday FROM d)
-SELECT 'weekend' AS asked, CAST(day AS VARCHAR) AS day, weekday FROM w WHERE weekday >= 6 UNION ALL SELECT 'next_week', CAST(day AS VARCHAR), weekday FROM w WHERE day BETWEEN DATE '2024-05-20' AND DATE '2024-05-26'
-UNION ALL SELECT 'this_week', CAST(day AS VARCHAR), weekday FROM w WHERE day <= DATE '2024-05-19' UNION ALL SELECT 'not_tue', CAST(day AS VARCHAR), weekday FROM w WHERE weekday <= 5 AND weekday <> 2""")
+WITH t AS (SELECT min(o_orderdate)::DATE AS today FROM orders), d AS (SELECT CAST(today + CAST(i AS INTEGER) AS DATE) AS day, today, i FROM t, (SELECT unnest(range(14)) AS i)), w AS (SELECT day, i, CAST(isodow(day) AS INTEGER) AS weekday, 7 - isodow(today) AS left FROM d),
+a AS (SELECT 'weekend' AS asked, day, weekday FROM w WHERE weekday >= 6 UNION ALL SELECT 'next_week', day, weekday FROM w WHERE i > w.left AND i <= w.left + 7
+UNION ALL SELECT 'this_week', day, weekday FROM w WHERE i <= w.left UNION ALL SELECT 'not_tue', day, weekday FROM w WHERE weekday <= 5 AND weekday <> 2)
+SELECT asked, CAST(day AS VARCHAR) AS day, weekday, count(o_orderkey) AS orders FROM a LEFT JOIN orders ON o_orderdate::DATE = day GROUP BY 1, 2, 3""")
 def symbolic_days(t):
-    today = date(2024, 5, 15)
+    """Orders on the days that symbols name, in the fortnight from the first order."""
+    today = t.orders.agg(F.min(F.to_date("o_orderdate"))).first()[0]
     asked = {"weekend": (["weekend"], None), "next_week": (["next_week"], None), "this_week": (["this_week"], None), "not_tue": (["workday"], ["tue"])}
     out = None
     for name, (only, not_on) in asked.items():
-        days = ti.resolve_days(t.spark, today, 14, only, not_on).select(F.lit(name).alias("asked"), F.col("day").cast("string").alias("day"), "weekday")
+        days = ti.resolve_days(t.spark, today, 14, only, not_on).select(F.lit(name).alias("asked"), "day", "weekday")
         out = days if out is None else out.unionByName(days)
-    return out
+    per_day = t.orders.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("orders"))
+    joined = out.join(per_day, "day", "left")
+    return joined.select("asked", F.col("day").cast("string").alias("day"), "weekday", F.coalesce("orders", F.lit(0)).alias("orders"))
 
 
 @query("""

@@ -201,30 +201,51 @@ def bbox_filter(t):
     return p.select("s_suppkey", F.floor(haversine_km(F.col("lat"), F.col("lon"), F.lit(50.25), F.lit(30.25)) * 1000 + 0.5).cast("long").alias("metres"))
 
 
-def _grid(n: int, cost: str = "1 + (src * 7 + dst * 13) % 10") -> str:
+_CELLS = "SELECT s_suppkey AS i, n, CAST(ceil(sqrt(n)) AS BIGINT) AS w FROM supplier, (SELECT count(*) AS n FROM supplier)"
+
+
+def _grid(cost: str = "1 + (src * 7 + dst * 13) % 10") -> str:
+    """Suppliers as the cells of a square, row by row, each joined with its neighbours."""
     return f"""SELECT src, dst, CAST({cost} AS BIGINT) AS cost, CASE WHEN (src + dst) % 11 = 0 THEN 4 ELSE 7 END AS access FROM (
- SELECT i AS src, (i // {n} + d.y) * {n} + i % {n} + d.x AS dst FROM (SELECT unnest(range({n * n})) AS i), (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(x, y) WHERE i % {n} + d.x BETWEEN 0 AND {n - 1} AND i // {n} + d.y BETWEEN 0 AND {n - 1})"""
+ SELECT i AS src, (i // w + d.y) * w + i % w + d.x AS dst, n FROM ({_CELLS}), (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(x, y) WHERE i % w + d.x BETWEEN 0 AND w - 1 AND i // w + d.y >= 0) WHERE dst < n"""
+
+
+def grid(t: Tables):
+    n = t.supplier.agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sqrt(F.count(F.lit(1)))).cast("long").alias("w"))
+    step = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))])
+    cells = t.supplier.select(F.col("s_suppkey").alias("src")).crossJoin(n).withColumn("d", F.explode(step))
+    x, y = F.col("src") % F.col("w") + F.col("d.x"), F.floor(F.col("src") / F.col("w")) + F.col("d.y")
+    moved = cells.where(x.between(0, F.col("w") - 1) & (y >= 0)).withColumn("dst", (y * F.col("w") + x).cast("long")).where("dst < n")
+    return moved.select("src", "dst", (1 + (F.col("src") * 7 + F.col("dst") * 13) % 10).cast("long").alias("cost"), F.when((F.col("src") + F.col("dst")) % 11 == 0, 4).otherwise(7).alias("access"))
 
 
-def _grid_search(n: int, cost: str, sources: str, ceiling: int) -> str:
-    return f"""WITH RECURSIVE e AS MATERIALIZED ({_grid(n, cost)}), d(source, node, cost) USING KEY (source, node) AS (SELECT CAST(s AS BIGINT), CAST(s AS BIGINT), CAST(0 AS BIGINT) FROM (SELECT unnest({sources}) AS s)
+def _grid_search(cost: str, sources: str, ceiling: int) -> str:
+    return f"""WITH RECURSIVE e AS MATERIALIZED ({_grid(cost)}), d(source, node, cost) USING KEY (source, node) AS (SELECT CAST(s AS BIGINT), CAST(s AS BIGINT), CAST(0 AS BIGINT) FROM ({sources}) x(s)
  UNION (SELECT d.source, e.dst, min(d.cost + e.cost) FROM d JOIN e ON d.node = e.src LEFT JOIN recurring.d k ON k.source = d.source AND k.node = e.dst WHERE d.cost + e.cost <= {ceiling} AND (k.cost IS NULL OR d.cost + e.cost < k.cost) GROUP BY d.source, e.dst))"""
 
 
-@query(f"{_grid_search(12, '1 + (src * 7 + dst * 13) % 10', '[0, 77]', 10**9)} SELECT source, node, cost FROM d")
+def ends(t: Tables):
+    """The first supplier and the one in the middle."""
+    return t.supplier.agg(F.min("s_suppkey").alias("a"), F.floor(F.max("s_suppkey") / 2).alias("b")).select(F.explode(F.array("a", "b")).alias("source"))
+
+
+@query(f"{_grid_search('1 + (src * 7 + dst * 13) % 10', 'SELECT unnest([min(s_suppkey), max(s_suppkey) // 2]) FROM supplier', 10**9)} SELECT source, node, cost FROM d")
 def sssp_grid(t):
-    return gr.shortest(gr.grid_graph(t.spark, 12), t.spark.createDataFrame([(0,), (77,)], "source long")).select("source", "node", "cost")
+    return gr.shortest(grid(t), ends(t)).select("source", "node", "cost")
 
 
-@query(f"{_grid_search(12, '60 * (1 + (src * 7 + dst * 13) % 10)', '[5]', 1800)}, m AS (SELECT source, node, cost, CAST(greatest(floor(cost * 1.9::DOUBLE / 60 + 0.5), 1) AS INTEGER) AS minutes FROM d) SELECT * FROM m WHERE minutes <= 30")
+@query(f"{_grid_search('60 * (1 + (src * 7 + dst * 13) % 10)', 'SELECT min(s_suppkey) FROM supplier', 1800)}, m AS (SELECT source, node, cost, CAST(greatest(floor(cost * 1.9::DOUBLE / 60 + 0.5), 1) AS INTEGER) AS minutes FROM d) SELECT * FROM m WHERE minutes <= 30")
 def travel_matrix(t):
-    costs = gr.shortest(gr.grid_graph(t.spark, 12).withColumn("cost", F.col("cost") * 60), t.spark.createDataFrame([(5,)], "source long"), ceiling=1800)
+    start = t.supplier.agg(F.min("s_suppkey").alias("source"))
+    costs = gr.shortest(grid(t).withColumn("cost", F.col("cost") * 60), start, ceiling=1800)
     return gr.travel_minutes(costs, 1.9, 30).select("source", "node", "cost", "minutes")
 
 
+_ONE_WAY = "NOT (src % 10 = 4 AND dst = src + 1) AND access >= 4 AND NOT (dst % 10 = 4 AND src = dst + 1)"
+
+
 @query(f"""
-WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM ({_grid(10)}) WHERE NOT (src % 10 = 4 AND dst = src + 1) AND access >= 4 AND NOT (dst % 10 = 4 AND src = dst + 1)), r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src),
+WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM ({_grid()}) WHERE {_ONE_WAY}), r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src),
 c AS (SELECT x.a AS node, max(x.b) AS top FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a), s AS (SELECT top, count(*) AS n FROM c GROUP BY top ORDER BY n DESC, top DESC LIMIT 1) SELECT node FROM c JOIN s USING (top)""")
 def component_largest(t):
-    edges = gr.grid_graph(t.spark, 10).where("NOT (src % 10 = 4 AND dst = src + 1) AND access >= 4")
-    return gr.largest_strong_component(edges.where("NOT (dst % 10 = 4 AND src = dst + 1)"))
+    return gr.largest_strong_component(grid(t).where(_ONE_WAY))

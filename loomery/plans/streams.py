@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.graph import shared_folder
-from ..streaming.jobs import read_events, run_rollup
+from ..streaming.jobs import read_events, run_hours, run_rollup
 from ..streaming.slots import from_seconds, run_slots
 from .records import slot_work
 from .registry import SQL, Tables, query
@@ -27,3 +27,13 @@ def stream_slot_operations(t):
     ops = slot_work(events).withColumnRenamed("event_id", "tie").withColumn("time", from_seconds(F.col("at")))
     out = run_slots(t.spark, ops, 50_000, shared_folder(t.spark, "slots"), keep=10**9)
     return out.where("kind <> 'timer'").select(F.col("tie").alias("event_id"), "result")
+
+
+@query("""
+WITH m AS (SELECT date_trunc('minute', ts) AS minute, event_type, count(*) AS n FROM events GROUP BY 1, 2), h AS (SELECT date_trunc('hour', minute) AS hour, event_type, CAST(sum(n) AS BIGINT) AS n, max(n) AS busiest, count(*) AS minutes FROM m GROUP BY 1, 2)
+SELECT strftime(hour, '%Y-%m-%d %H:%M:%S') AS hour, event_type, n, busiest, minutes FROM h WHERE hour + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)""")
+def stream_minutes_to_hours(t):
+    """Every hour that is closed ten minutes before the last event, out of its minutes."""
+    events = read_events(t.spark, t.sf_dir, t.events.schema, "events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
+    out, _ = run_hours(events, shared_folder(t.spark, "hours"), "at", "event_type")
+    return out.withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm:ss"))

@@ -52,9 +52,9 @@ def _re(kind: str) -> str:
     return "'" + pv.PATTERNS[kind][0].replace("'", "''") + "'"
 
 
-@query(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, {_re(k)})) AS value FROM documents" for k in pv.PATTERNS if k != "handle"))
+@query(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, {_re(k)})) AS value FROM documents" for k in pv.PATTERNS))
 def pii_values(t):
-    return pv.values(t.documents, ["doc_id"], "text", [k for k in pv.PATTERNS if k != "handle"])
+    return pv.values(t.documents, ["doc_id"], "text")
 
 
 @query()

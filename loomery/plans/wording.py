@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scan
 from ..functions import text as tx
 from ..functions.numbers import unit_hash
+from ..operators import grammar as gm
 from ..operators import linking as lk
 from ..operators import phrases as ph
 from ..operators import privacy as pv
@@ -332,3 +333,47 @@ def resolve_mentions(t):
 @query(f"{RESOLVED} SELECT unnest(['exact', 'folded', 'fuzzy']) AS stage, unnest([count(*), count(*) FILTER (stage <> 'exact'), count(*) FILTER (stage IN ('fuzzy', 'unknown'))]) AS rows_in, unnest([count(*) FILTER (stage = 'exact'), count(*) FILTER (stage = 'folded'), count(*) FILTER (stage = 'fuzzy')]) AS found FROM r")
 def resolve_stages(t):
     return lk.stage_rows(resolved(t))
+
+
+_DAY_NAMES = "['monday', 'tuesday', 'wednesday', 'thursday', 'friday', 'saturday', 'sunday']"
+
+
+@query(f"""
+WITH k AS (SELECT conv_id, turn, length(text) AS n, CAST(conv_id % 7 AS BIGINT) AS a, CAST(turn % 7 AS BIGINT) AS b, CAST((conv_id + 3) % 7 AS BIGINT) AS c FROM conversations)
+SELECT conv_id, turn, {_DAY_NAMES}[a + 1] AS days, CASE WHEN b = a AND c = a THEN '' WHEN b = a THEN {_DAY_NAMES}[c + 1] WHEN c = a OR b = c THEN {_DAY_NAMES}[b + 1] WHEN b < c THEN {_DAY_NAMES}[b + 1] || '|' || {_DAY_NAMES}[c + 1] ELSE {_DAY_NAMES}[c + 1] || '|' || {_DAY_NAMES}[b + 1] END AS not_days,
+ CAST((n % 12 + 12) * 60 + 30 AS INTEGER) AS after, CAST(CASE WHEN n % 24 < 24 THEN n % 24 * 60 END AS INTEGER) AS before, n * 10 AS most_price, CASE WHEN n % 2 = 0 THEN 'female' ELSE 'male' END AS gender,
+ CAST(n % 30 AS INTEGER) AS experience, CAST(n % 90 AS INTEGER) AS travel_minutes, 'foot' AS travel_mode, 'repeat' AS visit, 'distance' AS sort, CAST(n % 9 AS INTEGER) AS "limit" FROM k""")
+def conditions_said(t):
+    """Every turn's text with a request behind it: negated lists, values taken back and given anew, numbers with and without units."""
+    n = F.length("text")
+    day = lambda k: F.get(F.array(*[F.lit(d) for d in list(gm.DAYS)[:7]]), (k % 7).cast("int"))
+    say = lambda x: x.cast("string")
+    said = F.concat(
+        F.lit(". Not on "), day(F.col("turn")), F.lit(", or "), day(F.col("conv_id") + 3), F.lit("s but on "), day(F.col("conv_id")), F.lit("; after "), say(n % 12), F.lit(":30 PM. Not before 9 am. Until "), say(n % 24), F.lit(". At most "), say(n * 10),
+        F.lit(", a "), F.when(n % 2 == 0, "woman").otherwise("man"), F.lit(" not a lady. With at least "), say(n % 30), F.lit(" years, within "), say(n % 90), F.lit(" minutes on foot, not by car. First visit? No, a repeat one; the cheapest. No, not cheapest but nearest. Show "), say(n % 9),
+    )
+    said = F.regexp_replace(said, "No, a repeat", "It is a repeat")
+    got = t.conversations.select("conv_id", "turn", gm.conditions(F.concat(F.coalesce("text", F.lit("")), said)).alias("c")).select("conv_id", "turn", "c.*")
+    return got.withColumns({"days": F.array_join("days", "|"), "not_days": F.array_join("not_days", "|")})
+
+
+_ASKED = "CASE WHEN role = 'assistant' THEN CASE length(text) % 4 WHEN 0 THEN 'day' WHEN 1 THEN 'price' WHEN 2 THEN 'after' END END"
+_NAMED = "CASE WHEN role <> 'assistant' AND length(text) % 5 = 0 THEN CASE WHEN length(text) % 2 = 0 THEN 'price' ELSE 'day' END END"
+_BARE = "CASE WHEN role <> 'assistant' AND length(text) % 3 <> 0 THEN CAST(length(text) % 31 AS VARCHAR) END"
+_TURN = "{{'turn': {0}, 'asked': {1}, 'said': {2}, 'said_value': {3}, 'bare': {4}, 'field': {5}, 'value': {6}, 'pending': {7}}}"
+_NO_TEXT = "CAST(NULL AS VARCHAR)"
+_FIELD = "CASE WHEN x[1].said IS NOT NULL THEN x[1].said WHEN x[1].bare IS NOT NULL THEN acc[-1].pending END"
+
+
+@query(f"""
+WITH g AS (SELECT conv_id, list([{_TURN.format('turn', _ASKED, _NAMED, "CAST(length(text) AS VARCHAR)", _BARE, _NO_TEXT, _NO_TEXT, _NO_TEXT)}] ORDER BY turn) AS l FROM conversations GROUP BY conv_id),
+f AS (SELECT conv_id, list_reduce(list_prepend([{_TURN.format('CAST(-1 AS BIGINT)', *[_NO_TEXT] * 7)}], l), lambda acc, x: acc || [{_TURN.format('x[1].turn', 'x[1].asked', 'x[1].said', 'x[1].said_value', 'x[1].bare', _FIELD, f"CASE WHEN x[1].said IS NOT NULL THEN x[1].said_value WHEN x[1].bare IS NOT NULL AND acc[-1].pending IS NOT NULL THEN x[1].bare END", f"coalesce(x[1].asked, CASE WHEN acc[-1].pending IS DISTINCT FROM {_FIELD} THEN acc[-1].pending END)")}]) AS f FROM g),
+u AS (SELECT conv_id, unnest(f) AS x FROM f) SELECT conv_id, x.turn AS turn, x.field AS field, x.value AS value, x.pending AS pending FROM u WHERE x.turn >= 0""")
+def pending_questions(t):
+    """What every turn settles: bare answers go to the question that waits."""
+    n, asks = F.length("text"), F.col("role") == "assistant"
+    rows = t.conversations.select(
+        "conv_id", "turn", F.when(asks, F.when(n % 4 == 0, "day").when(n % 4 == 1, "price").when(n % 4 == 2, "after")).alias("asked"), F.when(~asks & (n % 5 == 0), F.when(n % 2 == 0, "price").otherwise("day")).alias("said"),
+        n.cast("string").alias("said_value"), F.when(~asks & (n % 3 != 0), (n % 31).cast("string")).alias("bare"),
+    )
+    return gm.dialogue(rows, "conv_id", "turn", "asked", "said", "said_value", "bare").select("conv_id", "turn", "field", "value", "pending")

@@ -79,6 +79,28 @@ def windowed(events: DataFrame, ts: str, key: str, width: str = "1 hour", late:
     return events.withWatermark(ts, late).groupBy(F.window(ts, width), F.col(key)).agg(F.count(F.lit(1)).alias("n"))
 
 
+def hours_of_minutes(events: DataFrame, ts: str, key: str, late: str = "10 minutes") -> DataFrame:
+    """(hour, key, n, busiest, minutes): two windows in a row under one watermark, minutes first and hours made of them.
+
+    An hour is told once the watermark has passed its end: n events in all, most in one minute, and how many
+    minutes had any. State is open minutes and hours only.
+    """
+    timed = events.withWatermark(ts, late)
+    minutes = timed.groupBy(F.window(ts, "1 minute"), F.col(key)).agg(F.count(F.lit(1)).alias("n"))
+    hours = minutes.groupBy(F.window(F.window_time("window"), "1 hour").alias("w"), F.col(key)).agg(F.sum("n").alias("n"), F.max("n").alias("busiest"), F.count(F.lit(1)).alias("minutes"))
+    return hours.select(F.col("w.start").alias("hour"), key, "n", "busiest", "minutes")
+
+
+def run_hours(events: DataFrame, place: str, ts: str, key: str, late: str = "10 minutes") -> tuple[DataFrame, int]:
+    """(the hours that are closed by now, rows that came too late for their minute); calling it again goes on where it ended."""
+    spark = events.sparkSession
+    made = hours_of_minutes(events, ts, key, late)
+    stream = made.writeStream.format("parquet").outputMode("append").option("path", f"{place}/hours").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    dropped = sum(int(op["numRowsDroppedByWatermark"]) for p in stream.recentProgress for op in p["stateOperators"])
+    return spark.read.schema(made.schema).parquet(f"{place}/hours"), dropped
+
+
 def once(events: DataFrame, ts: str, key: str, late: str = "1 day") -> DataFrame:
     """Each id once within the watermark, as for repeated deliveries."""
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
