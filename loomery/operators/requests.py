@@ -7,11 +7,11 @@ from dataclasses import dataclass, field, fields, replace
 from datetime import date, timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import search
+from . import grammar, phrases, search
 
 
 @dataclass(frozen=True)
@@ -151,3 +151,32 @@ def fold_with_retractions(turns: DataFrame, key: str, order: str, columns: list[
         retracts = retracts | F.coalesce(F.col(c) == taken_back, F.lit(False))
     folded = [F.nullif(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))), F.lit(taken_back)).alias(c) for c in columns]
     return turns.groupBy(key).agg(*folded, F.count_if(retracts).alias("retracted"))
+
+
+def chat_search(texts: DataFrame, keys: list[str], text: str, rules: DataFrame, flags: DataFrame, context: DataFrame, candidates: DataFrame, least: float = 0.3, k: int = 3) -> DataFrame:
+    """(keys, state, flag, specialty, rank, id): from what a text says to the k best candidates, in one plan.
+
+    The text is triaged by phrases and its conditions are read by the grammar; candidates are met by equality on the
+    specialty, and every condition that was said must hold. candidates: id, specialty, gender, price, experience, days (array),
+    opens and closes (minutes of the day); what is unknown of a candidate fails a condition on it. Ranked by price
+    where the cheapest are asked for, else by experience, then price, then id; at most `limit` of the text, if it names
+    one. state: emergency (a flag, nothing is searched), unclear (no specialty with a confidence of `least`), found, or nothing.
+    Texts without candidates have one row with a null rank.
+    """
+    said = texts.select(*keys, grammar.conditions(F.col(text)).alias("c"))
+    plan = phrases.triage(texts, keys, text, rules, flags, context).join(said, keys)
+    clear = F.col("flag").isNull() & (F.size("labels") > 0) & (F.col("confidence") >= least)
+    plan = plan.select(*keys, "flag", F.when(clear, F.get("labels", F.lit(0))).alias("specialty"), "c")
+    met = plan.where("specialty IS NOT NULL").join(candidates, "specialty")
+    if_said = lambda field, fits: F.col(f"c.{field}").isNull() | F.coalesce(fits, F.lit(False))
+    fits = if_said("gender", F.col("gender") == F.col("c.gender")) & if_said("most_price", F.col("price") <= F.col("c.most_price")) & if_said("experience", F.col("experience") >= F.col("c.experience"))
+    fits &= if_said("after", F.col("closes") > F.col("c.after")) & if_said("before", F.col("opens") < F.col("c.before"))
+    open_days = F.array_except("days", "c.not_days")
+    fits &= F.when(F.size("c.days") > 0, F.arrays_overlap(open_days, "c.days")).otherwise((F.size("c.not_days") == 0) | (F.size(open_days) > 0))
+    cheap = F.when(F.col("c.sort") == "price", F.col("price"))
+    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(cheap), F.desc_nulls_last("experience"), F.asc_nulls_last("price"), "id")
+    most = F.least(F.lit(k), F.coalesce("c.limit", F.lit(k)))
+    best = met.where(F.coalesce(fits, F.lit(False))).select(*keys, "id", most.alias("__most"), F.row_number().over(order).alias("rank")).where(F.col("rank") <= k).where(F.col("rank") <= F.col("__most"))
+    out = plan.drop("c").join(best.drop("__most"), keys, "left")
+    state = F.when(F.col("flag").isNotNull(), "emergency").when(F.col("specialty").isNull(), "unclear").when(F.col("rank").isNotNull(), "found").otherwise("nothing")
+    return out.select(*keys, state.alias("state"), "flag", "specialty", "rank", "id")

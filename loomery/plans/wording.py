@@ -11,7 +11,8 @@ from ..operators import grammar as gm
 from ..operators import linking as lk
 from ..operators import phrases as ph
 from ..operators import privacy as pv
-from .registry import Tables, query
+from ..operators import requests as rq
+from .registry import SQL, Tables, query
 from .texts import INSULTS, KINDS, _masked_sql, _re
 
 ENDINGS = ["tions", "tion", "ings", "ing", "edly", "ed", "ly", "es", "s"]
@@ -377,3 +378,33 @@ def pending_questions(t):
         n.cast("string").alias("said_value"), F.when(~asks & (n % 3 != 0), (n % 31).cast("string")).alias("bare"),
     )
     return gm.dialogue(rows, "conv_id", "turn", "asked", "said", "said_value", "bare").select("conv_id", "turn", "field", "value", "pending")
+
+
+_ASKING = "text || '. A ' || CASE length(text) % 3 WHEN 0 THEN 'woman' ELSE 'man' END || ', after ' || (length(text) % 9 + 12) || ', under ' || (length(text) * 20) || '; not on ' || " + _DAY_NAMES + "[conv_id % 7 + 1] || CASE WHEN turn % 2 = 0 THEN '. Cheapest' ELSE '' END || CASE WHEN turn % 3 = 0 THEN '. Show 2' ELSE '' END"
+
+
+@query(f"""
+WITH t AS ({SQL['phrase_triage'].replace('FROM conversations', f'FROM (SELECT conv_id, turn, {_ASKING} AS text FROM conversations)')}),
+a AS (SELECT conv_id, turn, flag, CASE WHEN flag IS NULL AND labels <> '' AND confidence >= 0.3 THEN split_part(labels, '|', 1) END AS specialty FROM t),
+q AS (SELECT conv_id, turn, CASE length(text) % 3 WHEN 0 THEN 'female' ELSE 'male' END AS gender, (length(text) % 9 + 12) * 60 AS after, length(text) * 20 AS most, conv_id % 7 AS off, turn % 2 = 0 AS cheap, CASE WHEN turn % 3 = 0 THEN 2 ELSE 3 END AS k FROM conversations),
+c AS (SELECT s_suppkey AS id, ['alpha', 'beta', 'gamma', 'delta', 'epsilon'][s_suppkey % 5 + 1] AS specialty, CASE s_suppkey % 3 WHEN 0 THEN 'female' WHEN 1 THEN 'male' END AS gender, CASE WHEN s_suppkey % 7 <> 0 THEN CAST(floor(s_acctbal) AS BIGINT) END AS price,
+ s_suppkey % 40 AS experience, 960 + s_suppkey % 5 * 60 AS closes, list_filter([0, 1, 2, 3, 4, 5, 6], lambda d: (s_suppkey + d) % 3 <> 0) AS days FROM supplier),
+m AS (SELECT conv_id, turn, c.id, k, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY CASE WHEN cheap THEN price END ASC NULLS LAST, experience DESC NULLS LAST, price ASC NULLS LAST, c.id) AS INTEGER) AS rank
+ FROM a JOIN q USING (conv_id, turn) JOIN c USING (specialty) WHERE c.gender = q.gender AND price <= most AND closes > after AND len(list_filter(days, lambda d: d <> off)) > 0)
+SELECT a.conv_id, a.turn, CASE WHEN flag IS NOT NULL THEN 'emergency' WHEN specialty IS NULL THEN 'unclear' WHEN rank IS NOT NULL THEN 'found' ELSE 'nothing' END AS state, flag, specialty, rank, id
+FROM a LEFT JOIN (SELECT * FROM m WHERE rank <= k) m ON a.conv_id = m.conv_id AND a.turn = m.turn""")
+def chat_search(t):
+    """From every turn's text to its best suppliers: triage, conditions and search in one plan."""
+    n, key = F.length("text"), F.col("s_suppkey")
+    names = list(gm.DAYS)[:7]
+    say = lambda x: x.cast("string")
+    asking = F.concat("text", F.lit(". A "), F.when(n % 3 == 0, "woman").otherwise("man"), F.lit(", after "), say(n % 9 + 12), F.lit(", under "), say(n * 20), F.lit("; not on "), F.get(F.array(*[F.lit(d) for d in names]), (F.col("conv_id") % 7).cast("int")), F.when(F.col("turn") % 2 == 0, ". Cheapest").otherwise(""), F.when(F.col("turn") % 3 == 0, ". Show 2").otherwise(""))
+    days = F.transform(F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("d")) for i, d in enumerate(names)]), lambda x: (key + x["i"]) % 3 != 0), lambda x: x["d"])
+    candidates = t.supplier.select(
+        key.alias("id"), F.get(F.array(*[F.lit(x) for x in ("alpha", "beta", "gamma", "delta", "epsilon")]), (key % 5).cast("int")).alias("specialty"), F.when(key % 3 == 0, "female").when(key % 3 == 1, "male").alias("gender"),
+        F.when(key % 7 != 0, F.floor("s_acctbal")).alias("price"), (key % 40).alias("experience"), days.alias("days"), (480 + key % 4 * 60).alias("opens"), (960 + key % 5 * 60).alias("closes"),
+    )
+    rules = t.spark.createDataFrame(TRIAGE_RULES, "phrase string, weight double, label string, place int")
+    flags = t.spark.createDataFrame(TRIAGE_FLAGS, "flag string, rank int, combo int, part int, phrase string, contextual boolean")
+    context = t.spark.createDataFrame([(c,) for c in TRIAGE_CONTEXT], "phrase string")
+    return rq.chat_search(t.conversations.select("conv_id", "turn", asking.alias("text")), ["conv_id", "turn"], "text", rules, flags, context, candidates)

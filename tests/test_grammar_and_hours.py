@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from loomery.operators import grammar
+from loomery.operators import grammar, requests
 from loomery.streaming import jobs
 
 NOTHING = {"days": [], "not_days": []} | dict.fromkeys(list(grammar.FIELDS)[2:])
@@ -74,3 +74,27 @@ def test_minutes_into_hours_over_several_files(spark, tmp_path):
         was = want.get((m.replace(minute=0), k), (0, 0, 0))
         want[m.replace(minute=0), k] = (was[0] + n, max(was[1], n), was[2] + 1)
     assert {(r.hour, r.kind): (r.n, r.busiest, r.minutes) for r in out.collect()} == want
+
+
+def test_from_a_text_to_candidates(spark):
+    rules = spark.createDataFrame([("tooth*", 3.0, "dentist", 0), ("head*", 3.0, "neuro", 0), ("weak*", 0.5, "general", 0)], "phrase string, weight double, label string, place int")
+    flags = spark.createDataFrame([("heart", 1, 1, 1, "chest pain", False)], "flag string, rank int, combo int, part int, phrase string, contextual boolean")
+    context = spark.createDataFrame([("last year",)], "phrase string")
+    week = ["monday", "tuesday", "friday"]
+    rows = [
+        (1, "dentist", "female", 300, 5, week, 480, 1080), (2, "dentist", "male", 100, 20, week, 480, 1200), (3, "dentist", None, 50, 30, week, 480, 1200), (4, "dentist", "female", None, 9, week, 480, 1080),
+        (5, "dentist", "female", 90, 1, ["sunday"], 600, 900), (6, "neuro", "male", 10, 1, week, 480, 1080),
+    ]
+    people = spark.createDataFrame(rows, "id int, specialty string, gender string, price long, experience int, days array<string>, opens int, closes int").repartition(3)
+    said = {
+        "tooth hurts": [3, 2, 4], "tooth, a woman": [4, 1, 5], "toothache, cheapest, show 2": [3, 5], "tooth, under 200; not on sunday": [3, 2], "tooth, on sunday or monday. At least 4 years, after 18:30": [3, 2], "tooth. Only a male, at least 30 years": [],
+        "head, before 9": [6], "chest pain and tooth": "emergency", "weak": "unclear", "hello": "unclear", None: "unclear", "tooth, after 5 pm, a man, not on monday, tuesday or friday": [],
+    }
+    texts = spark.createDataFrame(list(enumerate(said)), "i int, t string")
+    got = {}
+    for r in requests.chat_search(texts, ["i"], "t", rules, flags, context, people).orderBy("rank").collect():
+        got.setdefault(r.i, [] if r.state in ("found", "nothing") else r.state)
+        if r.id is not None:
+            assert r.state == "found"
+            got[r.i].append(r.id)
+    assert got == dict(enumerate(said.values()))
