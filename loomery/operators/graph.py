@@ -173,25 +173,40 @@ def grid_graph(spark: SparkSession, n: int) -> DataFrame:
     return moved.select("src", dst.cast("long").alias("dst"), (1 + (F.col("src") * 7 + dst * 13) % 10).cast("long").alias("cost"), F.when((F.col("src") + dst) % 11 == 0, 4).otherwise(7).alias("access"))
 
 
-def shortest(edges: DataFrame, sources: DataFrame, ceiling: int | None = None) -> DataFrame:
+#: Labels from which on a round of `shortest` goes one step only.
+WIDE = 50_000
+
+
+def shortest(edges: DataFrame, sources: DataFrame, ceiling: int | None = None, hops: int = 4) -> DataFrame:
     """(source, node, cost, via): least cost from every source to every node within the ceiling, and the node before.
 
-    Each round relaxes only the edges of the nodes that got cheaper in the last one, and writes only
-    those; of equal costs the smaller node before stays. Costs must not be negative.
+    Each round relaxes only the edges of the nodes that got cheaper in the last one, `hops` steps far, and writes
+    only what is cheaper than before; of equal costs the smaller node before stays. More steps a round make
+    fewer rounds and relax some edges more than once, so a round that begins with more than WIDE labels goes one step. Costs
+    must not be negative.
     """
     nothing = F.lit(None).cast("long")
     front = kept(sources.select("source", F.col("source").alias("node"), F.lit(0).cast("long").alias("cost"), nothing.alias("via")))
-    parts = [front]
+    # read in every step, so a table of its own
+    ahead = kept(edges.select("src", F.col("dst").alias("to"), F.col("cost").alias("more")))
+    parts, wide = [front], False
     while True:
         best = reduce(DataFrame.unionByName, parts).groupBy("source", "node").agg(F.min("cost").alias("old"))
-        reached = front.join(edges, front.node == edges.src).select("source", F.col("dst").alias("node"), F.struct((front.cost + edges.cost).cast("long").alias("cost"), F.col("node").alias("via")).alias("b"))
-        if ceiling is not None:
-            reached = reached.where(F.col("b.cost") <= ceiling)
-        reached = reached.groupBy("source", "node").agg(F.min("b").alias("b"))
+        step, steps = front.select("source", "node", "cost"), []
+        for _ in range(1 if wide else hops):
+            reached = step.join(ahead, step.node == ahead.src).select("source", F.col("to").alias("node"), F.struct((F.col("cost") + F.col("more")).cast("long").alias("cost"), F.col("node").alias("via")).alias("b"))
+            if ceiling is not None:
+                reached = reached.where(F.col("b.cost") <= ceiling)
+            reached = reached.groupBy("source", "node").agg(F.min("b").alias("b"))
+            steps.append(reached)
+            step = reached.select("source", "node", "b.cost")
+        reached = reduce(DataFrame.unionByName, steps).groupBy("source", "node").agg(F.min("b").alias("b"))
         cheaper = reached.join(best, ["source", "node"], "left").where("old IS NULL OR b.cost < old")
         front = kept(cheaper.select("source", "node", "b.cost", "b.via"))
-        if front.isEmpty():
+        n = front.count()
+        if not n:
             break
+        wide = n > WIDE
         parts.append(front)
         if len(parts) == 12:  # so that no round reads more than a dozen tables
             parts = [kept(_least(parts))]

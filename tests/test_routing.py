@@ -57,6 +57,14 @@ def test_search_runs_towards_the_goal(spark, grid):
     assert goals.relaxed < everything / 5
 
 
+@pytest.mark.parametrize("wide", [0, 50_000])
+def test_costs_from_several_sources(spark, grid, wide, monkeypatch):
+    monkeypatch.setattr(gr, "WIDE", wide)
+    edges, plain, _ = grid
+    got = {(r.source, r.node): r.cost for r in gr.shortest(edges, spark.createDataFrame([(0,), (77,)], "source long"), 30).collect()}
+    assert got == {(s, n): c for s in (0, 77) for n, c in dijkstra(plain, s).items() if c <= 30}
+
+
 def test_ceiling_and_giving_up(spark, grid):
     edges, plain, known = grid
     goals = gr.Goals(edges, known)
