@@ -102,6 +102,39 @@ def price_lines(wanted: DataFrame, offers: DataFrame, fees: DataFrame, branch: s
     return rows.withColumn("line", F.when(F.col("price").isNotNull(), turn)).select(branch, "line", "what", "name", "price")
 
 
+#: Most different tests of one booking: a fixed value.
+MOST_TESTS = 25
+
+
+def booking_reasons(requests: DataFrame, wanted: DataFrame, branches: DataFrame, slots: DataFrame, offers: DataFrame, fees: DataFrame, most: int = MOST_TESTS) -> DataFrame:
+    """requests with total, capacity, starts and reason: what a booking would cost now, and why it is refused.
+
+    requests: id, branch, slot, at, expected (the total its sender saw; null: any). wanted: id, code, kind. branches: branch,
+    active. slots: slot, branch, starts, capacity. offers: branch, code, price. fees: branch, kind, fee. The total is the sum of prices
+    and of one fee for each kind among the offered tests, made anew from the tables, not taken from the request. In
+    order: bad_request (no tests, or more than `most`), branch_not_found, slot_not_found (none such, or of another branch), slot_past,
+    test_unavailable (a test or a fee is not offered), price_changed (the total is not the expected one). No code twice.
+    """
+    asked = wanted.select("id", "code", "kind").distinct().join(requests.select("id", "branch"), "id")
+    found = asked.join(offers.select("branch", "code", "price"), ["branch", "code"], "left")
+    lines = found.groupBy("id").agg(F.count_distinct("code").alias("__n"), F.count_if(F.col("price").isNull()).alias("__lacks"), F.coalesce(F.sum("price"), F.lit(0)).cast("long").alias("__items"))
+    kinds = found.where("price IS NOT NULL").select("id", "branch", "kind").distinct().join(fees.select("branch", "kind", "fee"), ["branch", "kind"], "left")
+    dues = kinds.groupBy("id").agg(F.count_if(F.col("fee").isNull()).alias("__owes"), F.coalesce(F.sum("fee"), F.lit(0)).cast("long").alias("__fees"))
+    places = slots.select("slot", F.col("branch").alias("__of"), "starts", "capacity")
+    out = requests.join(branches.select("branch", "active"), "branch", "left").join(places, "slot", "left").join(lines, "id", "left").join(dues, "id", "left")
+    none = lambda c: F.coalesce(F.col(c), F.lit(0))
+    out = out.withColumn("total", none("__items") + none("__fees"))
+    reason = (
+        F.when((none("__n") == 0) | (none("__n") > most), "bad_request")
+        .when(~F.coalesce("active", F.lit(False)), "branch_not_found")
+        .when(~F.coalesce(F.col("__of") == F.col("branch"), F.lit(False)), "slot_not_found")
+        .when(F.col("starts") <= F.col("at"), "slot_past")
+        .when(none("__lacks") + none("__owes") > 0, "test_unavailable")
+        .when(F.col("expected") != F.col("total"), "price_changed")
+    )
+    return out.withColumn("reason", reason).select(*requests.columns, "total", "capacity", "starts", "reason")
+
+
 def admit(requests: DataFrame, slot: str, order: list[str], refused: Column, capacity: str) -> DataFrame:
     """result of each booking in order: its own reason to refuse, else slot_full once `capacity` were booked, else booked.
 

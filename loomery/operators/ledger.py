@@ -195,6 +195,53 @@ def apply_slot_operations(ops: DataFrame, slot: str, at: str, ttl: int, tie: str
     return _fold(ops, [slot], at, step, lambda: ("FREE", None, 0, None), _with(ops, result=T.StringType()), tie)
 
 
+def _elsewhere(row, slot: str, me: tuple) -> bool:
+    """Has this row's key booked another slot before? Its first booking comes beside the row; a null may reach Python as nan."""
+    return row.first_slot is not None and row.first_slot == row.first_slot and row.first_slot != getattr(row, slot) and (row.first_at, row.first_tie) < me
+
+
+def _across_keys(ops: DataFrame, slot: str, at: str, tie: str, step, start) -> DataFrame:
+    """result of every operation where step(state of its slot, row) also sees first_slot, first_at and first_tie: the first
+    row with the result `booked` of the row's key, if that key is used on several slots.
+
+    Rounds to a fixed point, as book_with_keys tells.
+    """
+    book = ops.where(F.col("kind") == "book").where("key IS NOT NULL")
+    several = kept(book.groupBy("key").agg(F.min(slot).alias("a"), F.max(slot).alias("b")).where("a <> b").select("key"))
+    touched = kept(book.join(several, "key", "left_semi").select(slot).distinct())
+    none = ops.schema[slot].dataType, ops.schema[at].dataType, ops.schema[tie].dataType
+    names = ("first_slot", "first_at", "first_tie")
+
+    def folded(part: DataFrame, first: DataFrame | None) -> DataFrame:
+        if first is None:
+            given = part.withColumns({n: F.lit(None).cast(k) for n, k in zip(names, none, strict=True)})
+        else:
+            given = part.join(first, "key", "left").select(*part.columns, *names)
+        return _fold(given, [slot], at, step, start, _with(given, result=T.StringType()), tie).drop(*names)
+
+    def claims(results: DataFrame) -> DataFrame:
+        won = results.where((F.col("kind") == "book") & (F.col("result") == "booked")).join(several, "key", "left_semi")
+        first = won.groupBy("key").agg(F.min(F.struct(at, tie, slot)).alias("f"))
+        return kept(first.select("key", *[F.col(f"f.{c}").alias(n) for n, c in zip(names, (slot, at, tie), strict=True)]))
+
+    settled = folded(ops.join(touched, slot, "left_anti"), None)
+    apart = kept(ops.join(touched, slot, "left_semi").select(*ops.columns))
+    results, first = kept(folded(apart, None)), None
+    while True:
+        found = claims(results)
+        if first is not None:
+            same = F.col("o.key") == F.col("n.key")
+            moved = first.alias("o").join(found.alias("n"), same, "full").where(~F.struct("o.*").eqNullSafe(F.struct("n.*"))).select(F.coalesce("o.key", "n.key").alias("key"))
+        else:
+            moved = found.select("key")
+        moved = kept(moved)
+        if moved.isEmpty():
+            return settled.unionByName(results)
+        again = kept(apart.where(F.col("kind") == "book").join(moved, "key", "left_semi").select(slot).distinct())
+        fresh = folded(apart.join(again, slot, "left_semi").select(*ops.columns), found)
+        results, first = kept(results.join(again, slot, "left_anti").select(*results.columns).unionByName(fresh)), found
+
+
 def book_with_keys(ops: DataFrame, slot: str, at: str, ttl: int, tie: str) -> DataFrame:
     """result of the operations of apply_slot_operations where a booking's key counts on all slots.
 
@@ -204,11 +251,6 @@ def book_with_keys(ops: DataFrame, slot: str, at: str, ttl: int, tie: str) -> Da
     whose keys' first bookings have changed are folded again until none has. Decisions only look back in
     time, so what stands still is what one pass over all operations would say. Bookings without a key are refused.
     """
-    # key columns that Python sees beside the operations: when and where the key was first booked
-    book = ops.where(F.col("kind") == "book").where("key IS NOT NULL")
-    several = kept(book.groupBy("key").agg(F.min(slot).alias("a"), F.max(slot).alias("b")).where("a <> b").select("key"))
-    touched = kept(book.join(several, "key", "left_semi").select(slot).distinct())
-
     def step(state, row):
         status, who, until, key, used = state
         now, me = getattr(row, at), (getattr(row, at), getattr(row, tie))
@@ -225,7 +267,7 @@ def book_with_keys(ops: DataFrame, slot: str, at: str, ttl: int, tie: str) -> Da
                 return same, ("no_key",)
             if row.key in used:
                 return same, ("repeated",)
-            if row.first_slot is not None and row.first_slot == row.first_slot and row.first_slot != getattr(row, slot) and (row.first_at, row.first_tie) < me:
+            if _elsewhere(row, slot, me):
                 return same, ("conflict",)
             if status != "BOOKED" and future and (status == "FREE" or who == row.who):
                 return ("BOOKED", row.who, 0, row.key, used | {row.key}), ("booked",)
@@ -234,37 +276,39 @@ def book_with_keys(ops: DataFrame, slot: str, at: str, ttl: int, tie: str) -> Da
             return ("FREE" if future else "CANCELLED", None, 0, None, used), ("cancelled",)
         return same, ("nothing",)
 
-    none = ops.schema[slot].dataType, ops.schema[at].dataType, ops.schema[tie].dataType
-    names = ("first_slot", "first_at", "first_tie")
+    return _across_keys(ops, slot, at, tie, step, lambda: ("FREE", None, 0, None, frozenset()))
 
-    def folded(part: DataFrame, first: DataFrame | None) -> DataFrame:
-        if first is None:
-            given = part.withColumns({n: F.lit(None).cast(k) for n, k in zip(names, none, strict=True)})
-        else:
-            given = part.join(first, "key", "left").select(*part.columns, *names)
-        return _fold(given, [slot], at, step, lambda: ("FREE", None, 0, None, frozenset()), _with(given, result=T.StringType()), tie).drop(*names)
 
-    def claims(results: DataFrame) -> DataFrame:
-        won = results.where((F.col("kind") == "book") & (F.col("result") == "booked")).join(several, "key", "left_semi")
-        first = won.groupBy("key").agg(F.min(F.struct(at, tie, slot)).alias("f"))
-        return kept(first.select("key", *[F.col(f"f.{c}").alias(n) for n, c in zip(names, (slot, at, tie), strict=True)]))
+def book_places(ops: DataFrame, slot: str, at: str, tie: str) -> DataFrame:
+    """result of bookings of slots with several places, and of their cancellations, in order of time.
 
-    settled = folded(ops.join(touched, slot, "left_anti"), None)
-    apart = kept(ops.join(touched, slot, "left_semi").select(*ops.columns))
-    results, first = kept(folded(apart, None)), None
-    while True:
-        found = claims(results)
-        if first is not None:
-            same = F.col("o.key") == F.col("n.key")
-            moved = first.alias("o").join(found.alias("n"), same, "full").where(~F.struct("o.*").eqNullSafe(F.struct("n.*"))).select(F.coalesce("o.key", "n.key").alias("key"))
-        else:
-            moved = found.select("key")
-        moved = kept(moved)
-        if moved.isEmpty():
-            return settled.unionByName(results)
-        again = kept(apart.where(F.col("kind") == "book").join(moved, "key", "left_semi").select(slot).distinct())
-        fresh = folded(apart.join(again, slot, "left_semi").select(*ops.columns), found)
-        results, first = kept(results.join(again, slot, "left_anti").select(*results.columns).unionByName(fresh)), found
+    ops: slot, time, kind (book or cancel), key (idempotency), reason (why the booking is refused for what it asks, null
+    if it is not), capacity and starts (of the slot). A booking without a key is refused (no_key); a key that has booked
+    answers later bookings of that slot with repeated and of another with conflict, before anything else is asked; then
+    its own reason counts, then whether a place is left (slot_full). Refused bookings take no place and no key. Cancelling a key's booking
+    gives its place back if the slot has not started; the key stays used. A null capacity is none.
+    """
+
+    def step(state, row):
+        taken, held, used = state
+        now, me = getattr(row, at), (getattr(row, at), getattr(row, tie))
+        if row.kind == "cancel":
+            if row.key is None or row.key not in held:
+                return state, ("nothing",)
+            return (taken - (row.starts > now), held - {row.key}, used), ("cancelled",)
+        if row.key is None:
+            return state, ("no_key",)
+        if row.key in used:
+            return state, ("repeated",)
+        if _elsewhere(row, slot, me):
+            return state, ("conflict",)
+        if row.reason is not None:
+            return state, (row.reason,)
+        if not taken < row.capacity:
+            return state, ("slot_full",)
+        return (taken + 1, held | {row.key}, used | {row.key}), ("booked",)
+
+    return _across_keys(kept(ops), slot, at, tie, step, lambda: (0, frozenset(), frozenset()))
 
 
 def heads(chain: DataFrame, owner: str, order: str, until: Column | None = None) -> DataFrame:

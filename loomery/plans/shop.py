@@ -9,6 +9,7 @@ from ..functions.numbers import distance_label, price_label
 from ..functions.timeops import days_to_ready, ready_at, rounded_up_clock
 from ..operators import basket as bk
 from ..operators import graph as gr
+from ..operators import ledger as lg
 from ..operators import schedule as sc
 from ..operators import search as se
 from .catalog import CARDS, OFFERS, cards, offers
@@ -131,6 +132,52 @@ def lab_booking(t):
     return bk.admit(rows, "slot", ["o_orderdate", "o_orderkey"], refused, "capacity").select("o_orderkey", "result")
 
 
+_DONE = "list_filter(acc[-1].used, lambda u: u.key = x[1].key)"
+_TAKEN = "acc[-1].taken[x[1].side + 1]"
+_DECIDED = f"""CASE WHEN x[1].kind = 'cancel' THEN CASE WHEN len({_DONE}) > 0 AND {_DONE}[1].side = x[1].side AND {_DONE}[1].alive THEN 'cancelled' ELSE 'nothing' END
+ WHEN x[1].key IS NULL THEN 'no_key' WHEN len({_DONE}) > 0 THEN CASE WHEN {_DONE}[1].side = x[1].side THEN 'repeated' ELSE 'conflict' END
+ WHEN x[1].reason IS NOT NULL THEN x[1].reason WHEN {_TAKEN} >= x[1].cap THEN 'slot_full' ELSE 'booked' END"""
+_STEP = f"CASE {_DECIDED} WHEN 'booked' THEN 1 WHEN 'cancelled' THEN CASE WHEN x[1].future THEN -1 ELSE 0 END ELSE 0 END"
+_BOOK_ROW = "{{'id': {0}, 'kind': {1}, 'side': {2}, 'key': {3}, 'reason': {4}, 'cap': {5}, 'future': {6}, 'result': {7}, 'taken': {8}, 'used': {9}}}"
+_NO_BOOKINGS = "list_filter([{'key': '', 'side': CAST(0 AS BIGINT), 'alive': false}], lambda u: u.alive)"
+_ROWS = _BOOK_ROW.format("id", "kind", "side", "key", "reason", "cap", "future", "''", "[CAST(0 AS BIGINT), CAST(0 AS BIGINT)]", _NO_BOOKINGS)
+_MADE = _BOOK_ROW.format(
+    *[f"x[1].{c}" for c in ("id", "kind", "side", "key", "reason", "cap", "future")], _DECIDED, f"[acc[-1].taken[1] + CASE WHEN x[1].side = 0 THEN {_STEP} ELSE 0 END, acc[-1].taken[2] + CASE WHEN x[1].side = 1 THEN {_STEP} ELSE 0 END]",
+    f"CASE {_DECIDED} WHEN 'booked' THEN list_append(acc[-1].used, {{'key': x[1].key, 'side': x[1].side, 'alive': true}}) WHEN 'cancelled' THEN list_transform(acc[-1].used, lambda u: {{'key': u.key, 'side': u.side, 'alive': u.alive AND u.key <> x[1].key}}) ELSE acc[-1].used END")
+_SEED = _BOOK_ROW.format("CAST(-1 AS BIGINT)", "''", "CAST(0 AS BIGINT)", "''", "CAST(NULL AS VARCHAR)", "CAST(0 AS BIGINT)", "false", "''", "[CAST(0 AS BIGINT), CAST(0 AS BIGINT)]", _NO_BOOKINGS)
+
+
+@query(f"""
+WITH f AS (SELECT l_suppkey % 10 AS branch, l_partkey AS code, CAST(min(floor(l_extendedprice / l_quantity * 100 + 0.5)) AS BIGINT) AS price FROM lineitem GROUP BY 1, 2),
+o AS (SELECT o_orderkey AS id, o_custkey // 3 AS slot, CASE WHEN o_orderkey % 13 = 0 THEN o_custkey // 3 + 1 ELSE o_custkey // 3 END % 10 AS branch, o_orderdate AS made, CASE WHEN o_orderkey % 5 = 0 THEN 'cancel' ELSE 'book' END AS kind,
+ CASE WHEN o_orderkey % 50 <> 1 THEN (o_custkey // 6) || '-' || (o_orderkey % 23) END AS key, TIMESTAMP '1997-01-01' + to_days(CAST(o_custkey // 3 % 400 AS INTEGER)) AS starts FROM orders),
+w AS (SELECT DISTINCT o.id, branch, l_partkey AS code, p_size % 3 AS kind FROM o JOIN lineitem ON l_orderkey = id JOIN part ON p_partkey = l_partkey WHERE l_linenumber <= 3),
+m AS (SELECT w.*, price FROM w LEFT JOIN f USING (branch, code)), l AS (SELECT id, count(DISTINCT code) AS n, count(*) FILTER (price IS NULL) AS lacks, coalesce(sum(price), 0) AS items, sum(CASE WHEN code % 10 = 0 THEN 100 ELSE 0 END) AS dearer FROM m GROUP BY id),
+d AS (SELECT id, count(*) FILTER (branch = 4 AND kind = 2) AS owes, coalesce(sum(100 * branch + kind) FILTER (NOT (branch = 4 AND kind = 2)), 0) AS fees FROM (SELECT DISTINCT id, branch, kind FROM m WHERE price IS NOT NULL) GROUP BY id),
+z AS (SELECT o.*, slot // 2 AS g, slot % 2 AS side, slot % 4 + 2 AS cap, starts > made AS future, coalesce(n, 0) AS n, coalesce(lacks, 0) + coalesce(owes, 0) AS lacks, CAST(coalesce(items, 0) + coalesce(fees, 0) AS BIGINT) AS total, CASE WHEN id % 3 > 0 THEN coalesce(items, 0) + coalesce(fees, 0) + coalesce(dearer, 0) END AS expected FROM o LEFT JOIN l USING (id) LEFT JOIN d USING (id)),
+r AS (SELECT *, CASE WHEN n = 0 OR n > 25 THEN 'bad_request' WHEN branch = 7 THEN 'branch_not_found' WHEN branch <> slot % 10 THEN 'slot_not_found' WHEN NOT future THEN 'slot_past' WHEN lacks > 0 THEN 'test_unavailable' WHEN expected <> total THEN 'price_changed' END AS reason FROM z),
+q AS (SELECT g, list([{_ROWS}] ORDER BY made, id) AS v FROM r GROUP BY g), b AS (SELECT unnest(list_reduce(list_prepend([{_SEED}], v), lambda acc, x: acc || [{_MADE}])) AS x FROM q)
+SELECT id AS o_orderkey, total, b.x.result AS result FROM b JOIN r ON r.id = b.x.id""")
+def basket_bookings(t):
+    """Orders as bookings of a laboratory's slots: total made anew, branch, slot, tests, key and capacity in one decision."""
+    id_, cust = F.col("o_orderkey"), F.floor(F.col("o_custkey") / 3)
+    offers_ = t.lineitem.groupBy((F.col("l_suppkey") % 10).alias("branch"), F.col("l_partkey").alias("code")).agg(F.min(F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100 + 0.5)).cast("long").alias("price"))
+    branch = F.when(id_ % 13 == 0, cust + 1).otherwise(cust) % 10
+    asked = t.orders.select(id_.alias("id"), cust.alias("slot"), branch.alias("branch"), F.col("o_orderdate").alias("at"), F.when(id_ % 5 == 0, "cancel").otherwise("book").alias("kind"), F.when(id_ % 50 != 1, F.concat_ws("-", F.floor(F.col("o_custkey") / 6).cast("string"), (id_ % 23).cast("string"))).alias("key"))
+    lines = t.lineitem.where("l_linenumber <= 3").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("code"))
+    wanted = lines.join(t.part.select(F.col("p_partkey").alias("code"), (F.col("p_size") % 3).alias("kind")), "code")
+    branches = t.spark.range(10).select(F.col("id").alias("branch"), (F.col("id") != 7).alias("active"))
+    slot = F.col("slot")
+    places = asked.select("slot").distinct().select("slot", (slot % 10).alias("branch"), F.date_add(F.lit("1997-01-01").cast("date"), (slot % 400).cast("int")).cast("timestamp_ntz").alias("starts"), (slot % 4 + 2).alias("capacity"))
+    known = branches.crossJoin(t.spark.range(3).select(F.col("id").cast("int").alias("kind"))).where("NOT (branch = 4 AND kind = 2)").select("branch", "kind", (100 * F.col("branch") + F.col("kind")).alias("fee"))
+    # what the sender saw: every tenth test is dearer by a whole unit there
+    seen = wanted.distinct().groupBy("id").agg(F.sum(F.when(F.col("code") % 10 == 0, 100).otherwise(0)).alias("dearer"))
+    cost = bk.booking_reasons(asked.withColumn("expected", F.lit(None).cast("long")), wanted, branches, places, offers_, known).select("id", "total")
+    expected = cost.join(seen, "id", "left").select("id", F.when(F.col("id") % 3 > 0, F.col("total") + F.coalesce("dearer", F.lit(0))).alias("expected"))
+    told = bk.booking_reasons(asked.join(expected, "id"), wanted, branches, places, offers_, known)
+    return lg.book_places(told, "slot", "at", "id").select(F.col("id").alias("o_orderkey"), "total", "result")
+
+
 @query(f"""{QUOTE}, x AS (SELECT s, total, CASE WHEN s % 6 = 0 THEN NULL ELSE CAST(s * 7 % 60 AS INTEGER) END AS minutes, slowest AS turnaround, CAST(s * 13 % 50 AS BIGINT) AS first_slot FROM q WHERE missing = 0), y AS (SELECT *, first_slot + turnaround AS ready, coalesce(minutes, 999) AS m FROM x),
 r AS (SELECT s, unnest(['total', 'distance', 'turnaround', 'soonest']) AS mode, unnest([row_number() OVER (ORDER BY total, m, s), row_number() OVER (ORDER BY m, total, s), row_number() OVER (ORDER BY ready, turnaround, total, s), row_number() OVER (ORDER BY first_slot, total, s)]) AS rank FROM y)
 SELECT mode, rank, s FROM r WHERE rank <= 8""")
