@@ -6,6 +6,7 @@ presence, counts or replacement stays in built-in expressions; offsets come from
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pandas as pd
@@ -49,6 +50,16 @@ PATTERNS: dict[str, tuple[str, float]] = {
     "street": (r"\b[0-9]{1,4} [A-Z][a-z]+ (?:Street|Road|Avenue|Lane|Drive|Square)\b", 0.8),
     "post_box": (r"\bP\.?O\.? ?[Bb]ox [0-9]{1,6}\b", 0.8),
     "post_code": (r"\b[0-9]{5}-[0-9]{4}\b", 0.6),
+    # Russian documents, numbers and addresses
+    "pension_number": (r"\b[0-9]{3}-[0-9]{3}-[0-9]{3}[ -][0-9]{2}\b", 0.95),
+    "health_policy": (r"(?:ОМС|омс|[Пп]олис)[^0-9\n]{0,12}[0-9]{4} ?[0-9]{4} ?[0-9]{4} ?[0-9]{4}", 0.95),
+    "passport_series": (r"[Пп]аспорт[^0-9\n]{0,20}[0-9]{2} ?[0-9]{2} ?[0-9]{6}", 0.95),
+    "plate_cyrillic": (r"[АВЕКМНОРСТУХ][0-9]{3}[АВЕКМНОРСТУХ]{2} ?[0-9]{2,3}", 0.9),
+    "phone_domestic": (r"\b8[ -]?\(?[0-9]{3}\)?[ -]?[0-9]{3}[ -]?[0-9]{2}[ -]?[0-9]{2}\b", 0.85),
+    "date_cyrillic": (r"\b[0-9]{1,2} (?:января|февраля|марта|апреля|мая|июня|июля|августа|сентября|октября|ноября|декабря) (?:19|20)[0-9]{2}", 0.6),
+    "street_cyrillic": (r"(?:ул\.|улица|проспект|пр-т|переулок|пер\.|шоссе) ?[А-ЯЁ][А-Яа-яЁё-]+(?:,? ?(?:д\.|дом)? ?[0-9]{1,4})?", 0.85),
+    "flat": (r"(?:кв\.|квартира) ?[0-9]{1,4}", 0.7),
+    "profile_link": (r"\b(?:t\.me|wa\.me|vk\.com)/[A-Za-z0-9_.]{3,}", 0.9),
 }
 #: Identifiers that may never leave, whatever else a text holds.
 HARD = ("card", "phone", "email", "coordinates")
@@ -103,8 +114,9 @@ def detector(kinds=tuple(PATTERNS)):
 
 
 def tokens(spans: Column) -> Column:
-    """Map from value to token: the same value has the same token, numbered by kind in order of appearance."""
-    distinct = F.array_distinct(F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
+    """Map from value to token: the same value has the same token, of its first kind, numbered by kind in order of appearance."""
+    every = F.array_distinct(F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
+    distinct = F.filter(every, lambda s, i: ~F.exists(F.slice(every, F.lit(1), i), lambda o: o["value"] == s["value"]))
     named = F.transform(distinct, lambda s, i: F.struct(s["value"].alias("key"), F.concat(F.lit("["), s["kind"], F.lit("_"), (F.size(F.filter(F.slice(distinct, 1, i + 1), lambda o: o["kind"] == s["kind"]))).cast("string"), F.lit("]")).alias("value")))
     return F.map_from_entries(named)
 
@@ -319,25 +331,95 @@ def full_verdict(emergency: Column, hard: Column, sensitive: Column, suspicious:
     )
 
 
-def mint_tokens(uses: DataFrame, session: str, kind: str, order: str, at: str, secret: str, most: int = 64, ttl: int = 120) -> DataFrame:
-    """(session_key, token, expires) beside each use: tokens of a session are numbered by kind in letters that start at an
-    offset of the session's own, keys are a keyed hash of the session, and a session has at most `most`.
+#: Budgets of what may leave: fixed values.
+MAX_PLACEHOLDERS, MAX_RESIDUAL, MAX_REDACTED, MIN_CHARS = 12, 0, 0.45, 8
+
+
+def redaction_facts(text: Column, kinds) -> Column:
+    """struct(placeholders, kept): how many labels masking by `kinds` puts into a text, and how many of its characters are left beside them; null texts have none."""
+    label = rf"\[(?:{'|'.join(kinds)})\]"
+    out = F.coalesce(masked(text, kinds), F.lit(""))
+    said = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(label))  # labels that the text itself spells are words of its
+    return F.struct((F.regexp_count(out, F.lit(label)) - said).alias("placeholders"), F.length(F.regexp_replace(out, label, "")).alias("kept"))
+
+
+def gateway(emergency: Column, hard: Column, medical: Column, torn: Column, incomplete: Column, placeholders: Column, residual: Column, redacted: Column, chars: Column, structured: Column, plannable: Column, unknown_person: Column) -> Column:
+    """struct(decision, reason, triage): may a request leave, why not, and may its masked text be shown for triage.
+
+    redacted is the masked share of the text, chars the length of what is left. First what never leaves: emergencies, hard identifiers, complaints. A
+    structured request sends closed values only, so it is held back for torn words, too many placeholders, or nothing to
+    plan (a person nobody knows, or no profile, place or condition at all). A text must besides be analysed to its end, and
+    keep to the budgets of placeholders, residual names, masked share and length. triage: complaints and what can't be planned, where
+    the text keeps to all budgets. Null facts count as unsafe.
     """
-    w = Window.partitionBy(session)
-    key = F.sha2(F.concat(F.lit(f"{secret}:session:"), F.col(session).cast("string")), 256)
-    offset = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{secret}:label:"), F.col(session).cast("string")), 256), 1, 2), 16, 10).cast("int") % 26
-    rows = uses.withColumn("__n", F.row_number().over(w.orderBy(order))).where(F.col("__n") <= most)
-    place = (offset + F.row_number().over(Window.partitionBy(session, kind).orderBy(order)) - 1) % (26 * 26)
+    bad = lambda c: F.coalesce(c, F.lit(True))
+    torn, incomplete = bad(torn), bad(incomplete)
+    crowded, named, bare = bad(placeholders > MAX_PLACEHOLDERS), bad(residual > MAX_RESIDUAL), bad(redacted > MAX_REDACTED)
+    triage = ~(torn | incomplete | crowded | named | bare)
+    local = lambda reason, shown=None: F.struct(F.lit("local_only").alias("decision"), F.lit(reason).alias("reason"), (F.lit(False) if shown is None else shown).alias("triage"))
+    allowed = lambda shown: F.struct(F.lit("allow_external").alias("decision"), F.lit(None).cast("string").alias("reason"), shown.alias("triage"))
+    closed = (
+        F.when(torn, local("obfuscation"))
+        .when(crowded, local("token_budget"))
+        .when(~bad(~plannable), allowed(triage))
+        .when(bad(unknown_person), local("unknown_person"))
+        .otherwise(local("nothing_to_plan", triage))
+    )
+    free = (
+        F.when(torn, local("obfuscation"))
+        .when(incomplete, local("residual_risk"))
+        .when(crowded, local("token_budget"))
+        .when(named, local("residual_risk"))
+        .when(bare, local("over_redacted"))
+        .when(bad(chars < MIN_CHARS), local("over_redacted"))
+        .otherwise(allowed(F.lit(False)))
+    )
+    return (
+        F.when(bad(emergency), F.struct(F.lit("emergency").alias("decision"), F.lit("emergency").alias("reason"), F.lit(False).alias("triage")))
+        .when(bad(hard > 0), local("hard_identifier"))
+        .when(bad(medical), local("medical_text", triage))
+        .when(F.coalesce(structured, F.lit(False)), closed)
+        .otherwise(free)
+    )
+
+
+def hmac_pads(secret: str) -> tuple[bytes, bytes]:
+    """The two blocks of 64 bytes that HMAC-SHA-256 (RFC 2104) puts before the message and before its digest."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    return bytes(b ^ 0x36 for b in key), bytes(b ^ 0x5C for b in key)
+
+
+def keyed_hash(secret: str, message: Column) -> Column:
+    """HMAC-SHA-256 of a string under a secret, in lower-case hexadecimal, of built-in functions."""
+    inner, outer = hmac_pads(secret)
+    return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), F.encode(message, "utf-8")), 256))), 256)
+
+
+def mint_tokens(uses: DataFrame, session: str, kind: str, order: str, at: str, secret: str, most: int = 64, ttl: int = 120, request: str | None = None) -> DataFrame:
+    """(session_key, request_key, token, expires) beside each use: tokens are numbered by kind in letters that start at an
+    offset of the session's own, anew in each request; keys are keyed hashes of session and request. A request (without
+    `request`: a session, with the key '-') has at most `most` tokens.
+    """
+    scope = [session] if request is None else [session, request]
+    key = lambda name, c: keyed_hash(secret, F.concat(F.lit(f"{name}:"), F.col(c).cast("string")))
+    offset = F.conv(F.substring(key("label", session), 1, 2), 16, 10).cast("int") % 26
+    request_key = F.lit("-") if request is None else F.coalesce(F.substring(key("request", request), 1, 16), F.lit("-"))
+    rows = uses.withColumn("__n", F.row_number().over(Window.partitionBy(*scope).orderBy(order))).where(F.col("__n") <= most)
+    place = (offset + F.row_number().over(Window.partitionBy(*scope, kind).orderBy(order)) - 1) % (26 * 26)
     letter = lambda i: F.char(F.lit(65) + i)
     label = F.concat(F.when(place >= 26, letter(F.floor(place / 26) - 1)).otherwise(F.lit("")), letter(place % 26))
-    return rows.select("*", F.substring(key, 1, 32).alias("session_key"), F.concat(F.lit("@"), F.upper(kind), F.lit("_"), label).alias("token"), (F.col(at) + ttl).alias("expires")).drop("__n")
+    return rows.select("*", F.substring(key("session", session), 1, 32).alias("session_key"), request_key.alias("request_key"), F.concat(F.lit("@"), F.upper(kind), F.lit("_"), label).alias("token"), (F.col(at) + ttl).alias("expires")).drop("__n")
 
 
 def redeem(minted: DataFrame, asked: DataFrame, value: str) -> DataFrame:
-    """asked (session_key, token, at) with the value of its token; null if that session has none such, or it has run out by then."""
-    live = minted.select("session_key", "token", "expires", F.col(value).alias("value"))
-    joined = asked.join(live, ["session_key", "token"], "left")
-    return joined.withColumn("value", F.when(F.col("expires") > F.col("at"), F.col("value"))).drop("expires")
+    """asked (session_key, request_key if there is one, token, at) with the value of its token; null if that session's
+    request has none such, or it has run out by then. Without a request_key those minted without a request are meant.
+    """
+    whole = asked if "request_key" in asked.columns else asked.withColumn("request_key", F.lit("-"))
+    live = minted.select("session_key", "request_key", "token", "expires", F.col(value).alias("value"))
+    joined = whole.join(live, ["session_key", "request_key", "token"], "left")
+    return joined.select(*asked.columns, F.when(F.col("expires") > F.col("at"), F.col("value")).alias("value"))
 
 
 def rates(rows: DataFrame, groups: dict[str, Column], measures: dict[str, Column]) -> DataFrame:

@@ -57,7 +57,20 @@ def pii_values(t):
     return pv.values(t.documents, ["doc_id"], "text")
 
 
-@query()
+def _places(i: int, kind: str) -> str:
+    """Places of all matches of a kind: what stands between them, and they themselves, add up to where each one starts."""
+    return f"""SELECT doc_id, {i} AS turn, '{kind}' AS kind, {pv.PATTERNS[kind][1]}::DOUBLE AS sure, v[i] AS value, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS a
+ FROM (SELECT doc_id, v, p, unnest(generate_series(1, len(v))) AS i FROM (SELECT doc_id, regexp_extract_all(text, {_re(kind)}) AS v, string_split_regex(text, {_re(kind)}) AS p FROM documents))"""
+
+
+_STRENGTH = "{0}.sure * 1000 + {0}.b - {0}.a"
+RESOLVED_SPANS = f"""
+WITH e AS ({' UNION ALL '.join(_places(i, k) for i, k in enumerate(pv.PATTERNS))}), l AS (SELECT doc_id, list([{{'kind': kind, 'a': a, 'b': CAST(a + length(value) AS INTEGER), 'sure': sure, 'value': value}}] ORDER BY a, length(value) DESC, turn) AS l FROM e GROUP BY doc_id),
+r AS (SELECT doc_id, list_reduce(l, lambda acc, x: CASE WHEN x[1].a >= acc[-1].b THEN acc || x WHEN x[1].b > acc[-1].b AND {_STRENGTH.format('x[1]')} > {_STRENGTH.format('acc[-1]')} THEN acc[1:len(acc) - 1] || x ELSE acc END) AS l FROM l),
+s AS (SELECT doc_id, x.kind AS kind, x.a AS a, x.b AS b, x.sure AS sure, x.value AS value FROM (SELECT doc_id, unnest(l) AS x FROM r))"""
+
+
+@query(f'{RESOLVED_SPANS} SELECT doc_id, kind, a AS "start", b AS "end", sure AS confidence FROM s')
 def pii_spans(t):
     return t.documents.select("doc_id", F.explode(pv.detector()(F.coalesce("text", F.lit("")))).alias("s")).select("doc_id", "s.kind", "s.start", "s.end", "s.confidence")
 
@@ -77,7 +90,10 @@ def pii_redact(t):
     return t.documents.select("doc_id", F.md5(m).alias("digest"), (m != F.col("text")).alias("changed"))
 
 
-@query()
+@query(f"""{RESOLVED_SPANS}, v AS (SELECT doc_id, value, arg_min(kind, a) AS kind, min(a) AS at_ FROM s GROUP BY 1, 2), n AS (SELECT *, '[' || kind || '_' || row_number() OVER (PARTITION BY doc_id, kind ORDER BY at_) || ']' AS name FROM v),
+o AS (SELECT s.doc_id, a, b, name, lag(b, 1, 0) OVER (PARTITION BY s.doc_id ORDER BY a) AS before FROM s JOIN n ON n.doc_id = s.doc_id AND n.value = s.value),
+c AS (SELECT o.doc_id, string_agg(substr(text, before + 1, a - before) || name, '' ORDER BY a) || substr(any_value(text), max(b) + 1) AS out FROM o JOIN documents d ON d.doc_id = o.doc_id GROUP BY o.doc_id)
+SELECT c.doc_id, CAST(k AS INTEGER) AS n_values, md5(out) AS digest FROM c JOIN (SELECT doc_id, count(*) AS k FROM n GROUP BY 1) USING (doc_id)""")
 def pii_token_redaction(t):
     spans = t.documents.select("doc_id", "text", pv.detector()(F.coalesce("text", F.lit(""))).alias("spans")).where(F.size("spans") > 0)
     named = spans.withColumn("names", pv.tokens(F.col("spans")))

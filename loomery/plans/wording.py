@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scan
@@ -272,15 +273,44 @@ def blended_similarity(t):
     return pairs.withColumn("similarity", lk.blended(F.col("a"), F.col("b")))
 
 
-@query("""
-WITH t AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events QUALIFY n <= 64),
-p AS (SELECT event_id, event_type, substr(sha256('s:session:' || user_id), 1, 32) AS session_key, (('0x' || substr(sha256('s:label:' || user_id), 1, 2))::INTEGER % 26 + k - 1) % 676 AS place FROM t)
-SELECT event_id, session_key, '@' || upper(event_type) || '_' || CASE WHEN place >= 26 THEN chr(CAST(64 + place // 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + place % 26 AS INTEGER)) AS token FROM p""")
+def _keyed(message: str) -> str:
+    """HMAC-SHA-256 under the secret 's', out of its two pads."""
+    inner, outer = ("'" + "".join(f"\\x{b:02X}" for b in pad) + "'::BLOB" for pad in pv.hmac_pads("s"))
+    return f"sha256({outer} || unhex(sha256({inner} || encode({message}))))"
+
+
+def _minted(scope: str, request: str) -> str:
+    return f"""
+WITH u AS (SELECT DISTINCT user_id, substr({_keyed("'session:' || user_id")}, 1, 32) AS session_key, ('0x' || substr({_keyed("'label:' || user_id")}, 1, 2))::INTEGER % 26 AS off FROM events),
+t AS (SELECT event_id, user_id, event_type, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY {scope} ORDER BY event_id) AS n, row_number() OVER (PARTITION BY {scope}, event_type ORDER BY event_id) AS k FROM events QUALIFY n <= 64),
+p AS (SELECT t.*, session_key, {request} AS request_key, (off + k - 1) % 676 AS place FROM t JOIN u USING (user_id)),
+m AS (SELECT *, '@' || upper(event_type) || '_' || CASE WHEN place >= 26 THEN chr(CAST(64 + place // 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + place % 26 AS INTEGER)) AS token FROM p)"""
+
+
+@query(f"{_minted('user_id', chr(39) + '-' + chr(39))} SELECT event_id, session_key, token FROM m")
 def token_vault(t):
     rows = t.events.select("event_id", "user_id", "event_type", F.col("event_id").alias("at"))
     return pv.mint_tokens(rows, "user_id", "event_type", "event_id", "at", "s").select("event_id", "session_key", "token")
 
 
+@query(f"""{_minted("user_id, strftime(ts, '%Y-%m-%d')", f"substr({_keyed(chr(39) + 'request:' + chr(39) + ' || day')}, 1, 16)")},
+d AS (SELECT session_key, request_key, lead(request_key) OVER (PARTITION BY session_key ORDER BY day) AS next FROM (SELECT DISTINCT session_key, request_key, day FROM m)),
+a AS (SELECT event_id, 'own' AS asked, session_key, request_key, token, event_id + 60 AS then_ FROM m UNION ALL SELECT event_id, 'late', session_key, request_key, token, event_id + 120 FROM m
+ UNION ALL SELECT event_id, 'next_request', m.session_key, next, token, event_id + 60 FROM m JOIN d ON d.session_key = m.session_key AND d.request_key = m.request_key WHERE next IS NOT NULL)
+SELECT a.event_id, asked, CASE WHEN m.event_id + 120 > then_ THEN m.event_id END AS value FROM a LEFT JOIN m ON m.session_key = a.session_key AND m.request_key = a.request_key AND m.token = a.token""")
+def token_redeem(t):
+    """A user's day is a request: its tokens asked back in time, too late, and within the user's next request."""
+    rows = t.events.select("event_id", "user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_id").alias("at"))
+    minted = pv.mint_tokens(rows, "user_id", "event_type", "event_id", "at", "s", request="day")
+    days = minted.select("session_key", "request_key", "day").distinct()
+    after = F.lead("request_key").over(Window.partitionBy("session_key").orderBy("day"))
+    ways = minted.join(days.select("session_key", "request_key", after.alias("next")), ["session_key", "request_key"])
+    way = lambda name, request, wait: F.struct(F.lit(name).alias("asked"), request.alias("request_key"), (F.col("event_id") + wait).alias("at"))
+    asked = ways.select("event_id", "session_key", "token", F.explode(F.array(way("own", F.col("request_key"), 60), way("late", F.col("request_key"), 120), way("next_request", F.col("next"), 60))).alias("w"))
+    asked = asked.select("event_id", "session_key", "token", "w.*").where("request_key IS NOT NULL")
+    return pv.redeem(minted, asked, "event_id").select(F.col("event_id"), "asked", "value")
+
+
 @query("""
 SELECT conv_id, turn, CAST(length(text) AS INTEGER) AS n, CASE WHEN length(text) % 10 >= 6 OR role <> 'user' THEN 'mask' WHEN length(text) % 10 >= 4 THEN 'doubtful' ELSE 'drop' END AS band FROM conversations""")
 def ner_bands(t):
@@ -300,6 +330,41 @@ def full_policy(t):
     return kept.select("doc_id", pv.full_verdict(c("emergency"), c("hard"), c("sensitive"), c("hidden"), c("soft"), c("digits"), c("n"), c("residual")).alias("verdict"))
 
 
+GATE_KINDS = ("email", "url", "ipv4", "phone", "card", "date", "uuid")
+
+
+def _gate_masked() -> str:
+    out = "text"
+    for k in GATE_KINDS:
+        out = f"regexp_replace({out}, {_re(k)}, '[{k}]', 'g')"
+    return out
+
+
+_GATE_LABEL = "'\\[(?:" + "|".join(GATE_KINDS) + ")\\]'"
+
+
+@query(f"""
+WITH c AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), d AS (SELECT *, {_gate_masked()} AS m, array_to_string({_CLASSES}, '') AS c FROM c),
+e AS (SELECT doc_id, unnest([true, false]) AS structured, regexp_matches(lower(text), 'idiot.*moron') AS emergency, len(regexp_extract_all(text, {_re('card')})) + len(regexp_extract_all(text, {_re('phone')})) > 0 AS hard, regexp_matches(lower(text), '\\b(license|copyright)\\b') AS medical,
+ regexp_matches(c, 'LLLL|NNNNN') OR len(list_filter(regexp_extract_all(c, '[ND]+'), lambda x: contains(x, 'N') AND contains(x, 'D') AND length(x) >= 5)) > 0 OR regexp_matches(text, '\\p{{L}}{{2}}[\\x{{1F300}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}\\x{{FE0F}}]+\\p{{L}}{{2}}|\\p{{Lu}}\\p{{Ll}}{{2,}}[/|\\\\]\\p{{Ll}}{{2,}}') AS torn,
+ len(regexp_extract_all(text, '\\p{{Lu}}\\p{{L}}+')) > 40 AS incomplete, len(regexp_extract_all(m, {_GATE_LABEL})) - len(regexp_extract_all(text, {_GATE_LABEL})) AS labels, length(regexp_replace(m, {_GATE_LABEL}, '', 'g')) AS kept, length(text) AS n,
+ len(list_filter(regexp_extract_all(text, '\\p{{Lu}}\\p{{L}}{{2,}}'), lambda w: regexp_matches(w, '(?:tionheit|ingeau)$'))) AS residual, regexp_matches(lower(text), '(^|\\s)(the|der|le)(\\s|$)') AS plannable FROM d),
+f AS (SELECT *, CASE WHEN n > 0 THEN (n - kept) * 1.0::DOUBLE / n ELSE 0 END AS share FROM e), g AS (SELECT *, NOT (torn OR incomplete OR labels > 12 OR residual > 0 OR share > 0.45::DOUBLE) AS shown FROM f),
+h AS (SELECT *, CASE WHEN emergency THEN 'emergency' WHEN hard THEN 'hard_identifier' WHEN medical THEN 'medical_text' WHEN torn THEN 'obfuscation' WHEN structured THEN CASE WHEN labels > 12 THEN 'token_budget' WHEN plannable THEN NULL WHEN residual > 0 THEN 'unknown_person' ELSE 'nothing_to_plan' END
+ WHEN incomplete THEN 'residual_risk' WHEN labels > 12 THEN 'token_budget' WHEN residual > 0 THEN 'residual_risk' WHEN share > 0.45::DOUBLE OR kept < 8 THEN 'over_redacted' END AS reason FROM g)
+SELECT doc_id, structured, CASE WHEN reason IS NULL THEN 'allow_external' WHEN reason = 'emergency' THEN reason ELSE 'local_only' END AS decision, reason, CASE WHEN reason IN ('medical_text', 'nothing_to_plan') OR reason IS NULL AND structured THEN shown ELSE false END AS triage FROM h""")
+def gateway_policy(t):
+    """Every text as a request, once with its words and once as closed values only."""
+    text = F.coalesce("text", F.lit(""))
+    n = pv.counts(text, ("card", "phone"))
+    facts = t.documents.select("doc_id", F.lower(text).rlike("idiot.*moron").alias("emergency"), (n["card"] + n["phone"]).alias("hard"), F.lower(text).rlike(r"\b(license|copyright)\b").alias("medical"), tx.obfuscation(text, NUMBER_WORDS)["suspicious"].alias("torn"), (F.regexp_count(text, F.lit(r"\p{Lu}\p{L}+")) > 40).alias("incomplete"), pv.redaction_facts(text, GATE_KINDS).alias("r"), F.length(text).alias("n"), pv.residual_names(text, ["tionheit", "ingeau"]).alias("residual"), F.lower(text).rlike(r"(^|\s)(the|der|le)(\s|$)").alias("plannable"))
+    rows = facts.withColumn("structured", F.explode(F.array(F.lit(True), F.lit(False))))
+    c = F.col
+    share = F.when(c("n") > 0, (c("n") - c("r.kept")) / c("n")).otherwise(0.0)
+    told = pv.gateway(c("emergency"), c("hard"), c("medical"), c("torn"), c("incomplete"), c("r.placeholders"), c("residual"), share, c("r.kept"), c("structured"), c("plannable"), c("residual") > 0)
+    return rows.select("doc_id", "structured", told.alias("told")).select("doc_id", "structured", "told.*")
+
+
 _SAID = "CASE p_partkey % 5 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(replace(p_name, 'o', '0'), 'l', 'll') WHEN 2 THEN substr(p_name, 1, 2) || substr(p_name, 4, 1) || substr(p_name, 3, 1) || substr(p_name, 5) WHEN 3 THEN p_name || ' ' || p_brand ELSE 'q' || p_name END"
 _FOLD = "array_to_string(list_transform(list_filter(list_zip(string_split({0}, ''), list_prepend('', string_split({0}, ''))), lambda x: x[1] IS NOT NULL AND (x[2] IS NULL OR x[1] <> x[2])), lambda x: x[1]), '')"
 _PLAIN = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
