@@ -222,3 +222,21 @@ def log_roundtrip(t):
     path = shared_folder(t.spark, "log")
     logs.append_days(t.events, path, ["event_id"], 1_000_000)
     return logs.read_days(t.spark, path, "event_id long, user_id long, day date").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH e AS (SELECT event_id, strftime(ts + INTERVAL 3 HOUR, '%Y-%m-%d') AS day, event_id % 3 AS part FROM events),
+h AS (SELECT *, count(*) OVER (PARTITION BY day, part) AS n FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY day, part ORDER BY event_id) AS turn FROM h),
+c AS (SELECT day, coalesce(max(n) FILTER (part = 0), 0) AS a, coalesce(max(n) FILTER (part = 1), 0) AS b FROM r GROUP BY day),
+k AS (SELECT r.*, CASE part WHEN 0 THEN 0 WHEN 1 THEN least(a, 20) ELSE least(a + b, 20) END AS before FROM r JOIN c USING (day))
+SELECT day, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, max(part) AS last_part FROM k WHERE before + turn <= 20 GROUP BY day""")
+def log_appends(t):
+    """Three appends to a log with a cap of twenty a day (the cap is the feature); the first two come twice and count once."""
+    from ..operators.graph import shared_folder
+    from ..sources import logs
+
+    path = shared_folder(t.spark, "log")
+    for part in (0, 0, 1, 1, 2):
+        logs.append_days(t.events.where(F.col("event_id") % 3 == part), path, ["event_id"], 20, batch=str(part))
+    kept = logs.read_days(t.spark, path, "event_id long, day date")
+    return kept.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.max(F.col("event_id") % 3).alias("last_part"))
