@@ -79,6 +79,56 @@ def blended(a: Column, b: Column) -> Column:
     return (jaccard(trigrams(a), trigrams(b)) + edits) / 2
 
 
+#: Of two names' similarity: an edit score as high as this stands alone, and no more edits than this count. Fixed values.
+SURE_EDITS, FAR_EDITS = 0.82, 3
+#: Names no longer than this meet by what is left of them without their edits, longer ones by their rarest trigrams.
+SHORT_NAME = 4 * FAR_EDITS
+
+
+def name_similarity(a: Column, b: Column) -> Column:
+    """0 to 1: by edits (a swap is one) 1 - edits / longer length, unless that is under SURE_EDITS and the trigram overlap is more.
+
+    Edits count up to a third of the longer length plus one, and up to FAR_EDITS. Empty names are like none.
+    """
+    longer = F.greatest(F.length(a), F.length(b))
+    allowed = F.least(F.lit(FAR_EDITS), F.floor(longer / 3).cast("int") + 1)
+    distance = osa_within(a, b, allowed)
+    edits = F.when(distance <= allowed, 1 - distance / longer).otherwise(0.0)
+    both = F.when(edits >= SURE_EDITS, edits).otherwise(F.greatest(jaccard(trigrams(a), trigrams(b)), edits))
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).when(a == b, 1.0).otherwise(both)
+
+
+def _numbered_trigrams(text: Column) -> Column:
+    """All trigrams of the padded text, each with the number of its like so far: as many as the text has characters."""
+    padded = F.concat(F.lit(" "), text, F.lit(" "))
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(padded, i, F.lit(3)))
+    return F.transform(every, lambda g, i: F.struct(g.alias("g"), F.size(F.filter(F.slice(every, F.lit(1), i), lambda o: o == g)).alias("k")))
+
+
+def similar_names(names: DataFrame, name: str, least: float) -> DataFrame:
+    """(a, b, similarity), a before b: all pairs of distinct names whose name_similarity is `least` or more.
+
+    Pairs come from equalities only and none is lost. Those alike by trigrams share one of their rarest, as in
+    similar_by_trigrams. Those alike by edits have at most FAR_EDITS, which leave in common what remains of either without as many
+    characters; names are asked for that up to SHORT_NAME characters. Every edit changes at most four trigrams, so if one of the two is longer
+    they share one of the 4 * FAR_EDITS + 1 rarest of each. Null and empty names are like none; `least` is above 0.
+    """
+    known = kept(names.select(F.col(name).alias("a")).where("a <> ''").distinct())
+    by_grams = similar_by_trigrams(known, "a", "a", least).select("a", "b")
+    most = F.least(F.lit(FAR_EDITS), F.floor((F.length("a") + FAR_EDITS) * F.lit(1 - least) + 1e-9).cast("int"))
+    keyed = lambda df, k: df.select("a", F.explode(k).alias("k"))
+    met = lambda df: df.join(df.withColumnRenamed("a", "b"), "k").where("a < b").select("a", "b")
+    short = met(keyed(known.where(F.length("a") <= SHORT_NAME), remains(F.col("a"), most)))
+    grams = kept(keyed(known, _numbered_trigrams(F.col("a"))))
+    held = kept(grams.groupBy("k").agg(F.count(F.lit(1)).alias("c")))
+    turn = F.row_number().over(Window.partitionBy("a").orderBy("c", "k"))
+    rarest = grams.join(held, "k").withColumn("r", turn).where(F.col("r") <= 4 * FAR_EDITS + 1).select("a", "k")
+    # such a gram may be frequent where names are much alike, so lengths are compared at once
+    long = met(rarest).where((F.abs(F.length("a") - F.length("b")) <= FAR_EDITS) & (F.greatest(F.length("a"), F.length("b")) > SHORT_NAME))
+    pairs = kept(by_grams.unionByName(short).unionByName(long).distinct())
+    return pairs.withColumn("similarity", name_similarity(F.col("a"), F.col("b"))).where(F.col("similarity") >= least)
+
+
 def phrase_score(query: Column, name: Column) -> Column:
     """0 equal, 1 begins with, 2 a word begins with, 3 contains, null no match; lower is better."""
     q, n = F.lower(F.trim(query)), F.lower(name)
@@ -115,13 +165,14 @@ def _without_one(word: Column) -> Column:
 
 
 def remains(word: Column, edits: Column) -> Column:
-    """The word and what is left of it without one, or any two, of its characters.
+    """The word and what is left of it without one, any two, or any three, of its characters.
 
     Two words that `edits` insertions, removals, replacements and swaps of neighbours part have one of these in common.
     """
     one = _without_one(word)
     two = F.flatten(F.transform(one, _without_one))
-    return F.array_distinct(F.when(edits >= 2, F.concat(F.array(word), one, two)).when(edits == 1, F.concat(F.array(word), one)).otherwise(F.array(word)))
+    three = F.flatten(F.transform(F.array_distinct(two), _without_one))
+    return F.array_distinct(F.when(edits >= 3, F.concat(F.array(word), one, two, three)).when(edits == 2, F.concat(F.array(word), one, two)).when(edits == 1, F.concat(F.array(word), one)).otherwise(F.array(word)))
 
 
 def edits_allowed(word: Column) -> Column:

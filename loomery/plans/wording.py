@@ -473,3 +473,14 @@ def chat_search(t):
     flags = t.spark.createDataFrame(TRIAGE_FLAGS, "flag string, rank int, combo int, part int, phrase string, contextual boolean")
     context = t.spark.createDataFrame([(c,) for c in TRIAGE_CONTEXT], "phrase string")
     return rq.chat_search(t.conversations.select("conv_id", "turn", asking.alias("text")), ["conv_id", "turn"], "text", rules, flags, context, candidates)
+
+
+@query("""
+WITH n AS (SELECT DISTINCT p_name AS a FROM part UNION SELECT DISTINCT unnest(string_split(lower(text), ' ')) FROM benchmark), g AS (SELECT a, list_distinct(list_transform(generate_series(1, length(a)), lambda i: substr(' ' || a || ' ', CAST(i AS BIGINT), 3))) AS g FROM n WHERE a <> ''),
+p AS (SELECT x.a, y.a AS b, x.g AS g, y.g AS h, greatest(length(x.a), length(y.a)) AS n, damerau_levenshtein(translate(x.a, 'ßäçèéêíñóöü', 'ABCDEFGHIJK'), translate(y.a, 'ßäçèéêíñóöü', 'ABCDEFGHIJK')) AS d FROM g x JOIN g y ON x.a < y.a),
+e AS (SELECT *, CASE WHEN d <= least(3, n // 3 + 1) THEN 1 - d * 1.0::DOUBLE / n ELSE 0 END AS edits FROM p), s AS (SELECT a, b, CASE WHEN edits >= 0.82::DOUBLE THEN edits ELSE greatest(edits, len(list_intersect(g, h)) * 1.0::DOUBLE / len(list_distinct(g || h))) END AS similarity FROM e)
+SELECT * FROM s WHERE similarity >= 0.7::DOUBLE""")
+def similar_names(t):
+    """Names of parts and words of questions that are alike by edits or by trigrams (the SQL's distance counts bytes, so letters of two have one there)."""
+    words = t.part.select(F.col("p_name").alias("n")).unionByName(bench_words(t).select(F.col("w").alias("n")))
+    return lk.similar_names(words, "n", 0.7)
