@@ -30,10 +30,17 @@ def has_room(blocked: Column, taken: Column, booked: Column, capacity: Column, s
 
 
 def first_free(slots: DataFrame, keys: list[str], free: Column, order: list[str], n: int) -> DataFrame:
-    """The first n free slots of each key as an array of structs, and how many there are."""
+    """The first n free slots of each key as an array of structs, and how many there are.
+
+    Tasks keep n slots of a key before the shuffle, however many it has.
+    """
     chosen = slots.where(free)
-    cut = F.slice(F.sort_array(F.collect_list(F.struct(*order))), 1, n)
-    return chosen.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_free"), cut.alias("first"))
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    few = chosen.withColumn("__turn", turn).where(F.col("__turn") <= n)
+    first = few.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("first")).select(*[F.col(k).alias(f"__{k}") for k in keys], "first")
+    counts = chosen.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_free"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return counts.join(first, same).select(*keys, "n_free", "first")
 
 
 def merged_sources(sources: dict[str, DataFrame | None], keys: list[str], start: str) -> DataFrame:
