@@ -4,10 +4,14 @@ Fitted on a bounded sample (SAMPLE vectors, by hash of the id): coarse centroids
 PARTS slices of the residuals a codebook of CODES entries. Every vector is indexed in the list of its
 centroid. A query probes the lists of the largest inner products with the centroids; in each, an
 asymmetric distance table gives approximate scores, and the RERANK best are scored exactly on the
-original vectors. How many lists are probed is measured on the sample, as the smallest number that
+original vectors. The k-th of those is a floor: an approximate score is off by no more than the sum over
+the slices of the lengths of the query's part and of the vector's rounding, and every other vector that may
+reach the floor is scored too. So a search loses nothing in the lists that it probes, however alike their
+vectors are. How many lists are probed is measured on the sample, as the smallest number that
 holds TARGET of the true neighbours. Then `recall` measures the result itself: CHECKED queries are
-compared with all vectors, in blocks, and while less than LEAST of their neighbours are found the
-probes grow by a half.
+compared with all vectors, in blocks, and the probes grow by a half while less than LEAST of their neighbours
+are found, or while that share less two standard errors is under SURE. A neighbour is found if the same row
+is, not one with a score near its own, so that neither the vectors' scale nor ties hide a miss.
 
 Lists are cut into blocks of at most BLOCK vectors by hash of the id, and the queries of a block into
 parts, so a list or vector that holds a third of all rows is many small tasks. Only the vectors of
@@ -40,8 +44,12 @@ QUERY_BLOCK = 4096
 RERANK = 200
 TARGET = 0.96
 #: Queries whose neighbours are counted against brute force, and the share of them that must be found.
-CHECKED = 64
+CHECKED = 256
 LEAST = 0.92
+SURE = 0.9
+#: Rounding of an inner product in double precision, as a share of the lengths' product; and pairs scored at once.
+ROUNDING = 1e-11
+PAIRS = 1 << 17
 K = 20
 
 
@@ -84,6 +92,14 @@ class Index:
             out += (queries[:, a:b] @ book.T)[:, codes[:, p]]
         return out
 
+    def slack(self, queries: np.ndarray, x: np.ndarray, codes: np.ndarray, which: int) -> np.ndarray:
+        """How far the approximate scores of queries x vectors may be off."""
+        slices = list(zip(self.cuts, self.cuts[1:], self.books, strict=False))
+        lost = np.stack([np.linalg.norm(x[:, a:b] - self.centres[which, a:b] - book[codes[:, p]], axis=1) for p, (a, b, book) in enumerate(slices)])
+        part = np.stack([np.linalg.norm(queries[:, a:b], axis=1) for a, b, _ in slices], axis=1)
+        length = np.linalg.norm(x, axis=1) + np.linalg.norm(self.centres[which])
+        return part @ lost + ROUNDING * np.linalg.norm(queries, axis=1)[:, None] * length
+
     def order(self, queries: np.ndarray) -> np.ndarray:
         return np.argsort(-(queries @ self.centres.T), axis=1, kind="stable")
 
@@ -177,22 +193,50 @@ def _deal(index: Index, dim: int, parts: np.ndarray, query_parts: np.ndarray, as
 FOUND = "query long, query_id long, key long, vec_id long, score double"
 
 
+def _exact(queries: np.ndarray, x: np.ndarray, wanted: np.ndarray, k: int) -> np.ndarray:
+    """Inner products of the wanted pairs that may be among a row's k largest of them; -inf for the others.
+
+    A matrix product tells which those are; each is then added up alike wherever it stands, so that ties stay ties.
+    """
+    out = np.full(wanted.shape, -np.inf)
+    rough = np.where(wanted, queries @ x.T, -np.inf)
+    off = ROUNDING * np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(x, axis=1)
+    n = len(x)
+    floor = np.partition(rough - off, n - k, axis=1)[:, n - k, None] if n > k else -np.inf
+    q, at = np.nonzero(wanted & (rough + off >= floor))
+    for i in range(0, len(q), PAIRS):
+        a, b = q[i : i + PAIRS], at[i : i + PAIRS]
+        out[a, b] = np.einsum("nd,nd->n", queries[a], x[b])
+    return out
+
+
+def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest of each row, largest first, ties to the smaller column; -inf is none."""
+    n = score.shape[1]
+    least = np.partition(score, n - k, axis=1)[:, n - k, None] if n > k else -np.inf
+    row, at = np.nonzero((score >= least) & (score > -np.inf))
+    order = np.lexsort((at, -score[row, at], row))
+    row, at = row[order], at[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[rank < k], at[rank < k]
+
+
 def _search(index: Index, dim: int, k: int, rerank: int):
     """Rows come block by block, vectors before queries."""
 
     def top(which, ids, keys, x, codes, query_ids, query_keys, queries):
-        score = index.approximate(queries, codes, which)
-        score[query_keys[:, None] == keys[None, :]] = -np.inf
-        n = min(rerank, len(ids))
-        best = np.argsort(-score, axis=1, kind="stable")[:, :n]  # ids ascend, so ties go to the smaller
-        exact = np.einsum("qd,qnd->qn", queries, x[best])
-        exact[np.take_along_axis(score, best, axis=1) == -np.inf] = -np.inf
-        named = ids[best]
-        order = np.lexsort((named, -exact), axis=1)[:, :k]
-        exact, named, found = (np.take_along_axis(z, order, axis=1) for z in (exact, named, keys[best]))
-        fine = exact.ravel() > -np.inf
-        told = (np.repeat(query_keys, exact.shape[1]), np.repeat(query_ids, exact.shape[1]), found.ravel(), named.ravel(), exact.ravel())
-        return pa.RecordBatch.from_arrays([pa.array(z[fine]) for z in told], names=["query", "query_id", "key", "vec_id", "score"])
+        other = query_keys[:, None] != keys[None, :]
+        score = np.where(other, index.approximate(queries, codes, which), -np.inf)
+        first = np.ones(score.shape, bool)
+        if len(ids) > max(rerank, k):
+            first[:] = False
+            np.put_along_axis(first, np.argpartition(-score, max(rerank, k) - 1, axis=1)[:, : max(rerank, k)], True, axis=1)
+        exact = _exact(queries, x, first & other, k)
+        if not first.all():
+            floor = np.partition(exact, len(ids) - k, axis=1)[:, len(ids) - k, None]
+            exact = np.maximum(exact, _exact(queries, x, ~first & other & (score + index.slack(queries, x, codes, which) >= floor), k))
+        q, at = _best(exact, k)
+        return pa.RecordBatch.from_arrays([pa.array(z) for z in (query_keys[q], query_ids[q], keys[at], ids[at], exact[q, at])], names=["query", "query_id", "key", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, ready = None, [], None
@@ -213,7 +257,7 @@ def _search(index: Index, dim: int, k: int, rerank: int):
                 elif held:
                     if ready is None:
                         ready = [np.concatenate(z) for z in zip(*held, strict=True)]
-                        order = np.argsort(ready[0], kind="stable")
+                        order = np.lexsort((ready[1], ready[0]))  # by id, so that ties go to the smaller
                         ready = [z[order] for z in ready]
                     for i in range(0, b - a, 64):
                         yield top(key[0], *ready, ids[i : i + 64], keys[i : i + 64], x[i : i + 64])
@@ -252,39 +296,49 @@ def search(vectors: DataFrame, queries: DataFrame, index: Index, k: int = K, rer
 
 
 def _every(queries: np.ndarray, keys: np.ndarray, dim: int, k: int):
-    """The k best scores of each of a few queries in every batch."""
-
+    """The k nearest of each of a few queries in every batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = queries @ _matrix(batch.column("v"), dim).T
-            score[keys[:, None] == batch.column("key").to_numpy()[None, :]] = -np.inf
-            best = -np.sort(-score, axis=1)[:, :k]
-            q, s = np.repeat(keys, best.shape[1]), best.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(q[s > -np.inf]), pa.array(s[s > -np.inf])], names=["query", "score"])
+        for whole in batches:
+            for i in range(0, len(whole), 2000):
+                batch = whole.slice(i, 2000)
+                x, found, ids = _matrix(batch.column("v"), dim), *(batch.column(c).to_numpy() for c in ("key", "vec_id"))
+                order = np.lexsort((found, ids))
+                x, found, ids = x[order], found[order], ids[order]
+                score = _exact(queries, x, keys[:, None] != found[None, :], k)
+                q, at = _best(score, k)
+                yield pa.RecordBatch.from_arrays([pa.array(z) for z in (keys[q], found[at], ids[at], score[q, at])], names=["query", "key", "vec_id", "score"])
 
     return run
 
 
-def recall(vectors: DataFrame, queries: DataFrame, index: Index, k: int = K, checked: int = CHECKED, rerank: int = RERANK) -> float:
-    """Share of the true k nearest that a search finds, for `checked` queries by hash against all vectors, in blocks.
-
-    A neighbour counts as found if its score is among those found, so that ties are no misses.
-    """
+def _recalls(vectors: DataFrame, queries: DataFrame, index: Index, k: int, checked: int, rerank: int) -> np.ndarray:
+    """Share of the true k nearest that a search finds, of each of `checked` queries by hash."""
     some = queries.orderBy(F.xxhash64("key", "vec_id")).limit(checked).select("key", "vec_id", "v")
     some, path = materialise(some)
     rows = some.select("key", "v").toArrow()
     if not len(rows):
-        return 1.0
+        return np.ones(0)
     dim = index.centres.shape[1]
-    scores = vectors.select("key", "v").mapInArrow(_every(_matrix(rows.column("v").combine_chunks(), dim), rows.column("key").to_numpy(), dim, k), "query long, score double")
-    order = Window.partitionBy("query").orderBy(F.desc("score"))
-    true = scores.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
-    least = true.groupBy("query").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
-    found = search(vectors, some, index, k, rerank).join(least, "query").where(F.col("score") >= F.col("least") - 1e-9)
-    got = found.groupBy("query").agg(F.count(F.lit(1)).alias("got")).agg(F.sum("got")).first()[0] or 0
-    want = least.agg(F.sum("n")).first()[0] or 0
+    scores = vectors.select("key", "vec_id", "v").mapInArrow(_every(_matrix(rows.column("v").combine_chunks(), dim), rows.column("key").to_numpy(), dim, k), "query long, key long, vec_id long, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "key")
+    true = scores.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("query", "key")
+    found = search(vectors, some, index, k, rerank).select("query", "key", F.lit(1).alias("got"))
+    shares = true.join(found, ["query", "key"], "left").groupBy("query").agg((F.count("got") / F.count(F.lit(1))).alias("share")).toArrow()
     discard(vectors.sparkSession, path)
-    return got / want if want else 1.0
+    return shares.column("share").to_numpy()
+
+
+def recall(vectors: DataFrame, queries: DataFrame, index: Index, k: int = K, checked: int = CHECKED, rerank: int = RERANK) -> float:
+    """Share of the true k nearest that a search finds, for `checked` queries by hash against all vectors, in blocks."""
+    shares = _recalls(vectors, queries, index, k, checked, rerank)
+    return float(shares.mean()) if len(shares) else 1.0
+
+
+def enough(shares: np.ndarray) -> bool:
+    """Whether these queries' recalls show that all queries' together is SURE at least."""
+    if not len(shares):
+        return True
+    return shares.mean() >= LEAST and shares.mean() - 2 * shares.std() / len(shares) ** 0.5 >= SURE
 
 
 def nearest(rows: DataFrame, every: int = 20, k: int = K) -> DataFrame:
@@ -294,7 +348,7 @@ def nearest(rows: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     if index is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     queries = vectors.where((F.pmod("vec_id", F.lit(every)) == 0) & (F.col("vec_id") != NO_ID))
-    while index.probes < len(index.centres) and recall(vectors, queries, index, k) < LEAST:
+    while index.probes < len(index.centres) and not enough(_recalls(vectors, queries, index, k, CHECKED, RERANK)):
         index.probes = min(len(index.centres), index.probes + index.probes // 2 + 1)
     found = search(vectors, queries, index, k)
     return found.select("query_id", "rank", F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")

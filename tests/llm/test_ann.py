@@ -80,3 +80,45 @@ def test_rows_without_an_id_are_candidates_and_last_among_ties(spark):
     rows = [(0, [1.0, 0.0], 0), (None, [9.0, 1.0], 0), (None, [2.0, 1.0], 0), (5, [2.0, 3.0], 0), (1, [2.0, 0.0], 0)]
     got = [(r["rank"], r.vec_id, r.score) for r in ann.nearest(spark.createDataFrame(rows, SCHEMA)).orderBy("rank").collect()]
     assert got == [(1, None, 9.0), (2, 1, 2.0), (3, 5, 2.0), (4, None, 2.0)]
+
+
+def clustered(rng, n, clusters, noise, dim=32):
+    centres = rng.normal(size=(clusters, dim))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    return centres[rng.integers(0, clusters, n)] + noise * rng.normal(size=(n, dim)) / dim**0.5
+
+
+def test_queries_unlike_the_rows_at_any_scale(spark):
+    """Probes that suit the rows are too few for such queries; scores far below 1e-9 must not hide that."""
+    rng = np.random.default_rng(11)
+    x = clustered(rng, 3000, 40, 0.01)
+    x[::20] = rng.normal(size=(150, 32)) / 32**0.5
+    for scale in (1.0, 1e-6):
+        tables = [(i, v, 0) for i, v in enumerate((scale * x).astype(np.float32).tolist())]
+        m = np.array([v for _, v, _ in tables])
+        got = ann.nearest(spark.createDataFrame(tables, "vec_id long, embedding array<double>, label int").repartition(4)).collect()
+        found = {}
+        for r in got:
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        hits = sum(len(found[q] & set(brute(m, list(range(3000)), q, 20))) for q in range(0, 3000, 20))
+        assert hits / (20 * 150) >= 0.9
+
+
+def test_nothing_is_lost_in_probed_lists_of_many_alike(spark):
+    """Vectors alike within the rounding of their codes, far more than are reranked."""
+    rng = np.random.default_rng(12)
+    x = clustered(rng, 4000, 4, 0.3)
+    x[1::2] = x[1] + 1e-3 * rng.normal(size=(2000, 32))
+    x[3::400] = x[7]
+    rows = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int").repartition(4)
+    vectors, _ = ann.materialise(ann.usable(rows))
+    index = ann.build(vectors, lists=6)
+    index.probes = len(index.centres)
+    queries = vectors.where("vec_id % 100 = 0 or vec_id % 100 = 1")
+    assert ann.recall(vectors, queries, index, rerank=25) == 1.0
+    found = {}
+    for r in ann.search(vectors, queries, index, rerank=25).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for q, got in found.items():
+        assert [v for _, v in sorted(got)] == brute(x, list(range(4000)), q, 20)
+    assert len(found) == 80
