@@ -102,14 +102,51 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(named.view(np.int64)), pa.array(yes), pa.array(every - yes)], names=["term", "yes", "no"])
 
 
-def known_terms(vocabulary: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term number, count) in order; `vocabulary` is sorted."""
+class Vocabulary:
+    """Sorted hashes, found by a table of where each run of equal leading bits begins."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def __getstate__(self):
+        return self.hashes
+
+    def __setstate__(self, hashes):
+        self.hashes = hashes
+
+    @cached_property
+    def runs(self) -> tuple[np.uint64, np.ndarray]:
+        """(bits to leave out, first place of each run)."""
+        bits = min(22, max(1, len(self.hashes).bit_length() + 1))
+        leading = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+        return np.uint64(64 - bits), np.searchsorted(self.hashes, leading).astype(np.int32)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which are known, number of each of those)."""
+        shift, first = self.runs
+        place = first[hashes >> shift].astype(np.int64)
+        last = len(self.hashes) - 1
+        at = np.arange(len(hashes))
+        for _ in range(4):  # most runs hold a hash or none
+            at = at[(place[at] < last) & (self.hashes[np.minimum(place[at], last)] < hashes[at])]
+            place[at] += 1
+        at = at[self.hashes[place[at]] < hashes[at]]
+        place[at] = np.searchsorted(self.hashes, hashes[at])
+        place = np.minimum(place, last)
+        known = np.flatnonzero(self.hashes[place] == hashes)
+        return known, place[known]
+
+
+def known_terms(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term number, count) in order."""
     hashes, docs = terms(data, offsets)
     if not len(vocabulary):
         return (np.zeros(0, np.int64),) * 3
-    place = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    known = vocabulary[place] == hashes
-    key, count = np.unique(docs[known] * len(vocabulary) + place[known], return_counts=True)
+    known, place = vocabulary.find(hashes)
+    key, count = np.unique(docs[known] * len(vocabulary) + place, return_counts=True)
     return key // len(vocabulary), key % len(vocabulary), count
 
 
@@ -232,8 +269,12 @@ class BlockMaxIndex:
 
         def others(t: np.ndarray, q: np.ndarray) -> np.ndarray:
             """Cosines as far as the terms that are not common go."""
-            at, source = _ranges(begin[t], begin[t + 1])
-            return np.bincount(slots[at], q[source] * weight[at], n)
+            held = begin[t + 1] - begin[t]
+            at = np.repeat(begin[t] - np.cumsum(held) + held, held)
+            at += np.arange(len(at))
+            share = np.repeat(q, held)
+            share *= weight[at]
+            return np.bincount(slots[at], share, n)
 
         def exact(t: np.ndarray, q: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             at, source = _ranges(self.begin[near], self.begin[near + 1])
@@ -254,7 +295,7 @@ class BlockMaxIndex:
                 queries.append((t, q, at))
             bounds = table @ most
             found: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(texts)
-            left = []
+            left, partial = [], []
             for i, (t, q, at) in enumerate(queries):
                 score = others(t[at < 0], q[at < 0])
                 bound = score + np.repeat(bounds[i], BLOCK)[:n]
@@ -272,10 +313,11 @@ class BlockMaxIndex:
                     found[i] = self._positive(*exact(t, q, self.at_slot[near]))
                 else:
                     left.append(i)
+                    partial.append(score)
             scores = table[left] @ matrix
-            for i, score in zip(left, scores, strict=True):
-                t, q, at = queries[i]
-                score = score[:n] + others(t[at < 0], q[at < 0])
+            for i, score, rest in zip(left, scores, partial, strict=True):
+                t, q, _ = queries[i]
+                score = score[:n] + rest
                 if without[low + i] >= 0:
                     score[self.slot[without[low + i]]] = 0
                 least = np.partition(score, n - k)[n - k] - slack if n > k else 0.0
@@ -386,7 +428,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model | None]:
     hashes, yes, no = (marks.column(c).to_numpy() for c in ("term", "yes", "no"))
     order = np.argsort(hashes.view(np.uint64))
     context = docs.sparkSession.sparkContext
-    vocabulary = context.broadcast(hashes.view(np.uint64)[order])
+    vocabulary = context.broadcast(Vocabulary(hashes.view(np.uint64)[order]))
 
     counted = texts.select("text").mapInArrow(_frequencies(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(len(order))

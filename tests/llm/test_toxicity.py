@@ -135,3 +135,35 @@ def test_search_is_exact_with_many_open_blocks(monkeypatch):
             want[i] = 0
             top = np.sort(want)[::-1][:15]
             assert i not in best and np.allclose(score, top[top > 0]) and np.allclose(want[best], score)
+
+
+def test_vocabulary_finds_what_a_search_finds():
+    rng = np.random.default_rng(4)
+    many = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    for held in (many, many[:1], np.arange(50, dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(50, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)):
+        held = np.unique(held)
+        asked = np.concatenate([held, held + np.uint64(1), held - np.uint64(1), many, np.array([0, 2**63, 2**64 - 1], np.uint64)])
+        known, place = tx.Vocabulary(held).find(asked)
+        assert known.tolist() == np.flatnonzero(np.isin(asked, held)).tolist()
+        assert (held[place] == asked[known]).all()
+
+
+def test_postings_are_added_up_once_a_text(monkeypatch):
+    """Also of texts whose bounds leave so many examples that the matrix product decides."""
+    monkeypatch.setattr(tx, "OPEN", 8)
+    rng = np.random.default_rng(8)
+    terms = [np.sort(np.concatenate([rng.choice(12, 6, replace=False), 12 + rng.choice(388, 4, replace=False)])) for _ in range(500)]
+    rows = [(t, rng.integers(1, 5, 10)) for t in terms]
+    index = tx.BlockMaxIndex.build(np.arange(500), rng.integers(0, 2, 500), rng.uniform(1, 5, 400), rows)
+    begin, slots, weight = index.rare
+    reads = []
+
+    class Counted:
+        def __getitem__(self, at):
+            reads.append(len(at))
+            return weight[at]
+
+    index.__dict__["rare"] = (begin, slots, Counted())
+    cuts = np.cumsum([0, *(len(t) for t, _ in rows[:300])])
+    assert len(list(index.search(cuts, np.concatenate([t for t, _ in rows[:300]]), np.concatenate([c for _, c in rows[:300]]), 15, np.full(300, -1)))) == 300
+    assert len(reads) == 300
