@@ -114,6 +114,32 @@ def osa_within(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else osa(x, y, int(m)) for x, y, m in zip(a, b, most, strict=True)], dtype="Int32")
 
 
+def damerau(a: str, b: str, most: int | None = None) -> int:
+    """Edits, a swap of neighbours counting one even if something then comes between them; most + 1 once it exceeds `most`."""
+    if most is not None and abs(len(a) - len(b)) > most:
+        return most + 1
+    far = len(a) + len(b)
+    rows, last = [[far] * (len(b) + 2), [far, *range(len(b) + 1)]], {}  # a row and a column before the empty text's
+    for i, x in enumerate(a, 1):
+        row, same = [far, i], 0
+        for j, y in enumerate(b, 1):
+            k, m = last.get(y, 0), same  # where y was last in a, and x in b
+            if x == y:
+                same = j
+            row.append(min(rows[i][j + 1] + 1, row[j] + 1, rows[i][j] + (x != y), rows[k][m] + (i - k - 1) + 1 + (j - m - 1)))
+        if most is not None and min(row) > most:
+            return most + 1
+        rows.append(row)
+        last[x] = i
+    return rows[-1][-1] if most is None else min(rows[-1][-1], most + 1)
+
+
+@F.pandas_udf(T.IntegerType())
+def damerau_within(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
+    """damerau of two texts, given up once it exceeds `most`."""
+    return pd.Series([None if x is None or y is None else damerau(x, y, int(m)) for x, y, m in zip(a, b, most, strict=True)], dtype="Int32")
+
+
 @F.pandas_udf(T.IntegerType())
 def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else osa(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")

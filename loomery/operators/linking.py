@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse_repeats, jaccard, one_edit, osa_distance, osa_within, trigrams, unfold_leet, words_only
+from ..functions.text import collapse_repeats, damerau_within, jaccard, one_edit, osa_distance, osa_within, trigrams, unfold_leet, words_only
 from .graph import kept
 
 
@@ -86,13 +86,13 @@ SHORT_NAME = 4 * FAR_EDITS
 
 
 def name_similarity(a: Column, b: Column) -> Column:
-    """0 to 1: by edits (a swap is one) 1 - edits / longer length, unless that is under SURE_EDITS and the trigram overlap is more.
+    """0 to 1: by edits (a swap is one, also of letters that something then parts) 1 - edits / longer length, unless that is under SURE_EDITS and the trigram overlap is more.
 
     Edits count up to a third of the longer length plus one, and up to FAR_EDITS. Empty names are like none.
     """
     longer = F.greatest(F.length(a), F.length(b))
     allowed = F.least(F.lit(FAR_EDITS), F.floor(longer / 3).cast("int") + 1)
-    distance = osa_within(a, b, allowed)
+    distance = damerau_within(a, b, allowed)
     edits = F.when(distance <= allowed, 1 - distance / longer).otherwise(0.0)
     both = F.when(edits >= SURE_EDITS, edits).otherwise(F.greatest(jaccard(trigrams(a), trigrams(b)), edits))
     return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).when(a == b, 1.0).otherwise(both)

@@ -2,9 +2,10 @@
 
 import random
 
+import duckdb
 import pytest
 
-from loomery.functions.text import osa
+from loomery.functions.text import damerau, osa
 from loomery.operators import linking
 
 
@@ -53,3 +54,18 @@ def test_no_pair_is_lost(spark, least):
 
 def test_no_names(spark):
     assert linking.similar_names(spark.createDataFrame([(None,), ("",)], "n string"), "n", 0.7).collect() == []
+
+
+def test_a_swap_may_be_parted(spark):
+    """Two letters are swapped and one comes between them, or goes from there: two edits, as in the SQL."""
+    assert [damerau(*p) for p in (("ca", "abc"), ("abc", "ca"), ("attionea", "thhationea"), ("abcd", "abcd"), ("", "ab"), ("ab", "ba"))] == [2, 2, 3, 0, 2, 1]
+    assert damerau("abcdef", "uvwxyz", 3) == 4
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(8))) for _ in range(2))
+        exact = damerau(a, b)
+        assert exact <= osa(a, b) and [damerau(a, b, k) for k in range(4)] == [min(exact, k + 1) for k in range(4)]
+        assert exact == duckdb.execute("SELECT damerau_levenshtein(?, ?)", [a, b]).fetchone()[0]
+    words = ["attionea", "thhationea", "aonorshth", "ofanorshth", "thntining", "thtionining"]
+    got = {(r.a, r.b): round(r.similarity, 4) for r in linking.similar_names(spark.createDataFrame([(w,) for w in words], "n string"), "n", 0.7).collect()}
+    assert got == {("attionea", "thhationea"): 0.7, ("aonorshth", "ofanorshth"): 0.8, ("thntining", "thtionining"): 0.7273}
