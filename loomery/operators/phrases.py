@@ -4,7 +4,8 @@ A phrase is a run of words; a word that ends in `*` is a stem and stands for eve
 it. Words of a text are its runs of letters and digits in lower case. A phrase is looked for by its anchor, the word
 that fewest phrases hold (a stem by its first letters): the words of the texts meet the anchors by equality, so the
 dictionary may be as large as the texts, and what is left is compared word by word in the text that
-holds it. A small dictionary is broadcast by Spark's own size check, and then only candidates are shuffled.
+holds it. `triage` writes its dictionary and its hits as tables (`graph.release` deletes them): Spark then knows
+the dictionary's size and broadcasts a small one, so only candidates are shuffled, and no plan repeats the search.
 
 `keys` name a text: one row for each. Null and empty texts hold nothing; phrases without words are none.
 """
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import kept
+
 #: Letters of a stem that make its key; a shorter stem goes by all of its letters.
 STEM_KEY = 4
 
@@ -84,7 +87,7 @@ def triage(texts: DataFrame, keys: list[str], text: str, rules: DataFrame, flags
     """
     name = F.concat_ws("\x01", F.lit("r"), "phrase")
     patterns = rules.select("phrase", name.alias("code")).union(flags.select("phrase", name.alias("code"))).union(context.select("phrase", F.lit("c").alias("code"))).distinct()
-    found = hits(texts, keys, text, dictionary(patterns, "phrase", "code"))
+    found = kept(hits(texts, keys, text, kept(dictionary(patterns, "phrase", "code"))))
     spoken = found.where("code <> 'c'").withColumn("phrase", F.substring(F.col("code"), F.lit(3), F.length("code")))
     held = spoken.select(*keys, "phrase").distinct()
     score = held.join(rules.select("phrase", "weight", "label", "place"), "phrase").groupBy(*keys, "label").agg(F.sum(F.col("weight") * F.when(F.col("place") == 0, 1.0).otherwise(0.5)).alias("__score"))

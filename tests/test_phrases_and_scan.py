@@ -159,3 +159,15 @@ def test_windows_end_at_spaces():
     cuts = privacy.window_starts(long, 3500, 200)
     assert cuts[0][0] == 0 and cuts[-1][1] == len(long) and all(b - a <= 3500 for a, b in cuts) and all(long[b] == " " for _, b in cuts[:-1])
     assert all(y[0] == x[1] - 200 for x, y in itertools.pairwise(cuts))
+
+
+def test_triage_searches_the_texts_once(spark):
+    """What later steps read is a table, so the plan that gives the result holds neither the search nor the texts' words again."""
+    rules = spark.createDataFrame([("of the", 2.0, "a", 0), ("tion*", 1.0, "b", 0)], "phrase string, weight double, label string, place int")
+    flags = spark.createDataFrame([("f", 1, 1, 1, "with", True)], "flag string, rank int, combo int, part int, phrase string, contextual boolean")
+    context = spark.createDataFrame([("was",)], "phrase string")
+    texts = spark.createDataFrame([(1, "end of the tions"), (2, "with it"), (3, "it was with it"), (4, None), (5, "")], "i int, t string")
+    out = phrases.triage(texts, ["i"], "t", rules, flags, context)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 0 and plan.count("Join") <= 8
+    assert {r.i: (r.flag, r.labels) for r in out.collect()} == {1: (None, ["a", "b"]), 2: ("f", []), 3: (None, []), 4: (None, []), 5: (None, [])}
