@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import grammar, phrases, search
+from .graph import kept
 
 
 @dataclass(frozen=True)
@@ -156,7 +157,7 @@ def fold_with_retractions(turns: DataFrame, key: str, order: str, columns: list[
 def chat_search(texts: DataFrame, keys: list[str], text: str, rules: DataFrame, flags: DataFrame, context: DataFrame, candidates: DataFrame, least: float = 0.3, k: int = 3) -> DataFrame:
     """(keys, state, flag, specialty, rank, id): from what a text says to the k best candidates, in one plan.
 
-    The text is triaged by phrases and its conditions are read by the grammar; candidates are met by equality on the
+    The text is triaged by phrases and its conditions are read by the grammar, each once, into a table; candidates are met by equality on the
     specialty, and every condition that was said must hold. candidates: id, specialty, gender, price, experience, days (array),
     opens and closes (minutes of the day); what is unknown of a candidate fails a condition on it. Ranked by price
     where the cheapest are asked for, else by experience, then price, then id; at most `limit` of the text, if it names
@@ -164,9 +165,9 @@ def chat_search(texts: DataFrame, keys: list[str], text: str, rules: DataFrame,
     Texts without candidates have one row with a null rank.
     """
     said = texts.select(*keys, grammar.conditions(F.col(text)).alias("c"))
-    plan = phrases.triage(texts, keys, text, rules, flags, context).join(said, keys)
+    plan = kept(phrases.triage(texts, keys, text, rules, flags, context)).join(said, keys)
     clear = F.col("flag").isNull() & (F.size("labels") > 0) & (F.col("confidence") >= least)
-    plan = plan.select(*keys, "flag", F.when(clear, F.get("labels", F.lit(0))).alias("specialty"), "c")
+    plan = kept(plan.select(*keys, "flag", F.when(clear, F.get("labels", F.lit(0))).alias("specialty"), "c"))  # read twice
     met = plan.where("specialty IS NOT NULL").join(candidates, "specialty")
     if_said = lambda field, fits: F.col(f"c.{field}").isNull() | F.coalesce(fits, F.lit(False))
     fits = if_said("gender", F.col("gender") == F.col("c.gender")) & if_said("most_price", F.col("price") <= F.col("c.most_price")) & if_said("experience", F.col("experience") >= F.col("c.experience"))
