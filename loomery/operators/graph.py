@@ -132,8 +132,13 @@ def snap(points: DataFrame, segments: DataFrame, key: str, fast_kmh: int = 80, p
     segments: seg, lat1, lon1, lat2, lon2, speed. Local plane around the point. A segment is copied to
     the cells that it runs through, sampled every quarter of a cell, and a point looks into the nine
     cells around it; cells are as large as twice the reach, so none within it is missed. A segment runs the shorter
-    way around the globe, over the date line if that is it. Adds seg, share (0..1 along it) and metres.
+    way around the globe, over the date line if that is it. Points in one place have one answer, and of segments that run
+    alike and are alike fast only the first can be one, so places meet lines, however many points and segments share them.
+    Adds seg, share (0..1 along it) and metres.
     """
+    ends = ["lat1", "lon1", "lat2", "lon2"]
+    segments = segments.groupBy(*ends, F.coalesce(F.col("speed") >= fast_kmh, F.lit(False)).alias("__fast")).agg(F.min("seg").alias("seg"))
+    places = points.select("lat", "lon").distinct()
     high = 2 * reach_m / 1000 / KM_A_DEGREE
     # as wide in degrees as the reach is at the latitude farthest from the equator that has points
     wide = lambda lat: F.lit(high) / F.greatest(F.cos(F.radians(F.least(F.abs(F.floor(lat)) + 2, F.lit(89)))), F.lit(0.01))
@@ -148,7 +153,7 @@ def snap(points: DataFrame, segments: DataFrame, key: str, fast_kmh: int = 80, p
     along = along.withColumn("__d", F.explode(F.array_distinct(F.array(F.floor(F.col("__y") - high), F.floor("__y"), F.floor(F.col("__y") + high)))))
     cells = along.withColumns({"__cy": F.floor(F.col("__y") / high).cast("long"), "__cx": F.floor(F.col("__x") / wide(F.col("__d"))).cast("long")}).drop("__y", "__x", "__i", "__n").distinct()
     step = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    around = points.withColumn("__d", F.floor("lat")).withColumn("__s", F.explode(step))
+    around = places.withColumn("__d", F.floor("lat")).withColumn("__s", F.explode(step))
     around = around.withColumns({"__cy": F.floor(F.col("lat") / high).cast("long") + F.col("__s.a"), "__cx": F.floor(F.col("lon") / wide(F.col("__d"))).cast("long") + F.col("__s.b")}).drop("__s")
     pairs = around.join(cells, ["__d", "__cy", "__cx"])
     metre = F.lit(KM_A_DEGREE * 1000)
@@ -159,9 +164,11 @@ def snap(points: DataFrame, segments: DataFrame, key: str, fast_kmh: int = 80, p
     share = F.when(length > 0, F.least(F.greatest((px * dx + py * dy) / length, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
     found = pairs.withColumn("share", share)
     found = found.withColumn("metres", F.sqrt(F.pow(px - F.col("share") * dx, 2) + F.pow(py - F.col("share") * dy, 2))).where(F.col("metres") <= reach_m)
-    cost = F.col("metres") + F.when(F.col("speed") >= fast_kmh, penalty_m).otherwise(0.0)
-    ranked = found.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(cost, "seg"))).where("__r = 1")
-    return ranked.select(*points.columns, "seg", "share", "metres")
+    cost = F.col("metres") + F.when(F.col("__fast"), penalty_m).otherwise(0.0)
+    best = found.groupBy("lat", "lon").agg(F.min(F.struct(cost.alias("cost"), "seg", "share", "metres")).alias("__b"))
+    met = points.join(best, ["lat", "lon"])
+    ranked = met.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy("__b.cost", "__b.seg"))).where("__r = 1")
+    return ranked.select(*points.columns, "__b.seg", "__b.share", "__b.metres")
 
 
 def grid_graph(spark: SparkSession, n: int) -> DataFrame:

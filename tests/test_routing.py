@@ -2,6 +2,7 @@
 
 import heapq
 import math
+import time
 
 import numpy as np
 import pytest
@@ -135,3 +136,14 @@ def test_tables_of_a_search_can_be_deleted(spark):
     assert os.path.isdir(folder)
     gr.release(spark)
     assert not os.path.isdir(folder)
+
+
+def test_many_points_and_segments_in_one_place(spark):
+    """Thirty thousand of each: their pairs, 900 million for every shared cell, are not made."""
+    n = 30_000
+    lane = spark.range(n).select(F.col("id").alias("seg"), F.lit(50.0).alias("lat1"), F.lit(30.0).alias("lon1"), F.lit(50.0).alias("lat2"), F.lit(30.01).alias("lon2"), F.when(F.col("id") < 7, 90).otherwise(40).alias("speed"))
+    points = spark.range(n).select(F.col("id").alias("p"), F.lit(50.001).alias("lat"), F.lit(30.005).alias("lon"))
+    began = time.perf_counter()
+    got = gr.snap(points, lane, "p").groupBy("seg").agg(F.count("*").alias("n"), F.max("metres").alias("m")).collect()
+    assert [(r.seg, r.n) for r in got] == [(7, n)] and abs(got[0].m - 111.19) < 0.01
+    assert time.perf_counter() - began < 60
