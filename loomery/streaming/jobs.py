@@ -19,7 +19,13 @@ from ..sources.tables import add_counters
 
 
 def read_events(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet") -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    """The files of a folder that a pattern names, or the table of that very name: one file, or a folder of them."""
+    read = spark.readStream.schema(schema)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if "*" not in pattern and fs.exists(where) and fs.getFileStatus(where).isDirectory():
+        return read.parquet(f"{folder}/{pattern}")
+    return read.option("pathGlobFilter", pattern).parquet(folder)
 
 
 def hourly(events: DataFrame, ts: str = "ts", endpoint: str = "event_type", value: str = "value") -> DataFrame:
