@@ -98,3 +98,14 @@ def test_from_a_text_to_candidates(spark):
             assert r.state == "found"
             got[r.i].append(r.id)
     assert got == dict(enumerate(said.values()))
+
+
+def test_chat_search_reads_conditions_once(spark):
+    """Conditions are a table by the time candidates are searched: the plan of the result reads no text again."""
+    rules = spark.createDataFrame([("heart", 3.0, "cardio", 0)], "phrase string, weight double, label string, place int")
+    flags = spark.createDataFrame([("f", 1, 1, 1, "faint", False)], "flag string, rank int, combo int, part int, phrase string, contextual boolean")
+    context = spark.createDataFrame([("was",)], "phrase string")
+    people = spark.createDataFrame([(1, "cardio", "female", 50, 9, ["monday"], 480, 1080)], "id int, specialty string, gender string, price int, experience int, days array<string>, opens int, closes int")
+    out = requests.chat_search(spark.createDataFrame([(1, "my heart, a woman"), (2, "hello")], "i int, t string"), ["i"], "t", rules, flags, context, people)
+    assert "Python" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.i: (r.state, r.id) for r in out.collect()} == {1: ("found", 1), 2: ("unclear", None)}
